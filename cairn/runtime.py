@@ -9,8 +9,11 @@ machine-local folder unless the session names none (tests on ``local[n]``).
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,21 @@ def build_session(app: str = "cairn", master: str | None = None, shuffle: int =
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once for each Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_cairn_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    handle, target = tempfile.mkstemp(prefix="cairn-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(target)
+    context._cairn_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder: the session's setting, or one of our own where it is unset."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
