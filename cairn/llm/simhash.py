@@ -20,7 +20,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cairn.llm.components import connected
 from cairn.runtime import materialize
@@ -160,12 +160,50 @@ def link_forests(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK)
     return dealt.repartition(max(n_tasks, min(len(plan), 4 * n_tasks)), "meeting").groupBy("meeting").applyInArrow(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
-    printed = materialize(fingerprints(docs, size), "fingerprints")
+def components(printed: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of ``printed`` (doc_id, fp)."""
     distinct = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected(materialize(link_forests(distinct.select("fp"), radius, block), "forests"))
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
+    return known.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
+    printed = materialize(fingerprints(docs, size), "fingerprints")
+    named = components(printed, radius, block)
     return printed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
+    """One row of each component of ``docs``, all its columns as they were: a row of its smallest doc_id.
+
+    Of several rows with that doc_id one stays, the least by its columns in order. Rows with a null
+    doc_id go where their component has a row with one; else the component's least row stays. Only
+    rows that could stay are shuffled with their texts.
+    """
+    names = docs.columns
+    keyed = F.col("doc_id").cast("long")
+    printed = materialize(fingerprints(docs, size), "fingerprints")
+    named = components(printed, radius, block)
+    ids = named.where("component_id is not null").select(F.col("component_id").alias("_keeper")).distinct()
+    kept = docs.join(ids, keyed == F.col("_keeper"), "left_semi")
+    one = F.min(F.struct(*names)).alias("_row")
+    out = kept.groupBy(keyed.alias("_key")).agg(one).select(*(F.col(f"_row.{c}").alias(c) for c in names))
+    # components without any doc_id: their rows are found again by fingerprint
+    nameless = named.where("component_id is null").select("fp", "root")
+    alone = with_fingerprint(docs.where("doc_id is null"), size).join(nameless, "fp").groupBy("root").agg(one)
+    return out.unionByName(alone.select(*(F.col(f"_row.{c}").alias(c) for c in names)))
+
+
+def with_fingerprint(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with its fingerprint in a column ``fp`` (which must not exist yet)."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint((t or "").encode(), size) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
