@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.runtime import materialize
 
-#: Characters of a chunk, and how far its window goes beyond it.
-CHUNK = 16_384
-OVERLAP = 512
+#: Characters of a chunk, and how far its window goes beyond it. Shorter texts take less time to encode than to move.
+CHUNK = 65_536
+OVERLAP = 1024
 #: Boundaries so near to a window's end may hang on text behind it.
 MARGIN = 8
 
