@@ -193,7 +193,8 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_WORDS,
     out = kept.groupBy(keyed.alias("_key")).agg(one).select(*(F.col(f"_row.{c}").alias(c) for c in names))
     # components without any doc_id: their rows are found again by fingerprint
     nameless = named.where("component_id is null").select("fp", "root")
-    alone = with_fingerprint(docs.where("doc_id is null"), size).join(nameless, "fp").groupBy("root").agg(one)
+    boxed = docs.where("doc_id is null").select("text", F.struct(*names).alias("_row"))
+    alone = with_fingerprint(boxed, size).join(nameless, "fp").groupBy("root").agg(F.min("_row").alias("_row"))
     return out.unionByName(alone.select(*(F.col(f"_row.{c}").alias(c) for c in names)))
 
 
