@@ -98,6 +98,14 @@ def decision_log(rows: DataFrame, numeric: Sequence[str], position: str, amount:
     )
 
 
+def _bucket(value: Column, edges: list, base: int) -> Column:
+    """How many of the sorted edges a value reaches, as a balanced tree of comparisons (generated code)."""
+    if not edges:
+        return F.lit(base)
+    mid = len(edges) // 2
+    return F.when(value < edges[mid], _bucket(value, edges[:mid], base)).otherwise(_bucket(value, edges[mid + 1 :], base + mid + 1))
+
+
 def dense_key(rows: DataFrame, order: Sequence[str], name: str = "row_id", buckets: int = 256) -> DataFrame:
     """0..n-1 in the given order, without a one-partition window.
 
@@ -108,8 +116,7 @@ def dense_key(rows: DataFrame, order: Sequence[str], name: str = "row_id", bucke
     first = order[0]
     edges = rows.select(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 10_000).alias("e")).collect()[0][0] or []
     edges = sorted(set(edges))
-    part = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda a, e: a + F.when(F.col(first) >= e, 1).otherwise(0)) if edges else F.lit(0)
-    own = rows.withColumn("_part", part)
+    own = rows.withColumn("_part", _bucket(F.col(first), edges, 0))
     sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))  # at most ``buckets`` rows
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)

@@ -22,10 +22,18 @@ def windowed_bins(long: DataFrame, edges: dict[str, list[float]], event_time: st
 
 
 def window_psi(counts: DataFrame, reference: dict[str, list[float]]) -> DataFrame:
-    """(window, feature, psi) of windowed counts against the reference's shares by bin (written output of the stream)."""
-    spark = counts.sparkSession
-    ref = spark.createDataFrame([(f, i, float(s)) for f, shares in reference.items() for i, s in enumerate(shares)], "feature string, bin int, share double")
-    totals = counts.groupBy("window", "feature").agg(F.sum("n").alias("total"))
-    full = totals.join(F.broadcast(ref), "feature").join(counts, ["window", "feature", "bin"], "left")  # a few rows for each feature
-    c, r = F.greatest(F.coalesce("n", F.lit(0)) / F.col("total"), F.lit(FLOOR)), F.greatest("share", F.lit(FLOOR))
-    return full.groupBy("window", "feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
+    """(start, feature, psi) of windowed counts against the reference's shares by bin (written output of the stream).
+
+    A window holds a few bins for each feature; one that it lacks counts with the floor.
+    """
+    own = counts.select(F.col("window.start").alias("start"), "feature", "bin", "n")
+    boxed = own.groupBy("start", "feature").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))
+    shares = F.create_map(*(x for f, s in reference.items() for x in (F.lit(f), F.array(*(F.lit(float(v)) for v in s)))))
+    boxed = boxed.withColumn("shares", shares[F.col("feature")])
+
+    def term(r, i):
+        c = F.greatest(F.coalesce(F.try_element_at("held", i), F.lit(0)) / F.col("total"), F.lit(FLOOR))
+        r = F.greatest(r, F.lit(FLOOR))
+        return (c - r) * F.log(c / r)
+
+    return boxed.select("start", "feature", F.aggregate(F.transform("shares", term), F.lit(0.0), lambda a, x: a + x).alias("psi"))
