@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions.features import number
+from cairn.runtime import materialize
 
 #: (rule, column, condition that a row breaks), from :func:`contract`.
 Rule = tuple[str, str, Column]
@@ -98,29 +99,19 @@ def decision_log(rows: DataFrame, numeric: Sequence[str], position: str, amount:
     )
 
 
-def _bucket(value: Column, edges: list, base: int) -> Column:
-    """How many of the sorted edges a value reaches, as a balanced tree of comparisons (generated code)."""
-    if not edges:
-        return F.lit(base)
-    mid = len(edges) // 2
-    return F.when(value < edges[mid], _bucket(value, edges[:mid], base)).otherwise(_bucket(value, edges[mid + 1 :], base + mid + 1))
+def dense_key(rows: DataFrame, order: Sequence[str], name: str = "row_id", partitions: int | None = None) -> DataFrame:
+    """0..n-1 in the given order (its columns together should be unique), without a one-partition window.
 
-
-def dense_key(rows: DataFrame, order: Sequence[str], name: str = "row_id", buckets: int = 256) -> DataFrame:
-    """0..n-1 in the given order, without a one-partition window.
-
-    Rows fall into ranges of the first order column (edges from a quantile sketch, ``buckets`` of
-    them); ranks within a range are moved by the number of rows in the ranges before it. One value
-    that fills a range stays in one task's sort, which spills.
+    Rows are dealt to ranges and sorted there once, and written with their range and their place in
+    it; places are then moved by the number of rows in the ranges before (a row for each range).
     """
-    first = order[0]
-    edges = rows.select(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 10_000).alias("e")).collect()[0][0] or []
-    edges = sorted(set(edges))
-    own = rows.withColumn("_part", _bucket(F.col(first), edges, 0))
-    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))  # at most ``buckets`` rows
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place within the task
+    placed = materialize(placed.withColumns({"_part": F.spark_partition_id(), "_place": place}), "ordered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    return ranked.join(F.broadcast(before), "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
 
 
 def temporal_split(rows: DataFrame, time: str = "Time", key: str = "row_id", fraction: float = 0.8) -> DataFrame:

@@ -167,5 +167,17 @@ def box_statistics(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return q.join(whiskers, "feature", "left")
 
 
+def quantile_plot(rows: DataFrame, column: str, steps: int = 99) -> DataFrame:
+    """(share, empirical, theoretical): quantiles of a column beside those of a normal with its mean and deviation."""
+    from statistics import NormalDist
+
+    shares = [i / (steps + 1) for i in range(1, steps + 1)]
+    z = [NormalDist().inv_cdf(p) for p in shares]
+    lit = lambda xs: F.array(*map(F.lit, xs))
+    made = rows.agg(F.percentile(column, lit(shares)).alias("q"), F.avg(column).alias("m"), F.stddev_samp(column).alias("s"))
+    point = F.explode(F.arrays_zip(lit(shares).alias("share"), F.col("q").alias("empirical"), lit(z).alias("z"))).alias("p")
+    return made.select("m", "s", point).select("p.share", "p.empirical", (F.col("m") + F.col("s") * F.col("p.z")).alias("theoretical"))
+
+
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))

@@ -221,6 +221,18 @@ def box_statistics(spark, d):
     return profiling.box_statistics(fx.lines(spark, d), fx.WIDE)
 
 
+@query(
+    "quantile_plot",
+    "WITH p AS (SELECT unnest(range(1, 100)) / 100.0 AS share), m AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events) SELECT share, (SELECT quantile_cont(value, [" + ", ".join(f"{i / 100}" for i in range(1, 100)) + "]) FROM events)[CAST(round(share * 100) AS BIGINT)] AS empirical, m, s FROM p, m",
+    doubles="share empirical m s",
+)
+def quantile_plot(spark, d):
+    e = fx.events(spark, d)
+    own = profiling.quantile_plot(e, "Amount")
+    z = own.where("abs(share - 0.5) < 0.001").select(F.col("theoretical").alias("m"))
+    return own.drop("theoretical").crossJoin(z).crossJoin(e.agg(F.stddev_samp("Amount").alias("s")))  # one row each
+
+
 @query("value_counts", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def value_counts(spark, d):
     return profiling.value_counts(fx.events(spark, d), "kind")

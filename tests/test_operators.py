@@ -181,7 +181,7 @@ def test_gap_rule(spark, gaps, k, rule):
 
 def test_dense_key_and_split(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000 / 10).alias("Time"), F.col("id").alias("pos"))
-    keyed = cleaning.dense_key(rows, ["Time", "pos"], buckets=16).orderBy("row_id").collect()
+    keyed = cleaning.dense_key(rows, ["Time", "pos"], partitions=7).orderBy("row_id").collect()
     assert [r["row_id"] for r in keyed] == list(range(1000)) and [r["Time"] for r in keyed] == sorted(r["Time"] for r in keyed)
     assert cleaning.temporal_split(rows.withColumnRenamed("pos", "row_id")).where("split = 'train'").count() == 800
 
