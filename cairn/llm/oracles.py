@@ -1,5 +1,54 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from cairn.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES
 from cairn.llm.urls import ORACLE as URL_FILTER
 
-ORACLES = {"op3_url_filter": URL_FILTER}
+CHAT = r"""
+WITH own AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marked AS (
+  SELECT *, contains(text, '<turn:') OR contains(text, '</turn>') OR contains(role, '<turn:') OR contains(role, '</turn>') OR contains(role, chr(10)) AS conflict,
+    length(replace(replace(text, '\', '\b'), '<', '\l')) AS text_escaped, length(replace(replace(replace(role, '\', '\b'), '<', '\l'), chr(10), '\n')) AS role_escaped FROM own)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(16 + CASE WHEN conflict THEN text_escaped + role_escaped ELSE length(text) + length(role) END) AS BIGINT) AS formatted_chars,
+  CAST(max(CASE WHEN conflict THEN 1 ELSE 0 END) AS INTEGER) AS escape_level
+FROM marked GROUP BY conv_id
+"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _phrase(phrase: str, label: str) -> str:
+    test = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+    return f"SELECT rid, i - 1 AS p, '{label}' AS label FROM spots WHERE {test}"
+
+
+LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, doc_id, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+spots AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+base AS ({' UNION ALL '.join(_phrase(p, label) for p, label in PHRASES.items())}),
+templates(label, tokens) AS (VALUES {', '.join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES.items())}),
+lines AS (SELECT rid, list_distinct(regexp_extract_all(line, '{_WORD}')) AS ws FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)),
+hits AS (SELECT rid, label, len(list_intersect(tokens, ws)) / len(tokens) AS share FROM lines, templates WHERE len(list_intersect(tokens, ws)) >= {CONTAINMENT} * len(tokens) - 1e-9),
+b AS (SELECT rid, count(*) AS n, min(p) AS lo, max(p) AS hi FROM base GROUP BY rid),
+every AS (SELECT rid, label FROM base UNION SELECT rid, label FROM hits)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, lo AS first_word, hi AS last_word,
+  coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM base x WHERE x.rid = w.rid)), '') AS base_labels,
+  coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM every x WHERE x.rid = w.rid), '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce((SELECT max(share) FROM hits x WHERE x.rid = w.rid), 0)::DOUBLE END AS score
+FROM w LEFT JOIN b USING (rid)
+"""
+
+TOP_K = """
+WITH v AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(max(list_dot_product(q.v, c.v)) AS BIGINT) AS score FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 20 = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
+ORACLES = {"op2_chat": CHAT, "op3_url_filter": URL_FILTER, "op9_licenses": LICENSES, "op10_topk": TOP_K}
