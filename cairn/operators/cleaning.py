@@ -147,7 +147,14 @@ def bootstrap_draws(keys: DataFrame, runs: int, seed: int = 42, key: str = "row_
 
 
 def stratified_split(rows: DataFrame, label: str, fraction: float = 0.75, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """Adds ``split``: in each label's hash order the first round-down share is train."""
-    order = Window.partitionBy(label).orderBy(hash_order(F.col(key), seed), key)
-    size = F.count("*").over(Window.partitionBy(label))
-    return rows.withColumn("split", F.when(F.row_number().over(order) <= F.floor(size * fraction), "train").otherwise("test"))
+    """Adds ``split``: in each label's hash order the first round-down share is train.
+
+    Places come from one order by (label, hash), less the rows of the labels before, so a label that
+    holds most rows is still dealt to many tasks.
+    """
+    placed = dense_key(rows.withColumn("_hash", hash_order(F.col(key), seed)), [label, "_hash", key], "_at")
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_label")) - F.col("_size"))  # a row for each label
+    own = placed.join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_label")))
+    train = F.col("_at") - F.col("_before") < F.floor(F.col("_size") * fraction)
+    return own.withColumn("split", F.when(train, "train").otherwise("test")).select(*rows.columns, "split")

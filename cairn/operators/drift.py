@@ -6,13 +6,16 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cairn.operators.profiling import quantile
+from cairn.runtime import materialize
+
 FLOOR = 1e-8
 
 
-def psi_edges(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
+def psi_edges(reference: DataFrame, current: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
     """(feature, edges, constant): inner edges of distinct linear quantiles of the reference; with fewer than three
     distinct ones equal widths over the joint range, or constant if that has none."""
-    quantiles = F.percentile("value", F.array(*(F.lit(i / bins) for i in range(bins + 1))))
+    quantiles = quantile("value", [i / bins for i in range(bins + 1)], accuracy)
     ref = reference.groupBy("feature").agg(F.array_sort(F.array_distinct(quantiles)).alias("q"))
     span = reference.unionByName(current).groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     own = ref.join(span, "feature")
@@ -23,9 +26,9 @@ def psi_edges(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataF
     return own.select("feature", F.when(few, equal).otherwise(inner).alias("edges"), (few & (F.col("low") == F.col("high"))).alias("constant"))
 
 
-def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
+def psi(reference: DataFrame, current: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
     """(feature, psi) of (feature, value) tables. Bins are [a, b); an empty one counts with a floor of 1e-8."""
-    edges = psi_edges(reference, current, bins)
+    edges = psi_edges(reference, current, bins, accuracy)
     both = reference.select("feature", "value", F.lit(0).alias("cur")).unionByName(current.select("feature", "value", F.lit(1).alias("cur")))
     placed = both.join(F.broadcast(edges), "feature").select("feature", "cur", F.aggregate("edges", F.lit(0), lambda s, e: s + F.when(F.col("value") >= e, 1).otherwise(0)).alias("bin"))  # a row for each feature
     counts = placed.groupBy("feature", "bin").agg(F.count_if(F.col("cur") == 0).alias("r"), F.count_if(F.col("cur") == 1).alias("c"))
@@ -49,9 +52,16 @@ def ks(reference: DataFrame, current: DataFrame) -> DataFrame:
     """(feature, ks_statistic, ks_pvalue): distances of the empirical distributions, from counts of distinct values."""
     both = reference.select("feature", "value", F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(current.select("feature", "value", F.lit(0).alias("r"), F.lit(1).alias("c")))
     steps = both.groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    totals = steps.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
-    running = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    walk = steps.select("feature", F.sum("r").over(running).alias("r"), F.sum("c").over(running).alias("c"))
+    # Ranges of (feature, value) are walked each by itself, from the counts of the ranges before: no task walks a whole feature.
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(steps.repartitionByRange(n, "feature", "value").withColumn("part", F.spark_partition_id()), "steps")
+    sums = dealt.groupBy("feature", "part").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    order = Window.partitionBy("feature").orderBy("part")  # a row for each range
+    before = sums.select("feature", "part", (F.sum("r").over(order) - F.col("r")).alias("r0"), (F.sum("c").over(order) - F.col("c")).alias("c0"))
+    totals = sums.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+    running = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    walk = dealt.select("feature", "part", F.sum("r").over(running).alias("r"), F.sum("c").over(running).alias("c"))
+    walk = walk.join(F.broadcast(before), ["feature", "part"]).select("feature", (F.col("r") + F.col("r0")).alias("r"), (F.col("c") + F.col("c0")).alias("c"))
     top = walk.join(F.broadcast(totals), "feature").groupBy("feature").agg(F.max(F.abs(F.col("r") / F.col("nr") - F.col("c") / F.col("nc"))).alias("d"), F.max("nr").alias("nr"), F.max("nc").alias("nc"))
     return top.select("feature", F.col("d").alias("ks_statistic"), kolmogorov(F.col("d"), F.col("nr"), F.col("nc")).alias("ks_pvalue"))
 
@@ -60,10 +70,10 @@ def status(psi_value: Column, d: Column, p: Column) -> Column:
     return F.when(psi_value >= 0.25, "refit").when((psi_value >= 0.10) | ((d >= 0.10) & (p <= 0.01)), "warning").otherwise("stable")
 
 
-def drift_report(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
+def drift_report(reference: DataFrame, current: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
     """One row for each feature: PSI, KS, status, and both sides' mean and population deviation."""
     side = lambda df, name: df.groupBy("feature").agg(F.avg("value").alias(f"{name}_mean"), F.stddev_pop("value").alias(f"{name}_std"))
-    out = psi(reference, current, bins).join(ks(reference, current), "feature").join(side(reference, "reference"), "feature").join(side(current, "current"), "feature")
+    out = psi(reference, current, bins, accuracy).join(ks(reference, current), "feature").join(side(reference, "reference"), "feature").join(side(current, "current"), "feature")
     return out.select("feature", "psi", "ks_statistic", "ks_pvalue", status(F.col("psi"), F.col("ks_statistic"), F.col("ks_pvalue")).alias("status"), "reference_mean", "current_mean", "reference_std", "current_std")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cairn.operators.profiling import quantile
+
 
 def profiles(long: DataFrame) -> DataFrame:
     """(cluster, feature, n, mean, median, z) of (cluster, feature, value); z against the whole (sample deviation, 0 as 1)."""
@@ -53,12 +55,12 @@ def check_prototypes(prototypes: DataFrame, kinds: tuple[str, ...] = ("medoid",
     return prototypes.groupBy("cluster").agg((F.sort_array(F.collect_list("kind")) == want).alias("complete"))
 
 
-def anomalies(points: DataFrame) -> DataFrame:
+def anomalies(points: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(cluster, id, distance, score, anomaly_rank): distance against its cluster's median, in units of 1.4826 times
     the median absolute deviation; rank by score over all, then id."""
-    med = points.groupBy("cluster").agg(F.percentile("distance", 0.5).alias("med"))
+    med = points.groupBy("cluster").agg(quantile("distance", 0.5, accuracy).alias("med"))
     dev = points.join(F.broadcast(med), "cluster").withColumn("dev", F.abs(F.col("distance") - F.col("med")))  # a row for each cluster
-    mad = dev.groupBy("cluster").agg(F.percentile("dev", 0.5).alias("mad"))
+    mad = dev.groupBy("cluster").agg(quantile("dev", 0.5, accuracy).alias("mad"))
     scored = dev.join(F.broadcast(mad), "cluster").withColumn("score", (F.col("distance") - F.col("med")) / F.greatest(F.col("mad") * 1.4826, F.lit(2.220446049250313e-16)))
     ranked = _dense_rank_desc(scored, "score", "id")
     return ranked.select("cluster", "id", "distance", "score", F.col("anomaly_rank"))

@@ -20,6 +20,13 @@ def g2(c: str) -> Column:
     return F.when((n > 3) & (F.stddev_pop(c) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
+def quantile(c: str | Column, share, accuracy: int | None = None) -> Column:
+    """Exact interpolated quantiles, or with ``accuracy`` those of a mergeable sketch (bounded memory at any size)."""
+    if accuracy:
+        return F.percentile_approx(c, share, accuracy).cast("array<double>" if isinstance(share, (list, tuple)) else "double")
+    return F.percentile(c, F.array(*map(F.lit, share)) if isinstance(share, (list, tuple)) else share)
+
+
 def _long(rows: DataFrame, columns: Sequence[str], measures) -> DataFrame:
     """A row for each column from one aggregation over all of them."""
     made = rows.agg(F.array(*(F.struct(F.lit(c).alias("feature"), *(m.alias(n) for n, m in measures(c).items())) for c in columns)).alias("a"))
@@ -32,11 +39,11 @@ def unpivot(rows: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), na
     return rows.select(*ids, F.explode(boxed).alias("_x")).select(*ids, f"_x.{name}", f"_x.{value}")
 
 
-def column_profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """n, missing, distinct, duplicates and moments for each column."""
+def column_profile(rows: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """n, missing, distinct, duplicates and moments for each column; distinct and median from sketches with ``accuracy``."""
 
     def measures(c: str) -> dict[str, Column]:
-        n, there, distinct = F.count("*"), F.count(c), F.count_distinct(c)
+        n, there, distinct = F.count("*"), F.count(c), F.approx_count_distinct(c) if accuracy else F.count_distinct(c)
         return {
             "n": n,
             "n_missing": n - there,
@@ -46,7 +53,7 @@ def column_profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
             "min": F.min(c).cast("double"),
             "max": F.max(c).cast("double"),
             "mean": F.avg(c),
-            "median": F.percentile(c, 0.5),
+            "median": quantile(c, 0.5, accuracy),
             "std": F.stddev_samp(c),
             "skew": g1(c),
         }
@@ -54,11 +61,11 @@ def column_profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _long(rows, columns, measures)
 
 
-def eda_summary(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def eda_summary(rows: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
     shares = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
     def measures(c: str) -> dict[str, Column]:
-        q = F.percentile(c, F.array(*map(F.lit, shares.values())))
+        q = quantile(c, list(shares.values()), accuracy)
         return {
             "n": F.count(c),
             "mean": F.avg(c),

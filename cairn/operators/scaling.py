@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.vectors import matrix
-from cairn.operators.profiling import unpivot
+from cairn.operators.profiling import quantile, unpivot
 
 
 def explode_vector(rows: DataFrame, vector: str = "v", ids: tuple[str, ...] = ()) -> DataFrame:
@@ -23,9 +23,9 @@ def fit_standard(rows: DataFrame, vector: str = "v") -> DataFrame:
     return out.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
 
 
-def fit_robust(rows: DataFrame, vector: str = "v") -> DataFrame:
-    """(dim, center, scale): exact median and interquartile range; a constant keeps scale 1."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def fit_robust(rows: DataFrame, vector: str = "v", accuracy: int | None = None) -> DataFrame:
+    """(dim, center, scale): median and interquartile range (exact, or from a sketch); a constant keeps scale 1."""
+    q = quantile("value", [0.25, 0.5, 0.75], accuracy)
     out = explode_vector(rows, vector).groupBy("dim").agg(q.alias("q"))
     spread = F.get("q", F.lit(2)) - F.get("q", F.lit(0))
     return out.select("dim", F.get("q", F.lit(1)).alias("center"), F.when(spread > 0, spread).otherwise(1.0).alias("scale"))
@@ -39,11 +39,11 @@ def apply_scaler(rows: DataFrame, parameters: DataFrame, vector: str = "v") -> D
     return rows.withColumn(vector, F.zip_with(moved, scale, lambda x, s: x / s))
 
 
-def fit_columns(rows: DataFrame, columns: list[str], robust: bool = False) -> DataFrame:
+def fit_columns(rows: DataFrame, columns: list[str], robust: bool = False, accuracy: int | None = None) -> DataFrame:
     """(feature, center, scale) of named columns."""
     long = unpivot(rows, columns)
     if robust:
-        q = long.groupBy("feature").agg(F.percentile("value", 0.5).alias("center"), (F.percentile("value", 0.75) - F.percentile("value", 0.25)).alias("scale"))
+        q = long.groupBy("feature").agg(quantile("value", 0.5, accuracy).alias("center"), (quantile("value", 0.75, accuracy) - quantile("value", 0.25, accuracy)).alias("scale"))
     else:
         q = long.groupBy("feature").agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("scale"))
     return q.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
