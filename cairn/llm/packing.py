@@ -33,7 +33,7 @@ CACHE = 1_000_000
 #: Rows of the plan that are broadcast; a longer plan is joined by shuffle.
 PLAN_BROADCAST = 200_000
 #: Documents of one rank group; lengths with more are ranked in several groups.
-RANK_GROUP = 20_000
+RANK_GROUP = 1_000
 
 #: The pre-token pattern of this vocabulary, for text up to U+024F (fixed values).
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w\\s]|_)+")
