@@ -39,46 +39,36 @@ def unpivot(rows: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), na
     return rows.select(*ids, F.explode(boxed).alias("_x")).select(*ids, f"_x.{name}", f"_x.{value}")
 
 
+def value_steps(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int | None = None) -> DataFrame:
+    """(feature, n_distinct, q): distinct values and quantiles from counts of equal values, combined before the shuffle."""
+    long = unpivot(rows, columns)
+    if accuracy:
+        return long.groupBy("feature").agg(F.approx_count_distinct("value").alias("n_distinct"), quantile("value", list(shares), accuracy).alias("q"))
+    counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    return counts.groupBy("feature").agg(F.count("value").alias("n_distinct"), F.percentile("value", F.array(*map(F.lit, shares)), F.col("n")).alias("q"))
+
+
 def column_profile(rows: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """n, missing, distinct, duplicates and moments for each column; distinct and median from sketches with ``accuracy``."""
 
     def measures(c: str) -> dict[str, Column]:
-        n, there, distinct = F.count("*"), F.count(c), F.approx_count_distinct(c) if accuracy else F.count_distinct(c)
-        return {
-            "n": n,
-            "n_missing": n - there,
-            "missing_percent": (n - there) * 100.0 / n,
-            "n_distinct": distinct,
-            "n_duplicates": n - distinct - F.when(n > there, 1).otherwise(0),
-            "min": F.min(c).cast("double"),
-            "max": F.max(c).cast("double"),
-            "mean": F.avg(c),
-            "median": quantile(c, 0.5, accuracy),
-            "std": F.stddev_samp(c),
-            "skew": g1(c),
-        }
-
-    return _long(rows, columns, measures)
+        n, there = F.count("*"), F.count(c)
+        return {"n": n, "n_missing": n - there, "missing_percent": (n - there) * 100.0 / n, "min": F.min(c).cast("double"), "max": F.max(c).cast("double"), "mean": F.avg(c), "std": F.stddev_samp(c), "skew": g1(c)}
+
+    out = _long(rows, columns, measures).join(value_steps(rows, columns, [0.5], accuracy), "feature")
+    spare = F.col("n") - F.col("n_distinct") - F.when(F.col("n_missing") > 0, 1).otherwise(0)
+    return out.select("feature", "n", "n_missing", "missing_percent", "n_distinct", spare.alias("n_duplicates"), "min", "max", "mean", F.get("q", F.lit(0)).alias("median"), "std", "skew")
 
 
 def eda_summary(rows: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
     shares = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
     def measures(c: str) -> dict[str, Column]:
-        q = quantile(c, list(shares.values()), accuracy)
-        return {
-            "n": F.count(c),
-            "mean": F.avg(c),
-            "std": F.stddev_samp(c),
-            "min": F.min(c).cast("double"),
-            **{name: F.get(q, F.lit(i)) for i, name in enumerate(shares)},
-            "max": F.max(c).cast("double"),
-            "skew": g1(c),
-            "kurtosis": g2(c),
-            "iqr": F.get(q, F.lit(4)) - F.get(q, F.lit(2)),
-        }
-
-    return _long(rows, columns, measures)
+        return {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c).cast("double"), "max": F.max(c).cast("double"), "skew": g1(c), "kurtosis": g2(c)}
+
+    out = _long(rows, columns, measures).join(value_steps(rows, columns, list(shares.values()), accuracy), "feature")
+    q = [F.get("q", F.lit(i)) for i in range(len(shares))]
+    return out.select("feature", "n", "mean", "std", "min", *(v.alias(name) for name, v in zip(shares, q)), "max", "skew", "kurtosis", (q[4] - q[2]).alias("iqr"))
 
 
 def scaler_summary(rows: DataFrame, columns: Sequence[str], scaler: str) -> DataFrame:
