@@ -38,6 +38,8 @@ class Config:
     kmeans_seeds: int = 3
     steps: int = 100
     dimensions: Sequence[int] = (5, 10, 15, 20)
+    dbscan_samples: Sequence[int] = (10, 20, 30)
+    dbscan_quantiles: Sequence[float] = (0.85, 0.90, 0.95, 0.97, 0.99)
     psi_bins: int = 10
 
 
@@ -83,7 +85,7 @@ def segment(spark: SparkSession, out: str, config: Config = Config()) -> dict[st
     partitions = kmeans.assign(rows, best).withColumn("run_id", F.concat(F.lit("kmeans/"), "run_id"))
     partitions = partitions.unionByName(hierarchy.cuts_of(trees).withColumn("run_id", F.concat(F.lit("hierarchical/"), "run_id")))
     partitions = partitions.unionByName(mixture.assign(rows, models).withColumn("run_id", F.concat(F.lit("gmm/"), "run_id")))
-    partitions = partitions.unionByName(dbscan.search(rows).withColumn("run_id", F.concat(F.lit("dbscan/"), "run_id")))
+    partitions = partitions.unionByName(dbscan.search(rows, config.dbscan_samples, config.dbscan_quantiles).withColumn("run_id", F.concat(F.lit("dbscan/"), "run_id")))
     made = _save({"partitions": partitions, "gmm": gmm_table, "kmeans": kmeans.search_table(spark, best)}, out)
     inner = metrics.cluster_counts(made["partitions"]).join(metrics.internal(made["partitions"].join(rows, "id")), "run_id", "left")
     # the label joins here for the first time, for evaluation only

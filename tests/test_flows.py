@@ -16,7 +16,7 @@ def test_flows_end_to_end(spark, tmp_path):
     rows += [rows[5], ("junk", *rows[1][1:]), (*rows[2][:29], "-1", "0")]
     raw = spark.createDataFrame(rows, io.raw_schema(text=True))
     out = str(tmp_path / "run")
-    config = flows.Config(sample=200, consensus_sample=120, hierarchy_sample=120, hopkins_rows=20, hopkins_repeats=1, ks=(2,), kmeans_seeds=1, steps=3, dimensions=(5,))
+    config = flows.Config(sample=200, consensus_sample=120, hierarchy_sample=120, hopkins_rows=20, hopkins_repeats=1, ks=(2,), kmeans_seeds=1, steps=3, dimensions=(5,), dbscan_samples=(5,), dbscan_quantiles=(0.9,))
     first = flows.prepare(spark, raw, out, config)
     log = first["decisions"].collect()[0]
     assert (log["n_input"], log["n_null"], log["n_negative_amount"], log["n_duplicates"], log["n_output"]) == (243, 1, 1, 1, 240)
