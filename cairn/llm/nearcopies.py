@@ -1,0 +1,207 @@
+"""Near copies by the Jaccard similarity of their sets of word shingles, each link verified exactly.
+
+Candidates share one of ``BANDS`` band keys, a hash of ``BAND`` minima of the set: two sets of
+similarity 0.8 miss each other in all bands with a chance of (1 - 0.8**4)**32, about 5e-8, more similar
+ones with less. Candidates that agree in fewer than ``AGREE`` bytes of their minima go (at similarity 0.8,
+102 of 128 agree; fewer than 80 have a chance of about 1e-6), all others are compared shingle by shingle.
+Where a band key has many sets, rounds first link its sets to one of them; then blocks of its sets meet,
+and all pairs that are still in different components are candidates.
+
+Defined results: as for SimHash (:mod:`cairn.llm.simhash`); a text of fewer words than a shingle is one
+shingle, texts without words are copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from cairn.llm.simhash import keep_rows, name_components
+from cairn.operators.components import connected
+from cairn.runtime import materialize
+
+SHINGLE_WORDS = 5
+#: Least similarity of a link, as a fraction of whole numbers.
+SIMILAR = (4, 5)
+BANDS, BAND = 32, 4
+SEED = 42
+#: Rounds that link the sets of a key to one of them, before all pairs left are compared whatever their number.
+ROUNDS = 2
+#: Least equal bytes of the minima of candidates.
+AGREE = 80
+#: Sets of a block; a meeting compares two.
+BLOCK = 1024
+#: Candidates up to which their keys are broadcast.
+FEW = 200_000
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of all shingles of the lower-cased words (ASCII letters)."""
+    own = text.lower().split()
+    if not own:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(own[k:] for k in range(size)))) if len(own) >= size else [b" ".join(own)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+
+
+def set_key(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
+def minima(own: np.ndarray) -> np.ndarray:
+    """The least values of a set under all mixes, a row for each band; none for an empty set."""
+    if not len(own):
+        return np.zeros((0, BAND), np.uint64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for k in range(0, len(own), 2048):
+        least = np.minimum(least, ((own[k : k + 2048] ^ _MIX[0][:, None]) * _MIX[1][:, None]).min(axis=1))
+    return least.reshape(BANDS, BAND)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), b) for b, m in enumerate(least)], np.uint64)
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, the key of its set as a signed long, the set's size, a byte of each minimum, and band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
+            keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
+            least = [minima(s) for s in sets]
+            bands = pa.array([band_keys(m).view(np.int64) for m in least], pa.list_(pa.int64()))
+            signs = pa.array([(m >> np.uint64(24)).astype(np.uint8).tobytes() for m in least], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), signs, bands], ["doc_id", "fp", "n", "sign", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, n long, sign binary, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(fp, shingles) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                sets = [shingle_set(t.as_py() or b"") for t in batch.column(0)[k : k + 256].cast(pa.binary())]
+                keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "shingles"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "fp long, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(k)] for k in (2, 3))
+            yield pa.RecordBatch.from_struct_array(batch.select(["u", "v"]).to_struct_array()).filter(pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_()))
+
+    one = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a"))
+    two = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _led(marked: DataFrame, turn: int) -> DataFrame:
+    """Candidates (u, v) of every set with one set of its key, another one each turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                agree = (_bytes(batch.column(2)) == _bytes(batch.column(3))).sum(axis=1) >= AGREE
+                yield batch.select(["u", "v"]).filter(pa.array(agree))
+
+    lead = marked.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "root", "sign")).alias("lead"))
+    small, large = F.least("n", "lead.n"), F.greatest("n", "lead.n")
+    met = marked.join(lead, "key").where((F.col("root") != F.col("lead.root")) & (small * SIMILAR[1] >= large * SIMILAR[0]))
+    return met.select(F.least("fp", "lead.fp").alias("u"), F.greatest("fp", "lead.fp").alias("v"), "sign", F.col("lead.sign").alias("other")).mapInArrow(run, "u long, v long")
+
+
+def _met(marked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """All candidates (u, v) of different components that share a key (``sizes``: key, c sets)."""
+    blocks = sizes.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("b"))
+    placed = marked.join(blocks, "key").withColumn("at", F.pmod(F.xxhash64("fp"), F.col("b")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("key", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"), "at", "fp", "n", "root", "sign")
+
+    def meet(table: pa.Table) -> pa.Table:
+        at, fp, n, root = (table.column(c).to_numpy() for c in ("at", "fp", "n", "root"))
+        sign, same = _bytes(table.column("sign").combine_chunks()), table.column("one")[0].as_py() == table.column("two")[0].as_py()
+        found = [np.zeros((2, 0), np.int64)]
+        first = np.flatnonzero(at == table.column("one")[0].as_py())
+        last = first if same else np.flatnonzero(at == table.column("two")[0].as_py())
+        for i in first:
+            own = last[(root[last] != root[i]) & (np.minimum(n[last], n[i]) * SIMILAR[1] >= np.maximum(n[last], n[i]) * SIMILAR[0])]
+            own = own[own > i] if same else own
+            own = own[(sign[own] == sign[i]).sum(axis=1) >= AGREE]
+            found.append(np.stack([np.minimum(fp[own], fp[i]), np.maximum(fp[own], fp[i])]))
+        u, v = np.concatenate(found, axis=1)
+        return pa.table({"u": u, "v": v})
+
+    return dealt.groupBy("key", "one", "two").applyInArrow(meet, "u long, v long")
+
+
+def links(distinct: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(node, root) of the distinct sets (fp, n, sign, bands) that have a similar one."""
+    banded = distinct.select("fp", "n", "sign", F.explode("bands").alias("key"))
+    often = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = materialize(banded.join(often, "key"), "shared")
+    need = materialize(shared.select("fp").distinct(), "candidates")
+    held = shared.count()
+    few = need.count() <= FEW
+    sets = materialize(shingle_sets(docs).join(F.broadcast(need) if few else need, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
+    roots = distinct.sparkSession.createDataFrame([], "node long, root long")
+    edges = None
+    for turn in range(rounds + 1):
+        marked = materialize(shared.join(roots, shared["fp"] == roots["node"], "left").select("key", "fp", "n", "sign", F.coalesce("root", "fp").alias("root")), "marked")
+        sizes = materialize(marked.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s"), "sizes")
+        left = sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2).alias("left")).collect()[0]["left"] or 0
+        if not left:
+            break
+        last = left <= 2 * held or turn == rounds
+        met = materialize((_met(marked, sizes) if last else _led(marked, turn)).distinct(), "met")
+        found = materialize(verified(met, sets), "links")
+        edges = found if edges is None else edges.unionAll(found)
+        roots = connected(edges)
+        if last:
+            break
+    return roots
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of the distinct sets of ``docs``."""
+    printed = materialize(sketches(docs), "sketches")
+    distinct = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("bands").alias("bands")), "distinct")
+    return name_components(distinct, links(distinct, docs))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, chosen as :func:`cairn.llm.simhash.keep_first` does."""
+    return keep_rows(docs, components(docs), with_key)
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of its set in a column ``fp`` (which must not exist yet)."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([set_key(shingle_set((t or "").encode())) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))

@@ -14,7 +14,7 @@ repeated in the result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -163,7 +163,11 @@ def link_forests(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK)
 def components(printed: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(fp, component_id) of the distinct fingerprints of ``printed`` (doc_id, fp)."""
     distinct = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected(materialize(link_forests(distinct.select("fp"), radius, block), "forests"))
+    return name_components(distinct, connected(materialize(link_forests(distinct.select("fp"), radius, block), "forests")))
+
+
+def name_components(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of all of ``distinct`` (fp, least), given (node, root) of those with a link."""
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return known.join(least, "root").select("fp", "root", "component_id")
@@ -183,10 +187,14 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_WORDS,
     doc_id go where their component has a row with one; else the component's least row stays. Only
     rows that could stay are shuffled with their texts.
     """
+    printed = materialize(fingerprints(docs, size), "fingerprints")
+    return keep_rows(docs, components(printed, radius, block), lambda df: with_fingerprint(df, size))
+
+
+def keep_rows(docs: DataFrame, named: DataFrame, marked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that :func:`keep_first` keeps, given (fp, root, component_id); ``marked`` adds ``fp`` to a frame."""
     names = docs.columns
     keyed = F.col("doc_id").cast("long")
-    printed = materialize(fingerprints(docs, size), "fingerprints")
-    named = components(printed, radius, block)
     ids = named.where("component_id is not null").select(F.col("component_id").alias("_keeper")).distinct()
     kept = docs.join(ids, keyed == F.col("_keeper"), "left_semi")
     one = F.min(F.struct(*names)).alias("_row")
@@ -194,7 +202,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_WORDS,
     # components without any doc_id: their rows are found again by fingerprint
     nameless = named.where("component_id is null").select("fp", "root")
     boxed = docs.where("doc_id is null").select("text", F.struct(*names).alias("_row"))
-    alone = with_fingerprint(boxed, size).join(nameless, "fp").groupBy("root").agg(F.min("_row").alias("_row"))
+    alone = marked(boxed).join(nameless, "fp").groupBy("root").agg(F.min("_row").alias("_row"))
     return out.unionByName(alone.select(*(F.col(f"_row.{c}").alias(c) for c in names)))
 
 
