@@ -55,6 +55,20 @@ def kmeans_search(spark, d):
     return kmeans.search_table(spark, _fits(rows, [(k, 42) for k in (2, 3, 4, 5)]))
 
 
+@query("kmeans_labels_converged")
+def kmeans_labels_converged(spark, d):
+    """The clustering itself; ``kmeans_labels`` stops after the steps that SQL repeats."""
+    rows = _rows(spark, d)
+    return kmeans.assign(rows, kmeans.lloyd(rows, kmeans.start(rows, [(3, 1)])))
+
+
+@query("kmeans_search_converged")
+def kmeans_search_converged(spark, d):
+    """Every fit to its end; ``kmeans_search`` stops after the steps that SQL repeats."""
+    rows = _rows(spark, d)
+    return kmeans.search_table(spark, kmeans.search(rows, (2, 3, 4, 5))[0])
+
+
 @query(
     "kmeans_convergence",
     f"WITH {fx.VECTORS}, {_lloyd_sql(3, 42, 4, 'm')} " + " UNION ALL ".join(f"SELECT {t + 1} AS iteration_budget, {t + 1} AS actual_iterations, sum(sq) AS inertia FROM ma{t}" for t in range(5)),
