@@ -251,6 +251,12 @@ def mst_total_weight(spark, d):
     return tendency.vat_edges(sample).agg(F.sum("weight").alias("total_weight"))
 
 
+@query("mst_total_weight_all")
+def mst_total_weight_all(spark, d):
+    """The tree of all rows; ``mst_total_weight`` takes the twelve that SQL can follow."""
+    return tendency.spanning_tree(fx.vectors(spark, d).select("id", "v")).agg(F.sum("weight").alias("total_weight"))
+
+
 # interpretation of run a
 
 _LONG = f"{_P}, lg AS (SELECT cluster, 'd' || CAST(dim AS VARCHAR) AS feature, x AS value FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS dim FROM part WHERE run_id = 'a')), pf AS (SELECT cluster, feature, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, (avg(value) - any_value(mu)) / any_value(sd) AS z FROM lg JOIN (SELECT feature, avg(value) AS mu, stddev_samp(value) AS sd FROM lg GROUP BY feature) USING (feature) GROUP BY ALL)"

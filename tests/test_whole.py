@@ -3,6 +3,7 @@
 import numpy as np
 
 from cairn.operators.cleaning import hash_order
+from cairn.operators import tendency
 from cairn.plans import fixtures as fx, registry
 from pyspark.sql import functions as F
 
@@ -39,3 +40,16 @@ def test_search_runs_every_fit_to_its_end(spark):
     for r in QUERIES["kmeans_search_converged"](spark, SF).collect():
         _, inertia, steps = lloyd(x, r["k"])
         assert abs(r["inertia"] - inertia) < 1e-4 and 4 < r["n_iter"] <= steps + 1
+
+
+def test_spanning_tree_is_that_of_all_rows(spark):
+    _, x = rows(spark)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    best, out, total = d[0].copy(), np.arange(len(x)) > 0, 0.0
+    while out.any():
+        k = int(np.where(out, best, np.inf).argmin())
+        total, out[k], best = total + best[k], False, np.minimum(best, d[k])
+    assert abs(QUERIES["mst_total_weight_all"](spark, SF).collect()[0]["total_weight"] - total) < 1e-4
+    frame = fx.vectors(spark, SF).select("id", "v")
+    edges = tendency.spanning_tree(frame, 60, 3).collect()
+    assert len(edges) == len(x) - 1 and abs(sum(e["weight"] for e in edges) - total) < 1e-4
