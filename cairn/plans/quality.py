@@ -232,9 +232,15 @@ def hopkins(spark, d):
     return tendency.hopkins(fx.vectors(spark, d).select("id", "v"), 50)
 
 
+@query("hopkins_500")
+def hopkins_500(spark, d):
+    """As many probes as the reference; ``hopkins`` has the 50 of its SQL."""
+    return tendency.hopkins(fx.vectors(spark, d).select("id", "v"), 500)
+
+
 @query("repeated_hopkins_summary")
 def repeated_hopkins_summary(spark, d):
-    return tendency.hopkins_summary(tendency.repeated_hopkins(fx.vectors(spark, d).select("id", "v"), 50, 3).withColumn("scaler", F.lit("none")))
+    return tendency.hopkins_summary(tendency.repeated_hopkins(fx.vectors(spark, d).select("id", "v"), 500, 5).withColumn("scaler", F.lit("none")))
 
 
 @query("vat_order")

@@ -53,3 +53,13 @@ def test_spanning_tree_is_that_of_all_rows(spark):
     frame = fx.vectors(spark, SF).select("id", "v")
     edges = tendency.spanning_tree(frame, 60, 3).collect()
     assert len(edges) == len(x) - 1 and abs(sum(e["weight"] for e in edges) - total) < 1e-4
+
+
+def test_hopkins_has_the_probes_and_repetitions_of_the_reference(spark, monkeypatch):
+    one = QUERIES["hopkins_500"](spark, SF).collect()[0]
+    assert one["m"] == len(rows(spark)[0]) - 1 and 0 < one["hopkins"] <= 1
+    asked = []
+    whole = tendency.repeated_hopkins
+    monkeypatch.setattr(tendency, "repeated_hopkins", lambda v, m, n: asked.append((m, n)) or whole(v, m, n))
+    got = QUERIES["repeated_hopkins_summary"](spark, SF).collect()[0]
+    assert asked == [(500, 5)] and got["min"] <= got["mean"] <= got["max"]
