@@ -18,6 +18,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Rows that Spark sends to a Python worker at once, where the session leaves Spark's default: texts are long.
+BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 _owned: list[tuple[SparkSession, str]] = []
 
 
@@ -40,8 +42,13 @@ def build_session(app: str = "cairn", master: str | None = None, shuffle: int =
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the session's Python workers, once for each Spark application."""
+    """Send this package to the session's Python workers, once for each Spark application.
+
+    Where the session has Spark's default number of rows in an Arrow batch, it gets ``BATCH_ROWS``.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     if getattr(context, "_cairn_shipped", False):
         return
     package = Path(__file__).resolve().parent
@@ -55,9 +62,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: the session's setting, or one of our own where it is unset."""
+    """The shared folder: the session's setting, or in local mode one of our own where it is unset."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors of {master} share")
         root = tempfile.mkdtemp(prefix="cairn-scratch-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
