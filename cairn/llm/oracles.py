@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from cairn.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES
+from cairn.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, span_of
 from cairn.llm.urls import ORACLE as URL_FILTER
 
 CHAT = r"""
@@ -32,9 +32,11 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
 w AS (SELECT rid, doc_id, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
 spots AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 base AS ({' UNION ALL '.join(_phrase(p, label) for p, label in PHRASES.items())}),
-templates(label, tokens) AS (VALUES {', '.join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES.items())}),
-lines AS (SELECT rid, list_distinct(regexp_extract_all(line, '{_WORD}')) AS ws FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)),
-hits AS (SELECT rid, label, len(list_intersect(tokens, ws)) / len(tokens) AS share FROM lines, templates WHERE len(list_intersect(tokens, ws)) >= {CONTAINMENT} * len(tokens) - 1e-9),
+templates(k, label, tokens, span) AS (VALUES {', '.join(f"({k}, '{label}', {sorted(set(t.split()))}, {span_of(t)})" for k, (label, t) in enumerate(TEMPLATES))}),
+known AS (SELECT k, unnest(tokens) AS word FROM templates),
+found AS (SELECT s.rid, k.k, s.i, k.word FROM (SELECT rid, i, ws[i] AS word FROM spots) s JOIN known k USING (word)),
+blocks AS (SELECT a.rid, a.k, a.i, count(DISTINCT b.word) AS n FROM found a JOIN found b ON a.rid = b.rid AND a.k = b.k AND b.i >= a.i AND b.i < a.i + (SELECT span FROM templates x WHERE x.k = a.k) GROUP BY ALL),
+hits AS (SELECT b.rid, t.label, b.n / len(t.tokens) AS share FROM blocks b JOIN templates t USING (k) WHERE b.n >= {CONTAINMENT} * len(t.tokens) - 1e-9),
 b AS (SELECT rid, count(*) AS n, min(p) AS lo, max(p) AS hi FROM base GROUP BY rid),
 every AS (SELECT rid, label FROM base UNION SELECT rid, label FROM hits)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, lo AS first_word, hi AS last_word,

@@ -1,163 +1,221 @@
 """Quality rules: base counts of every text, and a hashed n-gram log-likelihood ratio.
 
-The n-grams are runs of ``NGRAM`` bytes, hashed into ``BUCKETS``. Raw counts cover all bytes of
-all texts; the trusted target is a bounded sample of the rows that ``labels`` marks as good
-(``TRUSTED_ROWS``, in the order of a hash of the id). A text's score is the mean over its n-grams
-of log(target share / raw share) with add-one smoothing. A text is kept if it passes the base
-rules and its score is at least the threshold: the ``LOST`` quantile of the trusted sample's own
-scores less ``SLACK`` of the distance down to the mean score of text spread evenly over buckets
-that the target lacks. Every text is judged by this one number.
-
-Defined results: a null text counts as empty, has no words and fails the base rules; repeated rows
-are repeated in the result; a null doc_id stays null; labels for unknown or null ids are ignored.
-Without trusted rows the threshold is minus infinity, so the base rules alone decide.
+The n-grams are runs of ``NGRAM`` bytes, hashed into ``BUCKETS``. Raw counts cover all bytes of all
+texts, target counts all texts that ``labels`` marks as good and not toxic. A text's score is the
+mean over its n-grams of log(target share / raw share) with add-one smoothing. A text is kept if it
+passes the base rules and its score is at least the threshold: the ``LOST`` quantile of the scores
+of all trusted texts (to one ``BIN``), less ``SLACK`` of the distance down to the mean ratio of
+buckets that the target lacks. Every text is judged by this one number.
+
+Ratios are whole multiples of 1 / ``UNIT``, so a text's sum is a whole number and its score the same
+wherever the text stands and however the table is partitioned. Words, 3-word windows and lines are
+compared as bytes, never by a hash.
+
+Defined results: a null or empty text has no words and fails the base rules; repeated rows are
+repeated in the result and, if trusted, counted each; equal texts get equal scores, so ties fall on
+one side; a null doc_id stays null and is never trusted; labels for unknown or null ids are ignored;
+an empty table gives an empty result. Very long texts are read in pieces: beside the text, 8 bytes a
+word are held, and some 40 a word while windows are sorted. Only the columns doc_id and text are
+read, so others may have any name. Without trusted rows the threshold is minus infinity, so the base
+rules alone decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.llm import textbytes as tb
+from cairn.runtime import ship
 
 NGRAM = 4
 BUCKETS = 1 << 14
-TRUSTED_ROWS = 20_000
-#: Share of trusted rows that the threshold may lose.
+UNIT = 1 << 20
+#: Share of trusted rows that the threshold may lose, and the width of the bins it is found with.
 LOST = 0.002
+BIN = 1 / 4096
 SLACK = 0.1
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
+#: Trusted ids up to which they are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+#: Bytes whose n-grams, and texts whose windows, are worked on at once.
+SEGMENT = 400_000
 
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[list(SYMBOLS)] = 1
-_LEAD = np.ones(256, np.int64)
-_LEAD[128:192] = 0
 
-
-def gram_buckets(part: tb.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram inside a text, and how many each text has."""
-    data = part.data.astype(np.uint32)
-    n = np.maximum(np.diff(part.offsets) - NGRAM + 1, 0)
+def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each n-gram inside a segment, and how many each segment has."""
+    n = np.maximum(np.diff(offsets) - NGRAM + 1, 0)
     if len(data) < NGRAM:
-        return np.zeros(0, np.int64), n
-    code = data[: len(data) - NGRAM + 1].copy()
+        return np.zeros(0, np.uint16), n
+    last = len(data) - NGRAM + 1
+    code = data[:last].astype(np.uint32)
     for k in range(1, NGRAM):
-        code = (code << np.uint32(8)) | data[k : len(data) - NGRAM + 1 + k]
-    keep = np.ones(len(code), bool)
+        code <<= np.uint32(8)
+        code |= data[k : last + k]
+    code *= np.uint32(2654435761)
+    code >>= np.uint32(18)
+    keep = np.ones(last, bool)
     for k in range(1, NGRAM):
-        at = part.offsets[1:-1] - k
-        keep[at[(at >= 0) & (at < len(keep))]] = False
-    return ((code * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)[keep], n
-
-
-def _bincount(part: tb.Slice) -> np.ndarray:
-    return np.bincount(gram_buckets(part)[0], minlength=BUCKETS)
+        at = offsets[1:-1] - k
+        keep[at[(at >= 0) & (at < last)]] = False
+    return code.astype(np.uint16)[keep], n
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> list[int]:
-    """A bounded sample of the ids marked good and not toxic, in the order of a hash of the id."""
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
-
-
-def _counts(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram counts of all texts and of the trusted ones; a task sends one row for each bucket."""
+def gram_counts(texts: DataFrame) -> np.ndarray:
+    """Counts of all n-grams of the column ``text``; a task sends one row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            inside = np.isin(ids, trusted) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for part in tb.slices(batch.column(1)):
-                raw += _bincount(part)
-            for part in tb.slices(batch.column(1).filter(pa.array(inside))):
-                target += _bincount(part)
-        own = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(raw[own]), pa.array(target[own])], ["bucket", "raw", "target"])
-
-    sums = docs.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in sums.collect():  # BUCKETS rows at most
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    return raw, target
+            for data, offsets, _ in tb.byte_segments(batch.column(0), SEGMENT, NGRAM - 1):
+                total += np.bincount(gram_buckets(data, offsets)[0], minlength=BUCKETS)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+        out[r["bucket"]] = r["n"]
+    return out
 
 
 @dataclass
 class Model:
+    """``ratio`` in units of 1 / ``UNIT``."""
+
     ratio: np.ndarray
     threshold: float
 
 
-def scores(part: tb.Slice, ratio: np.ndarray) -> np.ndarray:
-    bucket, n = gram_buckets(part)
-    sums = np.concatenate([[0.0], np.cumsum(ratio[bucket])])
-    stops = np.cumsum(n)
-    return (sums[stops] - sums[stops - n]) / np.maximum(n, 1)
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS) -> Model:
-    """Counts over all of ``docs``; the threshold from the trusted rows found in them."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    trusted = np.array(sorted(trusted_ids(labels, rows)), np.int64)
-    raw, target = _counts(own, trusted)
+def scores(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
+    """Mean ratio of each text's n-grams; 0 where a text has none."""
+    sums, grams = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+    for data, offsets, text_of in tb.byte_segments(column, SEGMENT, NGRAM - 1):
+        bucket, n = gram_buckets(data, offsets)
+        running = np.zeros(len(bucket) + 1, np.int64)
+        np.cumsum(ratio[bucket], out=running[1:])
+        stops = np.cumsum(n)
+        np.add.at(sums, text_of, running[stops] - running[stops - n])
+        np.add.at(grams, text_of, n)
+    return sums / (np.maximum(grams, 1) * float(UNIT))
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts of all rows that a label marks as good and none of its labels as toxic."""
+    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    return own.join(F.broadcast(good) if few else good, F.col("_id") == F.col("_good"), "left_semi").select("text")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Counts over all of ``docs``; target and threshold from all trusted rows in them."""
+    ship(docs.sparkSession)
+    trusted = trusted_texts(docs, labels)
+    target = gram_counts(trusted)
     if not target.sum():
-        return Model(np.zeros(BUCKETS), -np.inf)
+        return Model(np.zeros(BUCKETS, np.int64), -np.inf)
+    raw = gram_counts(docs.select(F.col("text").cast("string")))
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    whole = np.rint(ratio * UNIT).astype(np.int64)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            for part in tb.slices(batch.column(1).filter(pa.array(np.isin(ids, trusted)))):
-                yield pa.RecordBatch.from_arrays([pa.array(scores(part, ratio))], ["score"])
-
-    seen = np.array([r[0] for r in own.mapInArrow(score, "score double").collect()])  # the sample's rows
-    low = float(np.quantile(seen, LOST)) if len(seen) else -np.inf
-    lacking = float(ratio[(target == 0) & (raw > 0)].mean()) if ((target == 0) & (raw > 0)).any() else low
-    return Model(ratio, low - SLACK * max(0.0, low - lacking))
-
-
-def base_counts(part: tb.Slice) -> dict[str, np.ndarray]:
+            bins, n = np.unique(np.floor(scores(batch.column(0), whole) / BIN).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], ["bin", "n"])
+
+    seen = sorted((r["bin"], r["n"]) for r in trusted.mapInArrow(score, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())  # a row for each bin of scores
+    below, wanted = 0, LOST * sum(n for _, n in seen)
+    for at, n in seen:
+        below += n
+        if below > wanted:
+            break
+    low = at * BIN
+    lacking = (target == 0) & (raw > 0)
+    return Model(whole, low - SLACK * max(0.0, low - float(ratio[lacking].mean())) if lacking.any() else low)
+
+
+def repeat_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text, and of those in 3-word windows found twice or more in it."""
+    seen: dict[bytes, int] = {}
+    numbers, sizes, new = [], [], count()
+    for text in texts:
+        n = 0
+        for words in tb.spaced_words(text):
+            numbers.append(np.fromiter((seen.setdefault(w, k) for w, k in zip(words, new)), np.int64, len(words)))
+            n += len(words)
+        sizes.append(n)
+    n_words = np.array(sizes, np.int64)
+    number = np.unique(np.concatenate(numbers), return_inverse=True)[1] if numbers else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(texts)), n_words)
+    if len(number) < 3:
+        return n_words, np.zeros(len(texts), np.int64)
+    # Pairs, then pairs and their next word, then those and their text are numbered: whole numbers below 2**63 throughout.
+    m = int(number.max()) + 1
+    pair = np.unique(number[:-1] * m + number[1:], return_inverse=True)[1]
+    at = np.flatnonzero(of[2:] == of[:-2])
+    window = np.unique(pair[at] * m + number[at + 2], return_inverse=True)[1]
+    if len(texts) > 1:
+        window = np.unique(window * len(texts) + of[at], return_inverse=True)[1]
+    covered = np.zeros(len(number), bool)
+    if len(window):
+        twice = at[np.bincount(window)[window] > 1]
+        for k in range(3):
+            covered[twice + k] = True
+    return n_words, np.bincount(of[covered], minlength=len(texts))
+
+
+def dup_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line."""
+    seen: set[bytes] = set()
+    dup = start = 0
+    while start <= len(text):
+        end = text.find(b"\n", start)
+        end = len(text) if end < 0 else end
+        line = text[start:end]
+        if line and not line.isspace():
+            if line in seen:
+                dup += 1
+            else:
+                seen.add(line)
+        start = end + 1
+    return dup
+
+
+def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
-    own, _ = tb.words(part)
-    lead = _LEAD[part.data]
-    lead[tb.SPACES[part.data]] = 0
-    at, key = tb.windows(own, 3)
-    key = tb.mix(key + own.text_of()[at].astype(np.uint64) * np.uint64(tb.MIX[1]))
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    covered = np.zeros(len(own.hashes) + 2, bool)
-    for k in range(3):
-        covered[at[twice] + k] = True
-    dup = np.zeros(part.n, np.int64)
-    for i in range(part.n):
-        lines = [line for line in part.text(i).split(b"\n") if line.strip()]
-        dup[i] = len(lines) - len(set(lines))
-    return {
-        "n_words": np.diff(own.first),
-        "word_chars": part.per_text(lead),
-        "n_symbols": part.per_text(_SYMBOL[part.data]),
-        "n_dup_lines": dup,
-        "n_repeat_words": own.per_text(covered[: len(own.hashes)].astype(np.int64)),
-    }
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[bytes] = []
+    size, chars, symbols, dups = 0, [], [], []
+    for text in tb.texts(column):
+        if held and size + len(text) > SEGMENT:
+            parts.append(repeat_words(held))
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+        chars.append(len(text.translate(None, tb.SPACES + tb.CONTINUATION)))
+        symbols.append(len(text) - len(text.translate(None, SYMBOLS)))
+        dups.append(dup_lines(text))
+    if held:
+        parts.append(repeat_words(held))
+    n_words, n_repeat = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(2))
+    return {"n_words": n_words, "word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(dups, np.int64), "n_repeat_words": n_repeat}
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
 
 
-def judge(part: tb.Slice, model: Model) -> list[pa.Array]:
-    own = base_counts(part)
+def judge(column: pa.Array, model: Model) -> list[pa.Array]:
+    own = base_counts(column)
     failed = (own["n_words"] < MIN_WORDS) | (100 * own["n_repeat_words"] > MAX_REPEAT_PERCENT * own["n_words"])
-    llr = scores(part, model.ratio)
+    llr = scores(column, model.ratio)
     return [*(pa.array(own[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(~failed & (llr >= model.threshold)), pa.array(llr)]
 
 
@@ -167,10 +225,7 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
-            for part in tb.slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, part.n), *judge(part, model)], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
-                start += part.n
+            yield pa.RecordBatch.from_arrays([batch.column(0), *judge(batch.column(1), model)], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
 
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {RESULT}")
@@ -179,13 +234,10 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns as they were, whose text is kept."""
     model = fit(docs, labels)
-    names, at = docs.columns, docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
-            for part in tb.slices(batch.column(at)):
-                yield batch.slice(start, part.n).filter(judge(part, model)[6])
-                start += part.n
+            yield batch.filter(judge(batch.column(at), model)[6])
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

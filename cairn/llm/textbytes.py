@@ -1,164 +1,79 @@
-"""Vectorised work on the UTF-8 bytes of an Arrow string column.
+"""Words of the texts of an Arrow column, by the C routines of Python's ``bytes``.
 
-A column's texts lie one after another in one buffer. Words are found with a byte table and
-hashed with a polynomial over their bytes, so that a batch costs a few numpy passes and no
-Python loop over words. A slice of whole texts of about ``SLICE_BYTES`` is worked on at a time;
-one text longer than that is a slice of its own.
+A text is taken in pieces of about ``PIECE_BYTES`` that end behind a separator, so only one piece's
+words exist at a time, however long the text is. Words are compared as bytes (through dictionaries),
+never by a hash of them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4_000_000
-#: Odd, so that it has an inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+PIECE_BYTES = 500_000
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_NON_ALNUM = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+#: ASCII letters in lower case, ASCII digits and all bytes beyond ASCII stay; the rest separates words.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+SPACES = bytes([32, *range(9, 14)])
+CONTINUATION = bytes(range(128, 192))
 
-def _table(fold_case: bool) -> np.ndarray:
-    values = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    if fold_case:
-        values[65:91] = values[97:123]
-    return values
 
+def texts(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each text; a null text counts as empty."""
+    for x in column:
+        own = x.as_buffer()
+        yield b"" if own is None else own.to_pybytes()
 
-_TABLES = {False: _table(False), True: _table(True)}
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n; kept and grown as needed."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
-            grown = np.full(size, np.uint64(base), np.uint64)
-            grown[0] = 1
-            _powers[k] = np.multiply.accumulate(grown)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit hashes (finaliser of a splittable generator)."""
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(MIX[0])
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(MIX[1])
-    h ^= h >> np.uint64(31)
-    return h
 
+def pieces(text: bytes, limit: int = PIECE_BYTES, separator: re.Pattern = _SPACE) -> Iterator[bytes]:
+    """The text in order, cut behind separators; one word longer than the limit makes its piece longer."""
+    start = 0
+    while len(text) - start > limit:
+        found = separator.search(text, start + limit)
+        if found is None:
+            break
+        yield text[start : found.end()]
+        start = found.end()
+    yield text[start:] if start else text
 
-@dataclass
-class Slice:
-    """Whole texts, as bytes, with where each begins (``offsets`` has one entry more than texts)."""
 
-    data: np.ndarray
-    offsets: np.ndarray
+def spaced_words(text: bytes, limit: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """Runs without white space, piece by piece."""
+    return (piece.split() for piece in pieces(text, limit))
 
-    @property
-    def n(self) -> int:
-        return len(self.offsets) - 1
 
-    def per_text(self, flags: np.ndarray) -> np.ndarray:
-        """Sum of a per-byte array over each text."""
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+def folded_words(text: bytes, limit: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """Runs of ASCII letters (in lower case), ASCII digits and other characters, piece by piece."""
+    return (piece.translate(_FOLD).split() for piece in pieces(text, limit, _NON_ALNUM))
 
-    def text(self, i: int) -> bytes:
-        return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
+def byte_segments(column: pa.Array, limit: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, text of each segment) of whole texts that together stay near ``limit`` bytes.
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Slices of whole texts in order; a null text counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    A longer text is cut into segments that share ``overlap`` bytes with the next one, so each run of
+    ``overlap + 1`` bytes lies in exactly one segment. A null text is a segment without bytes.
+    """
     if not len(column):
         return
+    column = column.fill_null("").cast(pa.large_string())
     _, raw_offsets, raw = column.buffers()
     offsets = np.frombuffer(raw_offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     start = 0
     while start < len(column):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
-        end = min(end, len(column))
-        own = offsets[start : end + 1]
-        yield Slice(data[own[0] : own[-1]], own - own[0])
+        end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
+        if end <= start:  # one long text
+            low, high = int(offsets[start]), int(offsets[start + 1])
+            for at in range(low, high, limit):
+                own = data[at : min(at + limit + overlap, high)]
+                yield own, np.array([0, len(own)]), np.array([start])
+            end = start + 1
+        else:
+            end = min(end, len(column))
+            yield data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], np.arange(start, end)
         start = end
-
-
-@dataclass
-class Words:
-    """Words of a slice: byte bounds, 64-bit hash, and the first word of each text (one entry more)."""
-
-    starts: np.ndarray
-    ends: np.ndarray
-    hashes: np.ndarray
-    first: np.ndarray
-
-    def per_text(self, flags: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total[self.first[1:]] - total[self.first[:-1]]
-
-    def text_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-
-
-#: Bytes that end a word: white space, or everything in ASCII but letters and digits.
-SPACES = np.zeros(256, bool)
-SPACES[[32, *range(9, 14)]] = True
-NON_ALNUM = np.zeros(256, bool)
-NON_ALNUM[:128] = True
-NON_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
-
-
-def words(part: Slice, separators: np.ndarray = SPACES, fold_case: bool = False, prefix: int = 0) -> tuple[Words, np.ndarray | None]:
-    """Words and, with ``prefix``, the hashes of their first so many bytes."""
-    data, n = part.data, len(part.data)
-    inside = np.zeros(n + 1, bool)
-    np.logical_not(separators[data], out=inside[:n])
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    cuts = part.offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < n)]
-    begins[cuts] = inside[cuts]
-    finishes = np.zeros(n + 1, bool)
-    finishes[1:] = inside[:-1] & ~inside[1:]
-    finishes[cuts] |= inside[cuts - 1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes)
-    power, inverse = powers(n + 1)
-    running = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLES[fold_case][data] * power[:n], out=running[1:])
-    hashes = mix((running[ends] - running[starts]) * inverse[starts])
-    own = Words(starts, ends, hashes, np.searchsorted(starts, part.offsets))
-    if not prefix:
-        return own, None
-    until = np.minimum(starts + prefix, ends)
-    return own, mix((running[until] - running[starts]) * inverse[starts] + np.uint64(MIX[2]))
-
-
-def hash_of(word: bytes, fold_case: bool = False) -> int:
-    """The hash that :func:`words` gives to a word."""
-    part = Slice(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
-    return int(words(part, np.zeros(256, bool), fold_case)[0].hashes[0])
-
-
-def windows(own: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first word, and hash, of each run of ``size`` words inside a text."""
-    n = len(own.hashes)
-    if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    left = np.repeat(own.first[1:], np.diff(own.first)) - np.arange(n)
-    at = np.flatnonzero(left >= size)
-    key = own.hashes[at].copy()
-    for k in range(1, size):
-        key = mix(key * np.uint64(MIX[2]) + own.hashes[at + k])
-    return at, key

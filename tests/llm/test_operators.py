@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -243,19 +244,43 @@ def test_toxicity_odd_rows(docs, spark):
     assert toxicity.keep_clean(docs, labels).columns == docs.columns
 
 
-def test_toxicity_score_equals_plain_convolution():
+def random_model():
     rng = np.random.default_rng(0)
     model = toxicity._blank()
     for table in (model.words, model.heads, *model.filters.values()):
         table[:] = rng.normal(size=table.shape)
     model.weights[:] = rng.normal(size=len(model.weights))
-    import pyarrow as pa
+    return model
+
 
-    own = ["", "one", "one two", "one two three four", None, "five six seven"]
-    for part in tb.slices(pa.array(own)):
-        word, head, first = toxicity._ids(part)
-        want = toxicity.score_ids(model, [(word[a:b], head[a:b], 0) for a, b in zip(first, first[1:])])
-        assert np.allclose(model.score(part), want, atol=1e-4)
+def test_toxicity_score_equals_plain_convolution():
+    model, buckets = random_model(), toxicity.Buckets()
+    own = ["", "one", "one two", "one two three four", None, "five six seven", "ünï " * 9, " ".join(f"w{i * i % 97}" for i in range(400)), "x" * 90]
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t or "") for t in own]
+    want = toxicity.score_ids(model, [(*toxicity.split_ids(buckets.of([w.encode() for w in x])), 0) for x in words])
+    for limit in (1, 16, 100, 1_000_000):  # texts in pieces, or many at once
+        assert np.allclose(model.score(pa.array(own), limit), want, atol=1e-4)
+    one = [model.score(pa.array([t], pa.string()))[0] for t in own]
+    assert one == list(model.score(pa.array(own)))
+
+
+def test_toxicity_sample_has_one_row_an_id_and_a_byte_bound(spark):
+    docs = frame(spark, ["b text", "long " * 50, None, "word"]).unionByName(frame(spark, ["a text"]))
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate((1, 0, 0, 1))], "doc_id long, quality int, toxic int")
+    ids = [i for i in range(4) if zlib.crc32(str(i).encode()) % 5]
+    assert ids
+    got = {r["doc_id"]: r["text"] for r in toxicity.sampled(docs, labels).collect()}
+    assert sorted(got) == ids and all(got[i] == {0: "a text", 1: "long " * 50, 2: "", 3: "word"}[i] for i in ids)
+    assert sum(len(r["text"]) for r in toxicity.sampled(docs, labels, size=100).collect()) <= 100
+
+
+def test_toxicity_thresholds_by_language_have_the_fewest_errors():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        score, label = rng.random(200), rng.random(200) < 0.3
+        cut = toxicity.best_threshold(score, label)
+        errors = lambda c: int(((score >= c) != label).sum())
+        assert 0.2 <= cut <= 0.8 and errors(cut) == min(errors(c) for c in [0.5, *((np.sort(score)[1:] + np.sort(score)[:-1]) / 2)] if 0.2 <= c <= 0.8)
 
 
 # --- op 6
@@ -367,17 +392,74 @@ def by_kept(docs, labels):
     return [r["doc_id"] for r in quality.assess(docs, labels).where("kept").collect()]
 
 
-def test_quality_ratio_matches_brute_force():
-    import pyarrow as pa
-
-    own = ["", "abc", "abcd", "naïve 🙂 text", "abcdabcd", None]
-    ratio = np.random.default_rng(2).normal(size=quality.BUCKETS)
-    for part in tb.slices(pa.array(own)):
-        got = quality.scores(part, ratio)
-        for text, score in zip(own, got):
-            raw = (text or "").encode()
-            grams = [int.from_bytes(raw[i : i + 4], "big") * 2654435761 % 2**32 >> 18 for i in range(len(raw) - 3)]
-            assert math.isclose(score, np.mean(ratio[grams]) if grams else 0.0, abs_tol=1e-9)
+def grams(text):
+    raw = (text or "").encode()
+    return [int.from_bytes(raw[i : i + 4], "big") * 2654435761 % 2**32 >> 18 for i in range(len(raw) - 3)]
+
+
+def kept_brute(rows, labels):
+    """kept of (doc_id, text) rows by the method as its docstring states it."""
+    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, t in labels if q == 1 and t == 0 and d is not None}
+    raw, target = np.zeros(quality.BUCKETS, int), np.zeros(quality.BUCKETS, int)
+    for d, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += d in good
+    ratio = np.log((target + 1) / (target.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    unit = np.rint(ratio * 2**20).astype(int)
+    score = [sum(int(unit[g]) for g in grams(t)) / (max(1, len(grams(t))) * 2**20) for _, t in rows]
+    bins = sorted(math.floor(s * 4096) / 4096 for (d, _), s in zip(rows, score) if d in good)
+    low = bins[int(0.002 * len(bins))]
+    lacking = ratio[(target == 0) & (raw > 0)]
+    threshold = low - 0.1 * max(0.0, low - lacking.mean()) if len(lacking) else low
+    return [(d, not quality_brute(t)[5] and s >= threshold) for (d, t), s in zip(rows, score)], toxic
+
+
+def test_quality_verdicts_match_brute_force_under_any_partitioning(docs, spark):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").unionByName(spark.createDataFrame([(None, 1, 0), (-1, 1, 0), (10**12, 1, 0)], "doc_id long, quality int, toxic int"), allowMissingColumns=True)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    want, _ = kept_brute(rows, [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()])
+    key = lambda r: (str(r[0]), str(r[1:]))
+    seen = None
+    for own in (docs.repartition(1, "n_chars"), docs.repartition(7)):
+        got = [(r["doc_id"], r["kept"], r["llr"]) for r in quality.assess(own, labels).collect()]
+        assert sorted((g[:2] for g in got), key=key) == sorted(want, key=key)
+        assert seen is None or sorted(got, key=key) == seen  # scores to the last bit
+        seen = sorted(got, key=key)
+
+
+def test_quality_ratio_matches_brute_force(monkeypatch):
+    own = ["", "abc", "abcd", "naïve 🙂 text", "abcdabcd", None, "long text " * 40]
+    ratio = np.random.default_rng(2).integers(-(2**22), 2**22, quality.BUCKETS)
+    want = [sum(int(ratio[g]) for g in grams(t)) / (max(1, len(grams(t))) * 2**20) for t in own]
+    for size in (4, 5, 50, 1_000_000):  # texts in segments, or many at once
+        monkeypatch.setattr(quality, "SEGMENT", size)
+        assert list(quality.scores(pa.array(own), ratio)) == want
+        assert list(quality.scores(pa.array(own)[4:], ratio)) == want[4:]
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_are_compared_as_bytes(spark):
+    one, other = thue_morse(1024), thue_morse(1024, True)
+    text = f"{one} x y {other} x y"  # words whose polynomial hashes modulo a power of two agree
+    assert quality.base_counts(pa.array([text]))["n_repeat_words"].tolist() == [0]
+    assert quality.base_counts(pa.array([f"{one} x y {one} x y"]))["n_repeat_words"].tolist() == [6]
+
+
+def test_long_texts_in_pieces_count_alike(monkeypatch):
+    rng = np.random.default_rng(5)
+    own = [" \n".join(f"w{rng.integers(30)}#" for _ in range(n)) for n in (0, 1, 3, 400, 2000)] + ["y" * 5000]
+    whole = quality.base_counts(pa.array(own))
+    monkeypatch.setattr(tb, "PIECE_BYTES", 100)
+    monkeypatch.setattr(tb.spaced_words, "__defaults__", (100,))
+    monkeypatch.setattr(quality, "SEGMENT", 300)
+    cut = quality.base_counts(pa.array(own))
+    assert all((cut[c] == whole[c]).all() for c in quality.COUNTS)
+    assert [tuple(int(whole[c][i]) for c in quality.COUNTS) for i in range(len(own))] == [quality_brute(t)[:5] for t in own]
 
 
 def test_quality_without_labels(docs, spark):
@@ -398,15 +480,29 @@ def license_brute(text):
                 places.append(i)
                 labels.add(label)
     more = set(labels)
-    for line in text.split("\n"):
-        block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
-        for label, template in licenses.TEMPLATES.items():
-            tokens = set(template.split())
-            if len(tokens & block) >= 0.8 * len(tokens) - 1e-9:
-                more.add(label)
+    for label, template in licenses.TEMPLATES:
+        tokens, span = set(template.split()), math.ceil(1.25 * len(template.split()))
+        if any(len(tokens.intersection(words[i : i + span])) >= 0.9 * len(tokens) - 1e-9 for i in range(len(words))):
+            more.add(label)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more))
 
 
+NOTICES = {
+    "Licensed under the Apache License,\nVersion 2.0.": "apache",
+    "word " * 300 + "Permission to use, copy, modify, and/or distribute this\nsoftware for any purpose with or without\nfee is hereby granted" + " word" * 300: "isc",
+    "Redistribution and use in source and binary forms, with or without modification, are strictly permitted provided\n# that the following conditions are met:": "bsd",
+    "Licensed under CC BY 4.0": "cc-by",
+    "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+    "released under the old license of the house, not MIT; under the terms of the house": "",
+    "license " * 50 + "apache": "",
+}
+
+
+def test_licenses_across_lines(spark):
+    got = [r["labels"] for r in licenses.scan(frame(spark, list(NOTICES))).orderBy("doc_id").collect()]
+    assert got == list(NOTICES.values())
+
+
 def test_license_scan_matches_brute_force(docs, texts):
     got = by_id(licenses.scan(docs), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
     assert got == sorted(((d, *license_brute(t)) for d, t in texts), key=lambda r: (r[0] is None, r[0] or 0, str(r)))
