@@ -4,8 +4,14 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from cairn.llm import nearcopies
+from cairn.llm import textbytes as tb
+from cairn.llm import simhash
 from tests.llm.test_operators import frame
 
 SMALL = "/root/testdata/sf0.01"
@@ -66,6 +72,42 @@ def test_stage_drops_every_near_copy(spark):
 
 def test_rounds_leave_no_pair_out(spark):
     docs = frame(spark, texts(6)).repartition(3)
-    printed = nearcopies.sketches(docs).select("fp", "n", "sign", "bands").dropDuplicates(["fp"])
-    one, many = ({r["node"]: r["root"] for r in nearcopies.links(printed, docs, n).collect()} for n in (0, nearcopies.ROUNDS))
-    assert one and one == many
+    distinct = simhash.set_prints(docs).groupBy("fp").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "wide", "ones")))
+    one, many, small = ({r["node"]: r["root"] for r in simhash.similar_roots(distinct, docs, *how).collect()} for how in ((0,), (simhash.ROUNDS,), (1, 16)))
+    assert one and one == many == small
+
+
+def test_candidates_hold_every_similar_pair():
+    rng = random.Random(9)
+    for n in (12, 40, 200, 1500):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        made = [base, *(edited(base, k, rng) for k in range(1, max(2, n // 40))), base[: n - n // 6], base + [f"x{k}" for k in range(n // 6)]]
+        made += [[f"w{rng.randrange(10**6)}" for _ in range(n)] for _ in range(20)]
+        sets = [simhash.shingle_set(" ".join(x).encode()) for x in made]
+        keys = [int(np.uint64(simhash.set_key(s)).astype(np.int64)) for s in sets]
+        table = pa.table({"fp": keys, "root": keys, "n": [len(s) for s in sets], "wide": [simhash.majority(iter([s]), simhash.WIDE).tobytes() for s in sets]})
+        side = simhash.Side(table)
+        found = {frozenset((int(side.fp[a]), int(side.fp[b]))) for r, c, _ in simhash.candidates(side, side) for a, b in zip(r, c)}
+        want = {frozenset((keys[i], keys[j])) for i, j in combinations(range(len(made)), 2) if simhash.similar(sets[i], sets[j])}
+        assert want and want <= found
+        unlike = {frozenset((keys[i], keys[j])) for i, j in combinations(range(len(made)), 2) if 3 * len(np.intersect1d(sets[i], sets[j])) < len(np.union1d(sets[i], sets[j]))}
+        assert len(unlike) > 100 and not unlike & found
+
+
+def test_shingles_of_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(50)}" for _ in range(3000)).encode()
+    whole = [np.concatenate(list(simhash.shingle_hashes(t, 5))) for t in (text, b"one", b"a b c d e")]
+    assert len(whole[0]) == 2996 and whole[1][0] == xxhash.xxh64_intdigest(b"one", 42)
+    monkeypatch.setattr(tb.spaced_words, "__defaults__", (7,))
+    cut = [np.concatenate(list(simhash.shingle_hashes(t, 5))) for t in (text, b"one", b"a b c d e")]
+    assert all((a == b).all() for a, b in zip(whole, cut))
+
+
+def test_rows_without_id_repeats_and_clashing_names(spark):
+    rows = [(1, "a b c d e f", 0), (1, "a b c d e f", 5), (1, "other words in this one here", 3), (None, "a b c d e f", 1), (None, "no id at all", 9), (None, "NO ID at all", 4), (2, None, 1), (3, "", 1), (4, "x y z x y z", 1)]
+    docs = spark.createDataFrame([(*r, 1, 1, 1, 1, 1) for r in rows], "doc_id long, text string, row long, id long, fp long, root long, least long, component_id long")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"], r["row"]) for r in kept.collect()) == sorted([("1", "a b c d e f", 0), ("None", "NO ID at all", 4), ("2", None, 1), ("4", "x y z x y z", 1)])
+    assert simhash.keep_first(docs.limit(0)).count() == 0

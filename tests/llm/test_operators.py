@@ -116,15 +116,6 @@ def test_simhash_components_of_dense_and_chained_prints(spark):
     assert [got[x] for x in signed] == component_brute([x % 2**64 for x in signed])
 
 
-def test_simhash_keeps_one_row_of_each_group(docs):
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns
-    marked = simhash.near_duplicates(docs)
-    groups = marked.select(F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))).distinct().count()
-    assert kept.count() == groups
-    assert simhash.keep_first(docs.limit(0)).count() == 0
-
-
 # --- op 2
 
 CHATS = [
@@ -346,17 +337,51 @@ def test_word_encoder_on_every_low_character():
 
 # --- op 7
 
-@pytest.mark.parametrize("chunk,overlap", [(64, 32), (200, 40), (100_000, 1000)])
-def test_bpe_equals_the_library(docs, texts, chunk, overlap):
+def library():
     with open(RANKS, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    want = []
-    for d, t in texts:
-        ids = library.encode_ordinary(t)
-        want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
-    got = by_id(bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, chunk, overlap), "n_tokens", "ids_sha256", "decoded_sha256")
-    assert got == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, str(r)))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoded_brute(rows):
+    own, out = library(), []
+    for d, t in rows:
+        ids = own.encode_ordinary(t)
+        out.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, str(r)))
+
+
+ENCODED = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@pytest.mark.parametrize("chunk,overlap,local", [(64, 32, 4), (64, 32, 10**6), (200, 40, 2), (bpe.CHUNK, bpe.OVERLAP, bpe.LOCAL)])
+def test_bpe_equals_the_library(docs, texts, chunk, overlap, local):
+    got = by_id(bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, chunk, overlap, local), *ENCODED)
+    assert got == encoded_brute(texts)
+
+
+def test_bpe_on_both_sides_of_every_default_bound(spark):
+    rng = np.random.default_rng(6)
+    pool = ["naïve", "漢字", "don't", "12345", "  ", "\n\n", "🙂", "word", "Straße", "\t", "(x)", "' s"]
+    made = []
+    for n in (bpe.CHUNK, bpe.CHUNK * bpe.LOCAL):
+        for k in (-1, 0, 1):
+            text = "".join(f" {pool[i]}" for i in rng.integers(0, len(pool), n))[: n + k]
+            made.append(text)
+    made += ["a" * (3 * bpe.CHUNK), "word " * 2000 + "b" * (2 * bpe.CHUNK) + " word" * 5000, made[-1], "c" * (bpe.CHUNK * bpe.LOCAL + 9), " " * (bpe.CHUNK + 1)]
+    got = by_id(bpe.encode_documents(frame(spark, made), RANKS, public_tokenizers.PATTERN), *ENCODED)
+    assert got == encoded_brute(list(enumerate(made)))
+
+
+def test_bpe_stitches_wherever_it_can():
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    text = "Some words, and 1234 numbers don't  end.\n" * 60
+    pieces = list(bpe.stitched(codec, text, 100, 30))
+    assert len(pieces) == -(-len(text) // 100) and pieces[0][0] == 0 and pieces[-1][1] == len(text)
+    assert all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+    ends = set(bpe.trusted(codec, text, True))
+    assert all(b in ends for _, b in pieces)
+    assert list(bpe.stitched(codec, "x" * 1000, 100, 30)) == [(0, 1000)] and list(bpe.stitched(codec, "", 100, 30)) == [(0, 0)]
 
 
 # --- op 8
