@@ -6,111 +6,123 @@ class, and a run of equal pieces fills whole classes at once. The plan says whic
 go to which sequences; pieces take their slots by joining on rank within length. The plan's size
 depends on the sequence length alone, not on the number of documents.
 
-Defined results: a null text counts as empty and gives one piece, its end id; repeated rows are
-packed each by itself; a null doc_id stays null. Other columns of the input are ignored.
+A piece's rank is its number within length in the task that wrote it, plus the numbers of the tasks
+before. So ranks need no shuffle of pieces, however many share a length, are equal, or lack an id.
+
+Defined results: a null or empty text gives one piece, its end id; repeated rows are packed each by
+itself; a null doc_id stays null; which of equal pieces gets which slot is not defined; an empty table
+gives an empty result. Very long texts are read in pieces, of which the ids are kept (4 bytes a token).
+Only the columns doc_id and text are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
-from tokenizers import Tokenizer
 
-from cairn.runtime import materialize
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
+from tokenizers import Tokenizer  # noqa: E402
+
+from cairn.llm import textbytes as tb  # noqa: E402
+from cairn.runtime import materialize, ship  # noqa: E402
 
 SEQUENCE = 4096
 END_ID = 1
-#: Words whose ids are kept by a worker; a fixed bound on its memory.
-CACHE = 1_000_000
-#: Rows of the plan that are broadcast; a longer plan is joined by shuffle.
-PLAN_BROADCAST = 200_000
-#: Documents of one rank group; lengths with more are ranked in several groups.
-RANK_GROUP = 1_000
-
-#: The pre-token pattern of this vocabulary, for text up to U+024F (fixed values).
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w\\s]|_)+")
-#: Texts with other characters, or with the vocabulary's special strings, go to the library whole.
-_PLAIN = re.compile("[\\x00-\\x1b -\u012f\u0131-\u024f]*\\Z")
-
-
-def _byte_alphabet() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary (a fixed rule)."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> tuple[Tokenizer, list[bytes], dict[str, bytes]]:
-    own = Tokenizer.from_file(path)
-    return own, [k.to_bytes(4, "little") for k in range(own.get_vocab_size())], {}
-
-
-class WordEncoder:
-    """Token ids of whole texts. Runs between white space are encoded by the library's model and kept."""
-
-    def __init__(self, path: str):
-        self.tokenizer, self.packed, self.cache = _tokenizer(path)
-        self.alphabet = _byte_alphabet()
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        tokenize, packed, alphabet, known = self.tokenizer.model.tokenize, self.packed, self.alphabet, self.cache
-        found: dict[str, bytes] = {}
-        for run in missing:
-            parts = []
-            for word in _WORDS.findall(run):
-                ids = known.get(word)
-                if ids is None:
-                    ids = b"".join([packed[t.id] for t in tokenize(word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(alphabet))])
-                parts.append(ids)
-            found[run] = b"".join(parts)
-        if len(known) + len(found) <= CACHE:
-            known.update(found)
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers. No pre-token spans white space, so runs between it are looked up."""
-        split = [text.lower().split() if _PLAIN.match(text) and "<|" not in text else None for text in texts]
-        got = [own if own is None else list(map(self.cache.get, own)) for own in split]
-        missing = list(dict.fromkeys(w for own, ids in zip(split, got) if own and None in ids for w, x in zip(own, ids) if x is None))
-        found = self._learn(missing)
-        out = []
-        for text, own, ids in zip(texts, split, got):
-            if own is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes())
-            else:
-                out.append(b"".join([found[w] if x is None else x for w, x in zip(own, ids)] if found else ids))
-        return out
+#: Bytes of words and their ids that a task keeps; when they are exceeded, all are dropped.
+CACHE_BYTES = 24_000_000
+#: What an entry takes beside its bytes.
+ENTRY_BYTES = 220
+#: Rows of a table that is broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+#: Normalizers, and the pre-tokenizer, under which ids of a text are those of its runs between white space (fixed values of the files' format).
+_BY_CHARACTER = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
+_NO_SPACES = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def splits_at_spaces(rules: dict) -> bool:
+    """Whether a tokenizer file's rules treat each run between ASCII white space by itself."""
+    normal, cut = rules.get("normalizer"), rules.get("pre_tokenizer") or {}
+    steps = (normal or {}).get("normalizers", [normal] if normal else [])
+    first = cut.get("pretokenizers", [cut])[0]
+    plain = all(not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["content"].split() != [x["content"]]) for x in rules.get("added_tokens", []))
+    return plain and first == _NO_SPACES and all(x in _BY_CHARACTER for x in steps) and not rules.get("post_processor") and not rules.get("truncation")
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> tuple[Tokenizer, bool]:
+    with open(path, encoding="utf-8") as lines:
+        return Tokenizer.from_file(path), splits_at_spaces(json.load(lines))
+
+
+class Encoder:
+    """Token ids of whole texts. Where the file's rules allow it, runs between white space are encoded once and kept."""
+
+    def __init__(self, path: str, keep: int = CACHE_BYTES):
+        self.tokenizer, self.by_run = _tokenizer(path)
+        self.known: dict[bytes, bytes] = {}
+        self.keep, self.held = keep, 0
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _runs(self, words: list[bytes]) -> bytes:
+        got = list(map(self.known.get, words))
+        if None in got:
+            missing = list({w for w, x in zip(words, got) if x is None})
+            if self.held > self.keep:
+                self.known.clear()
+                self.held = 0
+            for k in range(0, len(missing), 1024):
+                part = missing[k : k + 1024]
+                for run, ids in zip(part, self._whole([w.decode() for w in part])):
+                    self.known[run] = ids
+                    self.held += len(run) + len(ids) + ENTRY_BYTES
+            missed = dict.fromkeys(missing)
+            got = [self.known[w] if x is None and w in missed else x for w, x in zip(words, got)]
+        return b"".join(got)
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if not self.by_run:
+            return self._whole([text.decode()])[0]
+        return b"".join(map(self._runs, tb.spaced_words(text)))
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32 of every piece, with its task and place within length there."""
+    ship(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder, task = Encoder(path), TaskContext.get().partitionId()
+        seen: dict[int, count] = {}
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                rows: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                        own = ids[at : at + 4 * size]
-                        rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], part.schema.field(0).type), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+            of, rows = [], []
+            for i, text in enumerate(tb.texts(batch.column(1))):
+                ids = encoder.encode(text) + end
+                for piece, at in enumerate(range(0, len(ids), 4 * size)):
+                    own = ids[at : at + 4 * size]
+                    length = len(own) // 4
+                    of.append(i)
+                    rows.append((piece, at // 4, length, zlib.crc32(own), task, next(seen.setdefault(length, count()))))
+            columns = zip(*rows) if rows else ((),) * 6
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
+
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, place long")
 
 
 @dataclass
@@ -174,17 +186,14 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
     """Pieces with sequence_id and offset; sequences are gapless from 0."""
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, path, size, end_id), "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
+    written = materialize(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "written")
+    counts = {r["length"]: r["n"] for r in written.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     placements, _ = plan(counts, size)
-    # Rank within length, in groups of bounded size: a group's ranks follow those of the groups before it.
-    groups = spark.createDataFrame([(length, -(-n // RANK_GROUP)) for length, n in counts.items()], "length long, groups long")
-    dealt = pieces.join(F.broadcast(groups), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "groups")).drop("groups")
-    sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    before = written.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    few = written.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ranked = pieces.join(F.broadcast(before) if few else before, ["length", "task"]).withColumn("rank", F.col("place") + F.col("before"))
     slots = spark.createDataFrame([(p.length, p.first, p.n, p.each, p.sequence, p.offset) for p in placements], "length long, first long, n long, each long, sequence long, at long")
-    slots = F.broadcast(slots) if len(placements) <= PLAN_BROADCAST else slots
+    slots = F.broadcast(slots) if len(placements) <= BROADCAST_ROWS else slots
     own = F.col("rank") - F.col("first")
     placed = ranked.join(slots, (ranked["length"] == slots["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
     return placed.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("sequence") + (own / F.col("each")).cast("long")).alias("sequence_id"), (F.col("at") + own % F.col("each") * ranked["length"]).alias("offset"))

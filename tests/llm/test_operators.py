@@ -330,9 +330,28 @@ def test_packing_plan_equals_best_fit_item_by_item():
 
 
 def test_word_encoder_on_every_low_character():
-    encoder, tokenizer = packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
-    own = [f"a{chr(i)}b {chr(i)}1 {chr(i)}{chr(i)}" for i in range(0x260)]
-    assert encoder.encode(own) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in own]
+    tokenizer = Tokenizer.from_file(WORDS)
+    own = [f"a{chr(i)}b {chr(i)}1 {chr(i)}{chr(i)} {chr(i)}" for i in [*range(0x260), *range(0x300, 0x340), *range(0x1FF0, 0x2070), 0x3000, 0xFEFF]]
+    own += ["x<|endoftext|>y <|startoftext|> <|end oftext|>", "e\u0301 e \u0301", "ΣΑΣ ΣΑΣ", "don't we'll I'M"]
+    for keep in (packing.CACHE_BYTES, 500):
+        encoder = packing.Encoder(WORDS, keep)
+        assert encoder.by_run
+        assert [encoder.encode(t.encode()) for t in own * 2] == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in own * 2]
+        assert encoder.held <= keep + 40 * 300
+
+
+def test_another_vocabulary_follows_its_own_file(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, texts = Tokenizer.from_file(path), ["Upper  lower\n\n text", "", "naïve 🙂"]
+    assert not packing.Encoder(path).by_run
+    rows = packing.pack(frame(spark, texts), path).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in enumerate(texts)}
+
+
+def test_packing_ranks_equal_pieces_apart(spark):
+    same = frame(spark, ["same text here"] * 500).withColumn("doc_id", F.lit(None).cast("long")).repartition(5)
+    places = [(r["sequence_id"], r["offset"]) for r in packing.pack(same, WORDS, size=64).collect()]
+    assert len(set(places)) == 500
 
 
 # --- op 7
