@@ -1,180 +1,272 @@
-"""Exact top-k inner products by vector-approximation files.
-
-Vectors are dealt to blocks. Each block is quantised: a component's range in the block is cut into
-``CELLS`` cells, and a vector is kept as its cell numbers. For a query, cell edges bound the score
-of every vector from below and above. The first scan of the cells finds, for each query, a score
-that k vectors reach for certain; the second reads exact vectors in the order of their upper bound
-until no bound left can reach the kth score found. The queries are a stated set against all rows,
-in blocks of both.
-
-Defined results: vectors that are null or hold null or non-finite components take no part, as
-queries or as candidates; so do rows with a null id. Vectors of different lengths are compared as
-if the shorter ended in zeros. An identical row (same id, same vector) counts once; rows that share
-an id are each a candidate for other ids and never for their own; a query id with several vectors
-takes each candidate's best score. Other columns of the input are ignored.
+"""Exact top-k inner products by a vector-approximation file.
+
+The file holds each distinct vector as cell numbers of one byte a component: a component's range over
+the whole table is cut into ``CELLS`` cells of one width, so for a query every score lies within a fixed
+distance (the query's slack) of the score with the cells' middles. A first scan of the file finds, for
+each query, a score that enough vectors reach for certain; a second scan reports the vectors whose upper
+bound reaches it. Only for these are exact vectors read: first those with the highest upper bounds, then
+those whose bound still reaches the kth score found, so that it is certain. The scans move cells and
+queries, never the table's exact vectors. Queries are a stated set against all rows, in blocks of both.
+
+Equal vectors are one entry with their ``k + 1`` smallest ids: ties go to smaller ids, so no other id
+of the entry can be among the first k of any query.
+
+Defined results: vectors that are null or hold null or non-finite components take no part, as queries or
+as candidates; so do rows with a null id. Vectors of different lengths are compared as if the shorter
+ended in zeros. An identical row (same id, same vector) counts once; rows that share an id are each a
+candidate for other ids and never for their own; a query id with several vectors takes each candidate's
+best score. Components are floored as doubles, whatever their size, products and sums are exact, and a
+score beyond the range of a long is put at its end (ranks and ties go by that). An empty table gives an
+empty result. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairn.runtime import materialize
+from cairn.runtime import materialize, ship
 
 K = 20
 SCALE = 64
-CELLS = 16
+CELLS = 64
 #: Vectors of a candidate block, and queries of a query block.
-BLOCK = 8192
-QUERY_BLOCK = 8192
+BLOCK = 16_384
+QUERY_BLOCK = 2048
 #: Queries bounded at once; a matrix of them and a block's vectors is held.
-ROWS = 256
-#: Products below this are exact in doubles.
+ROWS = 128
+#: Exact vectors of a query's first read, as a multiple of k + 1.
+FIRST = 2
+#: Whole numbers up to this are exact in doubles.
 EXACT = float(2**53)
 
 
 def whole_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Distinct (id, v) with v the floors of the scaled components as doubles."""
-    v = F.transform(F.col(vector), lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("double"))
+
+    def whole(x: Column) -> Column:
+        y = F.lit(float(SCALE)) * x.cast("double")
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # a larger double is whole
+
+    v = F.transform(F.col(vector), whole)
     good = F.col(vector).isNotNull() & F.col(id_column).isNotNull() & ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    return rows.where(good).select(F.col(id_column).cast("long").alias("id"), v.alias("v")).distinct()
+    return rows.where(good).select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(~F.exists("v", lambda x: F.abs(x) == float("inf"))).distinct()
 
 
-def _matrix(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
+def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors as rows, ending in zeros where they are shorter than ``width``."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = pc.unique(pc.list_value_length(column)).to_pylist()
-    if len(lengths) == 1 and lengths[0]:
-        return column.combine_chunks().flatten().to_numpy().reshape(-1, lengths[0])
-    rows = column.to_pylist()
-    width = width or max((len(r) for r in rows), default=0)
-    out = np.zeros((len(rows), max(width, 1)))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    width = max([width or 0, 1, *lengths])
+    if lengths == [width]:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    out = np.zeros((len(column), width))
+    for i, r in enumerate(column):
+        own = r.values.to_numpy(zero_copy_only=False)
+        out[i, : len(own)] = own
     return out
 
 
-def _wide(x: np.ndarray, width: int) -> np.ndarray:
-    return x if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
+@dataclass
+class Grid:
+    """Each component's lowest value and cell width, half a cell, and largest size."""
+
+    low: np.ndarray
+    step: np.ndarray
+    half: np.ndarray
+    size: np.ndarray
 
+    @classmethod
+    def over(cls, low: np.ndarray, high: np.ndarray, cells: int = CELLS) -> Grid:
+        size = np.maximum(np.abs(low), np.abs(high))
+        step = np.maximum(np.ceil((high - low + 1) / cells), 1)
+        return cls(low, step, (step - 1) / 2, size)
 
-class Cells:
-    """A block's quantised vectors: the edges of each component's cells and the cell of each value."""
+    def cells(self, v: np.ndarray, cells: int = CELLS) -> np.ndarray:
+        return np.clip((v - self.low) // self.step, 0, cells - 1).astype(np.uint8)
 
-    def __init__(self, v: np.ndarray):
-        low, high = v.min(axis=0), v.max(axis=0)
-        step = np.maximum(np.ceil((high - low + 1) / CELLS), 1)
-        self.cell = np.minimum((v - low) // step, CELLS - 1).astype(np.uint8)
-        self.low, self.step, self.high = low, step, high
+    def middles(self, cell: np.ndarray) -> np.ndarray:
+        return self.low + cell * self.step + self.half
 
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of the score of each (query, vector)."""
-        bottom = self.low + self.cell * self.step
-        top = np.minimum(bottom + self.step - 1, self.high)
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        return plus @ bottom.T + minus @ top.T, plus @ top.T + minus @ bottom.T
+    def slack(self, q: np.ndarray) -> np.ndarray:
+        """How far a score can be from that with the middles, rounding included."""
+        return np.abs(q) @ (self.half + np.where(self.size * len(self.size) * np.abs(q).max(initial=0) < EXACT / 4, 0, self.size * 1e-9))
 
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products of one query with vectors; beyond doubles by Python integers, clipped to a long."""
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * v.shape[1] < EXACT:
-        return (v @ q).astype(np.int64)
-    own = [int(x) for x in q]
-    return np.array([max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(own, r)))) for r in v], np.int64)
-
-
-def _safe(q: np.ndarray, v: np.ndarray) -> bool:
-    return np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * v.shape[1] < EXACT
-
-
-def block_floor(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, lower bound) of each query's k highest lower bounds in the block."""
-    width = max(q.shape[1], v.shape[1])
-    q, v = _wide(q, width), _wide(v, width)
-    if not _safe(q, v):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    cells, parts = Cells(v), []
-    n = min(k, len(v))
-    for i in range(0, len(q), ROWS):
-        lower, _ = cells.bounds(q[i : i + ROWS])
-        lower[q_id[i : i + ROWS, None] == v_id[None, :]] = -np.inf
-        at = np.argpartition(-lower, n - 1, axis=1)[:, :n]
-        low = np.take_along_axis(lower, at, axis=1)
-        keep = np.isfinite(low)
-        parts.append((np.repeat(q_id[i : i + ROWS], n).reshape(-1, n)[keep], v_id[at][keep], low[keep]))
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
-def block_top(q_id: np.ndarray, q: np.ndarray, floor: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> tuple[list, int]:
-    """(query, candidate, score) of the block's best k for each query, and how many vectors were read."""
-    width = max(q.shape[1], v.shape[1])
-    q, v = _wide(q, width), _wide(v, width)
-    safe = _safe(q, v)
-    cells = Cells(v) if safe else None
-    out, read = [], 0
-    for i in range(len(q)):
-        if i % ROWS == 0:
-            upper = cells.bounds(q[i : i + ROWS])[1] if safe else np.full((min(ROWS, len(q) - i), len(v)), np.inf)
-        above = upper[i % ROWS]
-        maybe = np.flatnonzero((above >= floor[i]) & (v_id != q_id[i]))
-        maybe = maybe[np.argsort(-above[maybe], kind="stable")]
-        ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for s in range(0, len(maybe), 4 * k):
-            if len(got) >= k and above[maybe[s]] < got[k - 1]:
-                break  # the kth score is certain
-            part = maybe[s : s + 4 * k]
-            read += len(part)
-            ids, got = np.concatenate([ids, v_id[part]]), np.concatenate([got, exact_scores(q[i], v[part])])
-            order = np.lexsort((ids, -got))
-            ids, got = ids[order], got[order]
-            _, once = np.unique(ids, return_index=True)  # an id's best score
-            once.sort()
-            ids, got = ids[once][:k], got[once][:k]
-        out.append((ids, got))
-    return out, read
+    """Inner products row by row: in doubles where these are exact, else in Python's integers, put at a long's ends beyond it."""
+    with np.errstate(over="ignore"):
+        safe = (np.abs(q) * np.abs(v)).sum(axis=1) < EXACT
+    out = np.zeros(len(q), np.int64)
+    out[safe] = (q[safe] * v[safe]).sum(axis=1).astype(np.int64)
+    for i in np.flatnonzero(~safe):
+        out[i] = max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[i], v[i]))))
+    return out
 
 
-def top_k(rows: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score; ``is_query`` is a condition on the column ``id``."""
-    spark = rows.sparkSession
-    vectors = materialize(whole_vectors(rows, id_column, vector), "vectors")
-    n, n_q = vectors.count(), vectors.where(is_query).count()
-    n_blocks, n_queries = max(1, -(-n // block)), max(1, -(-n_q // query_block))
-    seat = lambda count, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(count))
-    # A block takes part in one meeting for each block of the other side.
-    data = vectors.withColumn("d", seat(n_blocks, 1))
-    asked = vectors.where(is_query).withColumn("q", seat(n_queries, 2))
-    left = asked.select(F.lit(0).alias("side"), "id", "v", "q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("d"))
-    right = data.select(F.lit(1).alias("side"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), F.col("d").cast("int").alias("d"))
-    meetings = left.withColumn("q", F.col("q").cast("int")).unionByName(right.withColumn("q", F.col("q").cast("int")))
-
-    def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table, pa.Table]:
+class VectorFile:
+    """The approximation file of a table of vectors, and searches in it."""
+
+    def __init__(self, rows: DataFrame, k: int = K, id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK, cells: int = CELLS):
+        ship(rows.sparkSession)
+        self.k, self.block, self.query_block, self.n_cells = k, block, query_block, cells
+        self.vectors = materialize(whole_vectors(rows, id_column, vector), "vectors")
+        # an entry of equal vectors: its smallest ids; an id with several vectors may count once only
+        several = self.vectors.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("several"))
+        least = self.vectors.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+        least = least.join(several, "id", "left").withColumn("sure", F.col("several").isNull())
+        entries = least.groupBy("v").agg(F.min("id").alias("first"), F.array_sort(F.collect_list("id")).alias("ids"), F.max("sure").alias("sure"))
+        self.entries = materialize(entries.withColumn("entry", F.xxhash64("first", "v")), "entries")
+        self.grid = self._grid()
+        self.file = materialize(self._cells(), "cells")
+        self.blocks = max(1, -(-self.entries.count() // block))
+
+    def _grid(self) -> Grid:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low = high = np.zeros(0)
+            n = np.zeros(0, np.int64)
+            total = 0
+            for batch in batches:
+                if len(batch):
+                    lengths = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+                    v = matrix(batch.column(0))
+                    grow = max(0, v.shape[1] - len(low))
+                    low, high, n = np.append(low, np.full(grow, np.inf)), np.append(high, np.full(grow, -np.inf)), np.append(n, np.zeros(grow, np.int64))
+                    total += len(v)
+                    low[: v.shape[1]], high[: v.shape[1]] = np.minimum(low[: v.shape[1]], v.min(axis=0)), np.maximum(high[: v.shape[1]], v.max(axis=0))
+                    n[: v.shape[1]] += (lengths[:, None] > np.arange(v.shape[1])).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(low)), pa.int32()), pa.array([0.0, *low]), pa.array([0.0, *high]), pa.array([total, *n], pa.int64())], ["at", "low", "high", "n"])
+
+        seen = self.entries.select("v").mapInArrow(run, "at int, low double, high double, n long")
+        rows = {r["at"]: r for r in seen.groupBy("at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect()}  # a row for each component
+        width = max([1, *(at + 1 for at in rows)])
+        low, high = np.zeros(width), np.zeros(width)
+        total = rows[-1]["n"] if -1 in rows else 0
+        for at in range(width):
+            if at in rows and rows[at]["n"]:
+                shorter = rows[at]["n"] < total  # shorter vectors have a zero here
+                low[at], high[at] = (min(rows[at]["low"], 0), max(rows[at]["high"], 0)) if shorter else (rows[at]["low"], rows[at]["high"])
+        return Grid.over(low, high, self.n_cells)
+
+    def _cells(self) -> DataFrame:
+        grid, cells = self.grid, self.n_cells
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    own = grid.cells(matrix(batch.column(2), len(grid.low)), cells)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in own], pa.binary())], ["entry", "sure", "cell"])
+
+        return self.entries.select("entry", "sure", "v").mapInArrow(run, "entry long, sure boolean, cell binary")
+
+    def _meetings(self, queries: DataFrame, extra: list[str]) -> DataFrame:
+        """Each block of the file with each block of queries (asked, v, and ``extra``)."""
+        spread = lambda c, n: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(n)).cast("int")
+        n_queries = max(1, -(-queries.count() // self.query_block))
+        over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = queries.select(F.lit(0).alias("side"), F.col("asked").alias("entry"), "v", *extra, spread("asked", n_queries).alias("q")).withColumn("d", over(self.blocks))
+        right = self.file.select(F.lit(1).alias("side"), "entry", "sure", "cell", spread("entry", self.blocks).alias("d")).withColumn("q", over(n_queries))
+        return left.unionByName(right, allowMissingColumns=True).groupBy("q", "d")
+
+    def _middle_scores(self, table: pa.Table) -> Iterator[tuple]:
+        """(queries' part of the table, data's, scores with the middles, slack) for some queries at a time."""
         side = table.column("side").to_numpy()
         a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-        return _matrix(a.column("v")), _matrix(b.column("v")), a, b
-
-    def first(table: pa.Table) -> pa.Table:
-        q, v, a, b = sides(table)
-        if not len(q) or not len(v):
-            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "lower": pa.array([], pa.float64())})
-        ids, others, low = block_floor(a.column("id").to_numpy(), q, b.column("id").to_numpy(), v, k)
-        return pa.table({"id": ids, "other": others, "lower": low})
-
-    lower = meetings.groupBy("q", "d").applyInArrow(first, "id long, other long, lower double").groupBy("id", "other").agg(F.max("lower").alias("lower"))
-    ranked = lower.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("lower"))))
-    floors = materialize(ranked.where(F.col("r") == k).select("id", F.col("lower").alias("floor")), "floors")
-
-    def second(table: pa.Table) -> pa.Table:
-        q, v, a, b = sides(table)
-        if not len(q) or not len(v):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        ids = a.column("id").to_numpy()
-        floor = np.array([-np.inf if x is None else x for x in a.column("floor").to_pylist()])
-        out, _ = block_top(ids, q, floor, b.column("id").to_numpy(), v, k)
-        return pa.table({"query_id": np.repeat(ids, [len(x) for x, _ in out]), "vec_id": np.concatenate([x for x, _ in out]), "score": np.concatenate([y for _, y in out])})
-
-    again = left.withColumn("q", F.col("q").cast("int")).join(floors, "id", "left").unionByName(right.withColumn("q", F.col("q").cast("int")), allowMissingColumns=True)
-    best = again.groupBy("q", "d").applyInArrow(second, "query_id long, vec_id long, score long")
-    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if not len(a) or not len(b):
+            return
+        cell = np.frombuffer(b"".join(b.column("cell").to_pylist()), np.uint8).reshape(len(b), -1)
+        middle = self.grid.middles(cell).T.copy()
+        q = matrix(a.column("v"), len(self.grid.low))
+        for i in range(0, len(q), ROWS):
+            part = q[i : i + ROWS]
+            yield a.slice(i, len(part)), b, part @ middle, self.grid.slack(part)
+
+    def floors(self, queries: DataFrame) -> DataFrame:
+        """(asked, floor): a score that k + 1 ids reach for certain; no row where there are fewer."""
+        kernel = _Scan(self)
+        lower = self._meetings(queries, []).applyInArrow(lambda table: kernel.lower(table), "asked long, lower double")
+        ranked = lower.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("lower"))))
+        return ranked.where(F.col("r") == self.k + 1).select("asked", F.col("lower").alias("floor"))
+
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """(asked, entry, upper) of all entries whose upper bound reaches the query's floor."""
+        bounded = materialize(queries.join(self.floors(queries), "asked", "left"), "floors")
+        kernel = _Scan(self)
+        return self._meetings(bounded, ["floor"]).applyInArrow(lambda table: kernel.upper(table), "asked long, entry long, upper double")
+
+    def read(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """(asked, id, score) of pairs (asked, entry), from exact vectors."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    q, v = matrix(batch.column(1)), matrix(batch.column(2))
+                    width = max(q.shape[1], v.shape[1])
+                    q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(exact_scores(q, v))], ["asked", "ids", "score"])
+
+        met = pairs.select("asked", "entry").join(self.entries.select("entry", "v", "ids"), "entry").join(queries.select("asked", F.col("v").alias("qv")), "asked")
+        scored = met.select("asked", "qv", "v", "ids").mapInArrow(run, "asked long, ids array<long>, score long")
+        return scored.select("asked", F.explode("ids").alias("id"), "score").groupBy("asked", "id").agg(F.max("score").alias("score"))
+
+    def best(self, scored: DataFrame) -> DataFrame:
+        """The k + 1 first of each query, with their rank ``r``."""
+        order = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
+        return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= self.k + 1)
+
+    def search(self, is_query) -> DataFrame:
+        """query_id, rank, vec_id, score; ``is_query`` is a condition on the column ``id``."""
+        own = self.vectors.where(is_query).join(self.entries.select("entry", F.col("v").alias("ev")), F.col("v") == F.col("ev"))
+        asked = materialize(own.select(F.col("id").alias("query_id"), F.col("entry").alias("asked")), "asked")
+        queries = materialize(self.entries.join(asked.select(F.col("asked").alias("entry")).distinct(), "entry", "left_semi").select(F.col("entry").alias("asked"), "v"), "queries")
+        found = self.candidates(queries)
+        found = materialize(found.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("upper"), "entry"))), "candidates")
+        nearest = F.col("r") <= FIRST * (self.k + 1)
+        first = materialize(self.best(self.read(found.where(nearest), queries)).drop("r"), "first")
+        certain = self.best(first).where(F.col("r") == self.k + 1).select("asked", F.col("score").alias("least"))
+        rest = found.where(~nearest).join(certain, "asked", "left").where("least is null or upper >= least")
+        every = self.best(first.unionByName(self.read(rest, queries)).groupBy("asked", "id").agg(F.max("score").alias("score")))
+        told = asked.join(every.drop("r"), "asked").where("id <> query_id").groupBy("query_id", F.col("id").alias("vec_id")).agg(F.max("score").alias("score"))
+        ranked = told.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return ranked.where(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score")
+
+
+class _Scan:
+    """The kernels of the two scans; holds only what they need, since it travels to the tasks."""
+
+    def __init__(self, of: VectorFile):
+        self.grid, self.k = of.grid, of.k
+
+    _middle_scores = VectorFile._middle_scores
+
+    def lower(self, table: pa.Table) -> pa.Table:
+        ids, low = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, b, score, slack in self._middle_scores(table):
+            score = score[:, b.column("sure").to_numpy(zero_copy_only=False).astype(bool)]
+            n = min(self.k + 1, score.shape[1])
+            if n:
+                top = np.partition(score, score.shape[1] - n, axis=1)[:, -n:] - slack[:, None]
+                ids.append(np.repeat(a.column("entry").to_numpy(), n))
+                low.append(top.ravel())
+        return pa.table({"asked": np.concatenate(ids), "lower": np.concatenate(low)})
+
+    def upper(self, table: pa.Table) -> pa.Table:
+        ids, entries, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, b, score, slack in self._middle_scores(table):
+            floor = np.array([-np.inf if x is None else x for x in a.column("floor").to_pylist()])
+            score += slack[:, None]
+            r, c = np.nonzero(score >= floor[:, None])
+            ids.append(a.column("entry").to_numpy()[r])
+            entries.append(b.column("entry").to_numpy()[c])
+            high.append(score[r, c])
+        return pa.table({"asked": np.concatenate(ids), "entry": np.concatenate(entries), "upper": np.concatenate(high)})
+
+
+def top_k(rows: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score; ``is_query`` is a condition on the column ``id``."""
+    return VectorFile(rows, k, id_column, vector, block, query_block).search(is_query)

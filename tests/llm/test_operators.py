@@ -555,21 +555,59 @@ def test_license_scan_matches_brute_force(docs, texts):
 
 # --- op 10
 
+def top_k_brute(vectors, k=20):
+    """Each query id's first k, with Python's integers; scores put at the ends of a long."""
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = {}
+    for i, v in vectors:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            whole.setdefault(i, []).append([math.floor(64 * float(np.float32(x))) for x in v])
+    out = {}
+    for q in [i for i in whole if i % 20 == 0]:
+        score = {i: clip(max(sum(a * b for a, b in zip(x, y)) for x in whole[q] for y in own)) for i, own in whole.items() if i != q}
+        out[q] = [(r + 1, i, -s) for r, (s, i) in enumerate(sorted((-s, i) for i, s in score.items())[:k])]
+    return out
+
+
+def vectors_frame(spark, vectors):
+    return spark.createDataFrame([(i, v, 0, 0, 0) for i, v in vectors], "vec_id long, embedding array<float>, rank int, entry int, asked int")
+
+
+def told(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return {q: sorted(rows) for q, rows in got.items()}
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(300)]
     vectors += [(400 + i, vectors[40][1]) for i in range(60)]  # ties
-    vectors += [(500, None), (520, [None] * 16), (540, [float("nan")] * 16), (560, [float("inf")] * 16), (40, vectors[40][1]), (580, [0.5] * 3), (None, [0.1] * 16)]
-    df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, rank int")
-    got = {}
-    for r in topk.top_k(df, "id % 20 = 0", block=64, query_block=7).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    whole = {}
-    for i, v in vectors:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            whole[i] = np.pad(np.array([math.floor(64 * float(np.float32(x))) for x in v]), (0, 16 - len(v)))
-    for q in [i for i in whole if i % 20 == 0]:
-        best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:20]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert set(got) == {i for i in whole if i % 20 == 0}
+    vectors += [(500, None), (520, [None] * 16), (540, [float("nan")] * 16), (560, [float("inf")] * 16), (40, vectors[40][1]), (580, [0.5] * 3), (None, [0.1] * 16), (600, [])]
+    vectors += [(i, [float(x) for x in rng.normal(0, 0.3, 16)]) for i in (7, 7, 20, 60, 60)]  # ids with several vectors
+    df = vectors_frame(spark, vectors)
+    assert told(topk.top_k(df, "id % 20 = 0", block=64, query_block=7)) == top_k_brute(vectors)
+    assert told(topk.top_k(df.limit(7), "id % 20 = 0")) == {0: top_k_brute(vectors[:7])[0]}
     assert topk.top_k(df.limit(0), "id % 20 = 0").count() == 0
+
+
+def test_top_k_of_extreme_components(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 8) * 10.0 ** rng.integers(-3, 38)]) for i in range(90)]
+    vectors += [(100 + i, [3.4e38 * s] * 8) for i, s in enumerate((1, -1, 1))] + [(120, [1e8] * 8), (121, [1e8 + 8] * 8)]
+    assert told(topk.top_k(vectors_frame(spark, vectors), "id % 20 = 0", block=32)) == top_k_brute(vectors)
+
+
+def test_top_k_reads_few_exact_vectors(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rng.normal(0, 0.125, 64)]) for i in range(2000)]
+    own = topk.VectorFile(vectors_frame(spark, vectors), block=700)
+    queries = own.entries.where("first % 100 = 0").select(F.col("entry").alias("asked"), "v")
+    assert own.file.columns == ["entry", "sure", "cell"] and all(len(r["cell"]) == 64 for r in own.file.limit(5).collect())
+    found = own.candidates(queries)
+    assert 21 * 20 <= found.count() < 0.2 * 20 * 2000
+    # bounds hold for every pair that is read, and no reported entry is missing
+    exact = {(r["asked"], r["id"]): r["score"] for r in own.read(found, queries).collect()}
+    upper = {(r["asked"], r["ids"][0]): r["upper"] for r in found.join(own.entries, "entry").collect()}
+    assert set(exact) == set(upper) and all(exact[x] <= upper[x] for x in exact)
