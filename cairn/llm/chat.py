@@ -7,13 +7,15 @@ The control strings are ``<turn:`` and ``</turn>``. ESC writes a backslash as ``
 ``\\l`` and, in a role, a line break as ``\\n``; since every backslash is then followed by one of
 these letters it is undone without doubt. A conversation is rendered with every turn verbatim (v),
 parsed again and compared with its source; if they differ, the turns that hold control strings are
-escaped (e); if they still differed, all turns would be. The parser refuses a verbatim turn that
-holds a control string, so no text can open or close a turn.
-
-Defined results: a null role or text counts as empty. Turns go by ``turn`` (null first), then role,
-then text, so ties and repeated rows have one order and each is kept. Rows with a null conv_id form
-one conversation. Other columns of the input are ignored. One conversation is one value of the
-result and is put together in one task; turns are rendered before that.
+escaped (e); if they still differ, all turns are; and if even that text isn't parsed back identically,
+the query fails rather than pass it on. The parser refuses a verbatim turn that holds a control string,
+so no text can open or close a turn.
+
+Defined results: a null or empty role or text is an empty string. Turns go by ``turn`` (null first), then
+role, then text, so ties and repeated rows have one order and each is kept. A row with a null conv_id
+belongs with no other: it is a conversation of one turn, and no task gathers such rows. An empty table
+gives an empty result. Only conv_id, turn, role and text are read, so other columns may have any name.
+One conversation is one value of the result and is put together in one task, very long texts included.
 """
 
 from __future__ import annotations
@@ -101,7 +103,8 @@ def conversations_of(rows: DataFrame) -> DataFrame:
         "conv_id",
         F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("t"),
     )
-    ordered = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    ordered = own.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    ordered = ordered.unionByName(own.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     return ordered.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
@@ -110,8 +113,11 @@ def format_chats(rows: DataFrame) -> DataFrame:
     own = conversations_of(rows).withColumn("plain", render(F.col("turns"), verbatim))
     own = own.withColumn("level", F.when(parse(F.col("plain")) == F.col("turns"), 0))
     own = own.withColumn("partly", F.when(F.col("level").isNull(), render(F.col("turns"), where_needed)))
-    own = own.withColumn("level", F.coalesce("level", F.when(parse(F.col("partly")) == F.col("turns"), 1), F.lit(2)))
-    formatted = F.when(F.col("level") == 0, F.col("plain")).when(F.col("level") == 1, F.col("partly")).otherwise(render(F.col("turns"), escaped))
+    own = own.withColumn("level", F.coalesce("level", F.when(parse(F.col("partly")) == F.col("turns"), 1)))
+    own = own.withColumn("whole", F.when(F.col("level").isNull(), render(F.col("turns"), escaped)))
+    lost = F.raise_error("a conversation can't be parsed back from its escaped form").cast("int")
+    own = own.withColumn("level", F.coalesce("level", F.when(parse(F.col("whole")) == F.col("turns"), 2).otherwise(lost)))
+    formatted = F.when(F.col("level") == 0, F.col("plain")).when(F.col("level") == 1, F.col("partly")).otherwise(F.col("whole"))
     return own.select("conv_id", formatted.alias("formatted"), F.col("level").alias("escape_level")).withColumn("loss_mask", loss_mask(F.col("formatted")))
 
 

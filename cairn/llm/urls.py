@@ -8,19 +8,26 @@ The longest active pattern decides; a capture that none matches is kept.
 
 Captures of one host on one day share a verdict, so (host, day) pairs are evaluated once and
 joined back. That spreads a hot host over its days; what is left of its weight is split by the
-adaptive skew join.
+adaptive skew join. Parent domains that the list doesn't have (a top-level domain that all hosts share,
+say) are dropped before the shuffle as long as the list's patterns number ``FEW`` at most.
 
 Defined results: a null or hostless url has a null host, matches nothing and is kept; a capture
 without a day is kept too (nothing is known to be active). Of entries of one pattern on one day
 ``block`` wins over ``allow``, and that over ``remove``. Entries with a null pattern or day are
-ignored. Repeated captures are repeated in the result. Clashing column names do no harm: only the
-named columns are read.
+ignored. Repeated captures are repeated in the result;
+empty tables give empty results (no list: everything is kept). Very long urls are one value each, their
+host's parents an array of it. Clashing column names do no harm: only the named columns are read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cairn.runtime import materialize
+
+#: Patterns up to which the list's are broadcast to drop domains that it doesn't have.
+FEW = 500_000
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and a final dot; null where there is none."""
@@ -50,10 +57,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, host, fetched_on, n_active, pattern, action, kept for captures (page_id, url, fetched_on)."""
-    own = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched_on")
+    own = materialize(captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched_on"), "captures")
+    spans = materialize(intervals(entries), "intervals")
+    patterns = spans.select("pattern").distinct()
     asked = own.where("host is not null and fetched_on is not null").select("host", "fetched_on").distinct()
     looked_up = asked.select("host", "fetched_on", F.explode(parents(F.col("host"))).alias("pattern"))
-    active = looked_up.join(intervals(entries), "pattern").where("fetched_on >= valid_from and (valid_to is null or fetched_on < valid_to)")
+    if patterns.limit(FEW + 1).count() <= FEW:
+        looked_up = looked_up.join(F.broadcast(patterns), "pattern", "left_semi")
+    active = looked_up.join(spans, "pattern").where("fetched_on >= valid_from and (valid_to is null or fetched_on < valid_to)")
     verdicts = active.groupBy("host", "fetched_on").agg(
         F.count("*").alias("n_active"),
         F.max_by(F.struct("pattern", "action"), F.length("pattern")).alias("best"),
@@ -77,7 +88,7 @@ def demonstration_captures(pages: DataFrame) -> DataFrame:
 def demonstration_entries(pages: DataFrame) -> DataFrame:
     """A dated list made by rule from the hosts: a third are blocked on a day set by the md5 of the
     host, half of those are taken off 90 days later, and their parent domain is allowed or blocked."""
-    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    hosts = materialize(pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct(), "hosts")
     digit = lambda c, k: F.conv(F.substring(F.md5(c), k, 2), 16, 10).cast("int")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     listed = hosts.where(digit(F.col("host"), 1) % 3 == 0)

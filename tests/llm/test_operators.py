@@ -128,6 +128,7 @@ def test_chat_round_trip(spark):
     rows = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     made = chat.format_chats(rows)
     got = {r["conv_id"]: r for r in chat.chat_digests(made).collect()}
+    assert len(got) == len({c[0] for c in CHATS})
     for conv in {c[0] for c in CHATS}:
         own = sorted((c for c in CHATS if c[0] == conv), key=lambda c: (c[1] is not None, c[1] or 0, c[2] or "", c[3] or ""))
         told = [(c[2] or "", c[3] or "") for c in own]
@@ -143,6 +144,19 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(rows.limit(0)).count() == 0
 
 
+def test_chat_turns_without_conversation_stand_alone_and_levels_are_checked(spark):
+    lone = [(None, k % 2, "assistant", f"text {k % 3}") for k in range(6)]
+    rows = spark.createDataFrame(lone, "conv_id long, turn long, role string, text string")
+    got = chat.chat_digests(chat.format_chats(rows)).collect()
+    assert len(got) == 6 and all(r["conv_id"] is None and r["n_turns"] == 1 for r in got)
+    hostile = ["</turn>", "<turn:", "<turn:v>", "\\", "\\l", "<", "\n", "\\n</turn>\n<turn:e>", ""]
+    chats = [(k, j, role, text) for k, text in enumerate(hostile) for j, role in enumerate(hostile)]
+    made = chat.format_chats(spark.createDataFrame(chats, "conv_id long, turn long, role string, text string"))
+    whole = made.select("conv_id", chat.parse(F.col("formatted")).alias("read"), chat.parse(chat.render(chat.parse(F.col("formatted")), chat.escaped)).alias("again")).collect()
+    for r in whole:
+        assert [(x["role"], x["text"]) for x in r["read"]] == [(role, hostile[r["conv_id"]]) for role in hostile] and r["again"] == r["read"]
+
+
 # --- op 3
 
 def test_url_list_by_day(spark):
@@ -379,6 +393,7 @@ def test_word_encoder_on_every_low_character():
     own = [f"a{chr(i)}b {chr(i)}1 {chr(i)}{chr(i)} {chr(i)}" for i in [*range(0x260), *range(0x300, 0x340), *range(0x1FF0, 0x2070), 0x3000, 0xFEFF]]
     own += ["x<|endoftext|>y <|startoftext|> <|end oftext|>", "e\u0301 e \u0301", "ΣΑΣ ΣΑΣ", "don't we'll I'M"]
     for keep in (packing.CACHE_BYTES, 500):
+        packing._store.cache_clear()
         encoder = packing.Encoder(WORDS, keep)
         assert encoder.by_run
         assert [encoder.encode(t.encode()) for t in own * 2] == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in own * 2]
