@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-import math
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from cairn.operators.profiling import quantile
+from cairn.operators.profiling import walked, walked_quantiles
 from cairn.runtime import materialize
 
 FLOOR = 1e-8
 
 
-def psi_edges(reference: DataFrame, current: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
+def steps_of(reference: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Walked counts (feature, value, r, c, r_before, c_before) of two (feature, value) tables without their nulls,
+    and (feature, r, c) in all. Both tables are read once; everything about drift follows from these counts."""
+    mark = lambda df, r, c: df.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value"), F.lit(r).alias("r"), F.lit(c).alias("c"))
+    counts = mark(reference, 1, 0).unionByName(mark(current, 0, 1)).groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    walk, totals = walked(counts, ["r", "c"])
+    return materialize(walk, "walk"), materialize(totals, "totals")
+
+
+def psi_edges(walk: DataFrame, totals: DataFrame, bins: int = 10) -> DataFrame:
     """(feature, edges, constant): inner edges of distinct linear quantiles of the reference; with fewer than three
     distinct ones equal widths over the joint range, or constant if that has none."""
-    quantiles = quantile("value", [i / bins for i in range(bins + 1)], accuracy)
-    ref = reference.groupBy("feature").agg(F.array_sort(F.array_distinct(quantiles)).alias("q"))
-    span = reference.unionByName(current).groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    own = ref.join(span, "feature")
+    quantiles = walked_quantiles(walk, totals, [i / bins for i in range(bins + 1)], "r").select("feature", F.array_sort(F.array_distinct("q")).alias("q"))
+    span = walk.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    own = quantiles.join(span, "feature")
     width = (F.col("high") - F.col("low")) / bins
     equal = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.col("low") + i * width)
     inner = F.slice("q", F.lit(2), F.greatest(F.size("q") - 2, F.lit(0)))
@@ -26,20 +32,23 @@ def psi_edges(reference: DataFrame, current: DataFrame, bins: int = 10, accuracy
     return own.select("feature", F.when(few, equal).otherwise(inner).alias("edges"), (few & (F.col("low") == F.col("high"))).alias("constant"))
 
 
-def psi(reference: DataFrame, current: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
-    """(feature, psi) of (feature, value) tables. Bins are [a, b); an empty one counts with a floor of 1e-8."""
-    edges = psi_edges(reference, current, bins, accuracy)
-    both = reference.select("feature", "value", F.lit(0).alias("cur")).unionByName(current.select("feature", "value", F.lit(1).alias("cur")))
-    placed = both.join(F.broadcast(edges), "feature").select("feature", "cur", F.aggregate("edges", F.lit(0), lambda s, e: s + F.when(F.col("value") >= e, 1).otherwise(0)).alias("bin"))  # a row for each feature
-    counts = placed.groupBy("feature", "bin").agg(F.count_if(F.col("cur") == 0).alias("r"), F.count_if(F.col("cur") == 1).alias("c"))
-    totals = counts.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+def psi_of(walk: DataFrame, totals: DataFrame, bins: int = 10) -> DataFrame:
+    edges = materialize(psi_edges(walk, totals, bins), "edges")
+    placed = walk.join(F.broadcast(edges), "feature").select("feature", "r", "c", F.aggregate("edges", F.lit(0), lambda s, e: s + F.when(F.col("value") >= e, 1).otherwise(0)).alias("bin"))  # a row for each feature
+    counts = placed.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    sizes = totals.select("feature", F.col("r").alias("nr"), F.col("c").alias("nc"))
     every = edges.select("feature", "constant", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
-    full = every.join(counts, ["feature", "bin"], "left").join(totals, "feature")
+    full = every.join(counts, ["feature", "bin"], "left").join(sizes, "feature")
     r, c = (F.greatest(F.coalesce(x, F.lit(0)) / n, F.lit(FLOOR)) for x, n in ((F.col("r"), F.col("nr")), (F.col("c"), F.col("nc"))))
     out = full.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"), F.bool_or("constant").alias("constant"))
     return out.select("feature", F.when(F.col("constant"), 0.0).otherwise(F.col("psi")).alias("psi"))
 
 
+def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
+    """(feature, psi) of (feature, value) tables. Bins are [a, b); an empty one counts with a floor of 1e-8."""
+    return psi_of(*steps_of(reference, current), bins)
+
+
 def kolmogorov(d: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sided p of a two-sample statistic (a series of 100 terms)."""
     x = d * F.sqrt(n * m / (n + m))
@@ -48,41 +57,38 @@ def kolmogorov(d: Column, n: Column, m: Column) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 
+def ks_of(walk: DataFrame, totals: DataFrame) -> DataFrame:
+    sizes = totals.select("feature", F.col("r").alias("nr"), F.col("c").alias("nc"))  # a row for each feature
+    apart = F.abs((F.col("r_before") + F.col("r")) / F.col("nr") - (F.col("c_before") + F.col("c")) / F.col("nc"))
+    top = walk.join(F.broadcast(sizes), "feature").groupBy("feature").agg(F.max(apart).alias("d"), F.max("nr").alias("nr"), F.max("nc").alias("nc"))
+    return top.select("feature", F.col("d").alias("ks_statistic"), kolmogorov(F.col("d"), F.col("nr"), F.col("nc")).alias("ks_pvalue"))
+
+
 def ks(reference: DataFrame, current: DataFrame) -> DataFrame:
     """(feature, ks_statistic, ks_pvalue): distances of the empirical distributions, from counts of distinct values."""
-    both = reference.select("feature", "value", F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(current.select("feature", "value", F.lit(0).alias("r"), F.lit(1).alias("c")))
-    steps = both.groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    # Ranges of (feature, value) are walked each by itself, from the counts of the ranges before: no task walks a whole feature.
-    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(steps.repartitionByRange(n, "feature", "value").withColumn("part", F.spark_partition_id()), "steps")
-    sums = dealt.groupBy("feature", "part").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    order = Window.partitionBy("feature").orderBy("part")  # a row for each range
-    before = sums.select("feature", "part", (F.sum("r").over(order) - F.col("r")).alias("r0"), (F.sum("c").over(order) - F.col("c")).alias("c0"))
-    totals = sums.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
-    running = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    walk = dealt.select("feature", "part", F.sum("r").over(running).alias("r"), F.sum("c").over(running).alias("c"))
-    walk = walk.join(F.broadcast(before), ["feature", "part"]).select("feature", (F.col("r") + F.col("r0")).alias("r"), (F.col("c") + F.col("c0")).alias("c"))
-    top = walk.join(F.broadcast(totals), "feature").groupBy("feature").agg(F.max(F.abs(F.col("r") / F.col("nr") - F.col("c") / F.col("nc"))).alias("d"), F.max("nr").alias("nr"), F.max("nc").alias("nc"))
-    return top.select("feature", F.col("d").alias("ks_statistic"), kolmogorov(F.col("d"), F.col("nr"), F.col("nc")).alias("ks_pvalue"))
+    return ks_of(*steps_of(reference, current))
+
+
+def moments_of(walk: DataFrame, totals: DataFrame) -> DataFrame:
+    """(feature, reference_mean, current_mean, reference_std, current_std): population deviations, about the means."""
+    v = F.col("value")
+    means = walk.groupBy("feature").agg(*((F.sum(v * F.col(s)) / F.sum(s)).alias(f"{name}_mean") for s, name in (("r", "reference"), ("c", "current"))))
+    about = walk.join(F.broadcast(means), "feature")  # a row for each feature
+    spread = lambda s, name: F.sqrt(F.sum(F.pow(v - F.col(f"{name}_mean"), 2) * F.col(s)) / F.sum(s)).alias(f"{name}_std")
+    return about.groupBy("feature", "reference_mean", "current_mean").agg(spread("r", "reference"), spread("c", "current"))
 
 
 def status(psi_value: Column, d: Column, p: Column) -> Column:
     return F.when(psi_value >= 0.25, "refit").when((psi_value >= 0.10) | ((d >= 0.10) & (p <= 0.01)), "warning").otherwise("stable")
 
 
-def drift_report(reference: DataFrame, current: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
-    """One row for each feature: PSI, KS, status, and both sides' mean and population deviation."""
-    side = lambda df, name: df.groupBy("feature").agg(F.avg("value").alias(f"{name}_mean"), F.stddev_pop("value").alias(f"{name}_std"))
-    out = psi(reference, current, bins, accuracy).join(ks(reference, current), "feature").join(side(reference, "reference"), "feature").join(side(current, "current"), "feature")
+def drift_report(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
+    """One row for each feature: PSI, KS, status, and both sides' mean and population deviation, from one pass over the tables."""
+    walk, totals = steps_of(reference, current)
+    out = psi_of(walk, totals, bins).join(ks_of(walk, totals), "feature").join(moments_of(walk, totals), "feature")
     return out.select("feature", "psi", "ks_statistic", "ks_pvalue", status(F.col("psi"), F.col("ks_statistic"), F.col("ks_pvalue")).alias("status"), "reference_mean", "current_mean", "reference_std", "current_std")
 
 
 def drift_summary(report: DataFrame) -> DataFrame:
     s = F.col("status")
     return report.agg(F.count_if(s == "stable").alias("n_stable"), F.count_if(s == "warning").alias("n_warning"), F.count_if(s == "refit").alias("n_refit"), F.max("psi").alias("max_psi"), F.max("ks_statistic").alias("max_ks"), F.bool_or(s == "refit").alias("any_refit"))
-
-
-def exact_p(d: float, n: int, m: int) -> float:
-    """The asymptotic p on the driver (for tests)."""
-    x = d * math.sqrt(n * m / (n + m))
-    return min(1.0, max(0.0, sum((2 if j % 2 else -2) * math.exp(-2 * j * j * x * x) for j in range(1, 101)))) if x >= 0.2 else 1.0

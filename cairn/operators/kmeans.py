@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions.vectors import distances, matrix
 from cairn.operators.cleaning import hash_order
+from cairn.runtime import materialize
 
 
 @dataclass
@@ -129,7 +130,7 @@ def gap_statistic(rows: DataFrame, ks: Sequence[int], references: int = 5, seed:
     own = {f.k: f.inertia[-1] for f in lloyd(rows, start(rows, [(k, seed) for k in ks]), steps)}
     refs: dict[int, list[float]] = {k: [] for k in ks}
     for b in range(references):
-        box = uniform_box(rows, n, seed + 1 + b)
+        box = materialize(uniform_box(rows, n, seed + 1 + b), "box")
         for f in lloyd(box, start(box, [(k, seed) for k in ks]), steps):
             refs[f.k].append(float(np.log(max(f.inertia[-1], TINY))))
     out = []
@@ -143,7 +144,7 @@ def bootstrap_fits(rows: DataFrame, draws: DataFrame, k: int, seed: int = 42, st
     """A fit of each resample (run, id, weight); all advance together over the rows once a step."""
     runs = [r["run"] for r in draws.select("run").distinct().orderBy("run").collect()]
     held = draws.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("b"), F.col("run").cast("string")).alias("k"), F.col("weight").cast("double").alias("w")))).alias("w"))
-    weighted = rows.join(held, "id", "left")
+    weighted = materialize(rows.join(held, "id", "left"), "weighted")
     fits = []
     for run in runs:
         drawn = rows.join(draws.where(F.col("run") == run), "id", "left_semi")

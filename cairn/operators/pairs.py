@@ -14,12 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.vectors import distances, matrix
+from cairn.runtime import materialize
 
 BLOCK = 2048
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table of the shared folder; as they are if they already are one."""
+    return rows if getattr(rows, "_cairn_path", None) else materialize(rows, "block-rows")
+
+
 def block_pairs(left: DataFrame, right: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
-    """``kernel(rows of a left block, rows of a right block)`` for every pair of blocks. Both frames have ``id``."""
+    """``kernel(rows of a left block, rows of a right block)`` for every pair of blocks. Both frames have ``id``.
+
+    They are written once, so that counting and pairing read a table instead of working it out again.
+    """
+    same = right is left
+    left = held(left)
+    right = left if same else held(right)
     n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
     seat = lambda n: F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

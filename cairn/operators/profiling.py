@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cairn.runtime import materialize
+
 
 def g1(c: str) -> Column:
     """Bias-corrected skewness; null below three values or without spread."""
@@ -39,13 +41,51 @@ def unpivot(rows: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), na
     return rows.select(*ids, F.explode(boxed).alias("_x")).select(*ids, f"_x.{name}", f"_x.{value}")
 
 
+def value_counts_of(long: DataFrame) -> DataFrame:
+    """(feature, value, n) of a (feature, value) table without its nulls, combined before the shuffle."""
+    return long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
+def walked(counts: DataFrame, sums: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(feature, value) counts in order, and (feature, total...) of them.
+
+    Each of the columns ``sums`` gets a running total ``<column>_before`` of the smaller values of its
+    feature. Ranges of (feature, value) are walked each by itself, from the sums of the ranges before: no
+    task walks a whole feature, however many distinct values it has.
+    """
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(counts.repartitionByRange(n, "feature", "value").withColumn("part", F.spark_partition_id()), "steps")
+    parts = dealt.groupBy("feature", "part").agg(*(F.sum(c).alias(c) for c in sums))
+    order = Window.partitionBy("feature").orderBy("part")  # a row for each range
+    before = parts.select("feature", "part", *((F.sum(c).over(order) - F.col(c)).alias(f"{c}_ahead") for c in sums))
+    running = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    walk = dealt.select("*", *((F.sum(c).over(running) - F.col(c)).alias(f"{c}_own") for c in sums)).join(F.broadcast(before), ["feature", "part"])  # rows of ranges
+    walk = walk.select(*counts.columns, *((F.col(f"{c}_own") + F.col(f"{c}_ahead")).alias(f"{c}_before") for c in sums))
+    return walk, parts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def walked_quantiles(walk: DataFrame, totals: DataFrame, shares: Sequence[float], count: str = "n") -> DataFrame:
+    """(feature, q): exact interpolated quantiles, by the ranks around each, from a walked table."""
+    share = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)))).alias("s")
+    wanted = totals.where(F.col(count) > 0).select("feature", ((F.col(count) - 1).cast("double")).alias("last"), share).select("feature", "s.i", (F.col("last") * F.col("s.p")).alias("at"))
+    wanted = wanted.withColumns({"low": F.floor("at"), "high": F.ceil("at")})  # a row for each feature and share
+    near = walk.where(F.col(count) > 0).select(F.col("feature").alias("of"), "value", F.col(f"{count}_before").alias("first"), (F.col(f"{count}_before") + F.col(count)).alias("stop"))
+    inside = lambda c: (F.col(c) >= F.col("first")) & (F.col(c) < F.col("stop"))
+    hit = near.join(F.broadcast(wanted), (F.col("of") == F.col("feature")) & (inside("low") | inside("high")))
+    found = hit.groupBy("feature", "i", "at", "low", "high").agg(F.max(F.when(inside("low"), F.col("value"))).alias("a"), F.max(F.when(inside("high"), F.col("value"))).alias("b"))
+    q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.col("high") - F.col("at")) * F.col("a") + (F.col("at") - F.col("low")) * F.col("b"))
+    return found.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))).alias("x")).select("feature", F.transform("x", lambda s: s["q"]).alias("q"))
+
+
 def value_steps(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int | None = None) -> DataFrame:
-    """(feature, n_distinct, q): distinct values and quantiles from counts of equal values, combined before the shuffle."""
+    """(feature, n_distinct, q): distinct values and exact quantiles from walked counts of equal values, or both from sketches."""
     long = unpivot(rows, columns)
     if accuracy:
         return long.groupBy("feature").agg(F.approx_count_distinct("value").alias("n_distinct"), quantile("value", list(shares), accuracy).alias("q"))
-    counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy("feature").agg(F.count("value").alias("n_distinct"), F.percentile("value", F.array(*map(F.lit, shares)), F.col("n")).alias("q"))
+    walk, totals = walked(value_counts_of(long).withColumn("d", F.lit(1).cast("long")), ["n", "d"])
+    every = rows.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    known = totals.select("feature", F.col("d").alias("n_distinct")).join(walked_quantiles(walk, totals, shares), "feature")
+    return every.join(F.broadcast(known), "feature", "left").select("feature", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "q")  # a row for each column
 
 
 def column_profile(rows: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
@@ -72,16 +112,15 @@ def eda_summary(rows: DataFrame, columns: Sequence[str], accuracy: int | None =
 
 
 def scaler_summary(rows: DataFrame, columns: Sequence[str], scaler: str) -> DataFrame:
-    return _long(
-        rows,
-        columns,
-        lambda c: {"mean": F.avg(c), "std": F.stddev_pop(c), "median": F.percentile(c, 0.5), "q25": F.percentile(c, 0.25), "q75": F.percentile(c, 0.75), "min": F.min(c), "max": F.max(c)},
-    ).withColumn("scaler", F.lit(scaler))
+    out = _long(rows, columns, lambda c: {"mean": F.avg(c), "std": F.stddev_pop(c), "min": F.min(c), "max": F.max(c)}).join(value_steps(rows, columns, [0.25, 0.5, 0.75]), "feature")
+    q = [F.get("q", F.lit(i)) for i in range(3)]
+    return out.select("feature", "mean", "std", q[1].alias("median"), q[0].alias("q25"), q[2].alias("q75"), "min", "max", F.lit(scaler).alias("scaler"))
 
 
 def informative_features(rows: DataFrame, columns: Sequence[str], count: int = 8, preferred: Sequence[str] = ()) -> DataFrame:
     """(position, feature, spread): preferred ones first, then by interquartile range; none without spread."""
-    spread = _long(rows, columns, lambda c: {"spread": F.percentile(c, 0.75) - F.percentile(c, 0.25)}).where("spread > 0")
+    steps = value_steps(rows, columns, [0.25, 0.75])
+    spread = steps.select("feature", (F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("spread")).where("spread > 0")
     rank = F.lit(len(preferred))
     for i, name in reversed(list(enumerate(preferred))):
         rank = F.when(F.col("feature") == name, i).otherwise(rank)
@@ -123,19 +162,18 @@ def t_two_sided(r: float, n: int) -> float:
     return 1 - front * fraction(b, a, 1 - x) / b
 
 
-def critical_r(n: int, alpha: float = 0.01) -> float:
-    """The least |r| on n rows whose two-sided p is at most alpha (bisection)."""
-    low, high = 0.0, 1.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (low, mid) if t_two_sided(mid, n) <= alpha else (mid, high)
-    return high
-
-
 def correlation_significance(rows: DataFrame, columns: Sequence[str], alpha: float = 0.01) -> DataFrame:
-    """(left, right, r, significant) off the diagonal: p <= alpha, by the critical |r| for the row count."""
-    least = critical_r(rows.count(), alpha)
-    return correlations(rows, columns).where("left <> right").withColumn("significant", F.abs("r") >= least)
+    """(left, right, n, r, p_value, significant, masked) off the diagonal: p is two-sided, of the rows in which
+    both have a value; ``masked`` is r where it is significant, else null."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    both = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"), F.corr(a, b).alias("r")) for a, b in pairs]
+    out = []
+    for x in rows.agg(F.array(*both).alias("x")).collect()[0]["x"] if pairs else []:  # a row for each pair of columns
+        known = x["r"] is not None and not math.isnan(x["r"]) and x["n"] >= 3
+        r = x["r"] if known else None
+        p = t_two_sided(r, x["n"]) if known else None
+        out += [(a, b, x["n"], r, p, bool(known and p <= alpha), r if known and p <= alpha else None) for a, b in ((x["a"], x["b"]), (x["b"], x["a"]))]
+    return rows.sparkSession.createDataFrame(out, "left string, right string, n long, r double, p_value double, significant boolean, masked double")
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 60) -> DataFrame:
@@ -158,7 +196,8 @@ def grid_counts(rows: DataFrame, x: str, y: str, size: int = 70) -> DataFrame:
 
 def box_statistics(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median, quartiles and the whiskers at 1.5 interquartile ranges, as far as there are values."""
-    q = _long(rows, columns, lambda c: {"q25": F.percentile(c, 0.25), "median": F.percentile(c, 0.5), "q75": F.percentile(c, 0.75)})
+    steps = value_steps(rows, columns, [0.25, 0.5, 0.75])
+    q = steps.select("feature", *(F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q25", "median", "q75"))))
     inside = unpivot(rows, columns).join(F.broadcast(q), "feature").where("value >= q25 - 1.5 * (q75 - q25) and value <= q75 + 1.5 * (q75 - q25)")  # a row for each column
     whiskers = inside.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     return q.join(whiskers, "feature", "left")

@@ -106,7 +106,7 @@ def split_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
     own = temporal_split(events(spark, d))
     names = ["Amount_log1p", "Time_sin", "Time_cos", "Amount"]
-    long = unpivot(build_features(own, names, keep=("row_id", "split")), names, ids=("split",))
+    long = materialize(unpivot(build_features(own, names, keep=("row_id", "split")), names, ids=("split",)), "features")
     return long.where("split = 'train'").drop("split"), long.where("split = 'test'").drop("split")
 
 
