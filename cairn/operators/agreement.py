@@ -6,23 +6,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cairn.operators.metrics import external
+from cairn.operators.metrics import external_of
+from cairn.runtime import materialize
 
 
-def run_pairs(runs: DataFrame, every: bool = False) -> DataFrame:
-    """Rows (id, run_id, cluster) against each other: (run_id "left|right", cluster, label), for left < right or all."""
-    a, b = runs.alias("a"), runs.alias("b")
-    on = F.col("a.id") == F.col("b.id")
-    if not every:
-        on = on & (F.col("a.run_id") < F.col("b.run_id"))
-    return a.join(b, on).select(F.col("a.run_id").alias("left"), F.col("b.run_id").alias("right"), F.col("a.cluster").alias("cluster"), F.col("b.cluster").alias("label"))
+def run_cells(runs: DataFrame, every: bool = False) -> DataFrame:
+    """Contingency (run_id "left|right", left, right, cluster, label, n) of rows (id, run_id, cluster) for left < right or all pairs.
+
+    A row's labels are gathered once; its pairs of runs are made and counted inside the task, so that cells
+    are shuffled and not rows times pairs.
+    """
+    labels = runs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("run_id", "cluster"))).alias("own"))  # a value for each run
+    pair = lambda a: lambda b: F.struct(a["run_id"].alias("left"), b["run_id"].alias("right"), a["cluster"].alias("cluster"), b["cluster"].alias("label"))
+    others = (lambda a, i: F.col("own")) if every else (lambda a, i: F.slice("own", i + 2, F.size("own")))
+    pairs = F.flatten(F.transform("own", lambda a, i: F.transform(others(a, i), pair(a))))
+    cells = labels.select(F.explode(pairs).alias("p")).select("p.*").groupBy("left", "right", "cluster", "label").agg(F.count("*").alias("n"))
+    return cells.withColumn("run_id", F.concat_ws("|", "left", "right"))
 
 
 def pairwise_ari(runs: DataFrame, every: bool = False) -> DataFrame:
     """(left, right, ari) of runs; with ``every`` in both orders and with themselves."""
-    both = run_pairs(runs, every).withColumn("run_id", F.concat_ws("|", "left", "right"))
-    names = both.select("run_id", "left", "right").distinct()
-    return names.join(external(both.select("run_id", "cluster", "label"), ami=False).select("run_id", "ari"), "run_id").select("left", "right", "ari")
+    cells = materialize(run_cells(runs, every), "cells")
+    return cells.select("run_id", "left", "right").distinct().join(external_of(cells, ami=False).select("run_id", "ari"), "run_id").select("left", "right", "ari")
 
 
 def off_diagonal(agreement: DataFrame) -> DataFrame:
@@ -30,6 +35,14 @@ def off_diagonal(agreement: DataFrame) -> DataFrame:
     return own.agg(F.avg("ari").alias("mean"), F.min("ari").alias("min"), F.max("ari").alias("max"))
 
 
+def ari_summary(runs: DataFrame, groups: DataFrame) -> DataFrame:
+    """By algorithm of ``groups`` (run_id, algorithm): pairs of its runs and their ARI's count, mean, deviation and extremes."""
+    pairs = pairwise_ari(runs.join(groups, "run_id").select("id", "run_id", "cluster"))
+    side = lambda c, name: groups.select(F.col("run_id").alias(c), F.col("algorithm").alias(name))
+    own = pairs.join(side("left", "algorithm"), "left").join(side("right", "other"), "right").where("algorithm = other")
+    return own.groupBy("algorithm").agg(F.count("*").alias("pairs"), F.avg("ari").alias("ari_mean"), F.stddev_samp("ari").alias("ari_std"), F.min("ari").alias("ari_min"), F.max("ari").alias("ari_max"))
+
+
 def best_overlap(reference: DataFrame, other: DataFrame) -> DataFrame:
     """(run_id, cluster, match, jaccard) for (id, cluster) against (id, run_id, cluster): each reference
     cluster's best match; the smallest cluster id wins a tie; 0 where nothing is shared."""

@@ -7,10 +7,12 @@ external ones. A measure that isn't defined is null.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.operators.pairs import BLOCK, label_sums
+from cairn.runtime import materialize
 
 
 def silhouette_points(rows: DataFrame, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
@@ -98,7 +100,11 @@ def _choose2(c: Column) -> Column:
 
 def external(rows: DataFrame, ami: bool = True) -> DataFrame:
     """purity, ari, nmi, ami, fowlkes_mallows, homogeneity, completeness, v_measure of (run_id, cluster, label)."""
-    table = contingency(rows)
+    return external_of(materialize(contingency(rows), "contingency"), ami)
+
+
+def external_of(table: DataFrame, ami: bool = True) -> DataFrame:
+    """The same of counted cells (run_id, cluster, label, n)."""
     by_run = lambda *k: Window.partitionBy("run_id", *k)  # noqa: E731  a table of clusters by labels
     t = table.select("*", F.sum("n").over(by_run("cluster")).alias("a"), F.sum("n").over(by_run("label")).alias("b"), F.sum("n").over(by_run()).alias("total"), F.row_number().over(by_run("cluster").orderBy(F.desc("n"))).alias("ra"), F.row_number().over(by_run("label").orderBy(F.desc("n"))).alias("rb"))
     p, pa_, pb = (F.col(c) / F.col("total") for c in ("n", "a", "b"))
@@ -134,22 +140,39 @@ def external(rows: DataFrame, ami: bool = True) -> DataFrame:
         a, b, _ = margins.setdefault(r["run_id"], ({}, {}, 0.0))
         a[r["cluster"]] = a.get(r["cluster"], 0) + r["n"]
         b[r["label"]] = b.get(r["label"], 0) + r["n"]
-    chance = rows.sparkSession.createDataFrame([(k, expected_mutual_information(list(a.values()), list(b.values()))) for k, (a, b, _) in margins.items()], "run_id string, emi double")
+    chance = table.sparkSession.createDataFrame([(k, expected_mutual_information(list(a.values()), list(b.values()))) for k, (a, b, _) in margins.items()], "run_id string, emi double")
     mean = (F.col("hk") + F.col("hc")) / 2
     adjusted = sums.join(F.broadcast(chance), "run_id").select("run_id", F.when(F.abs(mean - F.col("emi")) <= 1e-12, 1.0).otherwise((F.col("mi") - F.col("emi")) / (mean - F.col("emi"))).alias("ami"))
     return out.join(adjusted, "run_id")
 
 
 def expected_mutual_information(a: list[int], b: list[int]) -> float:
-    """Mean mutual information of random tables with these margins (hypergeometric), from log factorials."""
+    """Mean mutual information of random tables with these margins (hypergeometric).
+
+    Equal margins give equal terms, so each pair of different sizes is worked out once. A cell's chances
+    follow each other by a ratio from the likeliest count outwards, as far as they matter.
+    """
     n = sum(a)
     f = lambda x: math.lgamma(x + 1)
     out = 0.0
-    for x in a:
-        for y in b:
-            fixed = f(x) + f(y) + f(n - x) + f(n - y) - f(n)
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                out += k / n * math.log(n * k / (x * y)) * math.exp(fixed - f(k) - f(x - k) - f(y - k) - f(n - x - y + k))
+    for x, times_x in Counter(a).items():
+        for y, times_y in Counter(b).items():
+            low, high = max(0, x + y - n), min(x, y)
+            mode = min(high, max(low, (x + 1) * (y + 1) // (n + 2)))
+            top = math.exp(f(x) + f(y) + f(n - x) + f(n - y) - f(n) - f(mode) - f(x - mode) - f(y - mode) - f(n - x - y + mode))
+            gain = lambda k: k / n * math.log(n * k / (x * y)) if k else 0.0  # noqa: B023, E731
+            cell = top * gain(mode)
+            p, k = top, mode
+            while k < high and p > 1e-25:
+                p *= (x - k) * (y - k) / ((k + 1) * (n - x - y + k + 1))
+                k += 1
+                cell += p * gain(k)
+            p, k = top, mode
+            while k > low and p > 1e-25:
+                p *= k * (n - x - y + k) / ((x - k + 1) * (y - k + 1))
+                k -= 1
+                cell += p * gain(k)
+            out += times_x * times_y * cell
     return out
 
 
