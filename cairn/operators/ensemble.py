@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions.vectors import distances
-from cairn.operators.hierarchy import _sample, cut_tree, linkage_tree
+from cairn.operators.hierarchy import MAX_ROWS, _sample, cut_tree, linkage_tree
+from cairn.operators.metrics import evaluate
+from cairn.operators.selection import rank_sum
 
 
 def base_grid(dimensions: Sequence[int] = (5, 10, 15, 20), ks: Sequence[int] = range(2, 9), kmeans_seeds: int = 5, gmm_seeds: int = 3, width: int | None = None) -> list[tuple]:
@@ -100,13 +102,51 @@ def labels_of(bases: DataFrame) -> DataFrame:
     return bases.select(F.col("base_id").cast("string").alias("run_id"), F.explode(F.arrays_zip("ids", "clusters")).alias("z")).select(F.col("z.ids").alias("id"), "run_id", F.col("z.clusters").alias("cluster"))
 
 
-def consensus(pairs: DataFrame, ids: list[int], ks: Sequence[int] = range(2, 9)) -> DataFrame:
-    """(id, run_id, cluster) of average-linkage cuts of one minus the co-association shares of a sample; run_id is k."""
-    index = {i: n for n, i in enumerate(sorted(ids))}
-    d = np.ones((len(index), len(index)))
-    for r in pairs.toLocalIterator():
-        d[index[r["i"]], index[r["j"]]] = d[index[r["j"]], index[r["i"]]] = 1 - r["share"]
-    np.fill_diagonal(d, 0)
-    tree = linkage_tree(d, "average")
-    out = [(i, str(k), int(c)) for k in ks for i, c in zip(sorted(ids), cut_tree(tree, k))]
-    return pairs.sparkSession.createDataFrame(out, "id long, run_id string, cluster long")
+def consensus(bases: DataFrame, ks: Sequence[int] = range(2, 9)) -> DataFrame:
+    """(id, run_id, cluster) of average-linkage cuts of one minus the shares of base clusterings that put two
+    rows of the sample together; run_id is k. One task builds the tree, since it needs all of the sample's pairs."""
+    spark = bases.sparkSession
+    first = bases.select(F.size("ids").alias("n")).limit(1).collect()
+    if first and first[0]["n"] > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} rows: take a sample first")
+    cuts = list(ks)
+
+    def build(batches):
+        shared, n = None, 0
+        ids: list[int] = []
+        for pdf in batches:
+            for own, clusters in zip(pdf["ids"], pdf["clusters"]):
+                order = np.argsort(own, kind="stable")
+                ids, at = np.asarray(own)[order].tolist(), np.asarray(clusters)[order]
+                hot = (at[:, None] == np.unique(at[at >= 0])[None, :]).astype(np.float32)
+                shared = hot @ hot.T if shared is None else shared + hot @ hot.T
+                n += 1
+        if shared is not None:
+            d = 1 - shared.astype(np.float64) / n
+            np.fill_diagonal(d, 0)
+            tree = linkage_tree(d, "average")
+            for k in cuts:
+                yield pd.DataFrame({"id": ids, "run_id": str(k), "cluster": cut_tree(tree, k)})
+
+    return bases.select("ids", "clusters").coalesce(1).mapInPandas(build, "id long, run_id string, cluster long")  # a row for each member, each with the sample's labels
+
+
+def evaluate_bases(bases: DataFrame, rows: DataFrame) -> DataFrame:
+    """(base_id, algorithm, parameters, n_records, n_clusters, noise_fraction, measures) of every base clustering of the
+    sample ``rows`` (id, v, label); the label is used only here."""
+    measured = evaluate(labels_of(bases).join(rows, "id"))
+    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("base_id", "k", "dimension", "seed", "covariance")]
+    own = bases.select("base_id", "algorithm", F.concat_ws(",", *parts).alias("parameters"), F.col("k").alias("requested_k"), F.col("base_id").cast("string").alias("run_id"))
+    return own.join(measured, "run_id").drop("run_id")
+
+
+def best_base(evaluated: DataFrame) -> DataFrame:
+    """The base with the least sum of ranks over the internal measures; then the higher silhouette, then the lower id."""
+    return rank_sum(evaluated, ties=[F.desc("silhouette"), F.col("base_id")]).orderBy("final_order").limit(1)
+
+
+def against_best_base(evaluated: DataFrame, consensus_row: DataFrame) -> DataFrame:
+    """The best base and the consensus, a row each, in the same measures."""
+    measures = ("requested_k", "n_records", "n_clusters", "silhouette", "davies_bouldin", "calinski_harabasz", "ari", "nmi", "ami", "fowlkes_mallows", "homogeneity", "completeness", "v_measure", "purity")
+    named = best_base(evaluated).select(F.concat(F.lit("Best base: "), "algorithm").alias("algorithm"), "parameters", *measures)
+    return named.unionByName(consensus_row.select(F.lit("Consensus").alias("algorithm"), F.concat(F.lit("k="), F.col("requested_k").cast("string")).alias("parameters"), *measures))

@@ -123,7 +123,8 @@ def _sample(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def trees(rows: DataFrame, linkages=LINKAGES, metrics=("euclidean",), ks=range(2, 9)) -> DataFrame:
     """(linkage, metric, kind, id, step, cluster, left, right, height, size): kind ``merge`` has a row for each
-    merge, kind ``cut`` one for each sample row and k (in ``step``), kind ``cophenetic`` the correlation in height."""
+    merge, kind ``cut`` one for each sample row and k (in ``step``), kind ``fixed`` the cut at a share of the top height (k in ``step``),
+    kind ``cophenetic`` the correlation in height."""
     ids, x = _sample(rows)
     spark = rows.sparkSession
     jobs = spark.createDataFrame([(link, metric) for link in linkages for metric in metrics], "linkage string, metric string")
@@ -139,6 +140,8 @@ def trees(rows: DataFrame, linkages=LINKAGES, metrics=("euclidean",), ks=range(2
         for k in cuts:
             parts.append(pd.DataFrame({"kind": "cut", "step": k, "id": ids, "cluster": cut_tree(tree, k), "height": height_for_k(tree, k)}))
         up = np.triu_indices(len(x), 1)
+        height, k = fixed_height_k(tree)
+        parts.append(pd.DataFrame({"kind": "fixed", "step": [k], "height": [height]}))
         r = np.corrcoef(cophenetic(tree)[up], d[up])[0, 1] if len(x) > 2 else np.nan
         parts.append(pd.DataFrame({"kind": "cophenetic", "step": [0], "height": [r]}))
         out = pd.concat(parts).assign(linkage=link, metric=metric)

@@ -49,6 +49,24 @@ def exemplars(points: DataFrame) -> DataFrame:
     return closest.unionByName(best).unionByName(worst).unionByName(far)
 
 
+def enrich_prototypes(prototypes: DataFrame, points: DataFrame, names: DataFrame) -> DataFrame:
+    """Prototypes (cluster, kind, id, value) with what is known of their rows (id, ...) and the cluster's label text."""
+    facts = points.drop("cluster")
+    return prototypes.join(facts, "id", "left").join(names, "cluster", "left")  # a few rows for each cluster
+
+
+def medoid_diagnostics(medoids: DataFrame, sums: DataFrame, closest: DataFrame) -> DataFrame:
+    """(cluster, size, medoid_id, medoid_mean, closest_id, closest_mean, improvement): how much less the medoid's mean
+    distance to its cluster is than that of the row closest to the centroid, as a share; ``sums``: (id, cluster, n, total)
+    of each row to its own cluster."""
+    mean = F.col("total") / F.greatest(F.col("n") - 1, F.lit(1))
+    of = sums.select("id", "cluster", mean.alias("m"), F.col("n").alias("size"))
+    a = medoids.select("cluster", F.col("id").alias("medoid_id")).join(of.select("cluster", F.col("id").alias("medoid_id"), F.col("m").alias("medoid_mean"), "size"), ["cluster", "medoid_id"])
+    b = closest.select("cluster", F.col("id").alias("closest_id")).join(of.select("cluster", F.col("id").alias("closest_id"), F.col("m").alias("closest_mean")), ["cluster", "closest_id"])
+    gain = F.when(F.col("closest_mean") > 0, (F.col("closest_mean") - F.col("medoid_mean")) / F.col("closest_mean")).otherwise(0.0)
+    return a.join(b, "cluster").select("cluster", "size", "medoid_id", "medoid_mean", "closest_id", "closest_mean", gain.alias("improvement"))
+
+
 def check_prototypes(prototypes: DataFrame, kinds: tuple[str, ...] = ("medoid", "closest", "representative", "boundary")) -> DataFrame:
     """(cluster, complete): whether a cluster has each kind exactly once."""
     want = F.array(*(F.lit(k) for k in sorted(kinds)))
@@ -151,9 +169,3 @@ def permutation_importance(model, rows: DataFrame, features: list[str], label: s
         other = placed.drop(f).join(mixed.select("_at", f), "_at")
         out.append((f, base - accuracy(other)))
     return rows.sparkSession.createDataFrame(out, "feature string, importance double")
-
-
-def sensitivity_level(ari: Column) -> Column:
-    from cairn.functions.text import sensitivity_class
-
-    return sensitivity_class(ari)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,41 @@ def start(rows: DataFrame, grid: Sequence[tuple[int, int]]) -> list[Fit]:
     return [Fit(f"k{k}s{seed}", k, seed, first[seed][:k].copy(), []) for k, seed in grid]
 
 
+def start_apart(rows: DataFrame, grid: Sequence[tuple[int, int]]) -> list[Fit]:
+    """A fit for each (k, seed) with starting centroids drawn one after another in proportion to the squared
+    distance to those drawn before.
+
+    A draw is a race: a row's time is -ln(u) / squared distance with u from the md5 of (seed, step, id), and
+    the first row wins. Each task sends its first row for each seed, so a step is one pass for all seeds and
+    fits of one seed share their draws.
+    """
+    most = {seed: max(k for k, s in grid if s == seed) for _, seed in grid}
+    drawn = {seed: seed_rows(rows, 1, seed) for seed in most}
+    for step in range(1, max(most.values())):
+        live = [(seed, drawn[seed]) for seed, k in most.items() if k > step]
+
+        def run(batches, live=live, step=step):
+            best: dict[int, tuple] = {}
+            for batch in batches:
+                if not len(batch):
+                    continue
+                ids, x = batch.column(0).to_pylist(), matrix(batch.column(1))
+                for seed, centers in live:
+                    d = distances(x, centers).min(axis=1) ** 2
+                    u = np.array([(int(md5(f"{seed}:{step}:{i}".encode()).hexdigest()[:12], 16) + 1) / (16**12 + 1) for i in ids])
+                    with np.errstate(divide="ignore"):
+                        time = np.where(d > 0, -np.log(u) / d, np.inf)
+                    at = int(np.lexsort((ids, time))[0])
+                    own = (float(time[at]), int(ids[at]), x[at].tolist())
+                    best[seed] = min(best.get(seed, own), own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([b[0] for b in best.values()], pa.float64()), pa.array([b[1] for b in best.values()], pa.int64()), pa.array([b[2] for b in best.values()], pa.list_(pa.float64()))], ["seed", "time", "id", "v"])
+
+        raced = rows.select("id", "v").mapInArrow(run, "seed long, time double, id long, v array<double>")
+        for r in raced.groupBy("seed").agg(F.min(F.struct("time", "id", "v")).alias("m")).collect():  # a row for each seed
+            drawn[r["seed"]] = np.vstack([drawn[r["seed"]], r["m"]["v"]])
+    return [Fit(f"k{k}s{seed}", k, seed, drawn[seed][:k].copy(), []) for k, seed in grid]
+
+
 def lloyd(rows: DataFrame, fits: list[Fit], steps: int = 300, tolerance: float = 0.0, weights: str | None = None) -> list[Fit]:
     """Advance all fits together. An empty cluster keeps its centroid. With ``weights``, a map column
     run_id -> weight of the row in that fit (a bootstrap); absent means not drawn."""
@@ -109,9 +145,9 @@ def search_table(spark, fits: list[Fit]) -> DataFrame:
     return spark.createDataFrame([(f.run_id, f.k, f.seed, f.n_iter, f.inertia[-1]) for f in fits], "run_id string, k long, seed long, n_iter long, inertia double")
 
 
-def search(rows: DataFrame, ks: Sequence[int], seeds: Sequence[int] = (42,), steps: int = 300) -> tuple[list[Fit], list[Fit]]:
-    """All fits, and for each k the one with the least inertia."""
-    fits = lloyd(rows, start(rows, [(k, s) for k in ks for s in seeds]), steps)
+def search(rows: DataFrame, ks: Sequence[int], seeds: Sequence[int] = (42,), steps: int = 300, apart: bool = False) -> tuple[list[Fit], list[Fit]]:
+    """All fits, and for each k the one with the least inertia; with ``apart`` from starting centroids drawn apart."""
+    fits = lloyd(rows, (start_apart if apart else start)(rows, [(k, s) for k in ks for s in seeds]), steps)
     return fits, [min((f for f in fits if f.k == k), key=lambda f: (f.inertia[-1], f.seed)) for k in ks]
 
 

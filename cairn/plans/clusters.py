@@ -162,15 +162,13 @@ def metric_sensitivity(spark, d):
 
 @query("cut_strategies")
 def cut_strategies(spark, d):
-    """For each linkage the fixed-height cut and the cut of the best silhouette."""
+    """For each linkage the cut at the first share of the top height that leaves several clusters, and the cut of the best silhouette."""
     rows = _sample(spark, d, 2_000)
     built = materialize(hierarchy.trees(rows, ks=range(2, 9)), "trees")
     scores = metrics.silhouette_points(hierarchy.cuts_of(built).join(rows, "id")).groupBy("run_id").agg(F.avg("silhouette").alias("silhouette"))
     part = lambda i: F.get(F.split("run_id", "/"), F.lit(i))
     best = scores.groupBy(part(0).alias("linkage")).agg(F.max_by(part(2), "silhouette").cast("long").alias("silhouette_k"), F.max("silhouette").alias("silhouette"))
-    top = built.where("kind = 'merge'").groupBy("linkage").agg(F.max("height").alias("top"), F.count("*").alias("m"))
-    below = built.where("kind = 'merge'").join(top, "linkage").groupBy("linkage", "m").agg(F.count_if(F.col("height") <= 0.8 * F.col("top")).alias("n"))
-    fixed = below.select("linkage", (F.col("m") + 1 - F.col("n")).alias("fixed_height_k"))
+    fixed = built.where("kind = 'fixed'").select("linkage", F.col("step").alias("fixed_height_k"), F.col("height").alias("fixed_height"))
     return best.join(fixed, "linkage")
 
 
@@ -259,9 +257,7 @@ def base_clusterings(spark, d):
 
 @query("consensus_labels")
 def consensus_labels(spark, d):
-    rows, bases = _ensemble(spark, d)
-    shares = agreement.coassociation(ensemble.labels_of(bases))
-    return ensemble.consensus(shares, [r["id"] for r in rows.select("id").collect()])  # a sample
+    return ensemble.consensus(_ensemble(spark, d)[1])
 
 
 @query("preprocessing_sensitivity")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.functions.features import build_features, default_features
-from cairn.operators import agreement, cleaning, dbscan, drift, ensemble, hierarchy, interpret, kmeans, metrics, mixture, profiling, scaling, selection, serving, tendency
+from cairn.operators import cleaning, dbscan, drift, ensemble, hierarchy, interpret, kmeans, metrics, mixture, profiling, scaling, selection, serving, tendency
 from cairn.operators.cleaning import hash_sample
 from cairn.sources import tables as io
 
@@ -95,12 +95,13 @@ def segment(spark: SparkSession, out: str, config: Config = Config()) -> dict[st
     picked = hash_sample(rows, config.consensus_sample, config.seed, "id")
     width = len(picked.limit(1).collect()[0]["v"])
     bases = _save({"bases": ensemble.base_clusterings(picked, ensemble.base_grid(config.dimensions, config.ks, width=width), config.seed)}, out)["bases"]
-    shares = agreement.coassociation(ensemble.labels_of(bases))
-    cuts = _save({"consensus_cuts": ensemble.consensus(shares, [r["id"] for r in picked.select("id").collect()], config.ks), "scoreboard": board}, out)  # a sample
+    cuts = _save({"consensus_cuts": ensemble.consensus(bases, config.ks), "scoreboard": board}, out)
     scored = selection.rank_sum(metrics.internal(cuts["consensus_cuts"].join(picked, "id")), ties=[F.desc("silhouette"), F.col("run_id").cast("long")])
     k = scored.orderBy("final_order").limit(1).select("run_id")
     chosen = cuts["consensus_cuts"].join(F.broadcast(k), "run_id", "left_semi").select("id", "cluster")
-    last = _save({"consensus_search": scored, "consensus": chosen}, out)
+    last = _save({"consensus_search": scored, "consensus": chosen, "base_evaluation": ensemble.evaluate_bases(bases, picked.join(label, "id"))}, out)
+    chosen_row = metrics.evaluate(last["consensus"].withColumn("run_id", F.lit("c")).join(picked, "id").join(label, "id")).withColumn("requested_k", F.col("n_clusters"))
+    last |= _save({"consensus_vs_best_base": ensemble.against_best_base(last["base_evaluation"], chosen_row)}, out)
     member = last["consensus"].join(picked, "id").join(label, "id")
     points = interpret.centroid_margin(member.select("id", "v", "cluster"), metrics.centroids(member.withColumn("run_id", F.lit("c"))).select("cluster", "c"))
     long = member.select("cluster", F.posexplode("v").alias("dim", "value")).select("cluster", F.concat(F.lit("pc"), (F.col("dim") + 1).cast("string")).alias("feature"), "value")
