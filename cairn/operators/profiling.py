@@ -128,10 +128,16 @@ def informative_features(rows: DataFrame, columns: Sequence[str], count: int = 8
     return spread.withColumn("position", F.row_number().over(order)).where(F.col("position") <= count).select("position", "feature", "spread")
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation over the rows in which both have a value; null without spread."""
+    of = lambda x, y: F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x).cast("double")))
+    return F.try_divide(F.covar_pop(a, b), of(a, b) * of(b, a))
+
+
 def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(left, right, r) for every ordered pair, from one aggregation; r is null without spread."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    made = rows.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.corr(a, b) if a != b else F.when(F.stddev_pop(a) > 0, 1.0)).alias("r")) for a, b in pairs)).alias("x"))
+    made = rows.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (pearson(a, b) if a != b else F.when(F.stddev_pop(a) > 0, 1.0)).alias("r")) for a, b in pairs)).alias("x"))
     half = made.select(F.inline("x"))
     whole = half.select(F.col("a").alias("left"), F.col("b").alias("right"), "r")
     return whole.unionByName(half.where("a <> b").select(F.col("b").alias("left"), F.col("a").alias("right"), "r"))
@@ -166,7 +172,7 @@ def correlation_significance(rows: DataFrame, columns: Sequence[str], alpha: flo
     """(left, right, n, r, p_value, significant, masked) off the diagonal: p is two-sided, of the rows in which
     both have a value; ``masked`` is r where it is significant, else null."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    both = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"), F.corr(a, b).alias("r")) for a, b in pairs]
+    both = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"), pearson(a, b).alias("r")) for a, b in pairs]
     out = []
     for x in rows.agg(F.array(*both).alias("x")).collect()[0]["x"] if pairs else []:  # a row for each pair of columns
         known = x["r"] is not None and not math.isnan(x["r"]) and x["n"] >= 3

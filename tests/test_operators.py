@@ -1,5 +1,6 @@
 """Hand-computed micro fixtures and properties of the library's operators."""
 
+from collections import Counter
 import math
 
 import numpy as np
@@ -269,3 +270,92 @@ def test_nearest_ties_go_to_the_smaller_id(spark):
     rows = points(spark, [0, 1, -1, 2]).select("id", "v")
     got = {(r["id"], r["rank"]): r["other"] for r in pairs.nearest(rows, rows, 2, block=2).collect()}
     assert got[0, 1] == 1 and got[0, 2] == 2
+
+
+def test_starts_drawn_apart_follow_the_race(spark):
+    from hashlib import md5
+
+    from cairn.operators import kmeans
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    fits = kmeans.start_apart(rows.repartition(5), [(4, 1), (3, 1), (2, 7)])
+    assert [len(f.centers) for f in fits] == [4, 3, 2] and np.allclose(fits[0].centers[:3], fits[1].centers)
+    for fit in fits:
+        own = [kmeans.seed_rows(rows, 1, fit.seed)[0]]
+        for step in range(1, fit.k):
+            d = np.min([((x - c) ** 2).sum(axis=1) for c in own], axis=0)
+            u = [(int(md5(f"{fit.seed}:{step}:{i}".encode()).hexdigest()[:12], 16) + 1) / (16**12 + 1) for i in range(60)]
+            own.append(x[min(range(60), key=lambda i: (-math.log(u[i]) / d[i] if d[i] > 0 else math.inf, i))])
+        assert np.allclose(fit.centers, own)
+
+
+def test_consensus_and_bases_against_brute_force(spark):
+    from cairn.operators import ensemble, hierarchy, metrics, selection
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.3, (12, 2)) for c in ((0, 0), (4, 0), (0, 4))])
+    rows = spark.createDataFrame([(i, [float(v) for v in r], i // 12) for i, r in enumerate(x)], "id long, v array<double>, label long")
+    bases = ensemble.base_clusterings(rows.select("id", "v"), ensemble.base_grid((2,), (2, 3), 2, 1)).cache()
+    got = {r["base_id"]: r for r in ensemble.evaluate_bases(bases, rows).collect()}
+    assert len(got) == bases.count()
+    shared = np.zeros((36, 36))
+    for r in bases.collect():
+        at = np.array(r["clusters"])[np.argsort(r["ids"])]
+        shared += at[:, None] == at[None, :]
+        a, b = Counter(at.tolist()), Counter(zip(at.tolist(), [i // 12 for i in range(36)]))
+        assert math.isclose(got[r["base_id"]]["purity"], sum(max(n for (c, _), n in b.items() if c == k) for k in a) / 36, abs_tol=1e-9)
+    tree = hierarchy.linkage_tree(1 - shared / bases.count(), "average")
+    cuts = ensemble.consensus(bases, (2, 3))
+    for k in (2, 3):
+        own = {r["id"]: r["cluster"] for r in cuts.where(F.col("run_id") == str(k)).collect()}
+        assert [own[i] for i in range(36)] == hierarchy.cut_tree(tree, k).tolist()
+    chosen = metrics.evaluate(cuts.where("run_id = '3'").join(rows, "id")).withColumn("requested_k", F.lit(3).cast("long"))
+    both = {r["algorithm"].split(":")[0]: r for r in ensemble.against_best_base(ensemble.evaluate_bases(bases, rows), chosen).collect()}
+    measured = [r for r in got.values() if r["silhouette"] is not None]
+    ranks = {r["base_id"]: sum(sum((o[c] > r[c]) if up else (o[c] < r[c]) for o in measured) for c, up in selection.DIRECTIONS.items()) for r in measured}
+    best = min(measured, key=lambda r: (ranks[r["base_id"]], -r["silhouette"], r["base_id"]))
+    assert both["Best base"]["parameters"] == best["parameters"] and both["Consensus"]["purity"] == 1.0
+    assert selection.compare(ensemble.best_base(ensemble.evaluate_bases(bases, rows)), chosen).collect()[0]["improved"] in range(4)
+
+
+def test_refits_by_family(spark):
+    from cairn.operators.refit import refit
+
+    rows = spark.createDataFrame([(i, [float(i // 5) * 10 + i % 5 * 0.1, 0.0]) for i in range(15)], "id long, v array<double>")
+    for family, how in (("kmeans", {"k": 3}), ("hierarchical", {"k": 3, "linkage": "single"}), ("gmm", {"k": 3, "covariance": "spherical"}), ("dbscan", {"eps": "1.0", "min_samples": "3"})):
+        got = {r["id"]: r["cluster"] for r in refit(rows, family, **how).collect()}
+        assert len(got) == 15 and len({(i // 5, c) for i, c in got.items()}) == len(set(got.values()))
+    for bad in ({"algorithm": "kmeans"}, {"algorithm": "unknown", "k": 2}):
+        with pytest.raises(ValueError):
+            refit(rows, **bad)
+
+
+def test_walked_quantiles_equal_percentiles(spark):
+    from cairn.operators import profiling
+
+    rng = np.random.default_rng(9)
+    rows = [(f, float(v)) for f, n in (("a", 1), ("b", 2), ("c", 500), ("d", 301)) for v in (rng.integers(0, 40, n) if f == "d" else rng.normal(size=n))] + [("c", None)]
+    long = spark.createDataFrame(rows, "feature string, value double").repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r["feature"]: r["q"] for r in profiling.walked_quantiles(*profiling.walked(profiling.value_counts_of(long), ["n"]), shares).collect()}
+    for f in "abcd":
+        assert np.allclose(got[f], np.quantile([v for g, v in rows if g == f and v is not None], shares))
+
+
+def test_correlation_p_values_by_integration(spark):
+    from cairn.operators import profiling
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 3))
+    x[:, 1] += 0.4 * x[:, 0]
+    rows = spark.createDataFrame([tuple(float(v) for v in r) + (1.0,) for r in x] + [(None, 1.0, 2.0, 1.0)], "a double, b double, c double, d double")
+    got = {(r["left"], r["right"]): r for r in profiling.correlation_significance(rows, ["a", "b", "c", "d"], 0.05).collect()}
+    assert len(got) == 12 and got["a", "d"]["p_value"] is None and not got["a", "d"]["significant"]
+    r, n = np.corrcoef(x[:, 0], x[:, 1])[0, 1], 40
+    u = np.linspace(abs(r), 1, 200_001)
+    norm = math.exp(math.lgamma((n - 1) / 2) - math.lgamma((n - 2) / 2) - math.lgamma(0.5))
+    y = norm * (1 - u**2) ** ((n - 4) / 2)
+    assert got["a", "b"]["n"] == 40 and math.isclose(got["a", "b"]["p_value"], 2 * float(((y[1:] + y[:-1]) / 2 * np.diff(u)).sum()), rel_tol=1e-6)
+    assert (got["a", "b"]["masked"] is None) == (got["a", "b"]["p_value"] > 0.05)
