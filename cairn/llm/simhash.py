@@ -14,7 +14,8 @@ Two sets of similarity J differ in each bit with a chance of arccos(2J / (1 + J)
 39 of 256 bits with a deviation of 6, so the radius of 72 misses about one pair in 10**8 (in a thousand
 where a text has but a dozen shingles), while unlike texts differ in 128 with a deviation of 8. Sets whose
 sizes rule the similarity out don't meet. Rounds first link every set to its nearest one in another
-component; then all candidates that are still in different components are verified, however many.
+component. Then the sets that still have a candidate in another component meet, in blocks, with their
+shingles, and a meeting verifies all of its candidates and reports a spanning forest of the links.
 
 Defined results: a null text counts as empty; empty texts have fingerprint zero, are copies of each other
 and link like any other. A text with fewer words than a shingle is one shingle. A row with a null doc_id
@@ -52,9 +53,13 @@ COPY_WORDS = 5
 SIMILAR = (4, 5)
 WIDE, WIDE_RADIUS = 4, 72
 #: Bits of the first 64 in which a candidate may differ: its mean is 10, its deviation 3.
-FIRST_RADIUS = 26
+FIRST_RADIUS = 24
+#: Share of pairs that pass the first 64 bits from which on all bits are compared as whole matrices.
+DENSE = 0.2
 WIDE_BLOCK = 4096
-#: Rounds that link sets to their nearest, before all candidates left are verified.
+#: Sets of a block that meets with its shingles, and about how many bytes of them.
+SET_BLOCK, SET_BYTES = 1024, 4_000_000
+#: Rounds that link sets to their nearest, before all candidates left are verified in meetings.
 ROUNDS = 2
 #: Ids up to which a table of them is broadcast; beyond, it is joined by shuffle.
 FEW = 500_000
@@ -116,13 +121,13 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def deal(rows: DataFrame, key: str, near: Callable[[tuple, tuple], bool], block: int) -> DataFrame:
+def deal(rows: DataFrame, key: str, near: Callable[[tuple, tuple], bool], block: Callable[[tuple], int]) -> DataFrame:
     """``rows`` (with cells ``a``, ``b``) once for each meeting of their block with a block of a near cell.
 
     Adds the two blocks (``one``, ``two``) and ``side``: 0 in the first, 1 in the second. Cells are few
     whatever the number of rows; blocks and meetings are worked out by expressions, not on the driver.
     """
-    cells = {(r["a"], r["b"]): -(-r["count"] // block) for r in rows.groupBy("a", "b").count().collect()}
+    cells = {(r["a"], r["b"]): -(-r["count"] // block((r["a"], r["b"]))) for r in rows.groupBy("a", "b").count().collect()}
     table = [(a, b, n, [(x, y, m) for (x, y), m in cells.items() if near((a, b), (x, y))]) for (a, b), n in cells.items()]
     plan = rows.sparkSession.createDataFrame(table, "a int, b int, blocks int, others array<struct<a:int,b:int,blocks:int>>")
     own = rows.join(F.broadcast(plan), ["a", "b"]).withColumn("i", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
@@ -188,7 +193,7 @@ def link_forests(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK)
         F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("a"),
         F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int").alias("b"),
     )
-    dealt = deal(halves, "fp", lambda x, y: abs(x[0] - y[0]) + abs(x[1] - y[1]) <= radius, block)
+    dealt = deal(halves, "fp", lambda x, y: abs(x[0] - y[0]) + abs(x[1] - y[1]) <= radius, lambda _: block)
 
     def meet(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -267,7 +272,7 @@ class Side:
 
     def __init__(self, table: pa.Table):
         self.n = table.column("n").to_numpy()
-        order = np.argsort(self.n, kind="stable")
+        self.order = order = np.argsort(self.n, kind="stable")
         self.n = self.n[order]
         self.fp, self.root = (table.column(c).to_numpy()[order] for c in ("fp", "root"))
         self.wide = np.frombuffer(bytearray(b"".join(table.column("wide").to_pylist())), np.uint64).reshape(-1, WIDE)[order] if len(order) else np.zeros((0, WIDE), np.uint64)
@@ -275,8 +280,8 @@ class Side:
         self.bits = np.bitwise_count(self.wide).sum(axis=1).astype(np.int16)
 
 
-def candidates(a: Side, b: Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of a, row of b, differing bits) of the pairs in different components, some rows of ``a`` at a time."""
+def _chunks(a: Side, b: Side) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Some rows of ``a``, the rows of ``b`` that sizes and bit counts allow for them, and which pairs pass the first 64 bits."""
     for i in range(0, len(a.fp), ROWS):
         rows = slice(i, i + ROWS)
         least, most = int(a.n[rows][0]), int(a.n[rows][-1])
@@ -284,16 +289,28 @@ def candidates(a: Side, b: Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         high = np.searchsorted(b.n, most * SIMILAR[1] // SIMILAR[0], "right")
         within = (b.bits[low:high] >= a.bits[rows].min() - WIDE_RADIUS) & (b.bits[low:high] <= a.bits[rows].max() + WIDE_RADIUS)
         cols = np.flatnonzero(within) + low
-        if not len(cols):
-            continue
-        r, c = np.nonzero(np.bitwise_count(a.first[rows, None] ^ b.first[cols][None, :]) <= FIRST_RADIUS)
-        r, c = r + i, cols[c]
-        keep = a.root[r] != b.root[c]
-        r, c = r[keep], c[keep]
-        bits = np.bitwise_count(a.wide[r] ^ b.wide[c]).sum(axis=1)
-        small, large = np.minimum(a.n[r], b.n[c]), np.maximum(a.n[r], b.n[c])
-        keep = (bits <= WIDE_RADIUS) & (small * SIMILAR[1] >= large * SIMILAR[0])
-        yield r[keep], c[keep], bits[keep].astype(np.int64)
+        if len(cols):
+            yield rows, cols, np.bitwise_count(a.first[rows, None] ^ b.first[cols][None, :]) <= FIRST_RADIUS
+
+
+def _allowed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.minimum(n, m) * SIMILAR[1] >= np.maximum(n, m) * SIMILAR[0]
+
+
+def _listed(a: Side, b: Side, rows: slice, cols: np.ndarray, passed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, differing bits) of the pairs of a chunk that are candidates in different components."""
+    r, c = np.nonzero(passed)
+    r, c = r + rows.start, cols[c]
+    keep = a.root[r] != b.root[c]
+    r, c = r[keep], c[keep]
+    bits = np.bitwise_count(a.wide[r] ^ b.wide[c]).sum(axis=1)
+    keep = (bits <= WIDE_RADIUS) & _allowed(a.n[r], b.n[c])
+    return r[keep], c[keep], bits[keep].astype(np.int64)
+
+
+def candidates(a: Side, b: Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of a, row of b, differing bits) of the pairs in different components, some rows of ``a`` at a time."""
+    return (_listed(a, b, *chunk) for chunk in _chunks(a, b))
 
 
 def _nearest(a: Side, b: Side, same: bool) -> pa.Table:
@@ -301,12 +318,21 @@ def _nearest(a: Side, b: Side, same: bool) -> pa.Table:
     far = np.iinfo(np.int64).max
     best = [np.full(len(a.fp), far), np.full(len(b.fp), far)]
     count = [np.zeros(len(a.fp), np.int64), np.zeros(len(b.fp), np.int64)]
-    for r, c, bits in candidates(a, b):
-        np.minimum.at(best[0], r, bits << 40 | c)
-        np.add.at(count[0], r, 1)
-        if not same:
-            np.minimum.at(best[1], c, bits << 40 | r)
-            np.add.at(count[1], c, 1)
+    for rows, cols, passed in _chunks(a, b):
+        if np.count_nonzero(passed) > DENSE * passed.size:
+            bits = sum(np.bitwise_count(a.wide[rows, j][:, None] ^ b.wide[cols, j][None, :]).astype(np.uint16) for j in range(WIDE))
+            good = passed & (bits <= WIDE_RADIUS) & (a.root[rows, None] != b.root[cols][None, :]) & _allowed(a.n[rows, None], b.n[cols][None, :])
+            bits[~good] = 999
+            for side, axis, own, other in ((0, 1, np.arange(rows.start, rows.start + len(bits)), cols), (1, 0, cols, np.arange(rows.start, rows.start + len(bits)))):
+                at = bits.argmin(axis=axis)
+                least = np.take_along_axis(bits, np.expand_dims(at, axis), axis).ravel().astype(np.int64)
+                best[side][own] = np.minimum(best[side][own], np.where(least < 999, least << 40 | other[at], far))
+                count[side][own] += np.count_nonzero(good, axis=axis)
+        else:
+            r, c, bits = _listed(a, b, rows, cols, passed)
+            for side, own, other in ((0, r, c), (1, c, r)):
+                np.minimum.at(best[side], own, bits << 40 | other)
+                np.add.at(count[side], own, 1)
     out = []
     for own, other, near, n in ((a, b, best[0], count[0]), (b, a, best[1], count[1]))[: 1 if same else 2]:
         hit = np.flatnonzero(near < far)
@@ -315,27 +341,75 @@ def _nearest(a: Side, b: Side, same: bool) -> pa.Table:
     return pa.table({"u": u, "v": v, "c": n})
 
 
-def _every(a: Side, b: Side, same: bool) -> pa.Table:
-    """All candidates (u, v) of a meeting."""
-    found = [(a.fp[r], b.fp[c]) for r, c, _ in candidates(a, b)]
-    u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-    keep = u < v if same else np.ones(len(u), bool)
-    return pa.table({"u": u[keep], "v": v[keep], "c": np.zeros(keep.sum(), np.int64)})
+def _verified_forest(a: Side, b: Side, own: list[np.ndarray], other: list[np.ndarray], same: bool) -> pa.Table:
+    """A spanning forest (u, v) of the similar pairs in different components; ``own``, ``other``: the sides' sets."""
+    every = own if same else own + other
+    number = np.unique(np.concatenate(every), return_inverse=True)[1] if every else np.zeros(0, np.int64)
+    stops = np.cumsum([len(x) for x in every])
+    ids = [number[stop - len(x) : stop] for x, stop in zip(every, stops)]
+    ours, theirs = ids[: len(own)], ids if same else ids[len(own) :]
+    joined = np.concatenate(theirs) if theirs else number[:0]
+    sizes = np.array([len(x) for x in theirs], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    flags = np.zeros(int(number.max(initial=-1)) + 1, bool)
+    base, found = 0 if same else len(own), []
+    for r, c, _ in candidates(a, b):
+        for i in np.unique(r):
+            cols = c[r == i]
+            cols = cols[cols > i] if same else cols
+            if not len(cols):
+                continue
+            flags[ours[i]] = True
+            if 8 * len(cols) > len(theirs):
+                running = np.zeros(len(joined) + 1, np.int64)
+                np.cumsum(flags[joined], out=running[1:])
+                both = (running[starts + sizes] - running[starts])[cols]
+            else:
+                both = np.array([np.count_nonzero(flags[theirs[j]]) for j in cols])
+            flags[ours[i]] = False
+            cols = cols[both * SIMILAR[1] >= (len(ours[i]) + sizes[cols] - both) * SIMILAR[0]]
+            found.append(np.stack([np.full(len(cols), i), cols + base]))
+    nodes = a.fp if same else np.concatenate([a.fp, b.fp])
+    u, v = _forest(*np.concatenate(found, axis=1), len(nodes)) if found else (np.zeros(0, int),) * 2
+    return pa.table({"u": nodes[u], "v": nodes[v]})
+
+
+def _placed(sets: DataFrame) -> DataFrame:
+    """``sets`` with cells ``a``, ``b``: classes of size and of bit count."""
+    step = math.log(SIMILAR[1] / SIMILAR[0])
+    return sets.withColumns({"a": F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int"), "b": F.floor(F.col("ones") / (WIDE_RADIUS + 1)).cast("int")}).drop("ones")
 
 
-def meetings(sets: DataFrame, how, block: int = WIDE_BLOCK) -> DataFrame:
-    """(u, v, c) by ``how`` of all meetings of ``sets`` (fp, n, wide, ones, root): cells are classes of size and of bit count."""
-    step = math.log(SIMILAR[1] / SIMILAR[0])
-    placed = sets.select("fp", "n", "wide", "root", F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int").alias("a"), F.floor(F.col("ones") / (WIDE_RADIUS + 1)).cast("int").alias("b"))
-    # one class more than the similarity asks for, so that rounding of the logarithm can't part a pair
-    dealt = deal(placed, "fp", lambda x, y: abs(x[0] - y[0]) <= 2 and abs(x[1] - y[1]) <= 1, block)
+def _near_cells(x: tuple, y: tuple) -> bool:
+    """One class of size more than the similarity asks for, so that rounding of the logarithm can't part a pair."""
+    return abs(x[0] - y[0]) <= 2 and abs(x[1] - y[1]) <= 1
+
+
+def nearest(sets: DataFrame, block: int = WIDE_BLOCK) -> DataFrame:
+    """(u, v, c) of :func:`_nearest` of all meetings of ``sets`` (fp, n, wide, ones, root)."""
 
     def meet(table: pa.Table) -> pa.Table:
         side, same = table.column("side").to_numpy(), table.column("one")[0] == table.column("two")[0]
         a = Side(table.filter(pa.array(side == 0)))
-        return how(a, a if same else Side(table.filter(pa.array(side == 1))), same)
+        return _nearest(a, a if same else Side(table.filter(pa.array(side == 1))), same)
+
+    return _spread(deal(_placed(sets), "fp", _near_cells, lambda _: block)).applyInArrow(meet, "u long, v long, c long")
 
-    return _spread(dealt).applyInArrow(meet, "u long, v long, c long")
+
+def verified_meetings(sets: DataFrame, block: int = SET_BLOCK) -> DataFrame:
+    """Links (u, v) that join all similar pairs of ``sets`` (fp, n, wide, ones, root, shingles) that lie in different components."""
+
+    def room(cell: tuple) -> int:
+        return max(1, min(block, int(SET_BYTES / (8 * (SIMILAR[1] / SIMILAR[0]) ** (cell[0] + 1)))))
+
+    def meet(table: pa.Table) -> pa.Table:
+        side, same = table.column("side").to_numpy(), table.column("one")[0] == table.column("two")[0]
+        parts = [table.filter(pa.array(side == k)) for k in range(1 if same else 2)]
+        sides = [Side(x) for x in parts]
+        sets_ = [[np.frombuffer(x, np.uint64) for x in part.column("shingles").take(pa.array(own.order)).to_pylist()] for part, own in zip(parts, sides)]
+        return _verified_forest(sides[0], sides[-1], sets_[0], sets_[-1], same)
+
+    return _spread(deal(_placed(sets), "fp", _near_cells, room)).applyInArrow(meet, "u long, v long")
 
 
 def sets_of(docs: DataFrame, need: DataFrame, size: int = COPY_WORDS) -> DataFrame:
@@ -372,33 +446,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def similar_roots(distinct: DataFrame, docs: DataFrame, rounds: int = ROUNDS, block: int = WIDE_BLOCK) -> DataFrame:
+def similar_roots(distinct: DataFrame, docs: DataFrame, rounds: int = ROUNDS, block: int = WIDE_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
     """(node, root) of the distinct sets (fp, least, n, wide, ones) that have a similar one."""
-    spark = distinct.sparkSession
-    none = spark.createDataFrame([], "node long, root long")
-    active, roots, edges, sets = distinct, none, None, None
-    for turn in range(rounds + 1):
-        marked = active.join(roots, active["fp"] == roots["node"], "left").select("fp", "n", "wide", "ones", F.coalesce("root", "fp").alias("root"))
-        marked = materialize(marked, "marked") if turn else marked
-        met = materialize(meetings(marked, _every if turn == rounds else _nearest, block), "met")
-        if turn:
-            release(marked)
-        pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    roots = distinct.sparkSession.createDataFrame([], "node long, root long")
+    marked = lambda sets: sets.join(roots, sets["fp"] == roots["node"], "left").select(*sets.columns, F.coalesce("root", "fp").alias("root"))
+    active, edges, sets = distinct, None, None
+    for turn in range(rounds):
+        met = materialize(nearest(marked(active.select("fp", "n", "wide", "ones")), block), "met")
         if sets is None:
             ends = met.select(F.col("u").alias("fp")).union(met.select(F.col("v").alias("fp"))).distinct()
             sets = materialize(sets_of(docs, materialize(distinct.select("fp", "least").join(ends, "fp", "left_semi"), "ends")), "sets")
-            # a pair that wasn't reported has two candidates or more at either end, in its meeting
-            if rounds:
-                several = met.where("c > 1").select(F.col("u").alias("fp")).distinct()
-                active = materialize(distinct.join(several, "fp", "left_semi"), "active")
-        found = materialize(verified(pairs, sets), "links")
-        release(met)
+        found = materialize(verified(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets), "links")
         edges = found if edges is None else edges.unionAll(found)
+        # at first, a pair that wasn't reported has two candidates or more at either end, in its meeting
+        left = met.where("c > 1").select(F.col("u").alias("fp")).distinct()
+        active = materialize(active.join(left, "fp", "left_semi"), "active")
+        release(met)
         roots = connected(edges)
-        if turn < rounds and not active.limit(1).count():
-            break
+    if not active.limit(1).count():
+        return roots
+    sets = sets or materialize(sets_of(docs, distinct.select("fp", "least")), "sets")
+    found = materialize(verified_meetings(marked(active.select("fp", "n", "wide", "ones").join(sets, "fp")), set_block), "links")
     release(sets)
-    return roots
+    return connected(found if edges is None else edges.unionAll(found))
 
 
 def near_copies(docs: DataFrame, rounds: int = ROUNDS, block: int = WIDE_BLOCK) -> tuple[DataFrame, DataFrame]:
