@@ -24,7 +24,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, takewhile
 
 import pyarrow as pa
 import regex
@@ -88,6 +88,11 @@ def trusted(codec: Codec, window: str, last: bool) -> list[int]:
     return ends if last else [x for x in ends[:-2] if x <= len(window) - MARGIN]
 
 
+def first_ends(codec: Codec, window: str, overlap: int) -> list[int]:
+    """Boundaries of a window's split up to the overlap's end, from 0."""
+    return [0, *takewhile(lambda x: x < overlap, (m.end() for m in codec.pattern.finditer(window)))]
+
+
 def meeting(before: list[int], after: list[int], start: int, overlap: int) -> int | None:
     """First boundary that a window beginning at ``start`` shares with its predecessor inside the overlap.
 
@@ -107,7 +112,8 @@ def stitched(codec: Codec, text: str, chunk: int, overlap: int) -> Iterator[tupl
             continue
         at = None
         if held is None or not grown:
-            own = trusted(codec, window, last)
+            # of a last window only the overlap matters, and of one without a neighbour nothing does
+            own = trusted(codec, window, False) if not last else first_ends(codec, window, overlap) if start else []
             at = meeting(held, own, start, overlap) if held is not None else 0
         if at is not None:
             if held is not None:
