@@ -106,18 +106,20 @@ def dense_key(rows: DataFrame, order: Sequence[str], name: str = "row_id", parti
     it; places are then moved by the number of rows in the ranges before (a row for each range).
     """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tail = next(t for t in ("_" * k for k in range(1, 100)) if not {f"part{t}", f"place{t}", f"before{t}", f"n{t}"} & {*rows.columns, name})
+    part, at, ahead, size = (f"{c}{tail}" for c in ("part", "place", "before", "n"))
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place within the task
-    placed = materialize(placed.withColumns({"_part": F.spark_partition_id(), "_place": place}), "ordered")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+    placed = materialize(placed.withColumns({part: F.spark_partition_id(), at: place}), "ordered")
+    sizes = placed.groupBy(part).agg(F.count("*").alias(size))
+    before = sizes.select(part, (F.sum(size).over(Window.orderBy(part)) - F.col(size)).alias(ahead))
+    return placed.join(F.broadcast(before), part).withColumn(name, F.col(at) + F.col(ahead)).drop(part, at, ahead, size)
 
 
 def temporal_split(rows: DataFrame, time: str = "Time", key: str = "row_id", fraction: float = 0.8) -> DataFrame:
     """Adds ``split``: train for the earliest floor(n * fraction) rows by (time, key), else test."""
-    n = rows.count()
     ranked = dense_key(rows, [time, key], "_position")
+    n = ranked.count()
     return ranked.withColumn("split", F.when(F.col("_position") < int(n * fraction), "train").otherwise("test")).drop("_position")
 
 

@@ -1,95 +1,161 @@
-"""DBSCAN over all rows: neighbour counts in blocks, then components of core points.
+"""DBSCAN over all rows, for a grid of settings at once: neighbour counts in blocks, then components of core points.
 
-A block pair reports, for the core points within eps of each other, a spanning forest of its links;
-label rounds join the forests. Clusters are numbered by their smallest core row; a border row goes to
-the neighbouring cluster with the smallest number; the rest is noise (-1).
+A pair of blocks makes its distances once for all settings. It counts neighbours for every radius; then it
+reports, for each setting, a spanning forest of the links between core points within the radius. Label rounds
+join the forests of all settings together. Clusters are numbered by their smallest core row; a border row goes
+to the neighbouring cluster with the smallest number; the rest is noise (-1).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.vectors import distances, matrix
+from cairn.operators.cleaning import dense_key
 from cairn.operators.components import connected
-from cairn.operators.pairs import BLOCK, block_pairs, k_distance
+from cairn.operators.pairs import BLOCK, block_pairs, held, nearest
 from cairn.runtime import materialize
 
 
-def neighbour_counts(rows: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
-    """(id, n) of rows within eps, itself included."""
+def neighbour_counts(rows: DataFrame, radii: Sequence[float], block: int = BLOCK) -> DataFrame:
+    """(id, e, n) of rows within each radius (e: its number), itself included."""
 
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
-        near = distances(matrix(a.column("v")), matrix(b.column("v"))) <= eps if len(a) and len(b) else np.zeros((len(a), 0))
-        return pa.table({"id": a.column("id").to_numpy(), "n": near.sum(axis=1).astype(np.int64)})
+        d = distances(matrix(a.column("v")), matrix(b.column("v"))) if len(a) and len(b) else np.zeros((len(a), 0))
+        n = np.stack([(d <= eps).sum(axis=1) for eps in radii]) if len(a) else np.zeros((len(radii), 0), np.int64)
+        return pa.table({"id": np.tile(a.column("id").to_numpy(), len(radii)), "e": np.repeat(np.arange(len(radii)), len(a)), "n": n.ravel().astype(np.int64)})
+
+    return block_pairs(rows, rows, kernel, "id long, e long, n long", block).groupBy("id", "e").agg(F.sum("n").alias("n"))
+
+
+def _forest(near: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each component of a block's rows and columns: a first row, and the rows and columns that it reaches."""
+    starts, reached = [], []
+    seen_a, seen_b = np.zeros(near.shape[0], bool), np.zeros(near.shape[1], bool)
+    for s in np.flatnonzero(near.any(axis=1)):
+        if seen_a[s]:
+            continue
+        rows, mine_a, mine_b = np.array([s]), [], []
+        seen_a[s] = True
+        while len(rows):
+            cols = np.flatnonzero(near[rows].any(axis=0) & ~seen_b)
+            seen_b[cols] = True
+            mine_b.append(cols)
+            rows = np.flatnonzero(near[:, cols].any(axis=1) & ~seen_a) if len(cols) else cols
+            seen_a[rows] = True
+            mine_a.append(rows)
+        starts.append(s)
+        reached.append((np.concatenate(mine_a), np.concatenate(mine_b)))
+    return starts, reached
+
+
+def _cores(column: pa.ChunkedArray, settings: int) -> np.ndarray:
+    """Which rows are core points of which setting."""
+    out = np.zeros((settings, len(column)), bool)
+    for i, own in enumerate(column.to_pylist()):
+        out[own, i] = True
+    return out
 
-    return block_pairs(rows, rows, kernel, "id long, n long", block).groupBy("id").agg(F.sum("n").alias("n"))
 
+def _core_links(core: DataFrame, radii: Sequence[float], n: int, block: int) -> DataFrame:
+    """Links (u, v) between nodes setting * n + place of the core points (at, v, core)."""
 
-def _core_links(core: DataFrame, eps: float, block: int) -> DataFrame:
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
-        u, v = [], []
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(a) and len(b):
-            near = distances(matrix(a.column("v")), matrix(b.column("v"))) <= eps
-            i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
-            seen_a, seen_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-            for s in range(len(a)):
-                if seen_a[s] or not near[s].any():
-                    continue
-                rows, seen_a[s] = np.array([s]), True
-                while len(rows):
-                    cols = np.flatnonzero(near[rows].any(axis=0) & ~seen_b)
-                    seen_b[cols] = True
-                    v += j[cols].tolist()
-                    u += [int(i[s])] * len(cols)
-                    rows = np.flatnonzero(near[:, cols].any(axis=1) & ~seen_a) if len(cols) else cols
-                    seen_a[rows] = True
-                    v += i[rows].tolist()
-                    u += [int(i[s])] * len(rows)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            d = distances(matrix(a.column("v")), matrix(b.column("v")))
+            i, j = a.column("at").to_numpy(), b.column("at").to_numpy()
+            in_a, in_b = (_cores(x.column("core"), len(radii)) for x in (a, b))
+            for s, eps in enumerate(radii):
+                own, other = np.flatnonzero(in_a[s]), np.flatnonzero(in_b[s])
+                for first, (rows, cols) in zip(*_forest(d[np.ix_(own, other)] <= eps)):
+                    ends = np.concatenate([i[own[rows]], j[other[cols]]])
+                    u.append(np.full(len(ends), s * n + i[own[first]]))
+                    v.append(s * n + ends)
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     return block_pairs(core, core, kernel, "u long, v long", block)
 
 
+def fit(rows: DataFrame, settings: Sequence[tuple[float, int]], block: int = BLOCK) -> DataFrame:
+    """(id, s, cluster, core) of every row (id, v) under every setting (eps, min_samples), numbered from 0."""
+    rows = held(rows.select("id", "v"))
+    spark = rows.sparkSession
+    radii = [eps for eps, _ in settings]
+    distinct = sorted(set(radii))
+    counts = materialize(neighbour_counts(rows, distinct, block), "neighbours")
+    wanted = spark.createDataFrame([(s, distinct.index(eps), least) for s, (eps, least) in enumerate(settings)], "s long, e long, least long")
+    is_core = counts.join(F.broadcast(wanted), "e").where(F.col("n") >= F.col("least")).select("id", "s")  # a row for each setting
+    n = rows.count()
+    placed = materialize(dense_key(rows, ["id"], "at"), "placed")
+    core = materialize(placed.join(is_core.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("core")), "id"), "core")
+    roots = connected(_core_links(core, radii, n, block))
+    nodes = core.select("id", "at", F.explode("core").alias("s")).withColumn("node", F.col("s") * n + F.col("at"))
+    named = nodes.join(roots, "node", "left").select("id", "s", F.coalesce("root", "node").alias("root"))
+    order = named.groupBy("s", "root").agg(F.min("id").alias("first"))
+    numbers = order.withColumn("cluster", (F.row_number().over(Window.partitionBy("s").orderBy("first")) - 1).cast("long")).drop("first")  # a row for each cluster
+    labelled = materialize(named.join(numbers, ["s", "root"]).select("id", "s", "cluster"), "labels")
+
+    def border(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            d = distances(matrix(a.column("v")), matrix(b.column("v")))
+            mine, theirs = _cores(a.column("core"), len(radii)), np.full((len(radii), len(b)), -1)
+            for j, own in enumerate(b.column("labels").to_pylist()):
+                for x in own:
+                    theirs[x["s"], j] = x["cluster"]
+            ids = a.column("id").to_numpy()
+            for s, eps in enumerate(radii):
+                at, cols = np.flatnonzero(~mine[s]), np.flatnonzero(theirs[s] >= 0)
+                if len(at) and len(cols):
+                    near = d[np.ix_(at, cols)] <= eps
+                    least = np.where(near, theirs[s][cols][None, :], np.iinfo(np.int64).max).min(axis=1)
+                    hit = near.any(axis=1)
+                    out.append((ids[at[hit]], np.full(hit.sum(), s), least[hit]))
+        i, s, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        return pa.table({"id": i, "s": s, "cluster": c})
+
+    every = placed.join(core.select("id", "core"), "id", "left").select("id", "v", F.coalesce("core", F.array().cast("array<long>")).alias("core"))
+    known = core.select("id", "v").join(labelled.groupBy("id").agg(F.collect_list(F.struct("s", "cluster")).alias("labels")), "id")
+    edge = block_pairs(every, known, border, "id long, s long, cluster long", block).groupBy("id", "s").agg(F.min("cluster").alias("cluster"))
+    found = labelled.withColumn("core", F.lit(True)).unionByName(edge.withColumn("core", F.lit(False)))
+    whole = rows.select("id").crossJoin(F.broadcast(wanted.select("s")))  # rows by settings: the result
+    return whole.join(found, ["id", "s"], "left").select("id", "s", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+
+
 def dbscan(rows: DataFrame, eps: float, min_samples: int, block: int = BLOCK) -> DataFrame:
     """(id, cluster, core)."""
-    counts = materialize(neighbour_counts(rows, eps, block), "neighbours")
-    core = rows.select("id", "v").join(counts.where(F.col("n") >= min_samples).select("id"), "id", "left_semi")
-    core = materialize(core, "core")
-    roots = connected(_core_links(core, eps, block))
-    named = core.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    order = named.groupBy("root").agg(F.min("id").alias("first"))
-    numbers = order.withColumn("cluster", F.row_number().over(Window.orderBy("first")) - 1).select("root", F.col("cluster").cast("long").alias("cluster"))  # a row for each cluster
-    labelled = materialize(named.join(numbers, "root").select("id", "cluster"), "labels")
+    return fit(rows, [(eps, min_samples)], block).drop("s")
 
-    def border(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table({"id": pa.array([], pa.int64()), "cluster": pa.array([], pa.int64())})
-        near = distances(matrix(a.column("v")), matrix(b.column("v"))) <= eps
-        c = np.where(near, b.column("cluster").to_numpy()[None, :], np.iinfo(np.int64).max).min(axis=1)
-        hit = near.any(axis=1)
-        return pa.table({"id": a.column("id").to_numpy()[hit], "cluster": c[hit]})
 
-    rest = rows.select("id", "v").join(core.select("id"), "id", "left_anti")
-    edge = block_pairs(rest, core.join(labelled, "id"), border, "id long, cluster long", block).groupBy("id").agg(F.min("cluster").alias("cluster"))
-    out = labelled.withColumn("core", F.lit(True)).unionByName(edge.withColumn("core", F.lit(False)))
-    return rows.select("id").join(out, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+def eps_grids(rows: DataFrame, min_samples: Sequence[int], quantiles=(0.85, 0.90, 0.95, 0.97, 0.99), block: int = BLOCK) -> dict[int, list[float]]:
+    """For each number of samples the distinct quantiles of the distances to that neighbour (a row being its own first), from one pass."""
+    out = {m: [0.0] for m in min_samples if m <= 1}
+    ranks = [m - 1 for m in min_samples if m > 1]
+    if ranks:
+        near = nearest(rows, rows, max(ranks), block=block).where(F.col("rank").isin(ranks))
+        for r in near.groupBy("rank").agg(F.percentile("distance", F.array(*map(F.lit, quantiles))).alias("q")).collect():  # a row for each number
+            out[r["rank"] + 1] = sorted(set(r["q"]))
+    return out
 
 
 def eps_grid(rows: DataFrame, min_samples: int, quantiles=(0.85, 0.90, 0.95, 0.97, 0.99), block: int = BLOCK) -> list[float]:
-    got = k_distance(rows, min_samples, block).agg(F.percentile("distance", F.array(*map(F.lit, quantiles)))).collect()[0][0]
-    return sorted(set(got or []))
+    return eps_grids(rows, [min_samples], quantiles, block).get(min_samples, [])
 
 
 def search(rows: DataFrame, min_samples=(10, 20, 30), quantiles=(0.85, 0.90, 0.95, 0.97, 0.99), block: int = BLOCK) -> DataFrame:
     """(id, run_id, cluster) for every configuration; run_id is min_samples/eps."""
-    out = None
-    for m in min_samples:
-        for eps in eps_grid(rows, m, quantiles, block):
-            own = dbscan(rows, eps, m, block).select("id", F.lit(f"{m}/{eps:.9g}").alias("run_id"), "cluster")
-            out = own if out is None else out.unionByName(own)
-    return out
+    rows = held(rows)
+    grids = eps_grids(rows, min_samples, quantiles, block)
+    settings = [(eps, m) for m in min_samples for eps in grids.get(m, [])]
+    if not settings:
+        return rows.sparkSession.createDataFrame([], "id long, run_id string, cluster long")
+    names = F.array(*(F.lit(f"{m}/{eps:.9g}") for eps, m in settings))
+    return fit(rows, settings, block).select("id", F.get(names, F.col("s").cast("int")).alias("run_id"), "cluster")
 
 
 def choose(table: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ def dbscan_labels(spark, d):
 
 def _dbscan_table(spark, d):
     rows = materialize(_rows(spark, d), "rows")
-    found = materialize(dbscan.search(rows, (5, 10), (0.3, 0.5, 0.9)), "dbscan")
+    found = materialize(dbscan.search(rows), "dbscan")
     return metrics.cluster_counts(found).join(metrics.internal(found.join(rows, "id")), "run_id", "left")
 
 

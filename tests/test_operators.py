@@ -359,3 +359,33 @@ def test_correlation_p_values_by_integration(spark):
     y = norm * (1 - u**2) ** ((n - 4) / 2)
     assert got["a", "b"]["n"] == 40 and math.isclose(got["a", "b"]["p_value"], 2 * float(((y[1:] + y[:-1]) / 2 * np.diff(u)).sum()), rel_tol=1e-6)
     assert (got["a", "b"]["masked"] is None) == (got["a", "b"]["p_value"] > 0.05)
+
+
+def test_dbscan_grid_equals_single_fits(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.4, (25, 2)) for c in ((0, 0), (3, 0), (0, 3))] + [rng.uniform(-3, 6, (15, 2))])
+    rows = spark.createDataFrame([(1000 - i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    settings = [(0.5, 4), (0.9, 4), (0.9, 8), (9.0, 3), (0.01, 2)]
+    got = {}
+    for r in dbscan.fit(rows, settings, block=40).collect():
+        got.setdefault(r["s"], {})[r["id"]] = (r["cluster"], r["core"])
+    d = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(axis=2))
+    ids = [1000 - i for i in range(len(x))]
+    for s, (eps, least) in enumerate(settings):
+        near = d <= eps
+        core = near.sum(axis=1) >= least
+        root = {i: i for i in range(len(x)) if core[i]}
+        for _ in range(len(x)):
+            root = {i: min([root[j] for j in root if near[i, j]], key=lambda j: ids[j]) for i in root}
+        firsts = sorted({ids[r] for r in root.values()})
+        want = {}
+        for i in range(len(x)):
+            reach = [firsts.index(ids[root[j]]) for j in root if near[i, j]]
+            want[ids[i]] = (firsts.index(ids[root[i]]) if core[i] else min(reach, default=-1), bool(core[i]))
+        assert got[s] == want
+
+
+def test_dense_key_with_clashing_names(spark):
+    rows = spark.createDataFrame([(5, 1, 1, 1, 1), (3, 2, 2, 2, 2)], "k long, part_ long, place_ long, before_ long, n_ long")
+    got = sorted(tuple(r) for r in cleaning.dense_key(rows, ["k"], "at").collect())
+    assert got == [(3, 2, 2, 2, 2, 0), (5, 1, 1, 1, 1, 1)]
