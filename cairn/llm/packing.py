@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -39,8 +40,8 @@ from cairn.runtime import materialize, ship  # noqa: E402
 
 SEQUENCE = 4096
 END_ID = 1
-#: Bytes of words and their ids that a task keeps; when they are exceeded, all are dropped.
-CACHE_BYTES = 24_000_000
+#: Bytes of words and their ids that a Python worker keeps; when they are exceeded, all are dropped.
+CACHE_BYTES = 64_000_000
 #: What an entry takes beside its bytes.
 ENTRY_BYTES = 220
 #: Rows of a table that is broadcast; longer ones are joined by shuffle.
@@ -51,6 +52,19 @@ _BY_CHARACTER = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pa
 _NO_SPACES = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
+#: The same pattern for text up to U+024F, where Python's classes and the format's agree (numbers named one by one).
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w\\s]|_)+")
+#: Text with other characters, or with what might be a special string, is taken run by run; such runs go to the library.
+_PLAIN = re.compile("[\\x00-\\x1b -\u012f\u0131-\u024f]*\\Z")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary (a fixed rule)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def splits_at_spaces(rules: dict) -> bool:
     """Whether a tokenizer file's rules treat each run between ASCII white space by itself."""
     normal, cut = rules.get("normalizer"), rules.get("pre_tokenizer") or {}
@@ -66,38 +80,66 @@ def _tokenizer(path: str) -> tuple[Tokenizer, bool]:
         return Tokenizer.from_file(path), splits_at_spaces(json.load(lines))
 
 
+class Words(dict):
+    """Ids of words, made when they are first asked for; all are dropped when they exceed ``keep`` bytes."""
+
+    def __init__(self, make, keep: int = CACHE_BYTES):
+        super().__init__()
+        self.make, self.keep, self.held = make, keep, 0
+
+    def __missing__(self, key: str) -> bytes:
+        if self.held > self.keep:
+            self.clear()
+            self.held = 0
+        ids = self[key] = self.make(key)
+        self.held += len(key) + len(ids) + ENTRY_BYTES
+        return ids
+
+
 class Encoder:
-    """Token ids of whole texts. Where the file's rules allow it, runs between white space are encoded once and kept."""
+    """Token ids of whole texts. Where the file's rules allow it, words are encoded once and kept."""
 
     def __init__(self, path: str, keep: int = CACHE_BYTES):
         self.tokenizer, self.by_run = _tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
-        self.keep, self.held = keep, 0
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _runs(self, words: list[bytes]) -> bytes:
-        got = list(map(self.known.get, words))
-        if None in got:
-            missing = list({w for w, x in zip(words, got) if x is None})
-            if self.held > self.keep:
-                self.known.clear()
-                self.held = 0
-            for k in range(0, len(missing), 1024):
-                part = missing[k : k + 1024]
-                for run, ids in zip(part, self._whole([w.decode() for w in part])):
-                    self.known[run] = ids
-                    self.held += len(run) + len(ids) + ENTRY_BYTES
-            missed = dict.fromkeys(missing)
-            got = [self.known[w] if x is None and w in missed else x for w, x in zip(words, got)]
-        return b"".join(got)
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.alphabet, self.tokenize = _byte_alphabet(), self.tokenizer.model.tokenize
+        self.words, self.runs = Words(self._word, keep), Words(self._library, keep // 8)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.packed[t.id] for t in self.tokenize(spelled)])
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(text.lower())))
+
+    def _piece(self, text: str) -> bytes:
+        odd = lambda t: "<|" in t or not _PLAIN.match(t)
+        if not odd(text):
+            return self._plain(text)
+        out, held = [], []
+        for run in text.encode().split():
+            own = run.decode()
+            if not odd(own):
+                held.append(own)
+                continue
+            out += [self._plain(" ".join(held)), self.runs[own]]
+            held = []
+        return b"".join([*out, self._plain(" ".join(held))])
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.by_run:
-            return self._whole([text.decode()])[0]
-        return b"".join(map(self._runs, tb.spaced_words(text)))
+            return self._library(text.decode())
+        return b"".join([self._piece(piece.decode()) for piece in tb.pieces(text)])
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -106,7 +148,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int =
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(path), TaskContext.get().partitionId()
+        encoder, task = encoder_of(path), TaskContext.get().partitionId()
         seen: dict[int, count] = {}
         for batch in batches:
             of, rows = [], []

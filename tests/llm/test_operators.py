@@ -393,11 +393,10 @@ def test_word_encoder_on_every_low_character():
     own = [f"a{chr(i)}b {chr(i)}1 {chr(i)}{chr(i)} {chr(i)}" for i in [*range(0x260), *range(0x300, 0x340), *range(0x1FF0, 0x2070), 0x3000, 0xFEFF]]
     own += ["x<|endoftext|>y <|startoftext|> <|end oftext|>", "e\u0301 e \u0301", "ΣΑΣ ΣΑΣ", "don't we'll I'M"]
     for keep in (packing.CACHE_BYTES, 500):
-        packing._store.cache_clear()
         encoder = packing.Encoder(WORDS, keep)
         assert encoder.by_run
         assert [encoder.encode(t.encode()) for t in own * 2] == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in own * 2]
-        assert encoder.held <= keep + 40 * 300
+        assert encoder.words.held <= keep + 400 and encoder.runs.held <= keep / 8 + 400
 
 
 def test_another_vocabulary_follows_its_own_file(spark):
