@@ -121,7 +121,7 @@ def compare(winner: DataFrame, challenger: DataFrame) -> DataFrame:
 
 
 def recommendation(scoreboard: DataFrame, stability: DataFrame) -> DataFrame:
-    """The winner and runner-up of a scoreboard, with the winner's stability level."""
+    """The winner and runner-up of a scoreboard, with the winner's stability level, the reasons and the limits of the choice."""
     from cairn.functions.text import silhouette_class, stability_class
 
     own = scoreboard.join(stability, "algorithm", "left")
@@ -129,4 +129,16 @@ def recommendation(scoreboard: DataFrame, stability: DataFrame) -> DataFrame:
     first, second = F.col("final_order") == 1, F.col("final_order") == 2
     pick = lambda when, c: F.max(F.when(when, F.col(c)))
     got = top.agg(pick(first, "algorithm").alias("winner"), pick(second, "algorithm").alias("runner_up"), pick(first, "silhouette").alias("silhouette"), pick(first, "ari_mean").alias("ari_mean"), pick(second, "rank_score").alias("r2"), pick(first, "rank_score").alias("r1"))
-    return got.select("winner", "runner_up", (F.col("r2") - F.col("r1")).alias("rank_margin"), silhouette_class(F.col("silhouette")).alias("structure"), F.coalesce(stability_class(F.col("ari_mean")), F.lit("unknown")).alias("stability"))
+    got = got.select("*", (F.col("r2") - F.col("r1")).alias("rank_margin"), silhouette_class(F.col("silhouette")).alias("structure"), F.coalesce(stability_class(F.col("ari_mean")), F.lit("unknown")).alias("stability"))
+    said = lambda text, c: F.concat(F.lit(text), F.col(c).cast("string"))
+    reasons = F.array(said("sum of ranks: ", "r1"), F.when(F.col("r2").isNotNull(), said("runner-up's sum of ranks: ", "r2")), said("structure by silhouette: ", "structure"), said("stability: ", "stability"))
+    limits = F.array(
+        F.when(F.col("runner_up").isNull(), "there was nothing to compare it with"),
+        F.when(F.col("rank_margin") == 0, "the runner-up has the same sum of ranks; a tie rule decided"),
+        F.when(F.col("silhouette") < 0.25, "clusters overlap: the silhouette is below 0.25"),
+        F.when(F.col("ari_mean").isNull(), "agreement between runs wasn't measured"),
+        F.when(F.col("ari_mean") < 0.5, "runs agree little: their mean adjusted Rand index is below 0.5"),
+        F.lit("internal measures rank partitions; they don't say what the clusters mean"),
+    )
+    joined = lambda c: F.array_join(F.filter(c, lambda x: x.isNotNull()), "; ")
+    return got.select("winner", "runner_up", "rank_margin", "structure", "stability", joined(reasons).alias("reasons"), joined(limits).alias("limitations"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions.text import normalise_algorithm, parse_int, parse_parameter
-from cairn.operators import agreement, ensemble, hierarchy, interpret, kmeans, metrics, mixture, pairs, profiling, refit, scaling, selection
+from cairn.operators import agreement, dbscan, ensemble, hierarchy, interpret, kmeans, metrics, mixture, pairs, profiling, refit, scaling, selection
 from cairn.operators.cleaning import bootstrap_draws, hash_sample
 from cairn.plans import clusters, quality
 from cairn.plans import fixtures as fx
@@ -94,6 +94,27 @@ def winner_refit(spark, d):
     return metrics.evaluate(materialize(out, "refits").join(rows, "id"))
 
 
+@query("unified_portfolio")
+def unified_portfolio(spark, d):
+    """Results of seven kinds in the same columns: searches of each family, bases, consensus, refits."""
+    rows = clusters._sample(spark, d, 2_000)
+    measured = lambda labels: metrics.cluster_counts(labels).join(metrics.internal(labels.join(rows, "id")), "run_id", "left").withColumn("parameters", F.col("run_id")).drop("run_id")
+    fits = kmeans.search(rows, (2, 3, 4), (1, 2))[1]
+    bases, labelled, search = _consensus(spark, d)
+    made = refit.refit(rows, "kmeans", 3, seed=1)
+    return selection.unify(
+        {
+            "kmeans": measured(materialize(kmeans.assign(rows, fits), "kmeans")),
+            "hierarchical": measured(materialize(hierarchy.cuts_of(hierarchy.trees(rows, ks=(2, 3))), "cuts")),
+            "dbscan": measured(materialize(dbscan.search(rows, (10,), (0.9, 0.97)), "dbscan")),
+            "gmm": mixture.search(clusters._reduced(spark, d), (2, 3), ("diag",), steps=10)[0],
+            "bases": ensemble.evaluate_bases(bases, labelled),
+            "consensus": search,
+            "refit": measured(materialize(made, "refit")),
+        }
+    )
+
+
 _MEDOID = f"{quality._DIST}, cc AS (SELECT cluster, list(x ORDER BY dim) AS c FROM (SELECT cluster, dim, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS dim FROM part WHERE run_id = 'a') GROUP BY ALL) GROUP BY cluster), own AS (SELECT id, cluster, n + 1 AS size, total, total / greatest(n, 1) AS m FROM sums WHERE other = cluster AND run_id = 'a'), md AS (SELECT cluster, arg_min(id, (round(total, 7), id)) AS id FROM own GROUP BY cluster), cl AS (SELECT p.cluster, arg_min(p.id, (round(list_distance(p.v, c), 9), p.id)) AS id FROM part p JOIN cc USING (cluster) WHERE p.run_id = 'a' GROUP BY p.cluster)"
 
 

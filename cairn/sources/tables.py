@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import platform
+import urllib.request
 from collections.abc import Sequence
 from importlib.metadata import PackageNotFoundError, version
 
@@ -17,6 +21,51 @@ def raw_schema(text: bool = False) -> T.StructType:
     return T.StructType([T.StructField(c, kind(c)) for c in RAW_COLUMNS])
 
 
+def fetch(urls: Sequence[str], target: str, sha256: str | None = None, timeout: float = 60.0) -> str:
+    """Download a file to ``target`` on the driver from the first address that gives it whole; returns that address.
+
+    A file that is already there (with the digest, where one is given) isn't fetched again: the answer is then
+    empty. Bytes go to a file beside the target that takes its place at the end, so a broken download leaves
+    nothing behind. If no address serves, the error names what went wrong at each.
+    """
+
+    def digest(path: str) -> str:
+        with open(path, "rb") as data:
+            return hashlib.file_digest(data, "sha256").hexdigest()
+
+    if os.path.exists(target) and (sha256 is None or digest(target) == sha256):
+        return ""
+    failed = []
+    for url in urls:
+        part = f"{target}.part"
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as data, open(part, "wb") as out:
+                while block := data.read(1 << 20):
+                    out.write(block)
+            if sha256 is not None and digest(part) != sha256:
+                raise OSError("its digest isn't the expected one")
+            if not os.path.getsize(part):
+                raise OSError("it is empty")
+            os.replace(part, target)
+            return url
+        except (OSError, ValueError) as error:
+            failed.append(f"{url}: {error}")
+            if os.path.exists(part):
+                os.remove(part)
+    raise OSError("; ".join(failed) or "no address given")
+
+
+def write_record(spark: SparkSession, path: str, record: dict) -> None:
+    """The record of a run, as one JSON document in whatever store the session writes."""
+    spark.createDataFrame([(json.dumps(record, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_record(spark: SparkSession, path: str) -> dict:
+    """A record that :func:`write_record` wrote; empty where there is none."""
+    rows = spark.read.text(path).limit(1).collect() if exists(spark, path) else []
+    return json.loads(rows[0][0]) if rows else {}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read.option("header", True)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
@@ -52,6 +101,20 @@ def read_vectors(spark: SparkSession, path: str, required: Sequence[str], key: s
     return df.select(key, *required)
 
 
+def read_aligned(spark: SparkSession, paths: dict[str, str], key: str = "row_id") -> DataFrame:
+    """Keyed tables side by side. Each must have the same keys, once each; else a ValueError says which doesn't."""
+    out, first = None, None
+    for name, path in paths.items():
+        own = read_vectors(spark, path, [c for c in spark.read.parquet(path).columns if c != key], key)
+        if out is None:
+            out, first = own, name
+            continue
+        if own.join(out.select(key), key, "left_anti").limit(1).count() or out.join(own.select(key), key, "left_anti").limit(1).count():
+            raise ValueError(f"{name} hasn't the same rows as {first}")
+        out = out.join(own, key)
+    return out
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", single: bool = False) -> None:
     out = (df.coalesce(1) if single else df).write.mode("overwrite")
     getattr(out.option("header", True) if kind == "csv" else out, kind)(path)
@@ -63,12 +126,13 @@ def as_floats(df: DataFrame, *vectors: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, *paths: str) -> DataFrame:
-    """(name, size_bytes, sha256) of the files below the paths that exist; hashed where they are read."""
+    """(name, path, size_bytes, modified, sha256) of the files below the paths that exist; hashed where they are read.
+    Names may repeat, paths don't. A file is one value while it is hashed, so none may pass 2 GB."""
     there = [p for p in paths if exists(spark, p)]
     if not there:
-        return spark.createDataFrame([], "name string, size_bytes long, sha256 string")
+        return spark.createDataFrame([], "name string, path string, size_bytes long, modified timestamp, sha256 string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
 
 
 def environment(spark: SparkSession, packages: Sequence[str] = ("pyspark", "pyarrow", "pandas", "numpy")) -> DataFrame:

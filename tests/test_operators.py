@@ -389,3 +389,32 @@ def test_dense_key_with_clashing_names(spark):
     rows = spark.createDataFrame([(5, 1, 1, 1, 1), (3, 2, 2, 2, 2)], "k long, part_ long, place_ long, before_ long, n_ long")
     got = sorted(tuple(r) for r in cleaning.dense_key(rows, ["k"], "at").collect())
     assert got == [(3, 2, 2, 2, 2, 0), (5, 1, 1, 1, 1, 1)]
+
+
+def test_fetch_goes_on_to_the_next_address(tmp_path):
+    import hashlib
+
+    source, target = tmp_path / "source.csv", tmp_path / "target.csv"
+    source.write_bytes(b"a,b" * 1000)
+    (tmp_path / "empty").write_bytes(b"")
+    digest = hashlib.sha256(source.read_bytes()).hexdigest()
+    urls = [f"file://{tmp_path}/none.csv", f"file://{tmp_path}/empty", f"file://{source}"]
+    assert io.fetch(urls, str(target), digest) == urls[2] and target.read_bytes() == source.read_bytes()
+    assert io.fetch(urls, str(target), digest) == ""
+    with pytest.raises(OSError, match="none.csv.*empty"):
+        io.fetch(urls[:2], str(tmp_path / "other"))
+    with pytest.raises(OSError, match="digest"):
+        io.fetch(urls[2:], str(tmp_path / "other"), "0" * 64)
+    assert not list(tmp_path.glob("*.part"))
+
+
+def test_records_and_aligned_tables(spark, tmp_path):
+    io.write_record(spark, f"{tmp_path}/record", {"seconds": 1.5, "rows": 3})
+    assert io.read_record(spark, f"{tmp_path}/record") == {"seconds": 1.5, "rows": 3} and io.read_record(spark, f"{tmp_path}/none") == {}
+    for name, ids in (("a", [1, 2]), ("b", [2, 1]), ("c", [1, 3])):
+        io.write(spark.createDataFrame([(i, i * 10) for i in ids], f"row_id long, {name} long"), f"{tmp_path}/{name}")
+    assert sorted(tuple(r) for r in io.read_aligned(spark, {"a": f"{tmp_path}/a", "b": f"{tmp_path}/b"}).collect()) == [(1, 10, 10), (2, 20, 20)]
+    with pytest.raises(ValueError, match="c hasn't"):
+        io.read_aligned(spark, {"a": f"{tmp_path}/a", "c": f"{tmp_path}/c"})
+    rows = io.file_manifest(spark, f"{tmp_path}/a", f"{tmp_path}/b").collect()
+    assert len({r["path"] for r in rows}) == len(rows) > 1 and all(len(r["sha256"]) == 64 for r in rows)
