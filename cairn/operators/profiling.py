@@ -168,6 +168,15 @@ def t_two_sided(r: float, n: int) -> float:
     return 1 - front * fraction(b, a, 1 - x) / b
 
 
+def critical_r(n: int, alpha: float = 0.01) -> float:
+    """The least |r| on n rows whose two-sided p is at most alpha (bisection)."""
+    low, high = 0.0, 1.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (low, mid) if t_two_sided(mid, n) <= alpha else (mid, high)
+    return high
+
+
 def correlation_significance(rows: DataFrame, columns: Sequence[str], alpha: float = 0.01) -> DataFrame:
     """(left, right, n, r, p_value, significant, masked) off the diagonal: p is two-sided, of the rows in which
     both have a value; ``masked`` is r where it is significant, else null."""
