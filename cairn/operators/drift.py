@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairn.operators.profiling import walked, walked_quantiles
+from cairn.operators.profiling import quantile, walked, walked_quantiles
 from cairn.runtime import materialize
 
 FLOOR = 1e-8
@@ -13,8 +13,7 @@ FLOOR = 1e-8
 def steps_of(reference: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Walked counts (feature, value, r, c, r_before, c_before) of two (feature, value) tables without their nulls,
     and (feature, r, c) in all. Both tables are read once; everything about drift follows from these counts."""
-    mark = lambda df, r, c: df.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value"), F.lit(r).alias("r"), F.lit(c).alias("c"))
-    counts = mark(reference, 1, 0).unionByName(mark(current, 0, 1)).groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    counts = _marked(reference, 1, 0).unionByName(_marked(current, 0, 1)).groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     walk, totals = walked(counts, ["r", "c"])
     return materialize(walk, "walk"), materialize(totals, "totals")
 
@@ -22,9 +21,12 @@ def steps_of(reference: DataFrame, current: DataFrame) -> tuple[DataFrame, DataF
 def psi_edges(walk: DataFrame, totals: DataFrame, bins: int = 10) -> DataFrame:
     """(feature, edges, constant): inner edges of distinct linear quantiles of the reference; with fewer than three
     distinct ones equal widths over the joint range, or constant if that has none."""
-    quantiles = walked_quantiles(walk, totals, [i / bins for i in range(bins + 1)], "r").select("feature", F.array_sort(F.array_distinct("q")).alias("q"))
-    span = walk.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    own = quantiles.join(span, "feature")
+    quantiles = walked_quantiles(walk, totals, [i / bins for i in range(bins + 1)], "r")
+    return _edges(quantiles, walk.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high")), bins)
+
+
+def _edges(quantiles: DataFrame, span: DataFrame, bins: int) -> DataFrame:
+    own = quantiles.select("feature", F.array_sort(F.array_distinct("q")).alias("q")).join(span, "feature")
     width = (F.col("high") - F.col("low")) / bins
     equal = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.col("low") + i * width)
     inner = F.slice("q", F.lit(2), F.greatest(F.size("q") - 2, F.lit(0)))
@@ -32,8 +34,9 @@ def psi_edges(walk: DataFrame, totals: DataFrame, bins: int = 10) -> DataFrame:
     return own.select("feature", F.when(few, equal).otherwise(inner).alias("edges"), (few & (F.col("low") == F.col("high"))).alias("constant"))
 
 
-def psi_of(walk: DataFrame, totals: DataFrame, bins: int = 10) -> DataFrame:
-    edges = materialize(psi_edges(walk, totals, bins), "edges")
+def psi_of(walk: DataFrame, totals: DataFrame, bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
+    """(feature, psi) of counts (feature, value, r, c), with the edges of :func:`psi_edges` unless others are given."""
+    edges = materialize(psi_edges(walk, totals, bins) if edges is None else edges, "edges")
     placed = walk.join(F.broadcast(edges), "feature").select("feature", "r", "c", F.aggregate("edges", F.lit(0), lambda s, e: s + F.when(F.col("value") >= e, 1).otherwise(0)).alias("bin"))  # a row for each feature
     counts = placed.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     sizes = totals.select("feature", F.col("r").alias("nr"), F.col("c").alias("nc"))
@@ -44,9 +47,21 @@ def psi_of(walk: DataFrame, totals: DataFrame, bins: int = 10) -> DataFrame:
     return out.select("feature", F.when(F.col("constant"), 0.0).otherwise(F.col("psi")).alias("psi"))
 
 
-def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
-    """(feature, psi) of (feature, value) tables. Bins are [a, b); an empty one counts with a floor of 1e-8."""
-    return psi_of(*steps_of(reference, current), bins)
+def psi(reference: DataFrame, current: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
+    """(feature, psi) of (feature, value) tables. Bins are [a, b); an empty one counts with a floor of 1e-8.
+
+    With ``accuracy`` the edges come from a mergeable sketch of the reference, and no counts of values are made.
+    """
+    if not accuracy:
+        return psi_of(*steps_of(reference, current), bins)
+    rows = _marked(reference, 1, 0).unionByName(_marked(current, 0, 1))
+    quantiles = reference.groupBy("feature").agg(quantile("value", [i / bins for i in range(bins + 1)], accuracy).alias("q"))
+    sides = rows.groupBy("feature").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return psi_of(rows, sides, bins, _edges(quantiles, sides.select("feature", "low", "high"), bins))
+
+
+def _marked(rows: DataFrame, r: int, c: int) -> DataFrame:
+    return rows.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value"), F.lit(r).alias("r"), F.lit(c).alias("c"))
 
 
 def kolmogorov(d: Column, n: Column, m: Column) -> Column:
