@@ -60,7 +60,7 @@ WIDE_BLOCK = 4096
 #: Sets of a block that meets with its shingles, and about how many bytes of them.
 SET_BLOCK, SET_BYTES = 1024, 4_000_000
 #: Rounds that link sets to their nearest, before all candidates left are verified in meetings.
-ROUNDS = 2
+ROUNDS = 1
 #: Ids up to which a table of them is broadcast; beyond, it is joined by shuffle.
 FEW = 500_000
 _SALTS = np.random.default_rng(SEED).integers(1, 2**63, WIDE, np.uint64)
@@ -128,12 +128,12 @@ def deal(rows: DataFrame, key: str, near: Callable[[tuple, tuple], bool], block:
     whatever the number of rows; blocks and meetings are worked out by expressions, not on the driver.
     """
     cells = {(r["a"], r["b"]): -(-r["count"] // block((r["a"], r["b"]))) for r in rows.groupBy("a", "b").count().collect()}
-    table = [(a, b, n, [(x, y, m) for (x, y), m in cells.items() if near((a, b), (x, y))]) for (a, b), n in cells.items()]
-    plan = rows.sparkSession.createDataFrame(table, "a int, b int, blocks int, others array<struct<a:int,b:int,blocks:int>>")
-    own = rows.join(F.broadcast(plan), ["a", "b"]).withColumn("i", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-    seats = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["blocks"] - 1), lambda j: F.struct(o["a"].alias("a"), o["b"].alias("b"), j.alias("i")))))
-    me = F.struct("a", "b", "i")
-    met = own.withColumn("other", F.explode(seats)).withColumn("me", me)
+    number = {cell: k for k, cell in enumerate(cells)}
+    table = [(*cell, k, cells[cell], [(number[x], cells[x]) for x in cells if near(cell, x)]) for cell, k in number.items()]
+    plan = rows.sparkSession.createDataFrame(table, "a int, b int, cell long, blocks int, others array<struct<cell:long,blocks:int>>")
+    own = rows.join(F.broadcast(plan), ["a", "b"]).withColumn("me", F.col("cell") * 2**32 + F.pmod(F.xxhash64(key), F.col("blocks")))
+    seats = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["blocks"] - 1), lambda j: o["cell"] * 2**32 + j)))
+    met = own.withColumn("other", F.explode(seats))
     return met.select(*(c for c in rows.columns if c not in ("a", "b")), F.least("me", "other").alias("one"), F.greatest("me", "other").alias("two"), (F.col("me") > F.col("other")).cast("int").alias("side"))
 
 
@@ -450,23 +450,26 @@ def similar_roots(distinct: DataFrame, docs: DataFrame, rounds: int = ROUNDS, bl
     """(node, root) of the distinct sets (fp, least, n, wide, ones) that have a similar one."""
     roots = distinct.sparkSession.createDataFrame([], "node long, root long")
     marked = lambda sets: sets.join(roots, sets["fp"] == roots["node"], "left").select(*sets.columns, F.coalesce("root", "fp").alias("root"))
+    prints = lambda sets: marked(sets.select("fp", "n", "wide", "ones"))
+    wanted = lambda nodes: sets_of(docs, materialize(distinct.select("fp", "least").join(nodes.distinct(), "fp", "left_semi"), "ends"))
     active, edges, sets = distinct, None, None
-    for turn in range(rounds):
-        met = materialize(nearest(marked(active.select("fp", "n", "wide", "ones")), block), "met")
+    for _ in range(rounds):
+        met = materialize(nearest(prints(active), block), "met")
         if sets is None:
-            ends = met.select(F.col("u").alias("fp")).union(met.select(F.col("v").alias("fp"))).distinct()
-            sets = materialize(sets_of(docs, materialize(distinct.select("fp", "least").join(ends, "fp", "left_semi"), "ends")), "sets")
+            sets = materialize(wanted(met.select(F.col("u").alias("fp")).union(met.select(F.col("v").alias("fp")))), "sets")
         found = materialize(verified(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets), "links")
         edges = found if edges is None else edges.unionAll(found)
-        # at first, a pair that wasn't reported has two candidates or more at either end, in its meeting
-        left = met.where("c > 1").select(F.col("u").alias("fp")).distinct()
-        active = materialize(active.join(left, "fp", "left_semi"), "active")
+        # a pair that wasn't reported has two candidates or more at either end, in its meeting
+        active = materialize(active.join(met.where("c > 1").select(F.col("u").alias("fp")).distinct(), "fp", "left_semi"), "active")
         release(met)
         roots = connected(edges)
+    # every set with a candidate in another component reports one
+    left = nearest(prints(active), block).select(F.col("u").alias("fp")).distinct()
+    active = materialize(active.join(left, "fp", "left_semi"), "active")
     if not active.limit(1).count():
         return roots
-    sets = sets or materialize(sets_of(docs, distinct.select("fp", "least")), "sets")
-    found = materialize(verified_meetings(marked(active.select("fp", "n", "wide", "ones").join(sets, "fp")), set_block), "links")
+    sets = sets or materialize(wanted(active.select("fp")), "sets")
+    found = materialize(verified_meetings(prints(active).join(sets, "fp"), set_block), "links")
     release(sets)
     return connected(found if edges is None else edges.unionAll(found))
 

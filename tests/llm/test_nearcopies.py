@@ -73,7 +73,7 @@ def test_stage_drops_every_near_copy(spark):
 def test_rounds_leave_no_pair_out(spark):
     docs = frame(spark, texts(6)).repartition(3)
     distinct = simhash.set_prints(docs).groupBy("fp").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "wide", "ones")))
-    one, many, small = ({r["node"]: r["root"] for r in simhash.similar_roots(distinct, docs, *how).collect()} for how in ((0,), (simhash.ROUNDS,), (1, 16, 8)))
+    one, many, small = ({r["node"]: r["root"] for r in simhash.similar_roots(distinct, docs, *how).collect()} for how in ((0,), (simhash.ROUNDS,), (2, 16, 8)))
     assert one and one == many == small
 
 
