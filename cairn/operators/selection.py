@@ -56,10 +56,6 @@ def best_k(table: DataFrame) -> DataFrame:
     return table.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k"), F.max("silhouette").alias("silhouette"))
 
 
-def least_bic(table: DataFrame) -> DataFrame:
-    return table.where("bic is not null").orderBy("bic", "run_id").limit(1)
-
-
 def k_summary(search: DataFrame, gaps: DataFrame, bics: DataFrame) -> DataFrame:
     """One row with what each rule says about k."""
     a = search.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("silhouette_k"), F.min("k").alias("k_min"), F.max("k").alias("k_max"))
