@@ -83,8 +83,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), "id % 20 = 0")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_chat, op3_url_filter, op4_pii, op5_toxicity, op6_packing, op7_bpe, op8_quality, op9_licenses, op10_topk)
+    own = (op1_simhash, op2_chat, op3_url_filter, op4_pii, op5_toxicity, op6_packing, op7_bpe, op8_quality, op9_licenses, op10_topk, op13_divergence)
     return {f.__name__: f for f in own}
 
 

@@ -53,4 +53,22 @@ s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(max(list_dot_product(q.v, c.
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20
 """
 
-ORACLES = {"op2_chat": CHAT, "op3_url_filter": URL_FILTER, "op9_licenses": LICENSES, "op10_topk": TOP_K}
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 30),
+sizes AS (SELECT g.lang, count(term) AS v, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN kept USING (lang) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT w.lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT g.lang, g.source, coalesce(sum(own.n), 0) AS n FROM groups g LEFT JOIN own USING (lang, source) GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(own.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(own.n, 0) + 5)) // (t.n + 5 * s.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (s.n + 5 * s.v) AS q
+  FROM total t JOIN sizes s USING (lang) JOIN kept k USING (lang) LEFT JOIN own ON own.lang = t.lang AND own.source = t.source AND own.term = k.term),
+gaps AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(g.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS r FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50
+"""
+
+ORACLES = {"op2_chat": CHAT, "op3_url_filter": URL_FILTER, "op9_licenses": LICENSES, "op10_topk": TOP_K, "op13_divergence": DIVERGENCE}
