@@ -83,6 +83,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), "id % 20 = 0")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.lexical import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.wrappers import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.divergence import audit
 
@@ -90,7 +102,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_chat, op3_url_filter, op4_pii, op5_toxicity, op6_packing, op7_bpe, op8_quality, op9_licenses, op10_topk, op13_divergence)
+    own = (op1_simhash, op2_chat, op3_url_filter, op4_pii, op5_toxicity, op6_packing, op7_bpe, op8_quality, op9_licenses, op10_topk, op11_lexical, op12_html, op13_divergence)
     return {f.__name__: f for f in own}
 
 

@@ -71,4 +71,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50
 """
 
-ORACLES = {"op2_chat": CHAT, "op3_url_filter": URL_FILTER, "op9_licenses": LICENSES, "op10_topk": TOP_K, "op13_divergence": DIVERGENCE}
+LEXICAL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+size AS (SELECT rid, doc_id, len(ws) AS n FROM d WHERE len(ws) > 0),
+whole AS (SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM size),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM whole) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf GROUP BY term),
+part AS (SELECT rid, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * size.n * whole.n) // whole.l))) AS s FROM tf JOIN weight USING (term) JOIN size USING (rid), whole),
+score AS (SELECT item_id, rid, CAST(sum(s) AS BIGINT) AS score FROM part JOIN item USING (term) GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM score JOIN size USING (rid) QUALIFY rank <= 10
+"""
+
+ORACLES = {"op2_chat": CHAT, "op3_url_filter": URL_FILTER, "op9_licenses": LICENSES, "op10_topk": TOP_K, "op11_lexical": LEXICAL, "op13_divergence": DIVERGENCE}
