@@ -1,7 +1,7 @@
 """Quality rules: base counts of every text, and a hashed n-gram log-likelihood ratio.
 
 The n-grams are runs of ``NGRAM`` bytes, hashed into ``BUCKETS``. Raw counts cover all bytes of all
-texts, target counts all texts that ``labels`` marks as good and not toxic. A text's score is the
+texts, target counts all texts whose id has only labels that mark it as good and not toxic. A text's score is the
 mean over its n-grams of log(target share / raw share) with add-one smoothing. A text is kept if it
 passes the base rules and its score is at least the threshold: the ``LOST`` quantile of the scores
 of all trusted texts (to one ``BIN``), less ``SLACK`` of the distance down to the mean ratio of
@@ -107,8 +107,10 @@ def scores(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of all rows that a label marks as good and none of its labels as toxic."""
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
+    """The texts of all rows whose id has labels that all say good, and none that says toxic or leaves either open."""
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_good"))
+    sure = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    good = known.agg(F.min(F.coalesce(sure, F.lit(False))).alias("sure")).where("sure").select("_good")
     few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     return own.join(F.broadcast(good) if few else good, F.col("_id") == F.col("_good"), "left_semi").select("text")

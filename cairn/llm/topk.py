@@ -1,8 +1,10 @@
 """Exact top-k inner products by a vector-approximation file.
 
-The file holds each distinct vector as cell numbers of one byte a component: a component's range over
-the whole table is cut into ``CELLS`` cells of one width, so for a query every score lies within a fixed
-distance (the query's slack) of the score with the cells' middles. A first scan of the file finds, for
+The file holds each distinct vector as cell numbers of one byte a component. A component's cells follow
+its values: ``BODY`` of them between quantiles (of a bounded sample of ``EDGE_ROWS`` entries; only edges
+come from it), and where these, or the ends of the whole table's range, are far apart, cells of doubling
+width from both sides, so outliers stand in cells of their own. For a query every score lies within a distance (the slack, summed
+from the widths of the candidate's own cells) of the score with the cells' middles. A first scan of the file finds, for
 each query, a score that enough vectors reach for certain; a second scan reports the vectors whose upper
 bound reaches it. Only for these are exact vectors read: first those with the highest upper bounds, then
 those whose bound still reaches the kth score found, so that it is certain. The scans move cells and
@@ -34,7 +36,10 @@ from cairn.runtime import materialize, ship
 
 K = 20
 SCALE = 64
-CELLS = 64
+#: Cells between quantiles, and most cells with those of doubling width in wide gaps.
+BODY, MOST_CELLS = 100, 255
+#: Entries whose components give the quantiles.
+EDGE_ROWS = 20_000
 #: Vectors of a candidate block, and queries of a query block.
 BLOCK = 16_384
 QUERY_BLOCK = 2048
@@ -72,30 +77,60 @@ def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     return out
 
 
+def edges_of(values: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Lower ends of one component's cells, ascending from ``low``: quantiles of a sample, and in wide gaps steps of doubling width from both sides."""
+    body = np.unique(np.floor(np.quantile(values, np.linspace(0, 1, BODY + 1)))) if len(values) else np.zeros(0)
+    edges = np.unique(np.concatenate([[low], body[(body >= low) & (body <= high)]]))
+    ends = np.append(edges[1:], high + 1)
+    gaps = ends - edges
+    width = max(1.0, float(np.median(gaps)))
+    steps = width * 2.0 ** np.arange(60)
+    found, room = [edges], MOST_CELLS - len(edges)
+    for k in np.argsort(-gaps, kind="stable"):
+        if gaps[k] <= 2 * width:
+            break
+        near = steps[steps < gaps[k] / 2]
+        inner = np.floor(np.concatenate([edges[k] + near, ends[k] - near]))
+        inner = inner[(inner > edges[k]) & (inner < ends[k])]
+        if len(inner) <= room:
+            found.append(inner)
+            room -= len(inner)
+    return np.unique(np.concatenate(found))
+
+
 @dataclass
 class Grid:
-    """Each component's lowest value and cell width, half a cell, and largest size."""
+    """For each component the lower ends of its cells, their middles, half widths and largest sizes (by component and cell)."""
 
-    low: np.ndarray
-    step: np.ndarray
+    edges: list[np.ndarray]
+    middle: np.ndarray
     half: np.ndarray
     size: np.ndarray
 
     @classmethod
-    def over(cls, low: np.ndarray, high: np.ndarray, cells: int = CELLS) -> Grid:
-        size = np.maximum(np.abs(low), np.abs(high))
-        step = np.maximum(np.ceil((high - low + 1) / cells), 1)
-        return cls(low, step, (step - 1) / 2, size)
-
-    def cells(self, v: np.ndarray, cells: int = CELLS) -> np.ndarray:
-        return np.clip((v - self.low) // self.step, 0, cells - 1).astype(np.uint8)
-
-    def middles(self, cell: np.ndarray) -> np.ndarray:
-        return self.low + cell * self.step + self.half
-
-    def slack(self, q: np.ndarray) -> np.ndarray:
-        """How far a score can be from that with the middles, rounding included."""
-        return np.abs(q) @ (self.half + np.where(self.size * len(self.size) * np.abs(q).max(initial=0) < EXACT / 4, 0, self.size * 1e-9))
+    def over(cls, low: np.ndarray, high: np.ndarray, sample: np.ndarray) -> Grid:
+        edges = [edges_of(sample[:, k], low[k], high[k]) for k in range(len(low))]
+        most = max(map(len, edges))
+        middle, half, size = (np.zeros((len(low), most)) for _ in range(3))
+        for k, own in enumerate(edges):
+            top = np.maximum(np.append(own[1:] - 1, high[k]), own)
+            middle[k, : len(own)], half[k, : len(own)] = own / 2 + top / 2, top / 2 - own / 2
+            size[k, : len(own)] = np.maximum(np.abs(own), np.abs(top))
+        return cls(edges, middle, half, size)
+
+    def cells(self, v: np.ndarray) -> np.ndarray:
+        out = np.zeros(v.shape, np.uint8)
+        for k, own in enumerate(self.edges):
+            out[:, k] = np.maximum(np.searchsorted(own, v[:, k], "right") - 1, 0)
+        return out
+
+    def of(self, cell: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Middles and half widths (components by vectors) of vectors' cells, rounding of scores with ``q`` included."""
+        at = np.arange(len(self.edges))[None, :], cell
+        middle, half = self.middle[at].T.copy(), self.half[at].T.copy()
+        if not np.abs(q).max(initial=0) * self.size.max(axis=1).sum() < EXACT / 4:
+            half += self.size[at].T * 1e-9
+        return middle, half
 
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -112,9 +147,9 @@ def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 class VectorFile:
     """The approximation file of a table of vectors, and searches in it."""
 
-    def __init__(self, rows: DataFrame, k: int = K, id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK, cells: int = CELLS):
+    def __init__(self, rows: DataFrame, k: int = K, id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK):
         ship(rows.sparkSession)
-        self.k, self.block, self.query_block, self.n_cells = k, block, query_block, cells
+        self.k, self.block, self.query_block = k, block, query_block
         self.vectors = materialize(whole_vectors(rows, id_column, vector), "vectors")
         # an entry of equal vectors: its smallest ids; an id with several vectors may count once only
         several = self.vectors.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("several"))
@@ -122,11 +157,12 @@ class VectorFile:
         least = least.join(several, "id", "left").withColumn("sure", F.col("several").isNull())
         entries = least.groupBy("v").agg(F.min("id").alias("first"), F.array_sort(F.collect_list("id")).alias("ids"), F.max("sure").alias("sure"))
         self.entries = materialize(entries.withColumn("entry", F.xxhash64("first", "v")), "entries")
-        self.grid = self._grid()
+        n = self.entries.count()
+        self.grid = self._grid(n)
         self.file = materialize(self._cells(), "cells")
-        self.blocks = max(1, -(-self.entries.count() // block))
+        self.blocks = max(1, -(-n // block))
 
-    def _grid(self) -> Grid:
+    def _grid(self, n_entries: int) -> Grid:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = high = np.zeros(0)
             n = np.zeros(0, np.int64)
@@ -151,15 +187,17 @@ class VectorFile:
             if at in rows and rows[at]["n"]:
                 shorter = rows[at]["n"] < total  # shorter vectors have a zero here
                 low[at], high[at] = (min(rows[at]["low"], 0), max(rows[at]["high"], 0)) if shorter else (rows[at]["low"], rows[at]["high"])
-        return Grid.over(low, high, self.n_cells)
+        drawn = self.entries.where(F.pmod(F.xxhash64("entry", F.lit(2)), F.lit(max(1, -(-n_entries // EDGE_ROWS)))) == 0).select("v")
+        sample = matrix(pa.array([r["v"] for r in drawn.collect()], pa.list_(pa.float64())), width)  # about EDGE_ROWS
+        return Grid.over(low, high, sample)
 
     def _cells(self) -> DataFrame:
-        grid, cells = self.grid, self.n_cells
+        grid = self.grid
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
-                    own = grid.cells(matrix(batch.column(2), len(grid.low)), cells)
+                    own = grid.cells(matrix(batch.column(2), len(grid.edges)))
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in own], pa.binary())], ["entry", "sure", "cell"])
 
         return self.entries.select("entry", "sure", "v").mapInArrow(run, "entry long, sure boolean, cell binary")
@@ -173,18 +211,22 @@ class VectorFile:
         right = self.file.select(F.lit(1).alias("side"), "entry", "sure", "cell", spread("entry", self.blocks).alias("d")).withColumn("q", over(n_queries))
         return left.unionByName(right, allowMissingColumns=True).groupBy("q", "d")
 
-    def _middle_scores(self, table: pa.Table) -> Iterator[tuple]:
-        """(queries' part of the table, data's, scores with the middles, slack) for some queries at a time."""
+    def _bounds(self, table: pa.Table) -> Iterator[tuple]:
+        """(queries' part of the table, data's, least scores, most scores) for some queries at a time."""
         side = table.column("side").to_numpy()
         a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
         if not len(a) or not len(b):
             return
         cell = np.frombuffer(b"".join(b.column("cell").to_pylist()), np.uint8).reshape(len(b), -1)
-        middle = self.grid.middles(cell).T.copy()
-        q = matrix(a.column("v"), len(self.grid.low))
+        q = matrix(a.column("v"), len(self.grid.edges))
+        middle, half = self.grid.of(cell, q)
         for i in range(0, len(q), ROWS):
             part = q[i : i + ROWS]
-            yield a.slice(i, len(part)), b, part @ middle, self.grid.slack(part)
+            with np.errstate(over="ignore", invalid="ignore"):
+                score, slack = part @ middle, np.abs(part) @ half
+                low, high = score - slack, score + slack
+            low[np.isnan(low)], high[np.isnan(high)] = -np.inf, np.inf
+            yield a.slice(i, len(part)), b, low, high
 
     def floors(self, queries: DataFrame) -> DataFrame:
         """(asked, floor): a score that k + 1 ids reach for certain; no row where there are fewer."""
@@ -242,28 +284,27 @@ class _Scan:
     def __init__(self, of: VectorFile):
         self.grid, self.k = of.grid, of.k
 
-    _middle_scores = VectorFile._middle_scores
+    _bounds = VectorFile._bounds
 
     def lower(self, table: pa.Table) -> pa.Table:
         ids, low = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for a, b, score, slack in self._middle_scores(table):
-            score = score[:, b.column("sure").to_numpy(zero_copy_only=False).astype(bool)]
-            n = min(self.k + 1, score.shape[1])
+        for a, b, least, _ in self._bounds(table):
+            least = least[:, b.column("sure").to_numpy(zero_copy_only=False).astype(bool)]
+            n = min(self.k + 1, least.shape[1])
             if n:
-                top = np.partition(score, score.shape[1] - n, axis=1)[:, -n:] - slack[:, None]
+                top = np.partition(least, least.shape[1] - n, axis=1)[:, -n:]
                 ids.append(np.repeat(a.column("entry").to_numpy(), n))
                 low.append(top.ravel())
         return pa.table({"asked": np.concatenate(ids), "lower": np.concatenate(low)})
 
     def upper(self, table: pa.Table) -> pa.Table:
         ids, entries, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for a, b, score, slack in self._middle_scores(table):
+        for a, b, _, most in self._bounds(table):
             floor = np.array([-np.inf if x is None else x for x in a.column("floor").to_pylist()])
-            score += slack[:, None]
-            r, c = np.nonzero(score >= floor[:, None])
+            r, c = np.nonzero(most >= floor[:, None])
             ids.append(a.column("entry").to_numpy()[r])
             entries.append(b.column("entry").to_numpy()[c])
-            high.append(score[r, c])
+            high.append(most[r, c])
         return pa.table({"asked": np.concatenate(ids), "entry": np.concatenate(entries), "upper": np.concatenate(high)})
 
 

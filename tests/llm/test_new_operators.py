@@ -292,3 +292,48 @@ def test_index_is_one_table(spark):
     index, n, total = lexical.build_index(docs_of(spark, ["a b a", "c", None]))
     assert (n, total) == (2, 4)
     assert materialize(index, "copy").count() == index.count()
+
+
+# --- later changes of op 8 and op 10
+
+def test_outliers_leave_candidates_few(spark):
+    from cairn.llm import topk
+
+    own = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
+    rng = np.random.default_rng(1)
+    odd = [(10_000 + i, [1000.0 * 10**i] * len(own[0][1])) for i in range(3)] + [(10_010 + i, [float(x) for x in rng.normal(size=len(own[0][1])) * 50]) for i in range(3)]
+    shares = []
+    for rows in (own, own + odd):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        file = topk.VectorFile(frame)
+        queries = file.entries.where("first % 20 = 0 and first < 10000").select(F.col("entry").alias("asked"), "v")
+        shares.append(file.candidates(queries).count() / (queries.count() * len(rows)))
+    assert shares[1] < shares[0] + 0.05
+    got = topk.top_k(spark.createDataFrame(own + odd, "vec_id long, embedding array<double>"), "id % 20 = 0").collect()
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in own + odd}
+    for q in [i for i in whole if i % 20 == 0][:12]:
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:20]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert mine == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+
+
+def test_cells_hold_their_values():
+    from cairn.llm import topk
+
+    rng = np.random.default_rng(6)
+    v = np.floor(np.concatenate([rng.normal(size=(500, 3)) * 40, [[10**6, -(10**9), 7], [0, 0, 1e200]]]))
+    grid = topk.Grid.over(v.min(axis=0), v.max(axis=0), v[:200])
+    cell = grid.cells(v)
+    at = np.arange(3)[None, :], cell
+    gap = np.abs(v - grid.middle[at])
+    assert (gap <= grid.half[at] * (1 + 1e-9) + 1e-6).all()
+    assert max(map(len, grid.edges)) < 256
+    assert np.median(grid.half[at][:500]) <= 1
+
+
+def test_only_ids_without_a_contrary_label_are_trusted(spark):
+    from cairn.llm import quality
+
+    docs = docs_of(spark, ["a", "b", "c", "d", "e", "f"])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (1, 1, 1), (2, 1, None), (3, 0, 0), (3, 1, 0), (4, None, 0), (5, 1, 0), (5, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r["text"] for r in quality.trusted_texts(docs, labels).collect()) == ["a", "f"]
