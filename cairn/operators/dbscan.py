@@ -29,7 +29,7 @@ def neighbour_counts(rows: DataFrame, radii: Sequence[float], block: int = BLOCK
         n = np.stack([(d <= eps).sum(axis=1) for eps in radii]) if len(a) else np.zeros((len(radii), 0), np.int64)
         return pa.table({"id": np.tile(a.column("id").to_numpy(), len(radii)), "e": np.repeat(np.arange(len(radii)), len(a)), "n": n.ravel().astype(np.int64)})
 
-    return block_pairs(rows, rows, kernel, "id long, e long, n long", block).groupBy("id", "e").agg(F.sum("n").alias("n"))
+    return block_pairs(rows, rows, kernel, "id long, e long, n long", block, max(radii)).groupBy("id", "e").agg(F.sum("n").alias("n"))
 
 
 def _forest(near: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -78,7 +78,7 @@ def _core_links(core: DataFrame, radii: Sequence[float], n: int, block: int) ->
                     v.append(s * n + ends)
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
-    return block_pairs(core, core, kernel, "u long, v long", block)
+    return block_pairs(core, core, kernel, "u long, v long", block, max(radii))
 
 
 def fit(rows: DataFrame, settings: Sequence[tuple[float, int]], block: int = BLOCK) -> DataFrame:
@@ -121,7 +121,7 @@ def fit(rows: DataFrame, settings: Sequence[tuple[float, int]], block: int = BLO
 
     every = placed.join(core.select("id", "core"), "id", "left").select("id", "v", F.coalesce("core", F.array().cast("array<long>")).alias("core"))
     known = core.select("id", "v").join(labelled.groupBy("id").agg(F.collect_list(F.struct("s", "cluster")).alias("labels")), "id")
-    edge = block_pairs(every, known, border, "id long, s long, cluster long", block).groupBy("id", "s").agg(F.min("cluster").alias("cluster"))
+    edge = block_pairs(every, known, border, "id long, s long, cluster long", block, max(radii)).groupBy("id", "s").agg(F.min("cluster").alias("cluster"))
     found = labelled.withColumn("core", F.lit(True)).unionByName(edge.withColumn("core", F.lit(False)))
     whole = rows.select("id").crossJoin(F.broadcast(wanted.select("s")))  # rows by settings: the result
     return whole.join(found, ["id", "s"], "left").select("id", "s", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))

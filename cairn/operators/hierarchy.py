@@ -1,7 +1,8 @@
 """Agglomerative clustering of a sample: Lance-Williams trees, cuts and their diagnostics.
 
 The tree of n rows needs their n * n distances, so a sample comes in (``MAX_ROWS``). Each (linkage,
-metric) is one task of a grouped map; the sample travels to it once.
+metric) is one task of a grouped map; the sample travels to it once. Single linkage of all rows goes by
+their minimum spanning tree (:func:`single_linkage_cuts`) and has no such limit.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions.vectors import distances
+from cairn.operators.components import connected
+from cairn.operators.pairs import BLOCK, held
+from cairn.operators.tendency import spanning_tree
+from cairn.runtime import materialize
 
 MAX_ROWS = 6_000
 LINKAGES = ("single", "complete", "average", "ward")
@@ -150,6 +155,41 @@ def trees(rows: DataFrame, linkages=LINKAGES, metrics=("euclidean",), ks=range(2
     return jobs.groupBy("linkage", "metric").applyInPandas(build, "linkage string, metric string, kind string, id long, step long, cluster long, left long, right long, height double, size long")
 
 
+def single_linkage_cuts(rows: DataFrame, ks=range(2, 9), block: int = BLOCK) -> DataFrame:
+    """(id, run_id, cluster, height) of all rows (id, v) for single linkage, without a limit on their number.
+
+    Clusters are what the minimum spanning tree leaves without its k - 1 heaviest edges; ``height`` is the
+    lightest of these. Of equal edges the one with the larger ids goes first. Clusters are numbered by their first row.
+    """
+    spark = rows.sparkSession
+    rows = held(rows.select("id", "v"))
+    tree = materialize(spanning_tree(rows, block), "tree")
+    heavy = tree.orderBy(F.desc("weight"), F.desc("u"), F.desc("v")).limit(max(ks) - 1).collect()  # an edge for each cluster
+    gone = spark.createDataFrame([(r["u"], r["v"]) for r in heavy], "u long, v long")
+    roots = connected(tree.select("u", "v").join(F.broadcast(gone), ["u", "v"], "left_anti"))
+    named = materialize(rows.select("id").join(roots, rows["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root")), "components")
+    ends = [x for r in heavy for x in (r["u"], r["v"])]
+    root_of = {r["id"]: r["root"] for r in named.where(F.col("id").isin(ends)).collect()} if ends else {}
+    every = sorted(r["root"] for r in named.select("root").distinct().collect())  # max(ks) at most
+    labels = []
+    for k in ks:
+        of = {r: r for r in every}
+
+        def find(x: int, of: dict[int, int] = of) -> int:
+            while of[x] != x:
+                x = of[x]
+            return x
+
+        for r in heavy[k - 1 :]:
+            a, b = sorted((find(root_of[r["u"]]), find(root_of[r["v"]])))
+            of[b] = a
+        number = {r: c for c, r in enumerate(sorted({find(x) for x in every}))}
+        height = float(heavy[min(k - 1, len(heavy)) - 1]["weight"]) if heavy and k > 1 else None
+        labels += [(f"single/euclidean/{k}", x, number[find(x)], height) for x in every]
+    known = spark.createDataFrame(labels, "run_id string, root long, cluster long, height double")
+    return named.join(F.broadcast(known), "root").select("id", "run_id", "cluster", "height")  # max(ks) rows for each k
+
+
 def cuts_of(built: DataFrame) -> DataFrame:
     """(id, run_id, cluster) with run_id linkage/metric/k."""
     return built.where("kind = 'cut'").select("id", F.concat_ws("/", "linkage", "metric", F.col("step").cast("string")).alias("run_id"), "cluster")

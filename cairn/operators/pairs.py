@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.vectors import distances, matrix
+from cairn.operators import rings
 from cairn.runtime import materialize
 
 BLOCK = 2048
@@ -24,15 +25,21 @@ def held(rows: DataFrame) -> DataFrame:
     return rows if getattr(rows, "_cairn_path", None) else materialize(rows, "block-rows")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK, within: float | None = None) -> DataFrame:
     """``kernel(rows of a left block, rows of a right block)`` for every pair of blocks. Both frames have ``id``.
 
-    They are written once, so that counting and pairing read a table instead of working it out again.
+    They are written once, so that counting and pairing read a table instead of working it out again. With
+    ``within``, only pairs of rows up to this Euclidean distance matter: blocks that are farther apart don't meet.
     """
     same = right is left
     left = held(left)
     right = left if same else held(right)
     n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
+    if within is not None and n_left > 1 and n_right > 1:
+        points = rings.reference_points(left)
+        own = rings.deal(left, points, block)
+        other = own if same else rings.deal(right, points, block)
+        return rings.meet(own, other, np.full(len(own.number), within), kernel, schema, block)
     seat = lambda n: F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.select(F.lit(0).alias("side"), *left.columns).withColumn("bl", seat(n_left)).withColumn("br", others(n_right))
@@ -84,7 +91,11 @@ def label_sums(rows: DataFrame, metric: str = "euclidean", block: int = BLOCK) -
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidean", skip_own: bool = True, block: int = BLOCK) -> DataFrame:
-    """(id, rank, other, distance): the k nearest right rows of each left row; ties to the smaller id."""
+    """(id, rank, other, distance): the k nearest right rows of each left row; ties to the smaller id.
+
+    Neighbours inside one frame of several blocks are looked for in blocks of near rows (:mod:`rings`), which meet
+    only those that can hold a nearer row than the block's own kth neighbours.
+    """
 
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
@@ -100,7 +111,12 @@ def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidean"
         keep = np.isfinite(value)
         return pa.table({"id": np.repeat(i, best.shape[1]).reshape(best.shape)[keep], "other": j[best][keep], "distance": value[keep]})
 
-    found = block_pairs(left, right, kernel, "id long, other long, distance double", block)
+    schema = "id long, other long, distance double"
+    if left is right and skip_own and (rows := held(left)).count() > block:
+        own = rings.deal(rows, rings.reference_points(rows, metric=metric), block, metric)
+        found = rings.meet(own, own, rings.worst_neighbour(own, k, metric, block), kernel, schema, block)
+    else:
+        found = block_pairs(left, right, kernel, schema, block)
     order = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("id", "rank", "other", "distance")
 
