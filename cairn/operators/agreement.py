@@ -2,26 +2,72 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.operators.metrics import external_of
+from cairn.operators.quantiles import exact_quantiles
 from cairn.runtime import materialize
 
+#: Clusters of all runs whose product a task holds at once (squared, 8 bytes each).
+CODES = 4096
+
 
-def run_cells(runs: DataFrame, every: bool = False) -> DataFrame:
+def run_cells(runs: DataFrame, every: bool = False, codes: int = CODES) -> DataFrame:
     """Contingency (run_id "left|right", left, right, cluster, label, n) of rows (id, run_id, cluster) for left < right or all pairs.
 
-    A row's labels are gathered once; its pairs of runs are made and counted inside the task, so that cells
-    are shuffled and not rows times pairs.
+    A cluster of a run is a code; a row's codes are gathered once. A task multiplies the rows' one-hot matrix with
+    itself, batch by batch, and sends its cells once: what moves doesn't grow with rows times pairs of runs. With more
+    than ``codes`` codes, groups of whole runs are taken two at a time.
     """
-    labels = runs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("run_id", "cluster"))).alias("own"))  # a value for each run
-    pair = lambda a: lambda b: F.struct(a["run_id"].alias("left"), b["run_id"].alias("right"), a["cluster"].alias("cluster"), b["cluster"].alias("label"))
-    others = (lambda a, i: F.col("own")) if every else (lambda a, i: F.slice("own", i + 2, F.size("own")))
-    pairs = F.flatten(F.transform("own", lambda a, i: F.transform(others(a, i), pair(a))))
-    cells = labels.select(F.explode(pairs).alias("p")).select("p.*").groupBy("left", "right", "cluster", "label").agg(F.count("*").alias("n"))
-    return cells.withColumn("run_id", F.concat_ws("|", "left", "right"))
+    known = materialize(runs.groupBy("run_id", "cluster").agg(F.count("*").alias("n")), "codes")
+    got = sorted((r["run_id"], r["cluster"]) for r in known.select("run_id", "cluster").collect())  # a row for each cluster of each run
+    groups, names = [[]], sorted({r for r, _ in got})
+    by_run: dict[str, list] = {}
+    for r, c in got:
+        by_run.setdefault(r, []).append((r, c))
+    for r in names:
+        if groups[-1] and len(groups[-1]) + len(by_run[r]) > max(codes // 2, 1):
+            groups.append([])
+        groups[-1] += by_run[r]
+    number = {k: x for x, k in enumerate(got)}
+    numbered = runs.sparkSession.createDataFrame([(r, c, x) for (r, c), x in number.items()], "run_id string, cluster long, code int")
+    coded = runs.join(F.broadcast(numbered), [runs["run_id"].eqNullSafe(numbered["run_id"]), runs["cluster"].eqNullSafe(numbered["cluster"])])  # as above
+    labels = materialize(coded.groupBy("id").agg(F.collect_list("code").alias("own")), "labels")
+    order = {r: x for x, r in enumerate(names)}
+
+    def products(one: list, two: list) -> DataFrame:
+        left, right = np.array([number[k] for k in one]), np.array([number[k] for k in two])
+        seat = np.full((2, len(got)), -1)
+        seat[0, left], seat[1, right] = np.arange(len(left)), np.arange(len(right))
+        run_left, run_right = np.array([order[r] for r, _ in one]), np.array([order[r] for r, _ in two])
+        wanted = run_left[:, None] < run_right[None, :] if not every else np.ones((len(one), len(two)), bool)
+
+        def run(batches):
+            total = np.zeros((len(left), len(right)), np.int64)
+            for batch in batches:
+                own = batch.column(0)
+                at, code = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy())), own.flatten().to_numpy()
+                hot = []
+                for k, width in enumerate(total.shape):
+                    m = np.zeros((len(own), width), np.float32)  # counts of a batch are exact
+                    held = seat[k, code] >= 0
+                    m[at[held], seat[k, code[held]]] = 1
+                    hot.append(m)
+                total += (hot[0].T @ hot[1]).astype(np.int64)
+            i, j = np.nonzero((total > 0) & wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(left[i], pa.int32()), pa.array(right[j], pa.int32()), pa.array(total[i, j])], ["a", "b", "n"])
+
+        return labels.select("own").mapInArrow(run, "a int, b int, n long")
+
+    pairs = [(x, y) for i, x in enumerate(groups) for j, y in enumerate(groups) if every or i <= j]
+    cells = reduce(DataFrame.unionByName, [products(x, y) for x, y in pairs]).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    side = lambda c, run, cluster: numbered.select(F.col("code").alias(c), F.col("run_id").alias(run), F.col("cluster").alias(cluster))
+    named = cells.join(F.broadcast(side("a", "left", "cluster")), "a").join(F.broadcast(side("b", "right", "label")), "b")
+    return named.select(F.concat_ws("|", "left", "right").alias("run_id"), "left", "right", "cluster", "label", "n")
 
 
 def pairwise_ari(runs: DataFrame, every: bool = False) -> DataFrame:
@@ -110,9 +156,9 @@ def coclustering(runs: DataFrame) -> DataFrame:
 def pair_diagnostics(pairs: DataFrame, clusters: DataFrame, value: str) -> DataFrame:
     """Within- and between-cluster mean, median and extremes of a pair value, and the gap of the means."""
     c = lambda side: clusters.select(F.col("id").alias(side), F.col("cluster").alias(f"c{side}"))
-    own = pairs.join(c("i"), "i").join(c("j"), "j")
-    within, between = F.when(F.col("ci") == F.col("cj"), F.col(value)), F.when(F.col("ci") != F.col("cj"), F.col(value))
-    out = {}
-    for name, v in (("within", within), ("between", between)):
-        out |= {f"{name}_mean": F.avg(v), f"{name}_median": F.percentile(v, 0.5), f"{name}_min": F.min(v), f"{name}_max": F.max(v)}
-    return own.agg(*(v.alias(k) for k, v in out.items())).withColumn("separation", F.col("within_mean") - F.col("between_mean"))
+    side = F.when(F.col("ci") == F.col("cj"), "within").otherwise("between")
+    own = materialize(pairs.join(c("i"), "i").join(c("j"), "j").select(side.alias("side"), F.col(value).alias("x")), "pair-values")
+    q = exact_quantiles(own, ["side"], "x", [0.5]).select("side", F.get("q", F.lit(0)).alias("median"))
+    told = own.groupBy("side").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max")).join(q, "side")
+    of = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c))).alias(f"{name}_{c}")
+    return told.agg(*(of(name, c) for name in ("within", "between") for c in ("mean", "median", "min", "max"))).withColumn("separation", F.col("within_mean") - F.col("between_mean"))

@@ -18,6 +18,7 @@ from cairn.functions.vectors import distances, matrix
 from cairn.operators.cleaning import dense_key
 from cairn.operators.components import connected
 from cairn.operators.pairs import BLOCK, block_pairs, held, nearest
+from cairn.operators.quantiles import exact_quantiles
 from cairn.runtime import materialize
 
 
@@ -138,7 +139,7 @@ def eps_grids(rows: DataFrame, min_samples: Sequence[int], quantiles=(0.85, 0.90
     ranks = [m - 1 for m in min_samples if m > 1]
     if ranks:
         near = nearest(rows, rows, max(ranks), block=block).where(F.col("rank").isin(ranks))
-        for r in near.groupBy("rank").agg(F.percentile("distance", F.array(*map(F.lit, quantiles))).alias("q")).collect():  # a row for each number
+        for r in exact_quantiles(materialize(near, "neighbours"), ["rank"], "distance", quantiles).collect():  # a row for each number
             out[r["rank"] + 1] = sorted(set(r["q"]))
     return out
 

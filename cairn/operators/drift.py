@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.operators.profiling import quantile, walked, walked_quantiles
+from cairn.operators.quantiles import exact_quantiles
 from cairn.runtime import materialize
 
 FLOOR = 1e-8
@@ -50,12 +51,11 @@ def psi_of(walk: DataFrame, totals: DataFrame, bins: int = 10, edges: DataFrame
 def psi(reference: DataFrame, current: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
     """(feature, psi) of (feature, value) tables. Bins are [a, b); an empty one counts with a floor of 1e-8.
 
-    With ``accuracy`` the edges come from a mergeable sketch of the reference, and no counts of values are made.
+    Edges are exact quantiles of the reference by selection, or with ``accuracy`` those of a sketch; no counts of values are made.
     """
-    if not accuracy:
-        return psi_of(*steps_of(reference, current), bins)
     rows = _marked(reference, 1, 0).unionByName(_marked(current, 0, 1))
-    quantiles = reference.groupBy("feature").agg(quantile("value", [i / bins for i in range(bins + 1)], accuracy).alias("q"))
+    shares = [i / bins for i in range(bins + 1)]
+    quantiles = reference.groupBy("feature").agg(quantile("value", shares, accuracy).alias("q")) if accuracy else exact_quantiles(reference, ["feature"], "value", shares)
     sides = rows.groupBy("feature").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.min("value").alias("low"), F.max("value").alias("high"))
     return psi_of(rows, sides, bins, _edges(quantiles, sides.select("feature", "low", "high"), bins))
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.operators.profiling import quantile
+from cairn.operators.quantiles import exact_quantiles
 
 
 def profiles(long: DataFrame) -> DataFrame:
     """(cluster, feature, n, mean, median, z) of (cluster, feature, value); z against the whole (sample deviation, 0 as 1)."""
-    own = long.groupBy("cluster", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"))
+    median = exact_quantiles(long, ["cluster", "feature"], "value", [0.5]).select("cluster", "feature", F.get("q", F.lit(0)).alias("median"))
+    own = long.groupBy("cluster", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).join(median, ["cluster", "feature"], "left")
     whole = long.groupBy("feature").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"))
     sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     return own.join(F.broadcast(whole), "feature").select("cluster", "feature", "n", "mean", "median", ((F.col("mean") - F.col("mu")) / sd).alias("z"))  # a row for each feature
@@ -76,10 +78,11 @@ def check_prototypes(prototypes: DataFrame, kinds: tuple[str, ...] = ("medoid",
 def anomalies(points: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(cluster, id, distance, score, anomaly_rank): distance against its cluster's median, in units of 1.4826 times
     the median absolute deviation; rank by score over all, then id."""
-    med = points.groupBy("cluster").agg(quantile("distance", 0.5, accuracy).alias("med"))
-    dev = points.join(F.broadcast(med), "cluster").withColumn("dev", F.abs(F.col("distance") - F.col("med")))  # a row for each cluster
-    mad = dev.groupBy("cluster").agg(quantile("dev", 0.5, accuracy).alias("mad"))
-    scored = dev.join(F.broadcast(mad), "cluster").withColumn("score", (F.col("distance") - F.col("med")) / F.greatest(F.col("mad") * 1.4826, F.lit(2.220446049250313e-16)))
+    middle = lambda df, c, name: df.groupBy("cluster").agg(quantile(c, 0.5, accuracy).alias(name)) if accuracy else exact_quantiles(df, ["cluster"], c, [0.5]).select("cluster", F.get("q", F.lit(0)).alias(name))
+    med = middle(points, "distance", "med")
+    dev = points.join(med, "cluster").withColumn("dev", F.abs(F.col("distance") - F.col("med")))
+    mad = middle(dev, "dev", "mad")
+    scored = dev.join(mad, "cluster").withColumn("score", (F.col("distance") - F.col("med")) / F.greatest(F.col("mad") * 1.4826, F.lit(2.220446049250313e-16)))
     ranked = _dense_rank_desc(scored, "score", "id")
     return ranked.select("cluster", "id", "distance", "score", F.col("anomaly_rank"))
 
@@ -92,7 +95,7 @@ def _dense_rank_desc(rows: DataFrame, value: str, key: str) -> DataFrame:
 
 def anomaly_summary(ranked: DataFrame, labels: DataFrame, share: float = 0.99, top: int = 100) -> DataFrame:
     """Threshold at the share's quantile, number flagged, and label rates of all, top and flagged rows."""
-    cut = ranked.agg(F.percentile("score", share).alias("threshold"))
+    cut = exact_quantiles(ranked, [], "score", [share]).select(F.get("q", F.lit(0)).alias("threshold"))
     own = ranked.join(labels, "id").crossJoin(F.broadcast(cut))  # one row
     flag = F.col("score") >= F.col("threshold")
     return own.agg(F.max("threshold").alias("threshold"), F.count_if(flag).alias("n_flagged"), F.avg("label").alias("rate_all"), F.avg(F.when(F.col("anomaly_rank") <= top, F.col("label"))).alias("rate_top"), F.avg(F.when(flag, F.col("label"))).alias("rate_flagged"))

@@ -12,6 +12,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.operators.pairs import BLOCK, label_sums
+from cairn.operators.quantiles import exact_quantiles
 from cairn.runtime import materialize
 
 
@@ -33,10 +34,12 @@ def silhouette_points(rows: DataFrame, metric: str = "euclidean", block: int = B
 def silhouette_summary(points: DataFrame) -> DataFrame:
     """For each run and cluster: size, mean, median, extremes, shares below 0 and within 0.1 of it."""
     s = F.col("silhouette")
-    return points.groupBy("run_id", "cluster").agg(
-        F.count("*").alias("size"), F.avg(s).alias("mean"), F.percentile(s, 0.5).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"),
+    own = points.groupBy("run_id", "cluster").agg(
+        F.count("*").alias("size"), F.avg(s).alias("mean"), F.min(s).alias("min"), F.max(s).alias("max"),
         F.avg((s < 0).cast("double")).alias("negative_fraction"), F.avg((F.abs(s) <= 0.10).cast("double")).alias("boundary_fraction"),
     )
+    median = exact_quantiles(points, ["run_id", "cluster"], "silhouette", [0.5]).select("run_id", "cluster", F.get("q", F.lit(0)).alias("median"))
+    return own.join(median, ["run_id", "cluster"], "left").select("run_id", "cluster", "size", "mean", "median", "min", "max", "negative_fraction", "boundary_fraction")
 
 
 def centroids(rows: DataFrame) -> DataFrame:
@@ -51,8 +54,8 @@ def scatter(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     from cairn.functions.vectors import euclidean
 
     rows = rows.where("cluster >= 0")
-    cents = centroids(rows)
-    d = rows.join(F.broadcast(cents), ["run_id", "cluster"]).withColumn("d", euclidean(F.col("v"), F.col("c")))  # a row for each cluster of each run
+    cents = materialize(centroids(rows), "centroids")  # Spark broadcasts it by its size
+    d = rows.join(cents, ["run_id", "cluster"]).withColumn("d", euclidean(F.col("v"), F.col("c")))
     return d.groupBy("run_id", "cluster").agg(F.avg("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("w"), F.count("*").alias("n")), cents
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.vectors import distances, matrix
 from cairn.operators import rings
+from cairn.operators.quantiles import exact_quantiles
 from cairn.runtime import materialize
 
 BLOCK = 2048
@@ -147,9 +148,9 @@ def metric_diagnostics(rows: DataFrame, metrics=("euclidean", "manhattan"), rank
     """(metric, rank, mean, median, q95) of the distances to the first and fifth neighbour."""
     out = None
     for metric in metrics:
-        own = nearest(rows, rows, max(ranks), metric, block=block).where(F.col("rank").isin(*ranks))
-        table = own.groupBy("rank").agg(F.avg("distance").alias("mean"), F.percentile("distance", 0.5).alias("median"), F.percentile("distance", 0.95).alias("q95"))
-        table = table.select(F.lit(metric).alias("metric"), "rank", "mean", "median", "q95")
+        own = materialize(nearest(rows, rows, max(ranks), metric, block=block).where(F.col("rank").isin(*ranks)), "neighbours")
+        q = exact_quantiles(own, ["rank"], "distance", [0.5, 0.95]).select("rank", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("q95"))
+        table = own.groupBy("rank").agg(F.avg("distance").alias("mean")).join(q, "rank").select(F.lit(metric).alias("metric"), "rank", "mean", "median", "q95")
         out = table if out is None else out.unionByName(table)
     return out
 

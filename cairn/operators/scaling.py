@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.vectors import matrix
 from cairn.operators.profiling import quantile, unpivot
+from cairn.operators.quantiles import exact_quantiles
 
 
 def explode_vector(rows: DataFrame, vector: str = "v", ids: tuple[str, ...] = ()) -> DataFrame:
@@ -25,8 +26,8 @@ def fit_standard(rows: DataFrame, vector: str = "v") -> DataFrame:
 
 def fit_robust(rows: DataFrame, vector: str = "v", accuracy: int | None = None) -> DataFrame:
     """(dim, center, scale): median and interquartile range (exact, or from a sketch); a constant keeps scale 1."""
-    q = quantile("value", [0.25, 0.5, 0.75], accuracy)
-    out = explode_vector(rows, vector).groupBy("dim").agg(q.alias("q"))
+    long, shares = explode_vector(rows, vector), [0.25, 0.5, 0.75]
+    out = long.groupBy("dim").agg(quantile("value", shares, accuracy).alias("q")) if accuracy else exact_quantiles(long, ["dim"], "value", shares)
     spread = F.get("q", F.lit(2)) - F.get("q", F.lit(0))
     return out.select("dim", F.get("q", F.lit(1)).alias("center"), F.when(spread > 0, spread).otherwise(1.0).alias("scale"))
 
@@ -43,7 +44,9 @@ def fit_columns(rows: DataFrame, columns: list[str], robust: bool = False, accur
     """(feature, center, scale) of named columns."""
     long = unpivot(rows, columns)
     if robust:
-        q = long.groupBy("feature").agg(quantile("value", 0.5, accuracy).alias("center"), (quantile("value", 0.75, accuracy) - quantile("value", 0.25, accuracy)).alias("scale"))
+        shares = [0.25, 0.5, 0.75]
+        q = long.groupBy("feature").agg(quantile("value", shares, accuracy).alias("q")) if accuracy else exact_quantiles(long, ["feature"], "value", shares)
+        q = q.select("feature", F.get("q", F.lit(1)).alias("center"), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("scale"))
     else:
         q = long.groupBy("feature").agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("scale"))
     return q.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
