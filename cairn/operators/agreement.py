@@ -107,6 +107,19 @@ def best_overlap(reference: DataFrame, other: DataFrame) -> DataFrame:
     return every.join(best, ["run_id", "cluster"], "left").select("run_id", "cluster", "match", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"))
 
 
+def against_reference(labels: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs (id, k, run_id, cluster) against the reference of their k (id, k, cluster): (k, run_id, ari), and for each
+    reference cluster its best match (k, run_id, cluster, match, jaccard); the smallest cluster id wins a tie."""
+    both = labels.join(reference.select("id", "k", F.col("cluster").alias("label")), ["id", "k"])
+    cells = materialize(both.groupBy("k", "run_id", "cluster", "label").agg(F.count("*").alias("n")), "cells")
+    ari = external_of(cells.drop("k"), ami=False).select("run_id", "ari").join(cells.select("k", "run_id").distinct(), "run_id").select("k", "run_id", "ari")
+    sizes = lambda c, name: cells.groupBy("run_id", c).agg(F.sum("n").alias(name))
+    j = cells.join(sizes("cluster", "na"), ["run_id", "cluster"]).join(sizes("label", "nb"), ["run_id", "label"]).withColumn("jaccard", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
+    order = Window.partitionBy("run_id", "label").orderBy(F.desc("jaccard"), "cluster")  # a row for each cluster
+    best = j.withColumn("r", F.row_number().over(order)).where("r = 1")
+    return ari, best.select("k", "run_id", F.col("label").alias("cluster"), F.col("cluster").alias("match"), "jaccard")
+
+
 def co_membership(runs: DataFrame, block: int = 1024) -> DataFrame:
     """(i, j, together, both) for i < j: in how many runs they share a cluster, and in how many both appear.
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions.vectors import distances, matrix
 from cairn.operators.cleaning import hash_order
+from cairn.operators.pairs import held
 from cairn.runtime import materialize
 
 
@@ -28,6 +29,7 @@ class Fit:
     centers: np.ndarray
     inertia: list[float]
     done: bool = False
+    draw: int = 0
 
     @property
     def n_iter(self) -> int:
@@ -82,33 +84,34 @@ def start_apart(rows: DataFrame, grid: Sequence[tuple[int, int]]) -> list[Fit]:
 
 
 def lloyd(rows: DataFrame, fits: list[Fit], steps: int = 300, tolerance: float = 0.0, weights: str | None = None) -> list[Fit]:
-    """Advance all fits together. An empty cluster keeps its centroid. With ``weights``, a map column
-    run_id -> weight of the row in that fit (a bootstrap); absent means not drawn."""
+    """Advance all fits together. An empty cluster keeps its centroid. With ``weights``, an array column of which
+    a fit takes the entry ``draw`` as the row's weight (a bootstrap). The rows are written once if they aren't yet."""
     columns = ["v"] + ([weights] if weights else [])
+    rows = held(rows.select(*columns)) if not getattr(rows, "_cairn_path", None) else rows
     for _ in range(steps):
         live = [f for f in fits if not f.done]
         if not live:
             break
-        state = [(f.run_id, f.centers) for f in live]
+        state = [(f.run_id, f.centers, f.draw) for f in live]
 
         def run(batches, state=state):
-            sums = [np.zeros((len(c), c.shape[1] + 2)) for _, c in state]
+            sums = [np.zeros((len(c), c.shape[1] + 2)) for _, c, _ in state]
             for batch in batches:
                 if not len(batch):
                     continue
                 x = matrix(batch.column(0))
-                maps = [dict(m or {}) for m in batch.column(1).to_pylist()] if weights else None
-                for (name, centers), total in zip(state, sums):
+                drawn = matrix(batch.column(1)) if weights else None
+                for (_, centers, draw), total in zip(state, sums):
                     d = distances(x, centers)
                     at = d.argmin(axis=1)
-                    w = np.array([m.get(name, 0) for m in maps], np.float64) if weights else np.ones(len(x))
+                    w = drawn[:, draw] if weights else np.ones(len(x))
                     hot = np.zeros((len(centers), len(x)))
                     hot[at, np.arange(len(x))] = w
                     total[:, :-2] += hot @ x
                     total[:, -2] += hot.sum(axis=1)
                     total[:, -1] += hot @ (d[np.arange(len(x)), at] ** 2)
-            names = [name for name, c in state for _ in range(len(c))]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([i for _, c in state for i in range(len(c))], pa.int32()), pa.array([r.tolist() for s in sums for r in s])], ["run_id", "cluster", "sums"])
+            names = [name for name, c, _ in state for _ in range(len(c))]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([i for _, c, _ in state for i in range(len(c))], pa.int32()), pa.array([r.tolist() for s in sums for r in s])], ["run_id", "cluster", "sums"])
 
         parts = rows.select(*columns).mapInArrow(run, "run_id string, cluster int, sums array<double>")
         long = parts.select("run_id", "cluster", F.posexplode("sums").alias("p", "x")).groupBy("run_id", "cluster", "p").agg(F.sum("x").alias("x"))
@@ -176,13 +179,31 @@ def gap_statistic(rows: DataFrame, ks: Sequence[int], references: int = 5, seed:
     return rows.sparkSession.createDataFrame(out, "k long, log_w double, mean_ref double, gap double, s double")
 
 
-def bootstrap_fits(rows: DataFrame, draws: DataFrame, k: int, seed: int = 42, steps: int = 100) -> list[Fit]:
-    """A fit of each resample (run, id, weight); all advance together over the rows once a step."""
-    runs = [r["run"] for r in draws.select("run").distinct().orderBy("run").collect()]
-    held = draws.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("b"), F.col("run").cast("string")).alias("k"), F.col("weight").cast("double").alias("w")))).alias("w"))
-    weighted = materialize(rows.join(held, "id", "left"), "weighted")
+def bootstrap_grid(rows: DataFrame, draws: DataFrame, grid: Sequence[tuple[int, int]], seed: int = 42, steps: int = 300) -> list[Fit]:
+    """A fit for each (k, run) of ``grid`` on that run's resample of ``draws`` (run, id, weight), named ``k<k>b<run>``; all advance
+    together, one pass over the rows a step. A fit starts from the drawn rows with the smallest md5 of (its seed, id)."""
+    runs = sorted({run for _, run in grid})
+    place = {run: x for x, run in enumerate(runs)}
+    own = draws.where(F.col("run").isin(runs)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("run", "weight"))).alias("m"))  # a value for each run
+    zero = F.lit(0).cast("long")
+    weight = F.array(*(F.coalesce(F.element_at("m", F.lit(r).cast("long")), zero).cast("double") for r in runs)) if len(runs) else F.array()
+    longs = own.select("id", F.map_from_entries(F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].cast("long"), e["value"].cast("long")))).alias("m"))
+    weighted = materialize(rows.join(longs, "id", "left").select("id", "v", weight.alias("w")), "weighted")
     fits = []
+    most = {run: max(k for k, r in grid if r == run) for run in runs}
+    first = {}
     for run in runs:
-        drawn = rows.join(draws.where(F.col("run") == run), "id", "left_semi")
-        fits.append(Fit(f"b{run}", k, seed + 1000 + run, seed_rows(drawn, k, seed + 1000 + run), []))
+        drawn = weighted.where(F.get("w", F.lit(place[run])) > 0)
+        first[run] = seed_rows(drawn, most[run], seed + 1000 + run)
+    for k, run in grid:
+        fits.append(Fit(f"k{k}b{run}", k, seed + 1000 + run, first[run][:k].copy(), [], draw=place[run]))
     return lloyd(weighted, fits, steps, weights="w")
+
+
+def bootstrap_fits(rows: DataFrame, draws: DataFrame, k: int, seed: int = 42, steps: int = 100) -> list[Fit]:
+    """A fit of each resample (run, id, weight), named ``b<run>``."""
+    runs = [r["run"] for r in draws.select("run").distinct().orderBy("run").collect()]
+    fits = bootstrap_grid(rows, draws, [(k, run) for run in runs], seed, steps)
+    for fit, run in zip(fits, runs):
+        fit.run_id = f"b{run}"
+    return fits

@@ -157,10 +157,9 @@ def metric_diagnostics(rows: DataFrame, metrics=("euclidean", "manhattan"), rank
 
 def whiten(rows: DataFrame, ridge: float = 1e-6) -> DataFrame:
     """Rows turned so that Euclidean distance is the Mahalanobis distance under their own covariance."""
-    from cairn.operators.scaling import apply_pca, moments
+    from cairn.operators.scaling import apply_pca, mean_and_covariance
 
-    n, s, ss = moments(rows)
-    mean = s / max(n, 1)
-    covariance = (ss - n * np.outer(mean, mean)) / max(n - 1, 1) + ridge * np.eye(len(mean))
+    mean, covariance, _ = mean_and_covariance(rows)
+    covariance = covariance + ridge * np.eye(len(mean))
     values, vectors = np.linalg.eigh(np.linalg.pinv(covariance))
     return apply_pca(rows, mean, (vectors * np.sqrt(np.maximum(values, 0))).T, len(mean))

@@ -57,8 +57,14 @@ def apply_columns(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     return rows.withColumns({r["feature"]: (F.col(r["feature"]).cast("double") - F.lit(r["center"])) / F.lit(r["scale"]) for r in got})
 
 
-def moments(rows: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
-    """n, sum and sum of outer products; each task sends d * d numbers once."""
+def pivot_row(rows: DataFrame, vector: str = "v") -> np.ndarray:
+    """Any row's vector: sums about it lose no digits far from the origin."""
+    got = rows.select(vector).where(F.col(vector).isNotNull()).first()
+    return np.array(got[0] if got else [], np.float64)
+
+
+def moments(rows: DataFrame, vector: str = "v", pivot: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """n, sum and sum of outer products of the rows less ``pivot``; each task sends d * d numbers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, ss = 0, None, None
@@ -66,6 +72,7 @@ def moments(rows: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.nda
             x = matrix(batch.column(0))
             if not len(x):
                 continue
+            x = x if pivot is None else x - pivot
             n, s, ss = n + len(x), (0 if s is None else s) + x.sum(0), (0 if ss is None else ss) + x.T @ x
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([ss.ravel().tolist()])], ["n", "s", "ss"])
@@ -80,14 +87,20 @@ def moments(rows: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.nda
     return int(flat[0]), flat[1 : d + 1], flat[d + 1 :].reshape(d, d)
 
 
+def mean_and_covariance(rows: DataFrame, vector: str = "v", less: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean, covariance over n - ``less``, and n, from sums about a pivot row."""
+    pivot = pivot_row(rows, vector)
+    n, s, ss = moments(rows, vector, pivot)
+    off = s / max(n, 1)
+    return (pivot + off if n else off), (ss - n * np.outer(off, off)) / max(n - less, 1), n
+
+
 def fit_pca(rows: DataFrame, vector: str = "v", variance: float = 0.95, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(mean, loadings, variance shares, components kept): the first that reach ``variance`` together.
 
     The sign of a component makes its largest loading positive.
     """
-    n, s, ss = moments(rows, vector)
-    mean = s / max(n, 1)
-    covariance = (ss - n * np.outer(mean, mean)) / max(n - 1, 1)
+    mean, covariance, n = mean_and_covariance(rows, vector)
     values, vectors = np.linalg.eigh(covariance)
     order = np.argsort(values)[::-1]
     values, loadings = np.maximum(values[order], 0), vectors[:, order].T

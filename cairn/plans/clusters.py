@@ -82,18 +82,18 @@ def kmeans_convergence(spark, d):
 @query("kmeans_best_of_seeds")
 def kmeans_best_of_seeds(spark, d):
     rows = _rows(spark, d)
-    return kmeans.search_table(spark, kmeans.search(rows, range(2, 9), range(3), 30)[1])
+    return kmeans.search_table(spark, kmeans.search(rows, range(2, 9), range(20))[1])
 
 
 @query("gap_statistic")
 def gap_statistic(spark, d):
-    return kmeans.gap_statistic(_rows(spark, d), range(2, 6), references=3, steps=10)
+    return kmeans.gap_statistic(_rows(spark, d), range(2, 9), references=5, steps=300)
 
 
 @query("seed_stability")
 def seed_stability(spark, d):
     rows = _rows(spark, d)
-    fits = kmeans.lloyd(rows, kmeans.start(rows, [(3, s) for s in range(10)]), 50)
+    fits = kmeans.lloyd(rows, kmeans.start(rows, [(3, s) for s in range(20)]))
     return agreement.pairwise_ari(kmeans.assign(rows, fits))
 
 
@@ -216,7 +216,8 @@ def _reduced(spark, d, kept=5):
 
 @query("gmm_search")
 def gmm_search(spark, d):
-    return mixture.search(_reduced(spark, d), (2, 3), steps=10)[0]
+    """Four covariance types, k from 2 to 8, the best of three starts each."""
+    return mixture.search(_reduced(spark, d), steps=100, starts=3)[0]
 
 
 @query(

@@ -26,26 +26,41 @@ def kmeans_grid(spark, d):
 @query("seed_stability_mixtures")
 def seed_stability_mixtures(spark, d):
     rows = clusters._reduced(spark, d)
-    models = {f"s{s}": mixture.fit(rows, 3, "diag", seed=s, steps=30) for s in range(SEEDS)}
+    models = mixture.fit_many(rows, [(f"s{s}", "diag", 3, s) for s in range(SEEDS)])
     return agreement.pairwise_ari(mixture.assign(rows, models))
 
 
-@query("bootstrap_by_k")
-def bootstrap_by_k(spark, d):
-    """For each k the resamples' agreement with each other on anchor rows, and best matches with the whole fit's clusters."""
+def _bootstrap_grid(spark, d):
+    """Labels of anchor rows under the fits of all resamples and all k, and under the best full fit of each k."""
+    ks = range(2, 9)
     rows = materialize(clusters._rows(spark, d), "rows")
     anchors = materialize(hash_sample(rows, 1500, 7, "id"), "anchors")
     draws = materialize(bootstrap_draws(rows.select("id"), RESAMPLES, 42, "id"), "draws")
-    ari = jaccard = None
-    for k in range(2, 9):
-        labels = materialize(kmeans.assign(anchors, kmeans.bootstrap_fits(rows, draws, k, 42, 50)), "labels")
-        whole = kmeans.assign(anchors, kmeans.lloyd(rows, kmeans.start(rows, [(k, 42)]), 50)).select("id", "cluster")
-        a = agreement.pairwise_ari(labels).select(F.lit(k).cast("long").alias("k"), "ari")
-        j = agreement.best_overlap(whole, labels).select(F.lit(k).cast("long").alias("k"), "cluster", "jaccard")
-        ari, jaccard = (a, j) if ari is None else (ari.unionByName(a), jaccard.unionByName(j))
+    whole = kmeans.search(rows, ks, range(STARTS), apart=True)[1]
+    k_of = F.regexp_extract("run_id", "^k([0-9]+)", 1).cast("long")
+    labels = materialize(kmeans.assign(anchors, kmeans.bootstrap_grid(rows, draws, [(k, r) for k in ks for r in range(RESAMPLES)])).withColumn("k", k_of), "labels")
+    reference = materialize(kmeans.assign(anchors, whole).select("id", k_of.alias("k"), "cluster"), "reference")
+    ari, jaccard = agreement.against_reference(labels, reference)
+    return materialize(ari, "ari"), materialize(jaccard, "jaccard"), draws
+
+
+@query("bootstrap_by_k")
+def bootstrap_by_k(spark, d):
+    """For each k the resamples' agreement with the full fit on anchor rows, and the best matches of its clusters."""
+    ari, jaccard, _ = _bootstrap_grid(spark, d)
     return selection.stability_summary(ari, jaccard)
 
 
+@query("bootstrap_runs")
+def bootstrap_runs(spark, d):
+    """(k, run, ari, mean_jaccard, minimum_jaccard, unique_records) of each resample against the full fit."""
+    ari, jaccard, draws = _bootstrap_grid(spark, d)
+    matched = jaccard.groupBy("run_id").agg(F.avg("jaccard").alias("mean_jaccard"), F.min("jaccard").alias("minimum_jaccard"))
+    drawn = draws.groupBy("run").agg(F.count("*").alias("unique_records"))
+    run = F.regexp_extract("run_id", "b([0-9]+)$", 1).cast("int")
+    return ari.join(matched, "run_id").withColumn("run", run).join(drawn, "run").select("k", "run", "ari", "mean_jaccard", "minimum_jaccard", "unique_records")
+
+
 def _consensus(spark, d):
     rows, bases = clusters._ensemble(spark, d)
     labelled = materialize(rows.join(fx.vectors(spark, d).select("id", "label"), "id"), "labelled")
