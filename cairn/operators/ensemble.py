@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.vectors import distances
+from cairn.operators import kmeans, mixture
 from cairn.operators.hierarchy import MAX_ROWS, _sample, cut_tree, linkage_tree
 from cairn.operators.metrics import evaluate
+from cairn.operators.pairs import BLOCK, block_pairs, held
 from cairn.operators.selection import rank_sum
+from cairn.runtime import materialize
 
 
 def base_grid(dimensions: Sequence[int] = (5, 10, 15, 20), ks: Sequence[int] = range(2, 9), kmeans_seeds: int = 5, gmm_seeds: int = 3, width: int | None = None) -> list[tuple]:
@@ -131,6 +136,117 @@ def consensus(bases: DataFrame, ks: Sequence[int] = range(2, 9)) -> DataFrame:
     return bases.select("ids", "clusters").coalesce(1).mapInPandas(build, "id long, run_id string, cluster long")  # a row for each member, each with the sample's labels
 
 
+def whole_bases(rows: DataFrame, dimensions: Sequence[int] = (5, 10, 15, 20), ks: Sequence[int] = range(2, 9), kmeans_seeds: int = 5, gmm_seeds: int = 1, kinds: Sequence[str] = ("diag", "full"), steps: int = 30) -> DataFrame:
+    """(id, run_id, cluster) of all rows (id, v) under K-Means and mixtures on the first dimensions: fits over the whole
+    table, all members of one dimension together. Ward members need all pairs and stay with :func:`base_clusterings`."""
+    rows = held(rows.select("id", "v"))
+    width = rows.select(F.size("v")).first()
+    out = []
+    for d in sorted({min(d, width[0]) for d in dimensions}) if width else []:
+        own = materialize(rows.select("id", F.slice("v", 1, d).alias("v")), "dimensions")
+        fits = kmeans.lloyd(own, kmeans.start(own, [(k, s) for k in ks for s in range(kmeans_seeds)]), 100)
+        models = mixture.fit_many(own, [(f"{kind}/k{k}/s{s}", kind, k, s) for kind in kinds for k in ks for s in range(gmm_seeds)], steps)
+        labels = kmeans.assign(own, fits).unionByName(mixture.assign(own, models))
+        out.append(materialize(labels.withColumn("run_id", F.concat(F.lit(f"d{d}/"), "run_id")), "base-labels"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def signatures(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sig, first, n, codes) of distinct label vectors over all runs, and (id, sig) of all rows.
+
+    ``codes`` are the numbers of the row's (run, cluster) pairs; noise (-1) belongs to no pair. ``sig`` is the smallest id.
+    """
+    spark = labels.sparkSession
+    known = labels.where("cluster >= 0").select("run_id", "cluster").distinct().collect()  # a row for each cluster of each run
+    numbered = spark.createDataFrame([(r["run_id"], r["cluster"], x) for x, r in enumerate(sorted(known))], "run_id string, cluster long, code int")
+    coded = labels.join(F.broadcast(numbered), ["run_id", "cluster"], "left")  # as above
+    rows = materialize(coded.groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes")), "label-vectors")
+    each = materialize(rows.groupBy("codes").agg(F.min("id").alias("sig"), F.count("*").alias("n")), "signatures")
+    return each, materialize(rows.join(each.select("codes", "sig"), "codes").select("id", "sig"), "signature-rows")
+
+
+def consensus_of(labels: DataFrame, ks: Sequence[int] = range(2, 9), most: int = MAX_ROWS, block: int = BLOCK) -> DataFrame:
+    """(id, run_id, cluster): average linkage of one minus the shares of runs that put rows together, for all rows of ``labels``.
+
+    Rows with equal labels in every run are one signature of that weight, so the tree is over signatures. Up to ``most``
+    of them one task builds it; more are merged in rounds (:func:`merge_in_rounds`) until so few are left.
+    """
+    spark = labels.sparkSession
+    n_runs = labels.select("run_id").distinct().count()
+    each, rows = signatures(labels)
+    width = (each.select(F.max(F.array_max("codes"))).first()[0] or 0) + 1
+    left = materialize(each.select("sig", "n", F.col("codes"), F.lit(None).cast("array<double>").alias("share")), "clusters")
+    to = materialize(each.select("sig", F.col("sig").alias("now")), "merged")
+    while left.count() > most:
+        left, step = merge_in_rounds(left, n_runs, width, block)
+        to = materialize(to.join(step.withColumnRenamed("sig", "now"), "now").select("sig", F.col("into").alias("now")), "merged")
+    cuts = list(ks)
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("sig")
+        mean = shares_of(table, width)
+        d = np.maximum(1 - (mean @ mean.T) / n_runs, 0)
+        np.fill_diagonal(d, 0)
+        tree = linkage_tree(d, "average", table.column("n").to_numpy())
+        sig = table.column("sig").to_numpy()
+        return pa.table({"now": np.tile(sig, len(cuts)), "k": np.repeat(np.array(cuts, np.int64), len(sig)), "cluster": np.concatenate([cut_tree(tree, k) for k in cuts])})
+
+    made = left.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(build, "now long, k long, cluster long")  # ``most`` signatures
+    labelled = materialize(to.join(materialize(made, "cuts"), "now").select("sig", "k", "cluster"), "signature-cuts")
+    return rows.join(labelled, "sig").select("id", F.col("k").cast("string").alias("run_id"), "cluster")
+
+
+def shares_of(table: pa.Table, width: int) -> np.ndarray:
+    """For each cluster the share of its rows that has each code: given, or ones at a signature's codes."""
+    out = np.zeros((len(table), width))
+    for i, (codes, share) in enumerate(zip(table.column("codes").to_pylist(), table.column("share").to_pylist())):
+        if share is None:
+            out[i, codes] = 1
+        else:
+            out[i] = share
+    return out
+
+
+def merge_in_rounds(clusters: DataFrame, n_runs: int, width: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """One round of average linkage: clusters that are each other's nearest merge. Returns the clusters left, and (sig, into).
+
+    The average of one minus co-membership between two clusters is one minus the product of their shares, so a pair of
+    blocks needs a matrix product only. Average linkage is reducible: merging mutual nearest pairs in any order gives
+    the same tree (up to ties, which go to the smaller sig).
+    """
+    clusters = held(clusters)
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"sig": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        b = b.sort_by("id")
+        i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
+        d = np.round(1 - shares_of(a, width) @ shares_of(b, width).T / n_runs, 12)
+        d[i[:, None] == j[None, :]] = np.inf
+        at = d.argmin(axis=1)
+        least = d[np.arange(len(d)), at]
+        keep = np.isfinite(least)
+        return pa.table({"sig": i[keep], "other": j[at[keep]], "d": least[keep]})
+
+    own = held(materialize(clusters.withColumn("id", F.col("sig")).drop("sig"), "cluster-rows"))
+    found = block_pairs(own, own, nearest, "sig long, other long, d double", block)
+    best = materialize(found.groupBy("sig").agg(F.min(F.struct("d", "other")).alias("m")).select("sig", "m.other"), "nearest")
+    mutual = best.alias("a").join(best.alias("b"), (F.col("a.other") == F.col("b.sig")) & (F.col("b.other") == F.col("a.sig")))
+    step = mutual.select(F.col("a.sig").alias("sig"), F.least("a.sig", "a.other").alias("into"))
+    step = materialize(clusters.select("sig").join(step, "sig", "left").select("sig", F.coalesce("into", "sig").alias("into")), "step")
+
+    def joined(table: pa.Table) -> pa.Table:
+        n, mean = table.column("n").to_numpy(), shares_of(table, width)
+        return pa.table({"sig": table.column("into")[:1].combine_chunks(), "n": pa.array([int(n.sum())]), "share": pa.array([(n @ mean / n.sum()).tolist()], pa.list_(pa.float64()))})
+
+    both = clusters.join(step, "sig")
+    pairs = both.withColumn("c", F.count("*").over(Window.partitionBy("into")))
+    merged = pairs.where("c > 1").groupBy("into").applyInArrow(joined, "sig long, n long, share array<double>")
+    alone = pairs.where("c = 1").select("sig", "n", "codes", "share")
+    left = alone.unionByName(merged.select("sig", "n", F.lit(None).cast("array<int>").alias("codes"), "share"))
+    return materialize(left, "clusters"), step
+
+
 def evaluate_bases(bases: DataFrame, rows: DataFrame) -> DataFrame:
     """(base_id, algorithm, parameters, n_records, n_clusters, noise_fraction, measures) of every base clustering of the
     sample ``rows`` (id, v, label); the label is used only here."""

@@ -21,17 +21,17 @@ MAX_ROWS = 6_000
 LINKAGES = ("single", "complete", "average", "ward")
 
 
-def linkage_tree(d: np.ndarray, method: str) -> np.ndarray:
+def linkage_tree(d: np.ndarray, method: str, sizes: np.ndarray | None = None) -> np.ndarray:
     """Rows (left, right, height, size) in merge order, from a distance matrix; new clusters are numbered from n.
 
-    Among equal heights the pair that holds the smallest row goes first (then the smallest other).
+    With ``sizes`` an entry stands for so many rows without a distance between them. Among equal heights the pair that holds the smallest row goes first (then the smallest other).
     """
     n = len(d)
     work = d.astype(np.float64).copy()
     if method == "ward":
         work = work**2
     np.fill_diagonal(work, np.inf)
-    size, name, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    size, name, alive = np.ones(n) if sizes is None else np.asarray(sizes, float).copy(), np.arange(n), np.ones(n, bool)
     near = work.argmin(axis=1) if n > 1 else np.zeros(n, int)
     low = work[np.arange(n), near] if n > 1 else np.full(n, np.inf)
     out = np.zeros((max(n - 1, 0), 4))
