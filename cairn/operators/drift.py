@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.operators.profiling import quantile, walked, walked_quantiles
@@ -9,6 +13,8 @@ from cairn.operators.quantiles import exact_quantiles
 from cairn.runtime import materialize
 
 FLOOR = 1e-8
+#: Values of a side up to which the two-sample p is exact; the time is their product.
+EXACT_ROWS = 10_000
 
 
 def steps_of(reference: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,16 +78,54 @@ def kolmogorov(d: Column, n: Column, m: Column) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_of(walk: DataFrame, totals: DataFrame) -> DataFrame:
+def exact_kolmogorov(d: float, n: int, m: int) -> float:
+    """Exact two-sided p of a two-sample statistic: the share of all orders of n and m values whose distance reaches ``d``.
+
+    An order is a lattice path from (0, 0) to (n, m). The last step into (i, j) came from (i - 1, j) with chance
+    i / (i + j), so the chance that a path into (i, j) has been outside follows from two neighbours on the diagonal
+    before. All terms are positive, so small values keep their digits.
+    """
+    reach = round(d * n * m)
+    if reach <= 0:
+        return 1.0
+    outside = np.zeros(n + 1)
+    for s in range(1, n + m + 1):
+        low, high = max(0, s - m), min(n, s)
+        i = np.arange(low, high + 1)
+        came = np.zeros(high - low + 1)
+        first = max(low, 1)
+        came[first - low :] = i[first - low :] / s * outside[first - 1 : high]
+        stay = i <= s - 1
+        came[stay] += (s - i[stay]) / s * outside[i[stay]]
+        came[np.abs(i * m - (s - i) * n) >= reach] = 1.0
+        outside[low : high + 1] = came
+    return float(outside[n])
+
+
+def with_exact_p(table: DataFrame) -> DataFrame:
+    """Rows (feature, ks_statistic, ks_pvalue, nr, nc) with the exact p where both sides have at most ``EXACT_ROWS`` values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            p = [exact_kolmogorov(r["ks_statistic"], r["nr"], r["nc"]) if max(r["nr"], r["nc"]) <= EXACT_ROWS and min(r["nr"], r["nc"]) > 0 else r["ks_pvalue"] for r in rows]
+            yield batch.set_column(batch.schema.names.index("ks_pvalue"), "ks_pvalue", pa.array(p, pa.float64()))
+
+    return table.repartition("feature").mapInArrow(run, table.schema)
+
+
+def ks_of(walk: DataFrame, totals: DataFrame, method: str = "auto") -> DataFrame:
+    """``method`` auto: exact p for small samples, else asymptotic; or asymptotic throughout."""
     sizes = totals.select("feature", F.col("r").alias("nr"), F.col("c").alias("nc"))  # a row for each feature
     apart = F.abs((F.col("r_before") + F.col("r")) / F.col("nr") - (F.col("c_before") + F.col("c")) / F.col("nc"))
     top = walk.join(F.broadcast(sizes), "feature").groupBy("feature").agg(F.max(apart).alias("d"), F.max("nr").alias("nr"), F.max("nc").alias("nc"))
-    return top.select("feature", F.col("d").alias("ks_statistic"), kolmogorov(F.col("d"), F.col("nr"), F.col("nc")).alias("ks_pvalue"))
+    out = top.select("feature", F.col("d").alias("ks_statistic"), kolmogorov(F.col("d"), F.col("nr"), F.col("nc")).alias("ks_pvalue"), "nr", "nc")
+    return (with_exact_p(out) if method == "auto" else out).drop("nr", "nc")
 
 
-def ks(reference: DataFrame, current: DataFrame) -> DataFrame:
+def ks(reference: DataFrame, current: DataFrame, method: str = "auto") -> DataFrame:
     """(feature, ks_statistic, ks_pvalue): distances of the empirical distributions, from counts of distinct values."""
-    return ks_of(*steps_of(reference, current))
+    return ks_of(*steps_of(reference, current), method)
 
 
 def moments_of(walk: DataFrame, totals: DataFrame) -> DataFrame:
@@ -97,10 +141,10 @@ def status(psi_value: Column, d: Column, p: Column) -> Column:
     return F.when(psi_value >= 0.25, "refit").when((psi_value >= 0.10) | ((d >= 0.10) & (p <= 0.01)), "warning").otherwise("stable")
 
 
-def drift_report(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
+def drift_report(reference: DataFrame, current: DataFrame, bins: int = 10, method: str = "auto") -> DataFrame:
     """One row for each feature: PSI, KS, status, and both sides' mean and population deviation, from one pass over the tables."""
     walk, totals = steps_of(reference, current)
-    out = psi_of(walk, totals, bins).join(ks_of(walk, totals), "feature").join(moments_of(walk, totals), "feature")
+    out = psi_of(walk, totals, bins).join(ks_of(walk, totals, method), "feature").join(moments_of(walk, totals), "feature")
     return out.select("feature", "psi", "ks_statistic", "ks_pvalue", status(F.col("psi"), F.col("ks_statistic"), F.col("ks_pvalue")).alias("status"), "reference_mean", "current_mean", "reference_std", "current_std")
 
 

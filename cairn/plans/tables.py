@@ -325,12 +325,13 @@ def psi(spark, d):
 
 @query("ks", f"WITH {_PSI}{_KS} SELECT feature, ks_statistic, ks_pvalue FROM kp", doubles="ks_statistic ks_pvalue")
 def ks(spark, d):
-    return drift.ks(*fx.split_features(spark, d))
+    """With the asymptotic p, which SQL can follow; ``ks_exact`` has the exact one."""
+    return drift.ks(*fx.split_features(spark, d), method="asymptotic")
 
 
 @query("drift_report", f"WITH {_REPORT} SELECT * FROM rep", doubles="psi ks_statistic ks_pvalue reference_mean current_mean reference_std current_std")
 def drift_report(spark, d):
-    return drift.drift_report(*fx.split_features(spark, d))
+    return drift.drift_report(*fx.split_features(spark, d), method="asymptotic")
 
 
 @query(
@@ -339,7 +340,13 @@ def drift_report(spark, d):
     doubles="max_psi max_ks",
 )
 def drift_summary(spark, d):
-    return drift.drift_summary(drift.drift_report(*fx.split_features(spark, d)))
+    return drift.drift_summary(drift.drift_report(*fx.split_features(spark, d), method="asymptotic"))
+
+
+@query("ks_exact")
+def ks_exact(spark, d):
+    """The exact two-sided p where both sides have at most 10,000 values."""
+    return drift.ks(*fx.split_features(spark, d))
 
 
 @query("artifact_manifest")

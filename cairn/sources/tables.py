@@ -12,6 +12,8 @@ from importlib.metadata import PackageNotFoundError, version
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+#: Files up to this many bytes are one value each while they are hashed.
+WHOLE_FILE = 1 << 30
 RAW_COLUMNS = ("Time", *(f"V{i}" for i in range(1, 29)), "Amount", "Class")
 
 
@@ -125,14 +127,33 @@ def as_floats(df: DataFrame, *vectors: str) -> DataFrame:
     return df.withColumns({v: F.col(v).cast("array<float>") for v in vectors})
 
 
-def file_manifest(spark: SparkSession, *paths: str) -> DataFrame:
-    """(name, path, size_bytes, modified, sha256) of the files below the paths that exist; hashed where they are read.
-    Names may repeat, paths don't. A file is one value while it is hashed, so none may pass 2 GB."""
+def stream_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any length, in whatever store the session reads, in bounded memory."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    data = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(data)
+    finally:
+        data.close()
+
+
+def file_manifest(spark: SparkSession, *paths: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """(name, path, size_bytes, modified, sha256) of the files below the paths that exist. Names may repeat, paths don't.
+
+    Tasks hash the files up to ``WHOLE_FILE`` bytes, each as one value. Longer ones can't be a value: the session's file
+    system streams them through a digest one after another, in a buffer's memory.
+    """
     there = [p for p in paths if exists(spark, p)]
     if not there:
         return spark.createDataFrame([], "name string, path string, size_bytes long, modified timestamp, sha256 string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    told = [F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")]
+    short = files.where(F.col("length") <= whole).select(*told, F.sha2("content", 256).alias("sha256"))
+    long = files.where(F.col("length") > whole).select(*told).collect()  # the column content isn't read; a row for each long file
+    if not long:
+        return short
+    return short.unionByName(spark.createDataFrame([(*r, stream_digest(spark, r["path"])) for r in long], short.schema))
 
 
 def environment(spark: SparkSession, packages: Sequence[str] = ("pyspark", "pyarrow", "pandas", "numpy")) -> DataFrame:
