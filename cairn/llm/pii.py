@@ -2,11 +2,11 @@
 
 Candidates of every kind are found with one pattern each. Three labelers vote on a candidate: a strict
 format (regex), a word list for what stands before or inside it (gazetteer), and how it stands in the
-text (context: set off, and neither named as a digest or a file nor made of words). A pattern is a
+text (context: set off, and neither named as a digest or a file, nor like a digest, nor made of words). A pattern is a
 candidate's kind, its votes and its features (whether it is assigned or quoted, words inside, character
 classes, separators, length, what stands before and behind it). Patterns are counted, so at most a few thousand rows come to the driver. There,
-EM (two classes, one sensitivity and specificity for each labeler and kind, drawn towards reliable
-labelers) gives each vote pattern a probability, and a logistic span classifier over votes and features
+EM (two classes, one sensitivity and specificity for each labeler and kind, which begin as presumed and
+keep ``PRESUMED_VOTES`` of that beside what is counted) gives each vote pattern a probability, and a logistic span classifier over votes and features
 is trained on those probabilities. Its verdict for each pattern is applied to all candidates.
 
 Base spans (email, ip, card, phone by fixed rules) always stay. The classifier adds spans of the kind
@@ -59,13 +59,15 @@ STRICT = {
 HARMLESS = r"(?i)(?:commit|sha-?[0-9]*|md5|digest|checksum|hash|rev(?:ision)?|etag|uuid|id|file|image|img|path|href|src|version|build|isbn|doi)\W*$|[/.\\]$"
 ENDING = r"^\.[A-Za-z0-9]{1,5}\b"
 WORDS = r"(?:^|[_/-])[A-Za-z][a-z]{3,}[0-9]*(?:[_/-]|$)"
+#: Hex digits of common digests; a run of that length that nothing assigns looks like one.
+DIGESTS = (32, 40, 56, 64, 96, 128)
 SHAPES = 4
 LEFT, RIGHT = 32, 6
 STEP = 64
-#: Presumed shares of personal data that format, word list and context vote for, and of the rest that they pass, and the
-#: weight of that against what EM counts. Few other strings have a published format; many are set off.
+#: Presumed shares of personal data that format, word list and context vote for, and of the rest that they pass, and how
+#: many votes that presumption counts for. Few other strings have a published format; many are set off.
 PRESUMED = ((0.5, 0.7, 0.95), (0.999, 0.97, 0.5))
-TRUST = 0.8
+PRESUMED_VOTES = 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -156,8 +158,10 @@ def _candidate(kind: str, m: Column) -> Column:
     else:
         wordy, harmless = m["match"].rlike(WORDS), m["left"].rlike(HARMLESS) | m["right"].rlike(ENDING)
         strict, listed = m["match"].rlike(STRICT[kind]), m["left"].rlike(GAZETTEER[kind])
-        context = apart & ~harmless & ~wordy
-        features = (m["left"].rlike(r"(?:[=:]\s*|[\"'])$"), wordy, harmless, m["match"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), m["match"].rlike("[a-z]") & m["match"].rlike("[A-Z]"), m["match"].rlike("[_+/-]"))
+        assigned, hexes = m["left"].rlike(r"(?:[=:]\s*|[\"'])$"), m["match"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        digest = hexes & ~assigned & F.char_length(m["match"]).isin(*DIGESTS)
+        context = apart & ~harmless & ~wordy & ~digest
+        features = (assigned, wordy, harmless, hexes, m["match"].rlike("[a-z]") & m["match"].rlike("[A-Z]"), m["match"].rlike("[_+/-]"))
     return F.struct(
         m["start"].alias("start"),
         F.lit(KINDS.index(kind)).alias("kind"),
@@ -181,34 +185,40 @@ def find_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("cands", F.array_sort(F.concat(*every))).drop(*(f"m_{kind}" for kind in KINDS))
 
 
-def estimate(counts: dict[tuple[int, str], int], rounds: int = 50) -> dict[tuple[int, str], float]:
-    """EM over counted vote patterns: the probability that a candidate with that pattern is personal data.
+def reliabilities(votes: dict[str, int], rounds: int = 300) -> tuple[float, list[float], list[float], dict[str, float]]:
+    """EM over one kind's counted votes: share of personal data, sensitivities, specificities, and each pattern's probability.
 
-    Two classes; each labeler has a sensitivity and a specificity for each kind, first the presumed ones.
-    A share of their weight (``TRUST``) stays presumed, and the classes' odds are taken to be even at most, so
-    that a table in which nearly every candidate is personal data doesn't teach that all are.
+    The presumption is a prior of ``PRESUMED_VOTES`` votes for each class, which counts outgrow; it also begins the
+    rounds, so it is what tells the classes apart. The classes' odds are taken to be even at most, so that a table in which
+    nearly every candidate is personal data doesn't teach that all are.
     """
+    post: dict[str, float] = {}
+    share, (sens, spec) = 0.5, PRESUMED
+    for _ in range(rounds):
+        for v in votes:
+            p, q = share, 1 - share
+            for i in range(3):
+                p *= sens[i] if v[i] == "1" else 1 - sens[i]
+                q *= 1 - spec[i] if v[i] == "1" else spec[i]
+            post[v] = p / (p + q)
+        yes = sum(n * post[v] for v, n in votes.items())
+        no = sum(n * (1 - post[v]) for v, n in votes.items())
+        share = min(0.5, (yes + 1) / (yes + no + 2))
+        rate = lambda presumed, hits, of: (hits + PRESUMED_VOTES * presumed) / (of + PRESUMED_VOTES)
+        sens = [rate(PRESUMED[0][i], sum(n * post[v] for v, n in votes.items() if v[i] == "1"), yes) for i in range(3)]
+        spec = [rate(PRESUMED[1][i], sum(n * (1 - post[v]) for v, n in votes.items() if v[i] == "0"), no) for i in range(3)]
+    return share, list(sens), list(spec), post
+
+
+def estimate(counts: dict[tuple[int, str], int]) -> dict[tuple[int, str], float]:
+    """For each (kind, pattern) the probability, by the kind's EM, that such a candidate is personal data."""
     out: dict[tuple[int, str], float] = {}
     for kind in sorted({k for k, _ in counts}):
         own: dict[str, int] = {}
         for (k, votes), n in counts.items():
             if k == kind:
                 own[votes[:3]] = own.get(votes[:3], 0) + n
-        post: dict[str, float] = {}
-        prior, (sens, spec) = 0.5, PRESUMED
-        for _ in range(rounds):
-            for v in own:
-                p, q = prior, 1 - prior
-                for i in range(3):
-                    p *= sens[i] if v[i] == "1" else 1 - sens[i]
-                    q *= 1 - spec[i] if v[i] == "1" else spec[i]
-                post[v] = p / (p + q)
-            yes = sum(n * post[v] for v, n in own.items())
-            no = sum(n * (1 - post[v]) for v, n in own.items())
-            prior = min(0.5, (yes + 1) / (yes + no + 2))
-            rate = lambda presumed, hits, of: TRUST * presumed + (1 - TRUST) * (hits + presumed) / (of + 1)
-            sens = [rate(PRESUMED[0][i], sum(n * post[v] for v, n in own.items() if v[i] == "1"), yes) for i in range(3)]
-            spec = [rate(PRESUMED[1][i], sum(n * (1 - post[v]) for v, n in own.items() if v[i] == "0"), no) for i in range(3)]
+        post = reliabilities(own)[3]
         out |= {(k, votes): post[votes[:3]] for k, votes in counts if k == kind}
     return out
 

@@ -337,3 +337,17 @@ def test_only_ids_without_a_contrary_label_are_trusted(spark):
     docs = docs_of(spark, ["a", "b", "c", "d", "e", "f"])
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (1, 1, 1), (2, 1, None), (3, 0, 0), (3, 1, 0), (4, None, 0), (5, 1, 0), (5, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert sorted(r["text"] for r in quality.trusted_texts(docs, labels).collect()) == ["a", "f"]
+
+
+# --- op 4's reliabilities
+
+@pytest.mark.parametrize("sens,spec", [((0.5, 0.7, 0.9), (0.99, 0.95, 0.7)), ((0.4, 0.8, 0.85), (0.97, 0.9, 0.9)), ((0.5, 0.1, 0.95), (0.999, 0.5, 0.95)), ((0.6, 0.9, 0.9), (0.95, 0.8, 0.6))])
+def test_reliabilities_are_estimated_from_counted_votes(sens, spec):
+    from cairn.llm import pii
+
+    rng = np.random.default_rng(0)
+    true = rng.random(10_000) < 0.3
+    votes = np.stack([np.where(true, rng.random(10_000) < a, rng.random(10_000) < 1 - b) for a, b in zip(sens, spec)], axis=1).astype(int)
+    share, got_sens, got_spec, _ = pii.reliabilities(Counter("".join(map(str, v)) for v in votes))
+    assert share == pytest.approx(0.3, abs=0.05)
+    assert got_sens == pytest.approx(sens, abs=0.05) and got_spec == pytest.approx(spec, abs=0.05)
