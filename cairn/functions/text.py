@@ -24,8 +24,8 @@ def detect_k(k: Column, requested: Column, n_clusters: Column, actual: Column, p
     return F.coalesce(*(c.cast("bigint") for c in (k, requested, n_clusters, actual)), parse_int(parameters, "k"))
 
 
-def normalise_algorithm(name: Column) -> Column:
-    """Family of an algorithm's name: kmeans, hierarchical, dbscan or gmm; else the trimmed lower-case name."""
+def normalise_algorithm(name: Column, strict: bool = False) -> Column:
+    """Family of an algorithm's name: kmeans, hierarchical, dbscan or gmm; else the trimmed lower-case name, or with ``strict`` an error."""
     own = F.lower(F.trim(name))
     holds = lambda *words: F.greatest(*(F.contains(own, F.lit(w)).cast("int") for w in words), F.lit(0)) == 1
     return (
@@ -33,7 +33,7 @@ def normalise_algorithm(name: Column) -> Column:
         .when(holds("hierarch", "agglom", "ward"), "hierarchical")
         .when(holds("dbscan"), "dbscan")
         .when(holds("gmm", "gaussian", "mixture"), "gmm")
-        .otherwise(own)
+        .otherwise(F.raise_error(F.concat(F.lit("unknown algorithm: "), F.coalesce(name, F.lit("null")))) if strict else own)
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cairn.functions.features import number
 from cairn.runtime import materialize
@@ -64,6 +64,32 @@ def cross_check(tables: dict[str, DataFrame], key: str = "row_id") -> DataFrame:
     return out
 
 
+NUMERIC = (T.NumericType, T.BooleanType)
+
+
+def artifact_status(tables: dict[str, DataFrame | None], required: dict[str, Sequence[str]], numeric: Sequence[str] = ()) -> DataFrame:
+    """(artifact, status, n_rows, n_null, n_nan, problems): whether each table can be used, from one aggregation each.
+
+    ``status`` is missing (no table), incomplete (lacks required columns), not numeric (a table named in ``numeric`` has
+    other columns), has gaps (null or NaN in a required column), unequal (other rows than the first usable table) or valid.
+    """
+    spark = next(df.sparkSession for df in tables.values() if df is not None)
+    out, rows = [], None
+    for name, df in tables.items():
+        if df is None:
+            out.append((name, "missing", None, None, None, ""))
+            continue
+        lacking = [c for c in required.get(name, ()) if c not in df.columns]
+        odd = [f.name for f in df.schema.fields if name in numeric and not isinstance(f.dataType, NUMERIC)]
+        own = [f for f in df.schema.fields if f.name in required.get(name, ())]
+        nan = [F.count_if(F.isnan(F.col(f"`{f.name}`"))) for f in own if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+        n, null, nans = df.agg(F.count("*"), sum((F.count_if(F.col(f"`{f.name}`").isNull()) for f in own), F.lit(0)), sum(nan, F.lit(0))).first()
+        rows = n if rows is None else rows
+        status = "incomplete" if lacking else "not numeric" if odd else "has gaps" if null or nans else "unequal" if n != rows else "valid"
+        out.append((name, status, n, null, nans, ", ".join(lacking or odd)))
+    return spark.createDataFrame(out, "artifact string, status string, n_rows long, n_null long, n_nan long, problems string")
+
+
 def drop_exact_duplicates(rows: DataFrame, columns: Sequence[str], position: str) -> DataFrame:
     """The first row, by position, of each group of rows that agree in all columns."""
     rest = [c for c in rows.columns if c not in columns]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.operators.profiling import quantile
 from cairn.operators.quantiles import exact_quantiles
+from cairn.runtime import materialize
 
 
 def profiles(long: DataFrame) -> DataFrame:
@@ -126,6 +127,24 @@ def error_summary(low: DataFrame, labels: DataFrame) -> DataFrame:
     return low.join(labels, "id").groupBy("category").agg(F.count("*").alias("n"), F.min("silhouette").alias("min"), F.avg("silhouette").alias("mean"), F.avg("label").alias("label_rate"))
 
 
+def error_report(low: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row on the lowest silhouettes with ``facts`` (id, label, amount): count, least and mean silhouette, negative and
+    boundary counts and shares, label rate, and the amount's mean and median."""
+    own = materialize(low.join(facts, "id"), "lowest")
+    s = F.col("silhouette")
+    told = own.agg(
+        F.count("*").alias("n"), F.min(s).alias("min_silhouette"), F.avg(s).alias("mean_silhouette"), F.count_if(s < 0).alias("n_negative"), F.avg((s < 0).cast("double")).alias("negative_fraction"),
+        F.count_if(F.abs(s) <= 0.10).alias("n_boundary"), F.avg((F.abs(s) <= 0.10).cast("double")).alias("boundary_fraction"), F.avg("label").alias("label_rate"), F.avg("amount").alias("amount_mean"),
+    )
+    median = exact_quantiles(own, [], "amount", [0.5]).agg(F.max(F.get("q", F.lit(0))).alias("amount_median"))
+    return told.crossJoin(F.broadcast(median))  # one row each
+
+
+def error_counts(low: DataFrame) -> DataFrame:
+    """(cluster, category, n) of the lowest silhouettes."""
+    return low.groupBy("cluster", "category").agg(F.count("*").alias("n"))
+
+
 def surrogate_tree(rows: DataFrame, features: list[str], label: str = "cluster", depth: int = 4, least: int = 30, seed: int = 42):
     """A shallow tree that tells clusters apart, balanced by class, on a stratified three quarters:
     (model, frame of rule text, train and test accuracy, depth and number of leaves)."""

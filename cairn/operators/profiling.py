@@ -42,6 +42,13 @@ def unpivot(rows: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), na
     return rows.select(*ids, F.explode(boxed).alias("_x")).select(*ids, f"_x.{name}", f"_x.{value}")
 
 
+def row_to_long(row: DataFrame, suffix: str = "", columns: Sequence[str] | None = None) -> DataFrame:
+    """(feature, value) of a wide row (or of each, if there are several): columns that end with ``suffix``, named without it."""
+    names = [c for c in (columns or row.columns) if c.endswith(suffix) and len(c) > len(suffix)]
+    boxed = F.array(*(F.struct(F.lit(c[: len(c) - len(suffix)]).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in names))
+    return row.select(F.inline(boxed if names else boxed.cast("array<struct<feature:string,value:double>>")))
+
+
 def value_counts_of(long: DataFrame) -> DataFrame:
     """(feature, value, n) of a (feature, value) table without its nulls, combined before the shuffle."""
     return long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))

@@ -196,6 +196,18 @@ def metric_sensitivity_silhouette(spark, d):
     return out.select(F.get(F.split("run_id", "/"), F.lit(1)).alias("metric"), F.get(F.split("run_id", "/"), F.lit(2)).cast("long").alias("k"), "silhouette")
 
 
+@query("metric_sensitivity_both")
+def metric_sensitivity_both(spark, d):
+    """Silhouettes of average-linkage cuts under both metrics, whichever made them."""
+    rows = clusters._sample(spark, d, 2_500)
+    cuts = materialize(hierarchy.cuts_of(hierarchy.trees(rows, ["average"], ("euclidean", "manhattan"), range(2, 6))), "cuts")
+    out = None
+    for metric in ("euclidean", "manhattan"):
+        own = metrics.silhouette_points(cuts.join(rows, "id"), metric).groupBy("run_id").agg(F.avg("silhouette").alias("silhouette")).withColumn("measured_by", F.lit(metric))
+        out = own if out is None else out.unionByName(own)
+    return out.select(F.get(F.split("run_id", "/"), F.lit(1)).alias("made_by"), "measured_by", F.get(F.split("run_id", "/"), F.lit(2)).cast("long").alias("k"), "silhouette")
+
+
 @query("permutation_importance")
 def permutation_importance(spark, d):
     names = list(fx.WIDE)

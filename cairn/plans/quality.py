@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import agreement, interpret, metrics, pairs, selection, tendency
+from cairn.operators import agreement, interpret, metrics, pairs, scaling, selection, tendency
 from cairn.operators.cleaning import hash_sample
 from cairn.plans import fixtures as fx
 from cairn.plans.registry import query
@@ -243,6 +243,18 @@ def repeated_hopkins_summary(spark, d):
     return tendency.hopkins_summary(tendency.repeated_hopkins(fx.vectors(spark, d).select("id", "v"), 500, 5).withColumn("scaler", F.lit("none")))
 
 
+@query("hopkins_by_scaler")
+def hopkins_by_scaler(spark, d):
+    """Five repetitions of 500 probes in standard and in robust space."""
+    rows = fx.vectors(spark, d).select("id", "v")
+    spaces = {"standard": scaling.apply_scaler(rows, scaling.fit_standard(rows)), "robust": scaling.apply_scaler(rows, scaling.fit_robust(rows))}
+    runs = None
+    for name, space in spaces.items():
+        own = tendency.repeated_hopkins(materialize(space, "space"), 500, 5).withColumn("scaler", F.lit(name))
+        runs = own if runs is None else runs.unionByName(own)
+    return tendency.hopkins_summary(runs)
+
+
 @query("vat_order")
 def vat_order(spark, d):
     return tendency.vat_edges(hash_sample(fx.vectors(spark, d).select("id", "v"), 400, 42, "id"))
@@ -352,6 +364,22 @@ def error_summary(spark, d):
     return interpret.error_summary(interpret.lowest_silhouettes(points), points.select("id", "label"))
 
 
+@query(
+    "error_report",
+    f"{_LOW}, f AS (SELECT low.*, distance AS amount FROM low JOIN pts USING (id)) SELECT count(*) AS n, min(silhouette) AS min_silhouette, avg(silhouette) AS mean_silhouette, count(*) FILTER (silhouette < 0) AS n_negative, avg(CASE WHEN silhouette < 0 THEN 1.0 ELSE 0 END) AS negative_fraction, count(*) FILTER (abs(silhouette) <= 0.10) AS n_boundary, avg(CASE WHEN abs(silhouette) <= 0.10 THEN 1.0 ELSE 0 END) AS boundary_fraction, avg(label) AS label_rate, avg(amount) AS amount_mean, quantile_cont(amount, 0.5) AS amount_median FROM f",
+    doubles="min_silhouette mean_silhouette negative_fraction boundary_fraction label_rate amount_mean amount_median",
+)
+def error_report(spark, d):
+    """The distance to the own centroid is the amount."""
+    points = _points(spark, d)
+    return interpret.error_report(interpret.lowest_silhouettes(points), points.select("id", "label", F.col("own").alias("amount")))
+
+
+@query("error_counts", f"{_LOW} SELECT cluster, category, count(*) AS n FROM low GROUP BY ALL")
+def error_counts(spark, d):
+    return interpret.error_counts(interpret.lowest_silhouettes(_points(spark, d)))
+
+
 _ANO = f"{_PTS}, md AS (SELECT cluster, quantile_cont(distance, 0.5) AS med FROM pts GROUP BY cluster), ma AS (SELECT cluster, quantile_cont(abs(distance - med), 0.5) AS mad FROM pts JOIN md USING (cluster) GROUP BY cluster), an AS (SELECT cluster, id, label, distance, (distance - med) / greatest(mad * 1.4826, 2.220446049250313e-16) AS score FROM pts JOIN md USING (cluster) JOIN ma USING (cluster)), ar AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS anomaly_rank FROM an)"
 
 

@@ -354,6 +354,26 @@ def artifact_manifest(spark, d):
     return io.file_manifest(spark, f"{d}/region.parquet", f"{d}/nation.parquet", f"{d}/missing.parquet")
 
 
+@query(
+    "artifact_status",
+    f"WITH {fx.EVENTS}, m AS (SELECT count(*) AS n FROM ev), h AS (SELECT count(*) AS n, count(*) FILTER (row_id % 10 = 3) AS gaps FROM ev WHERE row_id % 2 = 1) SELECT 'features' AS artifact, 'valid' AS status, n AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_nan, '' AS problems FROM m UNION ALL SELECT 'kinds', 'not numeric', n, 0, 0, 'kind' FROM m UNION ALL SELECT 'gaps', CASE WHEN gaps > 0 THEN 'has gaps' ELSE 'unequal' END, n, gaps, 0, '' FROM h UNION ALL SELECT 'half', 'unequal', n, 0, 0, '' FROM h UNION ALL SELECT 'short', 'incomplete', n, 0, 0, 'Amount' FROM m UNION ALL SELECT 'gone', 'missing', NULL, NULL, NULL, ''",
+)
+def artifact_status(spark, d):
+    e = fx.events(spark, d)
+    features, half = e.select("row_id", "Time", "Amount"), e.where("row_id % 2 = 1").select("row_id", "Time", "Amount")
+    gaps = half.withColumn("Amount", F.when(F.col("row_id") % 10 != 3, F.col("Amount")))
+    gone = spark.read.parquet(f"{d}/gone.parquet") if io.exists(spark, f"{d}/gone.parquet") else None
+    tables = {"features": features, "kinds": e.select("row_id", "kind"), "gaps": gaps, "half": half, "short": e.select("row_id", "Time"), "gone": gone}
+    needed = {"features": ["row_id", "Time", "Amount"], "gaps": ["Amount"], "half": ["Amount"], "short": ["Time", "Amount"]}
+    return cleaning.artifact_status(tables, needed, ["features", "kinds"])
+
+
+@query("row_to_long", "SELECT 'quantity' AS feature, avg(l_quantity) AS value FROM lineitem UNION ALL SELECT 'tax', avg(l_tax) FROM lineitem", doubles="value")
+def row_to_long(spark, d):
+    wide = fx.lines(spark, d).agg(F.avg("l_quantity").alias("quantity_mean"), F.max("l_quantity").alias("quantity_max"), F.avg("l_tax").alias("tax_mean"))
+    return profiling.row_to_long(wide, "_mean")
+
+
 @query("environment_manifest")
 def environment_manifest(spark, d):
     return io.environment(spark)
