@@ -1,10 +1,14 @@
 """Grids that advance together, and bootstraps against full fits, against lone fits and brute force."""
 
+from collections import Counter
+from itertools import permutations
+from math import log
+
 import numpy as np
 import pytest
 
 from cairn.functions.vectors import distances
-from cairn.operators import agreement, kmeans, mixture, scaling
+from cairn.operators import agreement, kmeans, metrics, mixture, scaling
 from cairn.runtime import ship
 
 
@@ -93,3 +97,22 @@ def test_runs_against_the_reference_of_their_k(spark):
             mine = {i for i in range(60) if reference[k][i] == c}
             scores = [len(mine & o) / len(mine | o) for o in ({i for i in range(60) if own[i] == x} for x in range(k)) if o]
             assert best[name, c] == pytest.approx(max(scores))
+
+
+def information(a, b):
+    n, both, ca, cb = len(a), Counter(zip(a, b)), Counter(a), Counter(b)
+    return sum(c / n * log(c * n / (ca[x] * cb[y])) for (x, y), c in both.items())
+
+
+def entropy(a):
+    return -sum(c / len(a) * log(c / len(a)) for c in Counter(a).values())
+
+
+def test_adjusted_mutual_information_by_all_permutations(spark):
+    a, b = [0, 0, 0, 1, 1, 2, 2], [0, 0, 1, 1, 1, 1, 0]
+    chance = np.mean([information(a, p) for p in permutations(b)])
+    got = metrics.expected_mutual_information(list(Counter(a).values()), list(Counter(b).values()))
+    assert got == pytest.approx(chance, rel=1e-9)
+    rows = spark.createDataFrame([("r", x, y) for x, y in zip(a, b)], "run_id string, cluster long, label long")
+    own = metrics.external_of(rows.groupBy("run_id", "cluster", "label").count().withColumnRenamed("count", "n")).first()
+    assert own["ami"] == pytest.approx((information(a, b) - chance) / ((entropy(a) + entropy(b)) / 2 - chance))

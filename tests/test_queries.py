@@ -46,6 +46,22 @@ def test_query_equals_sql(spark, con, name):
             assert x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-5, abs_tol=2e-5)), (a, b)
 
 
+#: Queries without SQL that take a minute or so: their operators are tested against brute force elsewhere.
+LONG = {
+    "base_evaluation", "bootstrap_by_k", "bootstrap_jaccard", "bootstrap_runs", "bootstrap_stability", "consensus_deltas", "consensus_labels_whole", "consensus_search", "consensus_vs_best_base", "dbscan_choice", "gap_statistic",
+    "hopkins_500", "hopkins_by_scaler", "kmeans_best_of_seeds", "kmeans_grid", "kmeans_labels_converged", "kmeans_search_converged", "mst_total_weight_all", "preprocessing_measures", "preprocessing_sensitivity", "repeated_hopkins_summary",
+    "umap_trustworthiness", "unified_portfolio", "winner_refit", "permutation_importance",
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - LONG))
+def test_query_without_sql_has_rows(spark, name):
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)
+    assert all(any(r[c] is not None for c in df.columns) for r in rows)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
