@@ -48,7 +48,9 @@ LISTS = 2048
 #: Bytes of item texts that are broadcast at once; more items are searched in several rounds.
 ITEM_BYTES = 4_000_000
 
-SHARD = "ids array<long>, terms array<binary>, starts array<int>, docs array<int>, impacts array<int>, block_starts array<int>, block_ends array<int>, block_tops array<int>"
+#: Numbers of a shard are packed, terms stand between spaces: a shard is a few values, whatever its size.
+SHARD = "ids array<long>, terms binary, starts binary, docs binary, impacts binary, block_starts binary, block_ends binary, block_tops binary"
+KINDS = {"starts": "<i4", "docs": "<u2", "impacts": "<i4", "block_starts": "<i4", "block_ends": "<u2", "block_tops": "<i4"}
 
 
 def collection(docs: DataFrame) -> tuple[int, int]:
@@ -162,9 +164,9 @@ class Shard:
         starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))])
         own = impact(tf, np.array(self.lengths)[doc], n_docs, total)
         first, ends, tops = blocks(starts, doc, own, -(-len(self.ids) // STEP))
-        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-        columns = [one(self.ids, pa.int64()), one(names, pa.binary()), *(one(x.astype(np.int32), pa.int32()) for x in (starts, doc, own, first, ends, tops))]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SHARD.split(", ")])
+        ids = pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), pa.array(self.ids, pa.int64()))
+        packed = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip((starts, doc, own, first, ends, tops), KINDS.values())]
+        return pa.RecordBatch.from_arrays([ids, pa.array([b" ".join(names)], pa.binary()), *packed], ["ids", "terms", *KINDS])
 
 
 def build_index(docs: DataFrame) -> tuple[DataFrame, int, int]:
@@ -191,10 +193,10 @@ class Postings:
     """The lists of a shard that some item asks for."""
 
     def __init__(self, batch: pa.RecordBatch, row: int, wanted: dict[bytes, int]):
-        got = {f: batch.column(k)[row].values for k, f in enumerate(batch.schema.names)}
-        self.ids = got["ids"]
-        numbers = lambda f: got[f].to_numpy(zero_copy_only=False)
-        asked = [(k, wanted[w]) for k, w in enumerate(got["terms"].to_pylist()) if w in wanted]
+        got = {f: batch.column(k)[row] for k, f in enumerate(batch.schema.names)}
+        self.ids = got["ids"].values
+        numbers = lambda f: np.frombuffer(got[f].as_py(), KINDS[f]).astype(np.int64 if f == "docs" else np.int32)
+        asked = [(k, wanted[w]) for k, w in enumerate(got["terms"].as_py().split()) if w in wanted]
         self.steps = -(-len(self.ids) // STEP)
         self.of = {t: x for x, (_, t) in enumerate(asked)}
         starts, docs, impacts, first, ends, tops = map(numbers, ("starts", "docs", "impacts", "block_starts", "block_ends", "block_tops"))
@@ -273,8 +275,8 @@ def _search_round(index: DataFrame, n_docs: int, asked, k: int) -> DataFrame:
         df: Counter = Counter()
         for batch in batches:
             for row in range(batch.num_rows):
-                names, starts = (batch.column(c)[row].values for c in range(2))
-                for w, n in zip(names.to_pylist(), np.diff(starts.to_numpy(zero_copy_only=False)).tolist()):
+                names, starts = (batch.column(c)[row].as_py() for c in range(2))
+                for w, n in zip(names.split(), np.diff(np.frombuffer(starts, KINDS["starts"])).tolist()):
                     if w in terms:
                         df[terms[w]] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], ["term", "df"])
