@@ -13,7 +13,7 @@ from cairn.runtime import build_session
 HEADLINE = (
     "clean_rows", "column_profile", "eda_summary", "engineered_features", "standard_scale", "temporal_split", "correlation_matrix", "pca_variance", "hopkins",
     "distance_metric_diagnostics", "kmeans_search", "kmeans_grid", "hierarchy_cut", "dbscan_labels", "gmm_labels", "silhouette", "davies_bouldin", "ari", "agreement_matrix",
-    "base_clusterings", "consensus_vs_best_base", "coassociation", "medoids", "anomaly_ranking", "cluster_profiles", "registry_assign", "psi", "ks", "drift_report", "gmm_search", "umap_layout", "shap_importance",
+    "base_clusterings", "consensus_vs_best_base", "coassociation", "medoids", "anomaly_ranking", "cluster_profiles", "registry_assign", "psi", "ks", "drift_report", "gmm_search", "umap_layout",
 )
 
 

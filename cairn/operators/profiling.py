@@ -85,18 +85,18 @@ def walked_quantiles(walk: DataFrame, totals: DataFrame, shares: Sequence[float]
     return found.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))).alias("x")).select("feature", F.transform("x", lambda s: s["q"]).alias("q"))
 
 
-def value_steps(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int | None = None, distinct: bool = False) -> DataFrame:
-    """(feature, q) and with ``distinct`` also n_distinct: exact quantiles by selection and counts of values, or both from sketches."""
+def value_steps(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int | None = None) -> DataFrame:
+    """(feature, n_distinct, q): distinct values and exact quantiles, both from one walk over counts of equal values, or both from sketches.
+
+    Profiles ask for many quantiles of columns with repeated values: one walk gives all of them, where selection pays for each.
+    """
     long = unpivot(rows, columns)
     if accuracy:
         return long.groupBy("feature").agg(F.approx_count_distinct("value").alias("n_distinct"), quantile("value", list(shares), accuracy).alias("q"))
-    known = exact_quantiles(long, ["feature"], "value", shares).select("feature", "q")
+    walk, totals = walked(value_counts_of(long).withColumn("d", F.lit(1).cast("long")), ["n", "d"])
     every = rows.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    out = every.join(F.broadcast(known), "feature", "left")  # a row for each column
-    if distinct:
-        values = value_counts_of(long).groupBy("feature").agg(F.count("*").alias("n_distinct"))
-        out = out.join(values, "feature", "left").select("feature", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "q")
-    return out
+    known = totals.select("feature", F.col("d").alias("n_distinct")).join(walked_quantiles(walk, totals, shares), "feature")
+    return every.join(F.broadcast(known), "feature", "left").select("feature", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "q")  # a row for each column
 
 
 def column_profile(rows: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def column_profile(rows: DataFrame, columns: Sequence[str], accuracy: int | None
         n, there = F.count("*"), F.count(c)
         return {"n": n, "n_missing": n - there, "missing_percent": (n - there) * 100.0 / n, "min": F.min(c).cast("double"), "max": F.max(c).cast("double"), "mean": F.avg(c), "std": F.stddev_samp(c), "skew": g1(c)}
 
-    out = _long(rows, columns, measures).join(value_steps(rows, columns, [0.5], accuracy, distinct=True), "feature")
+    out = _long(rows, columns, measures).join(value_steps(rows, columns, [0.5], accuracy), "feature")
     spare = F.col("n") - F.col("n_distinct") - F.when(F.col("n_missing") > 0, 1).otherwise(0)
     return out.select("feature", "n", "n_missing", "missing_percent", "n_distinct", spare.alias("n_duplicates"), "min", "max", "mean", F.get("q", F.lit(0)).alias("median"), "std", "skew")
 
