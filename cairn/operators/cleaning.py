@@ -183,6 +183,6 @@ def stratified_split(rows: DataFrame, label: str, fraction: float = 0.75, seed:
     placed = dense_key(rows.withColumn("_hash", hash_order(F.col(key), seed)), [label, "_hash", key], "_at")
     sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_label")) - F.col("_size"))  # a row for each label
-    own = placed.join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_label")))
+    own = placed.join(before, F.col(label).eqNullSafe(F.col("_label")))
     train = F.col("_at") - F.col("_before") < F.floor(F.col("_size") * fraction)
     return own.withColumn("split", F.when(train, "train").otherwise("test")).select(*rows.columns, "split")

@@ -23,6 +23,11 @@ def rank_sum(table: DataFrame, measures: dict[str, bool] | None = None, partitio
     return table.withColumn("final_order", F.row_number().over(order).cast("long"))
 
 
+def best_in(table: DataFrame, partition: Sequence[str], measures: dict[str, bool] | None = None, ties: Sequence[Column] = ()) -> DataFrame:
+    """The first row of each part by its sum of ranks, then by ``ties``."""
+    return rank_sum(table, measures, partition, ties).where("final_order = 1").drop("final_order")
+
+
 def rank_winners(table: DataFrame, measures: dict[str, bool] | None = None) -> DataFrame:
     """Every row at the least rank score is a winner; null measures rank last."""
     scored = rank_sum(table, measures, drop_null=False, ties=[F.lit(0)])

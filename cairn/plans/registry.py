@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("tables", "quality", "clusters", "choices", "completion", "structure")
+MODULES = ("tables", "quality", "clusters", "choices", "completion", "structure", "panels")
 
 
 def _tidy(df: DataFrame) -> DataFrame:
