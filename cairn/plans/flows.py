@@ -133,15 +133,3 @@ def assign(spark: SparkSession, rows: DataFrame, out: str) -> DataFrame:
     if broken:
         raise ValueError("; ".join(f"{r['column']}: {r['rule']} broken by {r['count']} rows" for r in broken))
     return serving.Registry.load(spark, f"{out}/registry").assign(cleaning.coerce(keyed, numeric))
-
-
-def report(spark: SparkSession, out: str) -> str:
-    """A Markdown report of the tables that are there."""
-    from cairn.functions.text import markdown
-
-    sections = ("validation", "decisions", "profile", "hopkins", "scoreboard", "consensus_search", "composition", "labels", "drift", "drift_summary")
-    parts = ["# Segmentation report"]
-    for name in sections:
-        if io.exists(spark, f"{out}/{name}"):
-            parts += [f"## {name.replace('_', ' ')}", markdown(spark.read.parquet(f"{out}/{name}"), 30)]
-    return "\n\n".join(parts) + "\n"
