@@ -7,6 +7,9 @@ steps of ``STEP``; a posting list is cut into blocks at some of these steps, so
 maxima exceed the impacts by as little as possible: dynamic programming over all boundaries minimises
 the summed excess plus ``BLOCK_COST`` maxima a block. Only ends and maxima of blocks are kept.
 
+Shards are small, and each is a row group of its own in the stored index: tasks hold about one at a
+time, however many a file has.
+
 A search adds up the weighted maxima of an item's terms over the steps of a shard, reads postings of
 the most promising steps, and then only those of steps whose bound reaches the kth score found so
 far. What is left out can't be in the shard's top k, ties included. The best k of each shard are
@@ -38,13 +41,15 @@ TOP = 10
 #: Fixed parts of the score.
 SATURATION, LENGTH_PERCENT, UNIT, WEIGHT_UNIT = 8, 90, 1_000_000_000, 1000
 #: Documents of a step, most steps and most bytes of text of a shard.
-STEP, STEPS, SHARD_BYTES = 64, 64, 16_000_000
+STEP, STEPS, SHARD_BYTES = 64, 64, 6_000_000
 #: A block costs as much as this many times a list's mean impact of excess.
 BLOCK_COST = 2.0
 #: Lists up to this length get a block for each step that holds a posting, so their bounds are exact.
 SHORT = 8
 #: Lists whose boundaries are worked out together.
 LISTS = 2048
+#: Postings whose impacts are worked out together.
+POSTINGS = 1 << 16
 #: Bytes of item texts that are broadcast at once; more items are searched in several rounds.
 ITEM_BYTES = 4_000_000
 
@@ -144,7 +149,7 @@ class Shard:
         if own:
             number = self.number
             self.terms.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)))
-            self.tfs.append(np.fromiter(own.values(), np.int64, len(own)))
+            self.tfs.append(np.fromiter(own.values(), np.int32, len(own)))
             self.ids.append(doc_id)
             self.lengths.append(own.total())
             self.size += len(text)
@@ -156,17 +161,26 @@ class Shard:
         names = sorted(self.number)
         place = np.zeros(len(names), np.int32)
         place[np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
-        per_doc = np.array([len(x) for x in self.terms])
-        doc = np.repeat(np.arange(len(self.ids)), per_doc)
-        term, tf = place[np.concatenate(self.terms)], np.concatenate(self.tfs)
-        order = np.argsort(term, kind="stable")
-        doc, tf = doc[order], tf[order]
+        terms = b" ".join(names)
+        self.number = {}  # what isn't needed any more goes early, so that two such tasks stay small beside their executor
+        doc = np.repeat(np.arange(len(self.ids), dtype=np.uint16), [len(x) for x in self.terms])
+        term = place[np.concatenate(self.terms)]
+        self.terms = []
         starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))])
-        own = impact(tf, np.array(self.lengths)[doc], n_docs, total)
+        order = np.argsort(term, kind="stable")
+        del term
+        doc, tf = doc[order], np.concatenate(self.tfs)[order]
+        self.tfs = []
+        del order
+        own, lengths = np.zeros(len(doc), np.int32), np.array(self.lengths)
+        for at in range(0, len(doc), POSTINGS):
+            some = slice(at, at + POSTINGS)
+            own[some] = impact(tf[some].astype(np.int64), lengths[doc[some]], n_docs, total)
+        del tf
         first, ends, tops = blocks(starts, doc, own, -(-len(self.ids) // STEP))
         ids = pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), pa.array(self.ids, pa.int64()))
         packed = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip((starts, doc, own, first, ends, tops), KINDS.values())]
-        return pa.RecordBatch.from_arrays([ids, pa.array([b" ".join(names)], pa.binary()), *packed], ["ids", "terms", *KINDS])
+        return pa.RecordBatch.from_arrays([ids, pa.array([terms], pa.binary()), *packed], ["ids", "terms", *KINDS])
 
 
 def build_index(docs: DataFrame) -> tuple[DataFrame, int, int]:
@@ -186,7 +200,7 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, int, int]:
             yield shard.row(n_docs, total)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return materialize(own.mapInArrow(run, SHARD), "lexical-index"), n_docs, total
+    return materialize(own.mapInArrow(run, SHARD), "lexical-index", row_group=1), n_docs, total
 
 
 class Postings:
@@ -195,16 +209,16 @@ class Postings:
     def __init__(self, batch: pa.RecordBatch, row: int, wanted: dict[bytes, int]):
         got = {f: batch.column(k)[row] for k, f in enumerate(batch.schema.names)}
         self.ids = got["ids"].values
-        numbers = lambda f: np.frombuffer(got[f].as_py(), KINDS[f]).astype(np.int64 if f == "docs" else np.int32)
+        numbers = lambda f: np.frombuffer(got[f].as_buffer(), KINDS[f])
         asked = [(k, wanted[w]) for k, w in enumerate(got["terms"].as_py().split()) if w in wanted]
         self.steps = -(-len(self.ids) // STEP)
         self.of = {t: x for x, (_, t) in enumerate(asked)}
         starts, docs, impacts, first, ends, tops = map(numbers, ("starts", "docs", "impacts", "block_starts", "block_ends", "block_tops"))
-        self.lists = [(docs[starts[k] : starts[k + 1]], impacts[starts[k] : starts[k + 1]].astype(np.int64)) for k, _ in asked]
+        self.lists = [(docs[starts[k] : starts[k + 1]].astype(np.int64), impacts[starts[k] : starts[k + 1]].astype(np.int64)) for k, _ in asked]
         self.bounds = np.zeros((len(asked), self.steps), np.int64)
         for x, (k, _) in enumerate(asked):
             own = slice(first[k], first[k + 1])
-            self.bounds[x] = np.repeat(tops[own], np.diff(ends[own], prepend=0))
+            self.bounds[x] = np.repeat(tops[own], np.diff(ends[own].astype(np.int64), prepend=0))
         self.cuts = [np.searchsorted(d, np.arange(self.steps + 1) * STEP) for d, _ in self.lists]
 
     def scores(self, rows: list[int], weights: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

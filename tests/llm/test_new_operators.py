@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,14 @@ def test_lexical_equals_brute_force_with_awkward_rows(spark):
     assert sorted((tuple(r) for r in rounds.collect()), key=str) == rank_brute(docs, items)
 
 
+def test_lexical_stores_each_shard_in_a_row_group_of_its_own(spark):
+    docs = docs_of(spark, [f"w{i:05d} common " * 60_000 for i in range(30)]).coalesce(1)  # 25 MB
+    index, _, _ = lexical.build_index(docs)
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")) for f in index.inputFiles()]
+    groups = [f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)]
+    assert len(groups) == index.count() >= 3 and set(groups) == {1}
+
+
 def test_lexical_empty_tables(spark):
     none = docs_of(spark, [None]).where("false")
     some = docs_of(spark, ["a b"])
