@@ -1,4 +1,4 @@
-"""Toxicity by a convolutional text classifier trained in numpy.
+"""Toxicity by a convolutional text classifier, trained on all labelled rows in parallel.
 
 A word's vector is the hashed embedding of the word and that of its first ``PREFIX`` bytes, side by
 side. Filters of several widths run over the word vectors (zeros behind the last word), the
@@ -7,13 +7,17 @@ coordinate of both embeddings starts from the smoothed log-odds of its bucket am
 texts, the rest from small random numbers of a fixed seed; embeddings, filters and output layer are
 then trained together. Scoring runs over every word of every text.
 
-The model is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` of either class, in the
-order of a hash of the id); a quarter of it only calibrates: for each language the threshold with
-the fewest errors there, which gives the column ``flagged``. Neither language nor labels, source or
-id take part in a score.
+All labelled rows outside the held-out fold train the model. They are dealt to parts by a hash of the
+id, as many as have ``PART_ROWS`` rows or ``PART_BYTES`` of text each. In a round every part goes over its
+rows from the common model by itself, and the parts' changes are averaged: those of a word's vector by
+how often a part changed it, the others by rows. Sums are of whole numbers, so no order of tasks shows
+in them. The first log-odds are counted over all rows.
 
-Of that sample only as many rows are used as have ``TRAIN_BYTES`` of text together (whole texts, in the
-same order). Where a doc_id has several rows, the one with the least text stands for it.
+Each language has the threshold with the fewest errors, in steps of ``1 / BINS``, which gives the column
+``flagged``. All labelled rows count for it, each with the score of a model that didn't see it: beside
+the model of all rows, one is trained in the same rounds on either half, and scores the other half.
+Neither language nor labels, source or id take part in a score. Where a doc_id has several rows, the
+one with the least text stands for it.
 
 Defined results: a null or empty text scores like a text without words; a doc_id with several labels
 is toxic if one of them says so; unlabelled and null ids take no part in training; equal texts get
@@ -26,19 +30,28 @@ score is 0.5 less a hair, so nothing is predicted toxic.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass, field
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.llm import textbytes as tb
 from cairn.runtime import materialize, release, ship
 
-TRAIN_ROWS = 4_000
-#: Bound on the text of the training sample in bytes.
-TRAIN_BYTES = 64_000_000
+#: Most rows and, about, bytes of text of a part.
+PART_ROWS, PART_BYTES = 8_192, 32_000_000
+#: Labelled ids that are broadcast; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Changes are summed as whole numbers of this size.
+UNIT = 2.0**-30
+#: Steps of the thresholds.
+BINS = 1000
+#: Words that a training step takes at once; a longer text is gone through in slices.
+SLICE_WORDS = 200_000
 FOLDS = 5
 BITS = 17
 PREFIX = 6
@@ -76,15 +89,6 @@ def split_ids(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes & ((1 << BITS) - 1), codes >> BITS
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    return np.stack(split_ids(codes)).astype(np.int32).tobytes()
-
-
-def _unpacked(own: pa.Buffer) -> np.ndarray:
-    """Buckets of words and of prefixes, without a copy."""
-    return np.frombuffer(own, np.int32).reshape(2, -1) if own.size else np.zeros((2, 0), np.int32)
-
-
 @dataclass
 class Segments:
     """Texts, or pieces of texts: their words' codes, where each begins, its text, and whether the text goes on."""
@@ -208,34 +212,77 @@ def _blank() -> Model:
     return Model(np.zeros(shape, np.float32), np.zeros(shape, np.float32), {w: np.zeros((w, 2 * WIDTH, n), np.float32) for w, n in FILTERS.items()}, np.zeros(sum(FILTERS.values())), -1e-9)
 
 
-def _log_odds(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Smoothed log-odds of each bucket's presence in toxic against other texts."""
-    counts = np.zeros((2, 1 << BITS))
-    for own, label in zip(ids, y):
-        counts[int(label), np.unique(own)] += 1
-    size = np.array([[(y == 0).sum()], [(y == 1).sum()]], float)
+def _log_odds(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Smoothed log-odds of each bucket's presence in toxic against other texts, from texts by class (rows) and bucket."""
+    size = sizes.reshape(2, 1).astype(float)
     share = (counts + SMOOTH * size / size.sum()) / (size * (1 + SMOOTH / size.sum()))
     return np.log(share[1] / share[0])
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """A model from (word buckets, prefix buckets, label) of whole texts."""
-    y = np.array([r[2] for r in rows])
-    if not len(y) or y.min() == y.max():
-        return _blank()
+@dataclass
+class Training:
+    """A model as it stands between rounds: summed squares of each bucket's slopes, class weights, the half it learns from (none: both)."""
+
+    model: Model
+    grown: np.ndarray
+    weigh: np.ndarray
+    half: int | None
+
+    def dense(self) -> np.ndarray:
+        """All parameters but the buckets', in rows of ``WIDTH``."""
+        flat = np.concatenate([*(f.ravel() for f in self.model.filters.values()), self.model.weights, [self.model.bias]])
+        return np.pad(flat, (0, -len(flat) % WIDTH)).reshape(-1, WIDTH)
+
+    def add_dense(self, change: np.ndarray) -> None:
+        at, flat = 0, change.ravel()
+        for value in (*self.model.filters.values(), self.model.weights):
+            value += flat[at : at + value.size].reshape(value.shape)
+            at += value.size
+        self.model.bias += float(flat[at])
+
+
+def start(counts: np.ndarray, sizes: np.ndarray, half: int | None, seed: int = SEED) -> Training:
+    """The model before its first step, from texts by class and bucket (words, then prefixes) and texts by class."""
     rng = np.random.default_rng(seed)
     model = _blank()
-    for table, k in ((model.words, 0), (model.heads, 1)):
+    for table, own in ((model.words, counts[:, : 1 << BITS]), (model.heads, counts[:, 1 << BITS :])):
         table[:] = rng.normal(0, 0.05, table.shape)
-        table[:, 0] = _log_odds([r[k] for r in rows], y) / 4
+        table[:, 0] = _log_odds(own, sizes) / 4
     for own in model.filters.values():
         own[:] = rng.normal(0, 0.1, own.shape)
         own[:, 0] += 0.5
         own[:, WIDTH] += 0.5
     model.weights[:] = 0.5
     model.bias = -1.0
+    # Half way (in the exponent) between the rows' mix and classes of equal weight.
+    return Training(model, np.full(2 << BITS, 1e-3, np.float32), (sizes.sum() / (2 * sizes)) ** 0.5, half)
+
+
+def _peaks(model: Model, word: np.ndarray, head: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each width, where its filters are largest in each text, and how large."""
+    if first[-1] <= SLICE_WORDS:
+        outs = model.convolve(model.vectors(word, head), first)
+        spots = [np.stack([out[a:b].argmax(axis=0) + a for a, b in zip(first, first[1:])]) for out in outs]
+        return spots, [np.take_along_axis(out, spot, axis=0) for out, spot in zip(outs, spots)]
+    spots = [np.zeros((len(first) - 1, n), np.int64) for n in FILTERS.values()]
+    tops = [np.full(s.shape, -np.inf, np.float32) for s in spots]
+    for i, (low, high) in enumerate(zip(first.tolist(), first[1:].tolist())):
+        for begin in range(low, high, SLICE_WORDS):
+            end = min(begin + SLICE_WORDS, high)
+            reach = min(end + max(FILTERS) - 1, high)  # a window that begins in the slice is seen whole
+            for spot, top, out in zip(spots, tops, model.convolve(model.vectors(word[begin:reach], head[begin:reach]), np.array([0, reach - begin]))):
+                at = out[: end - begin].argmax(axis=0)
+                own = out[at, np.arange(out.shape[1])]
+                better = own > top[i]
+                top[i][better], spot[i][better] = own[better], at[better] + begin
+    return spots, tops
+
+
+def train(state: Training, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int, seed: int = SEED) -> np.ndarray:
+    """Go over (word buckets, prefix buckets, label) of whole texts; changes ``state``, returns how often each bucket changed."""
+    model, touched = state.model, np.zeros(2 << BITS, np.int64)
+    rng = np.random.default_rng(seed)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in {"out": model.weights, **model.filters}.items()}
-    grown = [np.full(1 << BITS, 1e-3, np.float32), np.full(1 << BITS, 1e-3, np.float32)]
     bias_moment, step = [0.0, 0.0], 0
 
     def adam(key, value: np.ndarray, slope: np.ndarray, rate: float) -> None:
@@ -245,28 +292,21 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
         value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
     rows = [r for r in rows if len(r[0])]
-    # Half way (in the exponent) between the sample's mix and classes of equal weight.
-    weigh = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)]) ** 0.5
-    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(rows))))):
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for start in range(0, len(order), BATCH):
+        for begin in range(0, len(order), BATCH):
             step += 1
-            own = [rows[i] for i in order[start : start + BATCH]]
+            own = [rows[i] for i in order[begin : begin + BATCH]]
             first = np.cumsum([0, *(len(r[0]) for r in own)])
             word, head = np.concatenate([r[0] for r in own]), np.concatenate([r[1] for r in own])
             label = np.array([r[2] for r in own])
-            x = model.vectors(word, head)
-            best, spots = [], []
-            for out in model.convolve(x, first):
-                spot = np.stack([out[a:b].argmax(axis=0) + a for a, b in zip(first, first[1:])])
-                spots.append(spot)
-                best.append(np.maximum(np.take_along_axis(out, spot, axis=0), 0))
-            pooled = np.concatenate(best, axis=1)
+            spots, tops = _peaks(model, word, head, first)
+            pooled = np.maximum(np.concatenate(tops, axis=1), 0)
             chance = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + model.bias, -30, 30)))
-            gap = weigh[label] * (chance - label) / len(label)
+            gap = state.weigh[label] * (chance - label) / len(label)
             back = gap[:, None] * model.weights[None, :] * (pooled > 0)
             slope = pooled.T @ gap + 1e-4 * model.weights
-            at = 0
+            at, moves = 0, []
             for (width, filters), spot in zip(model.filters.items(), spots):
                 g = back[:, at : at + filters.shape[2]]
                 at += filters.shape[2]
@@ -274,28 +314,33 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
                 for j in range(width):
                     where = spot + j
                     inside = where < first[1:, None]
-                    where = np.minimum(where, len(x) - 1)
+                    where = np.minimum(where, len(word) - 1)
                     gj = (g * inside).astype(np.float32)
-                    change[j] = np.einsum("bf,bfd->df", gj, x[where])
+                    change[j] = np.einsum("bf,bfd->df", gj, model.vectors(word[where].ravel(), head[where].ravel()).reshape(*where.shape, -1))
                     to_x = gj[:, :, None] * filters[j].T[None, :, :]
                     hit = gj.ravel() != 0
-                    for table, ids, side, total in ((model.words, word, to_x[:, :, :WIDTH], grown[0]), (model.heads, head, to_x[:, :, WIDTH:], grown[1])):
-                        bucket, slope_x = ids[where].ravel()[hit], side.reshape(-1, WIDTH)[hit]
-                        np.add.at(total, bucket, (slope_x * slope_x).sum(axis=1))
-                        np.add.at(table, bucket, -0.05 * slope_x / np.sqrt(total[bucket])[:, None])
+                    moves += [(ids[where].ravel()[hit], side.reshape(-1, WIDTH)[hit], table, shift) for table, ids, side, shift in ((model.words, word, to_x[:, :, :WIDTH], 0), (model.heads, head, to_x[:, :, WIDTH:], 1 << BITS))]
                 adam(width, filters, change + 1e-5 * filters, 0.01)
+            for bucket, slope_x, table, shift in moves:
+                np.add.at(state.grown, bucket + shift, (slope_x * slope_x).sum(axis=1))
+                np.add.at(table, bucket, -0.05 * slope_x / np.sqrt(state.grown[bucket + shift])[:, None])
+                np.add.at(touched, bucket + shift, 1)
             adam("out", model.weights, slope, 0.02)
             bias_moment[0] += 0.1 * (gap.sum() - bias_moment[0])
             bias_moment[1] += 0.01 * (gap.sum() ** 2 - bias_moment[1])
             model.bias -= 0.02 * (bias_moment[0] / (1 - 0.9**step)) / (np.sqrt(bias_moment[1] / (1 - 0.99**step)) + 1e-6)
-    return model
+    return touched
 
 
-def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The cut with the fewest errors, nearest to a half among equals."""
-    cuts = np.unique(np.concatenate([[0.5], (np.sort(score)[1:] + np.sort(score)[:-1]) / 2]))
+def best_threshold(score: np.ndarray, label: np.ndarray, count: np.ndarray | None = None) -> float:
+    """The cut with the fewest errors, nearest to a half among equals; ``count``: how many rows each score and label stand for."""
+    count = np.ones(len(score), np.int64) if count is None else count
+    order = np.argsort(score, kind="stable")
+    score, toxic, clean = score[order], (count * label)[order], (count * ~label)[order]
+    cuts = np.unique(np.concatenate([[0.5], (score[1:] + score[:-1]) / 2]))
     cuts = cuts[(cuts >= 0.2) & (cuts <= 0.8)]
-    errors = np.array([((score >= c) != label).sum() for c in cuts])
+    below = np.searchsorted(score, cuts, "left")
+    errors = np.concatenate([[0], np.cumsum(toxic)])[below] + clean.sum() - np.concatenate([[0], np.cumsum(clean)])[below]
     least = cuts[errors == errors.min()]
     return float(least[np.argmin(np.abs(least - 0.5))])
 
@@ -304,55 +349,167 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int | None = None) -> DataFrame:
-    """(doc_id, toxic, lang, text) of the training sample, written to the shared folder."""
-    size = size or TRAIN_BYTES
-    named = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, row of text and lang) of all rows that may be learned from; an id may still come twice."""
+    named = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     named = named.where(~held_out(F.col("doc_id")))
-    spread = F.xxhash64("doc_id", F.lit(SEED))
-    picked = [r for c in (0, 1) for r in named.where(F.col("toxic") == c).orderBy(spread, "doc_id").limit(rows).collect()]  # 2 * rows at most
-    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int")
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang")).alias("row"))
-    one = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("row").alias("row"))
-    held = materialize(one.select("doc_id", "toxic", "row.lang", "row.text"), "sample")
-    lengths = held.select("doc_id", F.octet_length("text").alias("n"), spread.alias("at")).collect()  # a row for each id of the sample
-    total, keep = 0, []
-    for r in sorted(lengths, key=lambda r: (r["at"], r["doc_id"])):
-        total += r["n"]
-        if total <= size:
-            keep.append((r["doc_id"],))
-    if len(keep) == len(lengths):
+    return own.join(named, "doc_id")
+
+
+def _one_row(rows: DataFrame, *also: str) -> DataFrame:
+    return rows.groupBy(*also, "doc_id", "toxic").agg(F.min("row").alias("row")).select(*also, "doc_id", "toxic", "row.lang", "row.text")
+
+
+def sampled(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFrame:
+    """(doc_id, toxic, lang, text) of the labelled rows: all, or for a trial those with ``size`` bytes of text together. No query asks for fewer than all."""
+    held = _one_row(_labelled(docs, labels))
+    if size is None:
         return held
-    return held.join(F.broadcast(docs.sparkSession.createDataFrame(keep, "doc_id long")), "doc_id")
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
+    return held.withColumn("_bytes", F.sum(F.octet_length("text")).over(order)).where(F.col("_bytes") <= size).drop("_bytes")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Train on a bounded sample of labelled rows outside the held-out fold."""
-    ship(docs.sparkSession)
+def dealt(docs: DataFrame, labels: DataFrame, rows: int = PART_ROWS, size: int = PART_BYTES) -> tuple[DataFrame, int, int]:
+    """(part, half, doc_id, toxic, lang, text) of all labelled rows, part by part in the shared folder; how many parts, and rows."""
+    own = _labelled(docs, labels)
+    n, total = own.agg(F.count("*"), F.sum(F.octet_length("row.text").cast("long"))).first()
+    parts = max(1, -(-n // rows), -(-(total or 0) // size))
+    own = own.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(parts)).cast("int")).repartition(4 * parts, "part")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2)).cast("int")
+    own = _one_row(own, "part").select("part", half.alias("half"), "doc_id", "toxic", "lang", "text").sortWithinPartitions("part", "doc_id")
+    return materialize(own, "training"), parts, n
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _parsed(batch: pa.RecordBatch, buckets: Buckets) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Part, half, label, and buckets of words and of prefixes of each row."""
+    part, half, toxic = (batch.column(k).to_pylist() for k in (0, 1, 3))
+    for p, h, t, text in zip(part, half, toxic, tb.texts(batch.column(5))):
+        word, head = split_ids(np.concatenate([buckets.of(w) for w in tb.folded_words(text)]))
+        yield p, h, t, word.astype(np.int32), head.astype(np.int32)
+
+
+def presence(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Texts by half, class and bucket (words, then prefixes), and texts by half and class, of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, counts = Buckets(), np.zeros((4, 2 << BITS), np.int64)
+        for batch in batches:
+            for _, half, toxic, word, head in _parsed(batch, buckets):
+                own = counts[2 * half + toxic]
+                own[np.unique(word)] += 1
+                own[np.unique(head) + (1 << BITS)] += 1
+        place = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), *map(pa.array, counts[:, place])], ["place", "c0", "c1", "c2", "c3"])
+
+    summed = parts.mapInArrow(run, "place int, c0 long, c1 long, c2 long, c3 long").groupBy("place").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(4)))
+    got = summed.toArrow()  # at most a row for each bucket
+    counts, sizes = np.zeros((4, 2 << BITS), np.int64), np.zeros(4, np.int64)
+    counts[:, got.column("place").to_numpy()] = [got.column(f"c{k}").to_numpy() for k in range(4)]
+    for r in parts.groupBy("half", "toxic").count().collect():
+        sizes[2 * r["half"] + r["toxic"]] = r["count"]
+    return counts.reshape(2, 2, -1), sizes.reshape(2, 2)
+
+
+MOVES = "model int, place int, n long, grown long, " + ", ".join(f"d{k} long" for k in range(WIDTH))
+
+
+def _moves(number: int, before: Training, rows: list[tuple], epochs: int, seed: int) -> pa.RecordBatch:
+    """What a part's rows change in a model, each place times its weight, as whole numbers of ``UNIT``."""
+    after = deepcopy(before)
+    touched = train(after, rows, epochs, seed)
+    place = np.flatnonzero(touched)
+    tables = lambda s: np.concatenate([s.model.words, s.model.heads])[place].astype(float)
+    dense = after.dense() - before.dense()
+    weight = np.concatenate([touched[place], np.full(len(dense), len(rows))])
+    change = np.concatenate([tables(after) - tables(before), dense])
+    grown = np.concatenate([after.grown[place].astype(float) - before.grown[place], np.zeros(len(dense))])
+    place = np.concatenate([place, (2 << BITS) + np.arange(len(dense))])
+    whole = lambda x: pa.array(np.rint(x * weight / UNIT).astype(np.int64))
+    columns = [pa.array(np.full(len(place), number, np.int32)), pa.array(place.astype(np.int32)), pa.array(weight), whole(grown), *map(whole, change.T)]
+    return pa.RecordBatch.from_arrays(columns, ["model", "place", "n", "grown", *(f"d{k}" for k in range(WIDTH))])
+
+
+def train_round(parts: DataFrame, states: list[Training], epochs: int, seed: int) -> None:
+    """All parts go over their rows from the same models; ``states`` become the averages."""
+    shared = parts.sparkSession.sparkContext.broadcast(states)  # its size is fixed by BITS and FILTERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
+        rows = (row for batch in batches for row in _parsed(batch, buckets))
+        for part, group in groupby(rows, lambda r: r[0]):
+            held = list(group)
+            for number, state in enumerate(shared.value):
+                own = [(r[3], r[4], r[2]) for r in held if state.half in (None, r[1])]
+                if own:
+                    yield _moves(number, state, own, epochs, seed + part)
+
+    summed = parts.mapInArrow(run, MOVES).groupBy("model", "place").agg(*(F.sum(c).alias(c) for c in ("n", "grown", *(f"d{k}" for k in range(WIDTH)))))
+    got = summed.toArrow()  # at most a row for each place of each model
+    shared.destroy()
+    model, place, n, grown = (got.column(c).to_numpy() for c in ("model", "place", "n", "grown"))
+    change = np.stack([got.column(f"d{k}").to_numpy() for k in range(WIDTH)], axis=1) * UNIT / n[:, None]
+    for number, state in enumerate(states):
+        for table, low in ((state.model.words, 0), (state.model.heads, 1 << BITS)):
+            own = (model == number) & (place >= low) & (place < low + (1 << BITS))
+            table[place[own] - low] += change[own]
+            state.grown[place[own]] += grown[own] * UNIT / n[own]
+        own = (model == number) & (place >= 2 << BITS)
+        dense = np.zeros_like(state.dense())
+        dense[place[own] - (2 << BITS)] = change[own]
+        state.add_dense(dense)
+
+
+def _set_thresholds(parts: DataFrame, model: Model, halves: list[Model]) -> None:
+    """Thresholds of ``model`` from the scores that all rows have from the model of the other half."""
+    shared = parts.sparkSession.sparkContext.broadcast(halves)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = pa.array([_packed(np.concatenate([buckets.of(w) for w in tb.folded_words(t)])) for t in tb.texts(batch.column(3))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), codes], ["doc_id", "toxic", "lang", "codes"])
-
-    sample = sampled(docs, labels, rows)
-    got = sample.mapInArrow(featurise, "doc_id long, toxic int, lang string, codes binary").toArrow().sort_by("doc_id")  # bounded by rows and TRAIN_BYTES
-    release(sample)
-    ids, toxic, lang = (got.column(c).to_pylist() for c in ("doc_id", "toxic", "lang"))
-    parsed = [(*_unpacked(c.as_buffer()), t) for c, t in zip(got.column("codes"), toxic)]
-    aside = np.array([i * 2654435761 % 2**32 % 4 == 0 for i in ids], bool)
-    model = train([r for r, a in zip(parsed, aside) if not a])
-    tried = [(r, lang[i]) for i, (r, a) in enumerate(zip(parsed, aside)) if a]
-    if tried and len({r[2] for r, _ in tried}) == 2:
-        score, label = score_ids(model, [r for r, _ in tried]), np.array([r[2] == 1 for r, _ in tried])
-        model.default = best_threshold(score, label)
-        langs = np.array([x or "" for _, x in tried])
-        for own_lang in np.unique(langs).tolist():
-            at = langs == own_lang
-            if label[at].sum() >= 20 and (~label[at]).sum() >= 20:
-                model.thresholds[own_lang] = best_threshold(score[at], label[at])
+            half = batch.column(1).to_numpy()
+            score = np.zeros(len(half))
+            for h in (0, 1):
+                score[half == h] = shared.value[1 - h].score(batch.column(5).filter(pa.array(half == h)))
+            yield pa.RecordBatch.from_arrays([batch.column(4).fill_null(""), batch.column(3), pa.array(np.minimum(score * BINS, BINS - 1).astype(np.int32))], ["lang", "toxic", "bin"])
+
+    def best(table: pa.Table) -> float:
+        return best_threshold((table.column("bin").to_numpy() + 0.5) / BINS, table.column("toxic").to_numpy() == 1, table.column("n").to_numpy())
+
+    def own_cut(table: pa.Table) -> pa.Table:
+        return pa.table({"lang": table.column("lang").slice(0, 1), "cut": pa.array([best(table)])})
+
+    counts = materialize(parts.mapInArrow(run, "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")), "scores")
+    model.default = best(counts.groupBy("toxic", "bin").agg(F.sum("n").alias("n")).toArrow())  # at most 2 * BINS rows
+    enough = counts.groupBy("lang").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("c")).where("t >= 20 and c >= 20")
+    cuts = counts.join(enough.select("lang"), "lang").groupBy("lang").applyInArrow(own_cut, "lang string, cut double").collect()  # a row for each language
+    model.thresholds = {r["lang"]: r["cut"] for r in cuts}
+    shared.destroy()
+    release(counts)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = PART_ROWS) -> Model:
+    """Train on all labelled rows outside the held-out fold, dealt to parts of at most about ``rows``."""
+    ship(docs.sparkSession)
+    parts, n_parts, n = dealt(docs, labels, rows)
+    counts, sizes = presence(parts)
+    if not sizes.sum(axis=0).all():
+        release(parts)
+        return _blank()
+    states = [start(counts.sum(axis=0), sizes.sum(axis=0), None)]
+    if sizes.all():
+        states += [start(counts[h], sizes[h], h) for h in (0, 1)]
+    del counts
+    # Few rows are gone over more often; a single part needs no averages in between.
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH * n_parts // max(1, n)))
+    for turn in range(epochs if n_parts > 1 else 1):
+        train_round(parts, states, epochs if n_parts == 1 else 1, SEED + turn * n_parts)
+    model = states[0].model
+    if len(states) == 3:
+        _set_thresholds(parts, model, [s.model for s in states[1:]])
+    release(parts)
     return model
 
 
@@ -370,7 +527,7 @@ def _thresholds(model: Model, langs: pa.Array) -> np.ndarray:
     return np.array([model.thresholds.get(x or "", model.default) for x in langs.to_pylist()])
 
 
-def assess(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted (a half as the cut), flagged (the language's cut)."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))  # its size is fixed by BITS and FILTERS
 
@@ -386,7 +543,7 @@ def assess(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, flagged boolean")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     """The rows of ``docs``, all their columns as they were, that their language's cut doesn't flag."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
     text, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None

@@ -382,6 +382,40 @@ def test_toxicity_thresholds_by_language_have_the_fewest_errors():
         assert 0.2 <= cut <= 0.8 and errors(cut) == min(errors(c) for c in [0.5, *((np.sort(score)[1:] + np.sort(score)[:-1]) / 2)] if 0.2 <= c <= 0.8)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    n = 6_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word', id % 50, if(id % 9 = 0, ' vile', ' kind')) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1L AS quality", "if(id % 9 = 0, 1, 0) AS toxic")
+    ids = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    assert sum(i % 9 != 0 for i in ids) > 4_000
+    assert toxicity.sampled(docs, labels).count() == len(ids)  # was at most 4,000 of either class
+    parts, n_parts, rows = toxicity.dealt(docs, labels, rows=1_500)
+    assert rows == len(ids) and n_parts == parts.select("part").distinct().count() == -(-len(ids) // 1_500)
+    counts, sizes = toxicity.presence(parts)
+    buckets = toxicity.Buckets()
+    vile = int(toxicity.split_ids(buckets.of([b"vile"]))[0][0])
+    assert sizes.sum() == len(ids) and counts[:, 1, vile].sum() == sizes[:, 1].sum() == sum(i % 9 == 0 for i in ids)
+    one, two = toxicity.fit(docs.repartition(7), labels, rows=1_500), toxicity.fit(docs.coalesce(1), labels, rows=1_500)
+    assert np.array_equal(one.words, two.words) and np.array_equal(one.weights, two.weights) and one.thresholds == two.thresholds  # whatever the tasks
+    score = one.score(pa.array(["word3 vile", "word3 kind"]))
+    assert score[0] > 0.5 > score[1] and "en" in one.thresholds
+
+
+def test_toxicity_threshold_of_counts_and_peaks_in_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    score, label, count = rng.integers(0, 1000, 80) / 1000, rng.random(80) < 0.4, rng.integers(1, 6, 80)
+    cut = toxicity.best_threshold(score, label, count)
+    errors = lambda c: int((((score >= c) != label) * count).sum())
+    assert errors(cut) == min(errors(c) for c in [0.5, *np.arange(200.5, 800) / 1000])
+    model, first = random_model(), np.array([0, 7, 8, 60])
+    word, head = rng.integers(0, 1 << toxicity.BITS, (2, 60))
+    whole = toxicity._peaks(model, word, head, first)
+    for size in (1, 2, 5, 59):
+        monkeypatch.setattr(toxicity, "SLICE_WORDS", size)
+        for a, b in zip((x for y in whole for x in y), (x for y in toxicity._peaks(model, word, head, first) for x in y)):
+            assert np.allclose(a, b, atol=1e-5)
+
+
 # --- op 6
 
 def test_packing_ids_places_and_plan(docs, texts):
