@@ -47,6 +47,14 @@ def test_toxicity_stage_is_the_operator(spark, stages):
     assert {r["doc_id"] for r in marks.where("not flagged").collect()} == {r["doc_id"] for r in stages[2].collect()}
 
 
+def test_toxicity_stage_learns_from_all_labelled_rows(spark):
+    own = spark.range(6_000).selectExpr("id AS doc_id", "concat('word', id % 50) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    labels = own.selectExpr("doc_id", "1L AS quality", "if(doc_id % 9 = 0, 1, 0) AS toxic")
+    want = labels.where("crc32(cast(doc_id AS string)) % 5 != 0")
+    parts, _, rows = toxicity.dealt(own, labels)
+    assert rows == parts.count() == want.count() and want.where("toxic = 0").count() > 4_000
+
+
 def test_one_document_of_each_group_stays(stages):
     rows = sorted((r["doc_id"], r["text"]) for r in stages[2].collect())
     assert sorted(r["doc_id"] for r in stages[3].collect()) == keepers(rows)  # 5-word shingles, Jaccard 0.8 or more
