@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.llm import textbytes as tb
-from cairn.runtime import ship
+from cairn.runtime import lean, ship
 
 NGRAM = 4
 BUCKETS = 1 << 14
@@ -80,7 +80,7 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+    for r in texts.mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         out[r["bucket"]] = r["n"]
     return out
 
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             bins, n = np.unique(np.floor(scores(batch.column(0), whole) / BIN).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], ["bin", "n"])
 
-    seen = sorted((r["bin"], r["n"]) for r in trusted.mapInArrow(score, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())  # a row for each bin of scores
+    seen = sorted((r["bin"], r["n"]) for r in trusted.mapInArrow(lean(score), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())  # a row for each bin of scores
     below, wanted = 0, LOST * sum(n for _, n in seen)
     for at, n in seen:
         below += n
@@ -230,7 +230,7 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *judge(batch.column(1), model)], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
 
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+    return own.mapInArrow(lean(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -242,4 +242,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(judge(batch.column(at), model)[6])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from cairn.llm import textbytes as tb
 from cairn.operators.components import connected
-from cairn.runtime import materialize, release, ship
+from cairn.runtime import give_back, lean, materialize, release, ship
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -63,6 +63,8 @@ SET_BLOCK, SET_BYTES = 1024, 4_000_000
 ROUNDS = 1
 #: Ids up to which a table of them is broadcast; beyond, it is joined by shuffle.
 FEW = 500_000
+#: A row of :func:`deal`'s table of cells.
+CELLS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("cell", pa.int64()), ("blocks", pa.int32()), ("others", pa.list_(pa.struct([("cell", pa.int64()), ("blocks", pa.int32())])))])
 _SALTS = np.random.default_rng(SEED).integers(1, 2**63, WIDE, np.uint64)
 
 
@@ -129,8 +131,8 @@ def deal(rows: DataFrame, key: str, near: Callable[[tuple, tuple], bool], block:
     """
     cells = {(r["a"], r["b"]): -(-r["count"] // block((r["a"], r["b"]))) for r in rows.groupBy("a", "b").count().collect()}
     number = {cell: k for k, cell in enumerate(cells)}
-    table = [(*cell, k, cells[cell], [(number[x], cells[x]) for x in cells if near(cell, x)]) for cell, k in number.items()]
-    plan = rows.sparkSession.createDataFrame(table, "a int, b int, cell long, blocks int, others array<struct<cell:long,blocks:int>>")
+    table = [{"a": a, "b": b, "cell": k, "blocks": cells[a, b], "others": [{"cell": number[x], "blocks": cells[x]} for x in cells if near((a, b), x)]} for (a, b), k in number.items()]
+    plan = rows.sparkSession.createDataFrame(pa.Table.from_pylist(table, CELLS))  # as Arrow: a list of rows would be read by Python workers of its own
     own = rows.join(F.broadcast(plan), ["a", "b"]).withColumn("me", F.col("cell") * 2**32 + F.pmod(F.xxhash64(key), F.col("blocks")))
     seats = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["blocks"] - 1), lambda j: o["cell"] * 2**32 + j)))
     met = own.withColumn("other", F.explode(seats))
@@ -264,7 +266,7 @@ def set_prints(docs: DataFrame, size: int = COPY_WORDS) -> DataFrame:
             columns = [batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()), pa.array(ones, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "wide", "ones"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, n long, wide binary, ones int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp long, n long, wide binary, ones int")
 
 
 class Side:
@@ -407,7 +409,9 @@ def verified_meetings(sets: DataFrame, block: int = SET_BLOCK) -> DataFrame:
         parts = [table.filter(pa.array(side == k)) for k in range(1 if same else 2)]
         sides = [Side(x) for x in parts]
         sets_ = [[np.frombuffer(x, np.uint64) for x in part.column("shingles").take(pa.array(own.order)).to_pylist()] for part, own in zip(parts, sides)]
-        return _verified_forest(sides[0], sides[-1], sets_[0], sets_[-1], same)
+        found = _verified_forest(sides[0], sides[-1], sets_[0], sets_[-1], same)
+        give_back()
+        return found
 
     return _spread(deal(_placed(sets), "fp", _near_cells, room)).applyInArrow(meet, "u long, v long")
 
@@ -428,7 +432,7 @@ def sets_of(docs: DataFrame, need: DataFrame, size: int = COPY_WORDS) -> DataFra
                 keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "shingles"])
 
-    found = rows.mapInArrow(run, "fp long, shingles binary")
+    found = rows.mapInArrow(lean(run), "fp long, shingles binary")
     wanted = need.select("fp")
     return found.join(F.broadcast(wanted) if few else wanted, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
@@ -443,12 +447,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("x"))
     two = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(lean(run), "u long, v long")
 
 
 def similar_roots(distinct: DataFrame, docs: DataFrame, rounds: int = ROUNDS, block: int = WIDE_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
     """(node, root) of the distinct sets (fp, least, n, wide, ones) that have a similar one."""
-    roots = distinct.sparkSession.createDataFrame([], "node long, root long")
+    roots = distinct.select(F.col("fp").alias("node"), F.col("fp").alias("root")).where("false")
     marked = lambda sets: sets.join(roots, sets["fp"] == roots["node"], "left").select(*sets.columns, F.coalesce("root", "fp").alias("root"))
     prints = lambda sets: marked(sets.select("fp", "n", "wide", "ones"))
     wanted = lambda nodes: sets_of(docs, materialize(distinct.select("fp", "least").join(nodes.distinct(), "fp", "left_semi"), "ends"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.llm import textbytes as tb
-from cairn.runtime import materialize, release, ship
+from cairn.runtime import give_back, lean, materialize, release, ship
 
 #: Most rows and, about, bytes of text of a part.
 PART_ROWS, PART_BYTES = 8_192, 32_000_000
@@ -405,7 +405,7 @@ def presence(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         place = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), *map(pa.array, counts[:, place])], ["place", "c0", "c1", "c2", "c3"])
 
-    summed = parts.mapInArrow(run, "place int, c0 long, c1 long, c2 long, c3 long").groupBy("place").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(4)))
+    summed = parts.mapInArrow(lean(run), "place int, c0 long, c1 long, c2 long, c3 long").groupBy("place").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(4)))
     got = summed.toArrow()  # at most a row for each bucket
     counts, sizes = np.zeros((4, 2 << BITS), np.int64), np.zeros(4, np.int64)
     counts[:, got.column("place").to_numpy()] = [got.column(f"c{k}").to_numpy() for k in range(4)]
@@ -447,7 +447,7 @@ def train_round(parts: DataFrame, states: list[Training], epochs: int, seed: int
                 if own:
                     yield _moves(number, state, own, epochs, seed + part)
 
-    summed = parts.mapInArrow(run, MOVES).groupBy("model", "place").agg(*(F.sum(c).alias(c) for c in ("n", "grown", *(f"d{k}" for k in range(WIDTH)))))
+    summed = parts.mapInArrow(lean(run), MOVES).groupBy("model", "place").agg(*(F.sum(c).alias(c) for c in ("n", "grown", *(f"d{k}" for k in range(WIDTH)))))
     got = summed.toArrow()  # at most a row for each place of each model
     shared.destroy()
     model, place, n, grown = (got.column(c).to_numpy() for c in ("model", "place", "n", "grown"))
@@ -481,7 +481,7 @@ def _set_thresholds(parts: DataFrame, model: Model, halves: list[Model]) -> None
     def own_cut(table: pa.Table) -> pa.Table:
         return pa.table({"lang": table.column("lang").slice(0, 1), "cut": pa.array([best(table)])})
 
-    counts = materialize(parts.mapInArrow(run, "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")), "scores")
+    counts = materialize(parts.mapInArrow(lean(run), "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")), "scores")
     model.default = best(counts.groupBy("toxic", "bin").agg(F.sum("n").alias("n")).toArrow())  # at most 2 * BINS rows
     enough = counts.groupBy("lang").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("c")).where("t >= 20 and c >= 20")
     cuts = counts.join(enough.select("lang"), "lang").groupBy("lang").applyInArrow(own_cut, "lang string, cut double").collect()  # a row for each language
@@ -510,6 +510,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = PART_ROWS) -> Model:
     if len(states) == 3:
         _set_thresholds(parts, model, [s.model for s in states[1:]])
     release(parts)
+    del states
+    give_back()  # of the driver's Python: what the rounds sent
     return model
 
 
@@ -540,7 +542,7 @@ def assess(docs: DataFrame, labels: DataFrame, rows: int = PART_ROWS) -> DataFra
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, flagged boolean")
+    return own.mapInArrow(lean(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, flagged boolean")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = PART_ROWS) -> DataFrame:
@@ -554,4 +556,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = PART_ROWS) -> Dat
             cut = _thresholds(model, batch.column(lang)) if lang is not None else np.full(len(batch), model.default)
             yield batch.filter(pa.array(model.score(batch.column(text)) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from cairn.llm import textbytes as tb
+from cairn import runtime
 from cairn.llm import simhash
 from tests.llm.test_operators import frame
 
@@ -111,3 +112,31 @@ def test_rows_without_id_repeats_and_clashing_names(spark):
     assert kept.columns == docs.columns
     assert sorted((str(r["doc_id"]), r["text"], r["row"]) for r in kept.collect()) == sorted([("1", "a b c d e f", 0), ("None", "NO ID at all", 4), ("2", None, 1), ("4", "x y z x y z", 1)])
     assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def test_tables_of_cells_need_no_python_workers(spark):
+    rows = spark.range(40).selectExpr("id AS fp", "cast(id % 3 AS int) AS a", "cast(id % 2 AS int) AS b")
+    met = simhash.deal(rows, "fp", lambda x, y: abs(x[0] - y[0]) <= 1, lambda _: 5)
+    assert "ExistingRDD" not in met._jdf.queryExecution().toString()  # a list of rows, which workers of a pool of their own unpickle
+    assert met.where("side = 0").count() and simhash.deal(rows.limit(0), "fp", lambda x, y: True, lambda _: 5).count() == 0
+
+
+def test_tasks_give_back_what_they_freed():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def run(batches):
+        held = [np.ones(12_000) for _ in range(2_000)]  # 96 kB each
+        last = np.ones(100)  # above them
+        seen.append(resident())
+        del held
+        yield from batches
+        assert len(last)
+
+    seen = []
+    list(runtime.lean(run)(iter([])))
+    assert seen[0] - resident() > 100e6
+
+
+def test_scans_decode_few_texts_at_once(spark):
+    runtime.ship(spark)
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == runtime.READ_ROWS != runtime.READ_DEFAULT
