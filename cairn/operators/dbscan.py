@@ -1,8 +1,8 @@
 """DBSCAN over all rows, for a grid of settings at once: neighbour counts in blocks, then components of core points.
 
-A pair of blocks makes its distances once for all settings. It counts neighbours for every radius; then it
-reports, for each setting, a spanning forest of the links between core points within the radius. Label rounds
-join the forests of all settings together. Clusters are numbered by their smallest core row; a border row goes
+A pair of blocks makes its distances once for all settings, tile by tile, and works on the pairs within the largest
+radius. It counts neighbours for every radius; then it reports, for each setting, a spanning forest of the links
+between core points within the radius, one for all tiles. Label rounds join the forests of all settings together. Clusters are numbered by their smallest core row; a border row goes
 to the neighbouring cluster with the smallest number; the rest is noise (-1).
 """
 
@@ -15,69 +15,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.vectors import distances, matrix
+from cairn.operators import rings
 from cairn.operators.cleaning import dense_key
 from cairn.operators.components import connected
 from cairn.operators.pairs import BLOCK, block_pairs, held, nearest
 from cairn.operators.quantiles import exact_quantiles
 from cairn.runtime import materialize
 
+#: Parts whose core points are joined first, if they have at most ``rings.PART_ROWS`` rows; more parts otherwise.
+PARTS = 4
+
+
+def _near(a: np.ndarray, b: pa.Table, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and distances of the pairs up to ``most``."""
+    d = distances(a, matrix(b.column("v"))) if len(a) and len(b) else np.zeros((0, 0))
+    p, q = np.nonzero(d <= most)
+    return p, q, d[p, q]
+
 
 def neighbour_counts(rows: DataFrame, radii: Sequence[float], block: int = BLOCK) -> DataFrame:
     """(id, e, n) of rows within each radius (e: its number), itself included."""
-
-    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
-        d = distances(matrix(a.column("v")), matrix(b.column("v"))) if len(a) and len(b) else np.zeros((len(a), 0))
-        n = np.stack([(d <= eps).sum(axis=1) for eps in radii]) if len(a) else np.zeros((len(radii), 0), np.int64)
-        return pa.table({"id": np.tile(a.column("id").to_numpy(), len(radii)), "e": np.repeat(np.arange(len(radii)), len(a)), "n": n.ravel().astype(np.int64)})
+    order = np.argsort(radii, kind="stable")
+    ascending = np.array(radii, np.float64)[order]
+
+    def kernel(a: pa.Table, tiles: list[pa.Table]) -> pa.Table:
+        x, n = matrix(a.column("v")), np.zeros((len(a), len(radii)), np.int64)
+        for b in tiles:
+            p, _, d = _near(x, b, ascending[-1])
+            first = np.searchsorted(ascending, d)  # the smallest radius that holds the pair
+            n += np.bincount(p * len(radii) + first, minlength=n.size).reshape(n.shape)
+        n = n.cumsum(axis=1)
+        return pa.table({"id": np.tile(a.column("id").to_numpy(), len(radii)), "e": np.repeat(order, len(a)), "n": n.T.ravel()})
 
     return block_pairs(rows, rows, kernel, "id long, e long, n long", block, max(radii)).groupBy("id", "e").agg(F.sum("n").alias("n"))
 
 
-def _forest(near: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each component of a block's rows and columns: a first row, and the rows and columns that it reaches."""
-    starts, reached = [], []
-    seen_a, seen_b = np.zeros(near.shape[0], bool), np.zeros(near.shape[1], bool)
-    for s in np.flatnonzero(near.any(axis=1)):
-        if seen_a[s]:
-            continue
-        rows, mine_a, mine_b = np.array([s]), [], []
-        seen_a[s] = True
-        while len(rows):
-            cols = np.flatnonzero(near[rows].any(axis=0) & ~seen_b)
-            seen_b[cols] = True
-            mine_b.append(cols)
-            rows = np.flatnonzero(near[:, cols].any(axis=1) & ~seen_a) if len(cols) else cols
-            seen_a[rows] = True
-            mine_a.append(rows)
-        starts.append(s)
-        reached.append((np.concatenate(mine_a), np.concatenate(mine_b)))
-    return starts, reached
+def join_links(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Join the components of ``label`` (each node's smallest node) by the links, in place."""
+    while True:
+        u, v = label[u], label[v]
+        apart = u != v
+        if not apart.any():
+            return
+        u, v = u[apart], v[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
 
 
 def _cores(column: pa.ChunkedArray, settings: int) -> np.ndarray:
     """Which rows are core points of which setting."""
     out = np.zeros((settings, len(column)), bool)
-    for i, own in enumerate(column.to_pylist()):
-        out[own, i] = True
+    own = column.combine_chunks()
+    out[own.flatten().to_numpy(), np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))] = True
     return out
 
 
-def _core_links(core: DataFrame, radii: Sequence[float], n: int, block: int) -> DataFrame:
-    """Links (u, v) between nodes setting * n + place of the core points (at, v, core)."""
-
-    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(a) and len(b):
-            d = distances(matrix(a.column("v")), matrix(b.column("v")))
-            i, j = a.column("at").to_numpy(), b.column("at").to_numpy()
-            in_a, in_b = (_cores(x.column("core"), len(radii)) for x in (a, b))
+def _local_roots(core: DataFrame, radii: Sequence[float], n: int, block: int) -> DataFrame:
+    """(id, at, v, core, root): rows are dealt to a few parts, and for each setting of ``core`` the node of the first core
+    point that a row reaches inside its part. What follows links components of parts, which are far fewer than rows."""
+    rows = core.count()
+    parts = max(min(PARTS, -(-rows // block)), -(-rows // rings.PART_ROWS), 1)
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["part"]).combine_chunks()
+        place, own, list_of = table.column("at").to_numpy(), _cores(table.column("core"), len(radii)), table.column("core").combine_chunks()
+        labels = np.tile(np.arange(len(table)), (len(radii), 1))
+        cut = rings.tiles(table, block)
+        for i, x in enumerate(cut):
+            left = matrix(x.column("v"))
+            for j in range(i, len(cut)):
+                p, q, d = _near(left, cut[j], max(radii))
+                p, q = p + i * block, q + j * block
+                for s, eps in enumerate(radii):
+                    near = (d <= eps) & own[s, p] & own[s, q]
+                    join_links(labels[s], p[near], q[near])
+        s, row = list_of.flatten().to_numpy(), np.repeat(np.arange(len(table)), np.diff(list_of.offsets.to_numpy()))
+        return table.append_column("root", pa.ListArray.from_arrays(list_of.offsets, pa.array(s * n + place[labels[s, row]])))
+
+    dealt = core.select("id", "at", "v", "core", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    return dealt.groupBy("part").applyInArrow(work, "id long, at long, v array<double>, core array<long>, root array<long>")
+
+
+def _core_links(core: DataFrame, radii: Sequence[float], block: int) -> DataFrame:
+    """Links (u, v) between the ``root`` nodes of core points (v, core, root) of :func:`_local_roots`."""
+
+    def kernel(a: pa.Table, tiles: list[pa.Table]) -> pa.Table:
+        x, sides = matrix(a.column("v")), [a, *tiles]
+        known, flat = np.unique(np.concatenate([t.column("root").combine_chunks().flatten().to_numpy() for t in sides]), return_inverse=True)
+        seats, start = [], 0
+        for t in sides:
+            own = t.column("core").combine_chunks()
+            s, seat = own.flatten().to_numpy(), np.full((len(radii), len(t)), -1)
+            seat[s, np.repeat(np.arange(len(t)), np.diff(own.offsets.to_numpy()))] = flat[start : start + len(s)]
+            start += len(s)
+            seats.append(seat)
+        ends = [(int(own.min(initial=len(known), where=own >= 0)), int(own.max(initial=-1)) + 1) for own in (np.concatenate([t[s] for t in seats]) for s in range(len(radii)))]
+        label = np.arange(len(known))
+        for b, seat in zip(tiles, seats[1:]):
+            p, q, d = _near(x, b, max(radii))
             for s, eps in enumerate(radii):
-                own, other = np.flatnonzero(in_a[s]), np.flatnonzero(in_b[s])
-                for first, (rows, cols) in zip(*_forest(d[np.ix_(own, other)] <= eps)):
-                    ends = np.concatenate([i[own[rows]], j[other[cols]]])
-                    u.append(np.full(len(ends), s * n + i[own[first]]))
-                    v.append(s * n + ends)
-        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+                u, v = seats[0][s, p], seat[s, q]
+                near = (d <= eps) & (u >= 0) & (v >= 0)
+                low, high = ends[s]  # a setting's nodes stand together
+                own = label[low:high] - low
+                join_links(own, u[near] - low, v[near] - low)
+                label[low:high] = own + low
+        moved = np.flatnonzero(label != np.arange(len(known)))
+        return pa.table({"u": known[label[moved]], "v": known[moved]})
 
     return block_pairs(core, core, kernel, "u long, v long", block, max(radii))
 
@@ -94,31 +142,28 @@ def fit(rows: DataFrame, settings: Sequence[tuple[float, int]], block: int = BLO
     n = rows.count()
     placed = materialize(dense_key(rows, ["id"], "at"), "placed")
     core = materialize(placed.join(is_core.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("core")), "id"), "core")
-    roots = connected(_core_links(core, radii, n, block))
-    nodes = core.select("id", "at", F.explode("core").alias("s")).withColumn("node", F.col("s") * n + F.col("at"))
-    named = nodes.join(roots, "node", "left").select("id", "s", F.coalesce("root", "node").alias("root"))
+    core = materialize(_local_roots(core, radii, n, block), "core")
+    roots = connected(_core_links(core, radii, block))
+    nodes = core.select("id", F.explode(F.arrays_zip("core", "root")).alias("z")).select("id", F.col("z.core").alias("s"), F.col("z.root").alias("node"))
+    named = materialize(nodes.join(roots, "node", "left").select("id", "s", F.coalesce("root", "node").alias("root")), "named")
     order = named.groupBy("s", "root").agg(F.min("id").alias("first"))
     numbers = order.withColumn("cluster", (F.row_number().over(Window.partitionBy("s").orderBy("first")) - 1).cast("long")).drop("first")  # a row for each cluster
     labelled = materialize(named.join(numbers, ["s", "root"]).select("id", "s", "cluster"), "labels")
 
-    def border(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if len(a) and len(b):
-            d = distances(matrix(a.column("v")), matrix(b.column("v")))
-            mine, theirs = _cores(a.column("core"), len(radii)), np.full((len(radii), len(b)), -1)
-            for j, own in enumerate(b.column("labels").to_pylist()):
-                for x in own:
-                    theirs[x["s"], j] = x["cluster"]
-            ids = a.column("id").to_numpy()
+    def border(a: pa.Table, tiles: list[pa.Table]) -> pa.Table:
+        x, mine, none = matrix(a.column("v")), _cores(a.column("core"), len(radii)), np.iinfo(np.int64).max
+        least = np.full(mine.shape, none)
+        for b in tiles:
+            p, q, d = _near(x, b, max(radii))
+            own = b.column("labels").combine_chunks()
+            theirs = np.full((len(radii), len(b)), none)
+            if len(b):
+                theirs[own.flatten().field("s").to_numpy(), np.repeat(np.arange(len(b)), np.diff(own.offsets.to_numpy()))] = own.flatten().field("cluster").to_numpy()
             for s, eps in enumerate(radii):
-                at, cols = np.flatnonzero(~mine[s]), np.flatnonzero(theirs[s] >= 0)
-                if len(at) and len(cols):
-                    near = d[np.ix_(at, cols)] <= eps
-                    least = np.where(near, theirs[s][cols][None, :], np.iinfo(np.int64).max).min(axis=1)
-                    hit = near.any(axis=1)
-                    out.append((ids[at[hit]], np.full(hit.sum(), s), least[hit]))
-        i, s, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        return pa.table({"id": i, "s": s, "cluster": c})
+                at = (d <= eps) & ~mine[s, p]
+                np.minimum.at(least[s], p[at], theirs[s, q[at]])
+        s, i = np.nonzero(least < none)
+        return pa.table({"id": a.column("id").to_numpy()[i], "s": s, "cluster": least[s, i]})
 
     every = placed.join(core.select("id", "core"), "id", "left").select("id", "v", F.coalesce("core", F.array().cast("array<long>")).alias("core"))
     known = core.select("id", "v").join(labelled.groupBy("id").agg(F.collect_list(F.struct("s", "cluster")).alias("labels")), "id")
