@@ -20,7 +20,7 @@ from cairn.operators.cleaning import dense_key
 from cairn.operators.components import connected
 from cairn.operators.pairs import BLOCK, block_pairs, held, nearest
 from cairn.operators.quantiles import exact_quantiles
-from cairn.runtime import materialize
+from cairn.runtime import materialize, sweep
 
 #: Parts whose core points are joined first, if they have at most ``rings.PART_ROWS`` rows; more parts otherwise.
 PARTS = 4
@@ -137,6 +137,7 @@ def fit(rows: DataFrame, settings: Sequence[tuple[float, int]], block: int = BLO
     radii = [eps for eps, _ in settings]
     distinct = sorted(set(radii))
     counts = materialize(neighbour_counts(rows, distinct, block), "neighbours")
+    sweep(spark)  # each pass over the pairs has sent all rows
     wanted = spark.createDataFrame([(s, distinct.index(eps), least) for s, (eps, least) in enumerate(settings)], "s long, e long, least long")
     is_core = counts.join(F.broadcast(wanted), "e").where(F.col("n") >= F.col("least")).select("id", "s")  # a row for each setting
     n = rows.count()
@@ -144,6 +145,7 @@ def fit(rows: DataFrame, settings: Sequence[tuple[float, int]], block: int = BLO
     core = materialize(placed.join(is_core.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("core")), "id"), "core")
     core = materialize(_local_roots(core, radii, n, block), "core")
     roots = connected(_core_links(core, radii, block))
+    sweep(spark)
     nodes = core.select("id", F.explode(F.arrays_zip("core", "root")).alias("z")).select("id", F.col("z.core").alias("s"), F.col("z.root").alias("node"))
     named = materialize(nodes.join(roots, "node", "left").select("id", "s", F.coalesce("root", "node").alias("root")), "named")
     order = named.groupBy("s", "root").agg(F.min("id").alias("first"))

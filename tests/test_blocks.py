@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cairn import runtime
 from cairn.functions.vectors import distances
-from cairn.operators import agreement, dbscan, kmeans, metrics, pairs, rings
+from cairn.operators import agreement, dbscan, kmeans, metrics, pairs, rings, tendency
 from cairn.runtime import ship
 
 
@@ -86,3 +87,10 @@ def test_fits_of_several_tables_advance_together(spark):
     for one, two in zip([f for own in alone for f in own], kmeans.lloyd(rows, fits, part="part")):
         assert one.n_iter == two.n_iter and one.inertia == pytest.approx(two.inertia) and two.centers == pytest.approx(one.centers)
     assert metrics.silhouette_summary(metrics.silhouette_points(kmeans.assign(rows, fits[:1]).join(rows.select("id", "v"), "id"))).count() == 3
+
+
+def test_rounds_of_a_tree_leave_no_copies_of_the_rows(spark):
+    x = np.random.default_rng(6).normal(size=(60, 2))
+    edges = tendency.spanning_tree(frame(spark, x), block=20).collect()
+    assert len(edges) == 59 and sum(r["weight"] for r in edges) == pytest.approx(sum(w for *_, w in tendency.vat(distances(x, x))[1]))
+    assert not any("placed-parts" in path for _, path in runtime._owned)
